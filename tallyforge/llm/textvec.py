@@ -13,7 +13,26 @@ import numpy as np
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Powers:
+    """base**0 .. base**(n - 1) modulo 2**64, kept while no longer row is asked for; not sent to executors."""
+
+    def __init__(self) -> None:
+        self.kept: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"kept": {}}
+
+    def __call__(self, base: int, n: int) -> np.ndarray:
+        if len(self.kept.get(base, ())) < n:
+            full = np.full(max(n, 1 << 16), base, U64)
+            full[0] = 1
+            self.kept[base] = np.multiply.accumulate(full)
+        return self.kept[base][:n]
+
+
+powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,15 +51,6 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; kept while no longer one is asked for."""
-    if len(_powers.get(base, ())) < n:
-        full = np.full(max(n, 1 << 16), base, U64)
-        full[0] = 1
-        _powers[base] = np.multiply.accumulate(full)
-    return _powers[base][:n]
-
-
 #: A random-looking 64-bit number for each byte.
 CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 

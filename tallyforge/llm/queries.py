@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import pii, telephony
-from tallyforge.llm.shared import table
+from tallyforge.llm import decontam, langid, pii, telephony, toxicity
+from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, ["doc_id", "held_out"])
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("least_score")
 
@@ -20,5 +35,5 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_pii, op9_telephony)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_language, op4_toxicity, op6_pii, op9_telephony)}
 ORACLES: dict[str, str] = {}

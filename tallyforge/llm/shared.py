@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,19 @@ def by_step(of: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterable[pa.R
                 yield from of(batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     return run
+
+
+class Sent:
+    """A broadcast of a model of this subpackage, with its code; each task unpacks it once."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.packed, self.own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "own": None}
+
+    @property
+    def value(self):
+        if self.own is None:
+            self.own = cloudpickle.loads(self.packed.value)
+        return self.own

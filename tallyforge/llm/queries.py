@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, langid, pii, telephony, toxicity
+from tallyforge.llm import decontam, langid, mixing, pii, prefs, telephony, toxicity, warc
 from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.headers_as_text(warc.resolve(warc.crawl(table(spark, sf_dir, "pages"))))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,9 +35,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("least_score")
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefs.masks_as_text(prefs.format_pairs(prefs.echo_pairs(table(spark, sf_dir, "conversations"))))
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_language, op4_toxicity, op6_pii, op9_telephony)}
-ORACLES: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op6_pii, op7_preferences, op9_telephony, op10_mixing)}
+ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE}

@@ -2,7 +2,8 @@
 
 Documents fall into blocks by a hash within their source. A source's target decides how often each of its blocks
 is drawn: whole passes first, then blocks in a permuted order until the rest of the target is met; the last block
-is drawn in part, document by document in a permuted order. The numbers of draws of all sources stand at the root
+is drawn in part, document by document in a permuted order, and blocks and one document that fit fill what is then
+missing. The numbers of draws of all sources stand at the root
 of a binary tree over the output shards. Each node hands its left child half of its draws (exactly), as many of
 each source as an urn without replacement gives: a multivariate hypergeometric split. At the leaves a shard owns a
 run of each source's permuted draws, so shards are disjoint, and it is shuffled by a key of its own.
@@ -85,7 +86,7 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
 
 class Plan(NamedTuple):
     sources: DataFrame  # skey, source, source_size, target
-    blocks: DataFrame  # skey, block, source_size, target, draws: array of (pass, shard, cut); cut: the last h that is taken, null for all
+    blocks: DataFrame  # skey, block, source_size, target, draws: array of (pass, shard, first, cut): h from first to cut is taken, null for no bound
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
@@ -101,21 +102,39 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     df = df.withColumn("n_blocks", F.count("*").over(Window.partitionBy("skey")))
     df = df.withColumn("kind", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none"))
     df = materialize(df, "mix-order")
-    # the block that is drawn in part: at most one a source; its documents in order, up to the one nearest to the rest
+    # the block that is drawn in part: at most one a source; its documents in order while they fit
     part = df.filter("kind = 'part'").select("skey", "block", (F.col("rest") - F.col("before")).alias("want"))
     inner = light.join(part, ["skey", "block"]).groupBy("skey", "block", "want", "h").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("skey", "block").orderBy("h"))
-    cuts = inner.withColumn("upto", upto).filter(F.col("upto") - F.col("size") / 2 <= F.col("want")).groupBy("skey", "block").agg(F.max("h").alias("cut"))
-    df = df.join(cuts, ["skey", "block"], "left").withColumn("kind", F.when((F.col("kind") == "part") & F.col("cut").isNull(), "none").otherwise(F.col("kind")))
+    inner = inner.withColumn("upto", F.sum("size").over(Window.partitionBy("skey", "block").orderBy("h")))
+    fits = F.col("upto") <= F.col("want")
+    cuts = inner.groupBy("skey", "block", "want").agg(F.max(F.when(fits, F.col("h"))).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("upto"))
+    gaps = cuts.select("skey", F.col("block").alias("at_block"), "cut", (F.col("want") - F.col("upto")).alias("gap"))
+    df = df.join(gaps, "skey", "left").withColumn("kind", F.when((F.col("kind") == "part") & F.col("cut").isNull(), "none").otherwise(F.col("kind")))
+    # then later blocks that fit into what is missing, in the permuted order
+    could = (F.col("kind") == "none") & (F.col("words") <= F.col("gap")) & (F.col("block") != F.col("at_block"))
+    df = df.withColumn("upto", F.when(could, F.sum(F.when(could, F.col("words"))).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    df = df.withColumn("kind", F.when(F.col("upto") <= F.col("gap"), "fill").otherwise(F.col("kind")))
+    filled = F.max(F.when(F.col("kind") == "fill", F.col("upto"))).over(Window.partitionBy("skey"))
+    df = materialize(df.withColumn("gap", F.col("gap") - F.coalesce(filled, F.lit(0))).drop("upto"), "mix-cuts")
+    # and at last the one document left whose size is nearest to what is still missing
+    left = (F.col("kind") == "none") | ((F.col("block") == F.col("at_block")) & (F.col("h") > F.col("cut")))
+    rest = light.join(df.select("skey", "block", "kind", "gap", "at_block", "cut", "full").filter("gap > 0"), ["skey", "block"]).filter(left)
+    rest = rest.groupBy("skey", "block", "h", "gap", "full").agg(F.sum("size").alias("size"))
+    best = rest.groupBy("skey", "gap", "full").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "h", "block")).alias("b")).filter("b.miss < gap")
     n_draws = F.col("full") + F.when(F.col("kind") == "none", 0).otherwise(1)
-    draws = df.select("skey", "block", "cut", "full", "kind", F.explode(F.expr("sequence(0L, full)")).alias("pass"), ((F.col("rank") - 1) + F.col("n_blocks") * F.col("pass")).alias("at")).filter((F.col("pass") < F.col("full")) | (F.col("kind") != "none"))
-    leaves = split_tree(df.groupBy("skey").agg(F.sum(n_draws).alias("quota")), shards, seed)
+    whole = F.when(F.col("kind") == "part", F.col("cut"))
+    draws = df.select("skey", "block", whole.alias("cut"), "full", "kind", F.explode(F.expr("sequence(0L, full)")).alias("pass"), ((F.col("rank") - 1) + F.col("n_blocks") * F.col("pass")).alias("at")).filter((F.col("pass") < F.col("full")) | (F.col("kind") != "none"))
+    draws = draws.select("skey", "block", "full", "pass", "at", F.lit(None).cast("bigint").alias("first"), "cut")
+    draws = draws.unionByName(best.select("skey", "b.block", "full", F.col("full").alias("pass"), F.lit(1 << 62).alias("at"), F.col("b.h").alias("first"), F.col("b.h").alias("cut")))
+    quotas = df.select("skey", n_draws.alias("n")).unionByName(best.select("skey", F.lit(1).cast("bigint").alias("n"))).groupBy("skey").agg(F.sum("n").alias("quota"))
+    leaves = split_tree(quotas, shards, seed)
     run = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     places = leaves.filter("q > 0").withColumn("end", F.sum("q").over(run)).select("skey", "shard", F.explode(F.expr("sequence(end - q, end - 1)")).alias("nth"))
     # a source's draws are numbered without gaps: passes first, then the permuted order
     draws = draws.withColumn("nth", (F.row_number().over(Window.partitionBy("skey").orderBy("at")) - 1).cast("bigint"))
-    owned = draws.join(places, ["skey", "nth"]).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "shard", F.when(F.col("pass") == F.col("full"), F.col("cut")).alias("cut")))).alias("draws"))
-    owned = df.select("skey", "block", "source_size", "target").join(owned, ["skey", "block"], "left").withColumn("draws", F.expr("coalesce(draws, cast(array() as array<struct<pass:int,shard:int,cut:bigint>>))"))
+    in_part = F.col("pass") == F.col("full")
+    owned = draws.join(places, ["skey", "nth"]).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "shard", F.when(in_part, F.col("first")).alias("first"), F.when(in_part, F.col("cut")).alias("cut")))).alias("draws"))
+    owned = df.select("skey", "block", "source_size", "target").join(owned, ["skey", "block"], "left").withColumn("draws", F.expr("coalesce(draws, cast(array() as array<struct<pass:int,shard:int,first:bigint,cut:bigint>>))"))
     return Plan(sources, materialize(owned, "mix-plan"))
 
 
@@ -127,7 +146,7 @@ def planned(docs: DataFrame, made: Plan, blocks: int = BLOCKS, seed: int = SEED)
         side = F.broadcast(side)
     clash = [c for c in ("source_size", "target", "draws") if c in rows.columns]
     got = rows.drop(*clash).join(side, ["skey", "block"])
-    return got.withColumn("draws", F.expr("transform(filter(draws, d -> d.cut is null or h <= d.cut), d -> named_struct('pass', d.pass, 'shard', d.shard))"))
+    return got.withColumn("draws", F.expr("transform(filter(draws, d -> (d.first is null or h >= d.first) and (d.cut is null or h <= d.cut)), d -> named_struct('pass', d.pass, 'shard', d.shard))"))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:

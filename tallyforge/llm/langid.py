@@ -132,12 +132,15 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> list[tuple[str, str]]:
     """A bounded sample of labelled documents, the same on each run: by the hash of the id, documents of a liked length first.
 
-    Ids are ranked first (Spark keeps the first few of each language in every task), then their texts are fetched.
+    Ids are ranked first, then their texts are fetched.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_langs = max(1, rows.select("lang").distinct().count())
-    each = max(2, min(per_lang, most // n_langs))
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(2, min(per_lang, most // max(1, len(count))))
+    # of a language with many rows a share by the hash is enough, so that what is ranked stays bounded
+    share = F.coalesce(*(F.when(F.col("lang") == a, F.lit(8.0 * each / n)) for a, n in sorted(count.items()) if n > 8 * each), F.lit(2.0))
     ranked = rows.select("doc_id", "lang", F.length("text").between(*LIKED).alias("liked"), F.xxhash64("doc_id").alias("h"))
+    ranked = ranked.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     first = Window.partitionBy("lang").orderBy(F.desc("liked"), "h", "doc_id")
     ids = ranked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("doc_id").distinct()
     got = rows.join(F.broadcast(ids), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h")).limit(2 * most).collect()

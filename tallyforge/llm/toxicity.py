@@ -99,7 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) ->
     small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    # of a label with many rows a share by the hash is enough, so that what is ranked stays bounded
+    h = F.xxhash64("doc_id")
+    share = F.coalesce(*(F.when(F.col("y") == y, F.lit(1.5 * sizes[y] / n)) for y, n in total.items() if n > 1.5 * sizes[y]), F.lit(2.0))
+    ranked = known.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(h, "doc_id")))
     chosen = ranked.filter(F.col("rank") <= F.when(F.col("y") == 1, sizes[1]).otherwise(sizes[0])).select("doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

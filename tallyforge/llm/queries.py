@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, langid, mixing, pii, prefs, telephony, toxicity, warc
+from tallyforge.llm import bagminhash, decontam, langid, mixing, pii, prefs, telephony, toxicity, warc
 from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1, ["doc_id", "held_out"])
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("least_score")
 
@@ -47,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op6_pii, op7_preferences, op9_telephony, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op9_telephony, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE}

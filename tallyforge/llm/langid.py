@@ -183,3 +183,16 @@ def identify(docs: DataFrame, train: Column, keep: list[str]) -> DataFrame:
     return predict(docs, fit(sample(docs.filter(train))), keep)
 
 
+
+
+def known_only(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs whose text is in some language with a score of `least` or more; columns as they are."""
+    small_batches(docs.sparkSession)
+    shared = Sent(docs.sparkSession, model)
+
+    def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        if shared.value is not None:
+            good = _letters(data, offsets) & ((shared.value.scores(data, offsets).max(1) + 1) / 2 >= least)
+            yield rows.filter(pa.array(good))
+
+    return docs.mapInArrow(by_step(of, "text", 1 << 20), docs.schema)

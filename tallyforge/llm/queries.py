@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bagminhash, decontam, langid, mixing, pii, prefs, telephony, toxicity, warc
+from tallyforge.llm import bagminhash, decontam, grulm, langid, mixing, pii, prefs, telephony, toxicity, warc
 from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefs.masks_as_text(prefs.format_pairs(prefs.echo_pairs(table(spark, sf_dir, "conversations"))))
 
 
+def op8_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2)
+    return grulm.score(docs, fold("doc_id", 7) != 2, ["doc_id", "held_out"])
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op9_telephony, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE}

@@ -1,0 +1,55 @@
+"""Hashes that decide splits and choices: the same value on every run and in every engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _half(h: Column, start: int) -> Column:
+    return F.conv(F.substring(h, start, 16), 16, 10).cast("decimal(20,0)")
+
+
+def md5_bucket(text: Column, buckets: int = 10_000) -> Column:
+    """md5 of the text as one 128-bit number, modulo buckets: 2**64 modulo buckets times the upper half, plus the lower."""
+    h = F.md5(text.cast("binary"))
+    return F.pmod(F.pmod(_half(h, 1), F.lit(buckets)).cast("bigint") * F.lit(2**64 % buckets) + F.pmod(_half(h, 17), F.lit(buckets)).cast("bigint"), F.lit(buckets)).cast("int")
+
+
+#: Shares of the splits, in order.
+RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
+
+
+def parse_ratios(text: str) -> dict[str, float]:
+    """'70/15/15' or '80/20' (no validation split) to shares that add up to 1."""
+    parts = [float(x) for x in text.split("/")]
+    names = {2: ("train", "test"), 3: ("train", "val", "test")}.get(len(parts))
+    total = sum(parts)
+    if names is None or total <= 0:
+        raise ValueError(f"not a ratio: {text}")
+    return {n: p / total for n, p in zip(names, parts, strict=True)}
+
+
+def hash_split(ident: Column, ratios: dict[str, float] = RATIOS, seed: int = 42) -> Column:
+    """The split of an id, whatever other ids there are."""
+    if abs(sum(ratios.values()) - 1) > 0.001:
+        raise ValueError("split ratios must add up to 1")
+    share = md5_bucket(F.concat(F.lit(f"{seed}:"), ident)) / F.lit(10_000.0)
+    out, upper = None, 0.0
+    for name, ratio in ratios.items():
+        upper += ratio
+        out = F.when(share < upper, name) if out is None else out.when(share < upper, name)
+    return out.otherwise(list(ratios)[-1])
+
+
+def stratified_split(stratum: Column, ident: Column, ratios: dict[str, float] = RATIOS, seed: int = 42) -> Column:
+    """The split of an id within its stratum; shares are met on average, not exactly."""
+    return hash_split(F.concat_ws(":", stratum, ident), ratios, seed)
+
+
+def template_index(seed: int, a: Column, b: Column, label: Column, count: int) -> Column:
+    """The first 64 bits of a sha256 of the inputs, modulo count."""
+    if count <= 1:
+        return F.lit(0)
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), label, a.cast("string"), b.cast("string")), 256)
+    return F.pmod(F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(count)).cast("int")

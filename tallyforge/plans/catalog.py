@@ -1,4 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyforge.plans import digit_queries, stat_queries, text_queries
+from tallyforge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "digit_queries", "stat_queries", "text_queries"]

@@ -33,8 +33,8 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share aren't compared: over five standard errors below SIMILAR.
 HOPELESS = 0.6
-#: Pivots of a bucket in each later round.
-PIVOTS = 8
+#: Pivots of a bucket in each later round; a bucket of no more documents is done in one.
+PIVOTS = 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray):
@@ -49,7 +49,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray):
             there = n[short] > j
             own[there] = own[there] * U64(0xC2B2AE3D27D4EB4F) + w.hashes[w.first[short[there]] + j]
         h, doc = np.concatenate([h, mix(own ^ U64(0x5851F42D4C957F2D))]), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
+    # one sort key of both; what it leaves of the hash only orders equal shingles apart in one case in 2**44
+    order = np.argsort((doc.astype(U64) << U64(44)) | (h >> U64(20)))
     h, doc = h[order], doc[order]
     at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
     return doc[at], h[at], np.diff(np.append(at, len(h))), w
@@ -125,7 +126,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(by_step(of), f"doc_id {kind}, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary")
+    return picked.mapInArrow(by_step(of, most=6 << 20), f"doc_id {kind}, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary")
 
 
 def overlap(a: tuple, b: tuple, n: int) -> np.ndarray:
@@ -184,6 +185,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (doc_id, comp) after links (a, b) have joined components: only the components' own graph is searched."""
+    side = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
+    moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("doc_id").alias("comp"), F.col("comp").alias("to"))
+    return comp.join(moved, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp"))
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id and class_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -198,10 +206,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     texts = materialize(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = materialize(reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
     links = materialize(_verify(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), sigs, texts, least), "links")
-    comp = components(links)
+    comp = materialize(_merged(members.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), links), "comp")
     members = members.filter("doc_id <> pivot").select("band", "doc_id")  # without pivots: they have met all others
     while True:
-        known = members.join(comp, "doc_id", "left").select("band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+        known = members.join(comp, "doc_id")
         open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
         members = materialize(known.join(open_, "band"), "members")
         if members.isEmpty():
@@ -214,8 +222,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         pairs = members.join(pivots, "band").filter("comp <> own").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
         new = materialize(_verify(pairs, sigs, texts, least), "links")
         if not new.isEmpty():
-            links = links.union(new)
-            comp = components(links)
+            comp = materialize(_merged(comp, new), "comp")
         members = members.select("band", "doc_id").join(pivots.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti")
     out = named.join(copies, ["e1", "e2"], "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))

@@ -8,7 +8,8 @@ in order of time up to a bound of the document that, for most, fills all slots;
 with a larger one. The signature is exact either way, and of most shingles only the first point's time is looked at.
 
 Bands of ROWS slots propose pairs, the whole signature's estimate drops the hopeless, and the exact overlap of the
-multisets decides. Within a bucket not all pairs are made: all its documents meet one pivot; those that aren't yet in
+multisets decides. Within a bucket not all pairs are made: all its documents meet one pivot, the one of
+most company in all bands; those that aren't yet in
 one component then meet further pivots, until every two documents of a bucket are in one component or have been
 compared (of two documents of different components at least one has been a pivot). Components are the classes.
 
@@ -33,8 +34,12 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share aren't compared: over five standard errors below SIMILAR.
 HOPELESS = 0.6
-#: Pivots of a bucket in each later round; a bucket of no more documents is done in one.
-PIVOTS = 64
+#: Pivots of a bucket in each later round, and documents that meet them in one task; a bucket of no more documents is done in one round.
+PIVOTS, CHUNK = 256, 512
+#: Shared shingles that one vectorised step of such a meeting counts at once.
+COUNTED = 2 << 20
+#: Pairs whose ids (16 bytes a pair) may be broadcast.
+FEW = 200_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray):
@@ -161,12 +166,81 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float) -
                 yield part.select([0, 1]).filter(pa.array(score >= least))
 
     kind = pairs.schema["a"].dataType.simpleString()
+    sigs = _needed(sigs, pairs)
     signed = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
-    hopeful = signed.mapInArrow(alike, f"a {kind}, b {kind}")
+    hopeful = materialize(signed.mapInArrow(alike, f"a {kind}, b {kind}"), "hopeful")
+    texts = _needed(texts, hopeful)
     told = hopeful.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b")
     return told.mapInArrow(exact, f"a {kind}, b {kind}")
 
 
+def _needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of documents in pairs; without a shuffle of all rows if the ids are few, which is counted first."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return rows.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "doc_id", "left_semi")
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, token, size of each text): a shingle's k-th occurrence is a token of its own, so that sets overlap as multisets do."""
+    doc, sh, count, _ = shingles(*utf8(texts))
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), mix(np.repeat(sh, count) + nth.astype(U64)), np.bincount(doc, count, len(texts))
+
+
+def meet(pivots: pa.Array, others: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, other) of all pairs of texts of a similarity of `least` or more: exact overlaps by an index of the pivots' shingles."""
+    owner, token, size_p = _tokens(pivots)
+    order = np.argsort(token, kind="stable")
+    only, first = np.unique(token[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    owner = owner[order]
+    doc, token, size_o = _tokens(others)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    if not len(only) or not len(token):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(only, token), len(only) - 1)
+    hit = np.flatnonzero(only[at] == token)
+    doc, at = doc[hit], at[hit]
+    n = last[at] - first[at]
+    work = np.concatenate([[0], np.cumsum(n)])
+    edges = np.concatenate([np.searchsorted(doc, np.arange(len(size_o) + 1))])  # tokens of each text
+    i = 0
+    while i < len(size_o):
+        j = max(i + 1, int(np.searchsorted(work[edges], work[edges[i]] + COUNTED, "right")) - 1)
+        part = slice(edges[i], edges[j])
+        m = n[part]
+        place = np.repeat(first[at[part]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        both = np.bincount(np.repeat(doc[part] - i, m) * len(size_p) + owner[place], minlength=(j - i) * len(size_p)).reshape(j - i, -1)
+        total = size_o[i:j, None] + size_p[None, :] - both
+        x, y = np.nonzero((both > 0) & (both >= least * total))
+        out.append((y, x + i))
+        i = j
+    return np.concatenate([p for p, _ in out]), np.concatenate([o for _, o in out])
+
+
+def _meetings(members: DataFrame, pivots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between pivots (band, pivot, own) and the documents of other components in their buckets (band, doc_id, comp).
+    A bucket's documents are dealt to chunks by a hash, and its pivots, of which there are PIVOTS at most, go to each."""
+    small_batches(members.sparkSession)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    own = members.join(sizes, "band").select("band", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"), "doc_id", "comp")
+    each = pivots.join(sizes, "band").select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), F.col("pivot").alias("doc_id"), F.col("own").alias("comp"))
+    rows = own.unionByName(each).join(texts.select("doc_id", "text"), "doc_id").select("band", "chunk", "pivot", "doc_id", "comp", "text")
+
+    def link(table: pa.Table) -> pa.Table:
+        is_pivot = table.column("pivot").to_numpy()
+        p, o = table.filter(pa.array(is_pivot)), table.filter(pa.array(~is_pivot))
+        x, y = meet(p.column("text"), o.column("text"), least)
+        ids = [t.column("doc_id").combine_chunks() for t in (p, o)]
+        a, b = ids[0].take(pa.array(x)), ids[1].take(pa.array(y))
+        apart = pa.array(np.asarray(p.column("comp").combine_chunks().take(pa.array(x)).to_pylist(), object) != np.asarray(o.column("comp").combine_chunks().take(pa.array(y)).to_pylist(), object), pa.bool_())
+        return pa.table({"a": a.filter(apart), "b": b.filter(apart)})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("band", "chunk").applyInArrow(link, f"a {kind}, b {kind}").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to (doc_id, comp) of every document in one, comp the least id: alternating large and small stars
     until each edge leads to its component's least id. Each round is written to the shared folder."""
@@ -201,13 +275,19 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     copies = materialize(named.filter("n_words > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("rep")), "copies")
     reps = ids.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     in_band = reps.select("doc_id", F.explode("bands").alias("band"))
-    full = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1").select("band", "pivot")
+    full = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(in_band.join(full, "band"), "members")
+    # the first pivot of a bucket is its document of most company over all bands: of a text and its altered copies, the text
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = materialize(members.join(weight, "doc_id").select("band", "doc_id", "weight"), "members")
+    first = members.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot"))
+    members = materialize(members.join(first, "band"), "members")
     texts = materialize(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sigs = materialize(reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
-    links = materialize(_verify(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), sigs, texts, least), "links")
+    pairs = materialize(members.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    links = materialize(_verify(pairs, sigs, texts, least), "links")
     comp = materialize(_merged(members.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), links), "comp")
-    members = members.filter("doc_id <> pivot").select("band", "doc_id")  # without pivots: they have met all others
+    members = members.filter("doc_id <> pivot").select("band", "doc_id", "weight")  # without pivots: they have met all others
     while True:
         known = members.join(comp, "doc_id")
         open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
@@ -217,13 +297,12 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
         main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
         others = members.join(main, "band").filter("comp <> main")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
+        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
         pivots = materialize(others.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("band", F.col("doc_id").alias("pivot"), F.col("comp").alias("own")), "pivots")
-        pairs = members.join(pivots, "band").filter("comp <> own").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct()
-        new = materialize(_verify(pairs, sigs, texts, least), "links")
+        new = materialize(_meetings(members, pivots, texts, least), "links")
         if not new.isEmpty():
             comp = materialize(_merged(comp, new), "comp")
-        members = members.select("band", "doc_id").join(pivots.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti")
+        members = members.select("band", "doc_id", "weight").join(pivots.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti")
     out = named.join(copies, ["e1", "e2"], "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
     return out.unionByName(signed.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))

@@ -45,7 +45,7 @@ def test_toxicity(spark, docs, none):
     assert got[0][1] == 1 and got[1][1] == 0 and all(0 <= s <= 1 and p == (s >= 0.7) for s, p in got.values())
     assert got[100] == got[101]
     no_labels = labels.filter("doc_id > 1000")
-    assert {s for s, _ in by_id(toxicity.toxicity(docs, no_labels, F.lit(True), ["doc_id"]), "score", "predicted").values()} == pytest.approx({1e-9}, abs=1e-6)
+    assert all(s < 1e-6 for s, _ in by_id(toxicity.toxicity(docs, no_labels, F.lit(True), ["doc_id"]), "score", "predicted").values())
     assert toxicity.toxicity(none, labels, F.lit(True), ["doc_id"]).count() == 0
 
 
@@ -74,7 +74,7 @@ def test_decontamination(spark, docs, none):
 
 def test_pii(docs, none):
     got = by_id(pii.find(docs), "n_email", "spans")
-    assert got[100] == (0, "") and got[102] == (0, "") and len(got) == 45
+    assert got[100] == (0, "") and got[102] == (0, "") and len(got) == 46
     assert pii.find(none).count() == 0
     kept = pii.redact(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() and by_id(kept, "text")[100] is None

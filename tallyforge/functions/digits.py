@@ -135,8 +135,12 @@ def nearest_base(n: Column, bases) -> Column:
 def rank_costs(ot: Column, dd: Column, rc: Column, least_margin: float) -> Column:
     """(best, margin): the cheapest, null if the next one isn't least_margin dearer."""
     order = F.array_sort(F.array(*(F.struct(c.cast("double").alias("cost"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate((("OT", ot), ("DD", dd), ("RC", rc))))))
-    margin = F.element_at(order, 2)["cost"] - F.element_at(order, 1)["cost"]
-    return F.struct(F.when(margin >= least_margin, F.element_at(order, 1)["name"]).alias("target"), margin.alias("margin"))
+
+    def best(o: Column) -> Column:
+        margin = F.get(o, F.lit(1))["cost"] - F.get(o, F.lit(0))["cost"]
+        return F.struct(F.when(margin >= least_margin, F.get(o, F.lit(0))["name"]).alias("target"), margin.alias("margin"))
+
+    return F.get(F.transform(F.array(order), best), F.lit(0))  # the order is made once a row
 
 
 def applicability(a: Column, b: Column, bases: list[int] | None = None) -> Column:

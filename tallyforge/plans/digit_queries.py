@@ -11,7 +11,6 @@ from tallyforge.operators import statistics as S
 from tallyforge.plans import views as V
 from tallyforge.plans.registry import query
 
-A, B, P = F.col("a"), F.col("b"), F.col("product")
 _len = lambda x: f"length(cast(abs({x}) as varchar))"
 _tz = lambda x, zero=0: f"case when {x} = 0 then {zero} else length(regexp_extract(cast(abs({x}) as varchar), '0+$')) end"
 
@@ -25,28 +24,28 @@ def band_split_accuracy(spark, sf):
 
 @query("math01_digit_stats", f"with {V.PROBLEMS} select id, digit_total, nonzero_total, complexity_c, 'd' || digit_total || '_nz' || nonzero_total as stratum_id from problems")
 def digit_stats(spark, sf):
-    return V.problems(spark, sf).select("id", "digit_total", "nonzero_total", "complexity_c", D.stratum(A, B).alias("stratum_id"))
+    return V.problems(spark, sf).select("id", "digit_total", "nonzero_total", "complexity_c", D.stratum(F.col("a"), F.col("b")).alias("stratum_id"))
 
 
 @query("math02_pair_key", f"with {V.PROBLEMS} select least(a, b) || ':' || greatest(a, b) as pair_key, count(*) as n from problems group by 1")
 def pair_key(spark, sf):
-    return V.problems(spark, sf).groupBy(D.pair_key(A, B).alias("pair_key")).agg(F.count("*").alias("n"))
+    return V.problems(spark, sf).groupBy(D.pair_key(F.col("a"), F.col("b")).alias("pair_key")).agg(F.count("*").alias("n"))
 
 
 @query("math03_digit_length", f"with {V.PROBLEMS} select {_len('a')} as digits_a, {_len('b')} as digits_b, count(*) as n, max(greatest({_len('a')}, {_len('b')})) as most from problems group by 1, 2")
 def digit_length(spark, sf):
-    return V.problems(spark, sf).groupBy(D.length(A).alias("digits_a"), D.length(B).alias("digits_b")).agg(F.count("*").alias("n"), F.max(F.greatest(D.length(A), D.length(B))).alias("most"))
+    return V.problems(spark, sf).groupBy(D.length(F.col("a")).alias("digits_a"), D.length(F.col("b")).alias("digits_b")).agg(F.count("*").alias("n"), F.max(F.greatest(D.length(F.col("a")), D.length(F.col("b")))).alias("most"))
 
 
 @query("math04_trailing_zeros", f"with {V.PROBLEMS} select id, {_tz('a')} as tz_a, {_tz('b', 1)} as tz_b, {_tz('(a % 10)')} as tz_digit, {_tz('(a % 10)', 1)} as tz_digit_client from problems")
 def trailing_zeros(spark, sf):
-    return V.problems(spark, sf).select("id", D.trailing_zeros(A).alias("tz_a"), D.trailing_zeros(B, 1).alias("tz_b"), D.trailing_zeros(A % 10).alias("tz_digit"), D.trailing_zeros(A % 10, 1).alias("tz_digit_client"))
+    return V.problems(spark, sf).select("id", D.trailing_zeros(F.col("a")).alias("tz_a"), D.trailing_zeros(F.col("b"), 1).alias("tz_b"), D.trailing_zeros(F.col("a") % 10).alias("tz_digit"), D.trailing_zeros(F.col("a") % 10, 1).alias("tz_digit_client"))
 
 
 @query("math05_place_values", f"""with {V.PROBLEMS} select id, array_to_string(list_filter(list_transform(range(0, {_len('a')}), lambda i: ((a // cast(pow(10, i) as bigint)) % 10) * cast(pow(10, i) as bigint)), lambda x: x <> 0), ',') as terms,
     {V.s_nonzero('a')} as n_terms from problems""")
 def place_values(spark, sf):
-    return V.problems(spark, sf).select("id", F.array_join(D.place_values(A).cast("array<string>"), ",").alias("terms"), D.nonzero(A).alias("n_terms"))
+    return V.problems(spark, sf).select("id", F.array_join(D.place_values(F.col("a")).cast("array<string>"), ",").alias("terms"), D.nonzero(F.col("a")).alias("n_terms"))
 
 
 _CARRY = f"cast(list_sum(list_transform({V.s_digits('a')}, lambda x: len(list_filter({V.s_digits('b')}, lambda y: x * y >= 10)))) as int)"
@@ -70,19 +69,19 @@ _RC = f"""list_min(list_transform({_BASES}, lambda t: 1.0::double + case when a
 
 @query("math06_carry_pairs", f"with {V.PROBLEMS} select id, {_CARRY} as carry_pairs from problems")
 def carry_pairs(spark, sf):
-    return V.problems(spark, sf).select("id", D.carry_pairs(A, B).alias("carry_pairs"))
+    return V.problems(spark, sf).select("id", D.carry_pairs(F.col("a"), F.col("b")).alias("carry_pairs"))
 
 
 @query("math07_10_costs", f"with {V.PROBLEMS} select id, round({_OT}, 9) as ot, round({_DD}, 9) as dd, round({_RC}, 9) as rc from problems")
 def costs(spark, sf):
-    return V.problems(spark, sf).select("id", F.round(D.ot_cost(A, B), 9).alias("ot"), F.round(D.dd_cost(A, B), 9).alias("dd"), F.round(D.rc_cost(A, B), 9).alias("rc"))
+    return V.problems(spark, sf).select("id", F.round(D.ot_cost(F.col("a"), F.col("b")), 9).alias("ot"), F.round(D.dd_cost(F.col("a"), F.col("b")), 9).alias("dd"), F.round(D.rc_cost(F.col("a"), F.col("b")), 9).alias("rc"))
 
 
 @query("win01_target_by_cost", f"""with {V.PROBLEMS}, c as (select id, {_OT} as ot, {_DD} as dd, {_RC} as rc from problems), r as (
     select id, list_sort([{{'cost': ot, 'i': 0, 'n': 'OT'}}, {{'cost': dd, 'i': 1, 'n': 'DD'}}, {{'cost': rc, 'i': 2, 'n': 'RC'}}]) as o from c)
     select case when o[2].cost - o[1].cost >= 0.75 then o[1].n end as target, count(*) as n, round(avg(o[2].cost - o[1].cost), 6) as mean_margin from r group by 1""")
 def target_by_cost(spark, sf):
-    rows = V.problems(spark, sf).select(D.ot_cost(A, B).alias("ot"), D.dd_cost(A, B).alias("dd"), D.rc_cost(A, B).alias("rc")).select(D.rank_costs(F.col("ot"), F.col("dd"), F.col("rc"), 0.75).alias("r"))
+    rows = V.problems(spark, sf).select(D.ot_cost(F.col("a"), F.col("b")).alias("ot"), D.dd_cost(F.col("a"), F.col("b")).alias("dd"), D.rc_cost(F.col("a"), F.col("b")).alias("rc")).select(D.rank_costs(F.col("ot"), F.col("dd"), F.col("rc"), 0.75).alias("r"))
     return rows.groupBy("r.target").agg(F.count("*").alias("n"), F.round(F.avg("r.margin"), 6).alias("mean_margin"))
 
 
@@ -98,12 +97,12 @@ def _near_sql(n: str) -> str:
     select id, round(cast(case when carry >= 0.5 then greatest(case when rc < 0.5 and dd < 0.5 then 0.8 else 0.45 end, 0.7) else case when rc < 0.5 and dd < 0.5 then 0.8 else 0.45 end end as double), 6) as ot,
       round(cast(dd as double), 6) as dd, round(cast(rc as double), 6) as rc from w""")
 def applicability(spark, sf):
-    return V.problems(spark, sf).select("id", D.applicability(A, B).alias("s")).select("id", F.round("s.ot", 6).alias("ot"), F.round("s.dd", 6).alias("dd"), F.round("s.rc", 6).alias("rc"))
+    return V.problems(spark, sf).select("id", D.applicability(F.col("a"), F.col("b")).alias("s")).select("id", F.round("s.ot", 6).alias("ot"), F.round("s.dd", 6).alias("dd"), F.round("s.rc", 6).alias("rc"))
 
 
 @query("math13_no_carry", f"with {V.PROBLEMS} select id, {V.s_nocarry('a', 'b')} as no_carry from problems")
 def no_carry(spark, sf):
-    return V.problems(spark, sf).select("id", D.no_carry_product(A, B).alias("no_carry"))
+    return V.problems(spark, sf).select("id", D.no_carry_product(F.col("a"), F.col("b")).alias("no_carry"))
 
 
 def _ratio_sql(x: str, y: str) -> str:
@@ -125,12 +124,12 @@ _KIND = lambda m: f"""case when {m} is null then 'unknown' when {m} = product th
 
 @query("math14_power_of_ten_ratio", f"with {V.OUTPUTS} select id, coalesce({_ratio_sql('model_answer', 'product')}, false) as is_ratio from outputs")
 def power_of_ten_ratio(spark, sf):
-    return V.outputs(spark, sf).select("id", F.coalesce(D.power_of_ten_ratio(F.col("model_answer"), P.cast(D.BIG)), F.lit(False)).alias("is_ratio"))
+    return V.outputs(spark, sf).select("id", F.coalesce(D.power_of_ten_ratio(F.col("model_answer"), F.col("product").cast(D.BIG)), F.lit(False)).alias("is_ratio"))
 
 
 @query("math15_16_error_taxonomy", f"with {V.OUTPUTS} select id, {_KIND('model_answer')} as kind from outputs")
 def error_taxonomy(spark, sf):
-    return V.outputs(spark, sf).select("id", D.error_taxonomy(A, B, F.col("model_answer")).alias("kind"))
+    return V.outputs(spark, sf).select("id", D.error_taxonomy(F.col("a"), F.col("b"), F.col("model_answer")).alias("kind"))
 
 
 def _shape_sql() -> str:
@@ -147,20 +146,20 @@ def _shape_sql() -> str:
 
 @query("math17_error_shape", _shape_sql())
 def error_shape(spark, sf):
-    return V.outputs(spark, sf).filter("model_answer is not null").select("id", D.error_shape(A, B, F.col("model_answer")).alias("s")).select("id", "s.label", "s.confidence")
+    return V.outputs(spark, sf).filter("model_answer is not null").select("id", D.error_shape(F.col("a"), F.col("b"), F.col("model_answer")).alias("s")).select("id", "s.label", "s.confidence")
 
 
 @query("math18_nearby_wrong", f"""with {V.PROBLEMS}, x as (select id, product, cast(pow(10, case when product % 10 = 0 then {_tz('product', 1)} else 0 end) as bigint) as step from problems)
     select id, case when product - step >= 0 and length(cast(product - step as varchar)) = length(cast(product as varchar)) then product - step else product + step end as wrong from x""")
 def nearby_wrong(spark, sf):
-    return V.problems(spark, sf).select("id", D.nearby_wrong(P).alias("wrong"))
+    return V.problems(spark, sf).select("id", D.nearby_wrong(F.col("product")).alias("wrong"))
 
 
 @query("math19_features", f"""with {V.PROBLEMS} select id, {' or '.join(f'abs({n} - {x}) <= 2' for n in 'ab' for x in D.NEAR_BASES)} as near_base, a % 10 = 0 or b % 10 = 0 as zero_factor,
     a % 10 as a_ones, (a // 10) % 10 as a_tens, b % 10 as b_ones, (b // 10) % 10 as b_tens from problems""")
 def features(spark, sf):
     tens = lambda n: F.floor(n / 10).cast("bigint") % 10
-    return V.problems(spark, sf).select("id", (D.near_round(A) | D.near_round(B)).alias("near_base"), ((A % 10 == 0) | (B % 10 == 0)).alias("zero_factor"), (A % 10).alias("a_ones"), tens(A).alias("a_tens"), (B % 10).alias("b_ones"), tens(B).alias("b_tens"))
+    return V.problems(spark, sf).select("id", (D.near_round(F.col("a")) | D.near_round(F.col("b"))).alias("near_base"), ((F.col("a") % 10 == 0) | (F.col("b") % 10 == 0)).alias("zero_factor"), (F.col("a") % 10).alias("a_ones"), tens(F.col("a")).alias("a_tens"), (F.col("b") % 10).alias("b_ones"), tens(F.col("b")).alias("b_tens"))
 
 
 @query("math21_warmup", """with s as (select o_orderkey as k, o_orderkey % 3000 as total, o_custkey % 120 as step from orders), w as (select *, case when total <= 0 then 0 else least(greatest(floor(total * 0.05::double), 10), 100, total) end as warm from s)
@@ -187,7 +186,7 @@ def band(spark, sf):
 
 @query("prj18_19_plausible", f"with {V.OUTPUTS} select id, coalesce(model_answer between greatest(1, product // 10) and cast(product as decimal(38,0)) * 10, false) as plausible, length(cast(a as varchar)) between 2 and 9 as in_range, complexity_c between 12 and 324 as in_band from outputs")
 def plausible(spark, sf):
-    return V.outputs(spark, sf).select("id", D.plausible(F.col("model_answer"), A, B).alias("plausible"), D.length(A).between(2, 9).alias("in_range"), F.col("complexity_c").between(12, 324).alias("in_band"))
+    return V.outputs(spark, sf).select("id", D.plausible(F.col("model_answer"), F.col("a"), F.col("b")).alias("plausible"), D.length(F.col("a")).between(2, 9).alias("in_range"), F.col("complexity_c").between(12, 324).alias("in_band"))
 
 
 @query("str01_hash_split", f"with {V.PROBLEMS} select split, count(*) as n from problems group by split")
@@ -197,9 +196,9 @@ def hash_split(spark, sf):
 
 @query("str02_stratified_split", f"with {V.PROBLEMS} select id, {V.s_split(chr(39) + 'd' + chr(39) + ' || digit_total || ' + chr(39) + '_nz' + chr(39) + ' || nonzero_total || ' + chr(39) + ':' + chr(39) + ' || id')} as split from problems".replace("('42:' || 'd'", "('42:' || 'd'"))
 def stratified_split(spark, sf):
-    return V.problems(spark, sf).select("id", H.stratified_split(D.stratum(A, B), F.col("id")).alias("split"))
+    return V.problems(spark, sf).select("id", H.stratified_split(D.stratum(F.col("a"), F.col("b")), F.col("id")).alias("split"))
 
 
 @query("str04_template_index", f"with {V.PROBLEMS} select id, cast(('0x' || substr(sha256('42|DD|' || a || '|' || b), 1, 16))::UBIGINT % 4 as int) as template from problems")
 def template_index(spark, sf):
-    return V.problems(spark, sf).select("id", H.template_index(42, A, B, F.lit("DD"), 4).alias("template"))
+    return V.problems(spark, sf).select("id", H.template_index(42, F.col("a"), F.col("b"), F.lit("DD"), 4).alias("template"))

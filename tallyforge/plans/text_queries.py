@@ -11,7 +11,6 @@ from tallyforge.plans import views as V
 from tallyforge.plans.registry import query
 
 TRACES = V.s_traces()
-A, B = F.col("a"), F.col("b")
 
 
 def _q(s: str) -> str:
@@ -53,12 +52,12 @@ def trace_normaliser(spark, sf):
 
 @query("str17_prompt_strip", f"with {TRACES} select id, md5(substr(trace, length('What is ' || a || ' × ' || b || '?') + 2)) as rest_md5 from traces")
 def prompt_strip(spark, sf):
-    return V.traces(spark, sf).select("id", F.md5(T.strip_prompt(T.prompt(A, B), F.col("trace")).cast("binary")).alias("rest_md5"))
+    return V.traces(spark, sf).select("id", F.md5(T.strip_prompt(T.prompt(F.col("a"), F.col("b")), F.col("trace")).cast("binary")).alias("rest_md5"))
 
 
 @query("str21_prompt", f"with {V.PROBLEMS} select id, 'What is ' || a || ' × ' || b || '?' as prompt from problems")
 def prompt(spark, sf):
-    return V.problems(spark, sf).select("id", T.prompt(A, B).alias("prompt"))
+    return V.problems(spark, sf).select("id", T.prompt(F.col("a"), F.col("b")).alias("prompt"))
 
 
 _FORMS = (
@@ -72,7 +71,7 @@ def _answers(spark, sf):
     rows = V.outputs(spark, sf).filter("model_answer is not null").withColumn("form", V.draw("f", F.col("id"), len(_FORMS)))
     m = F.col("model_answer").cast("string")
     body = F.coalesce(*(F.when(F.col("form") == i, F.replace(F.lit(f), F.lit("%d"), m)) for i, (f, _) in enumerate(_FORMS)))
-    head = F.when(V.draw("g", F.col("id"), 9) == 0, F.lit("Well. ")).otherwise(F.concat(A.cast("string"), F.lit(" by "), B.cast("string"), F.lit(". ")))
+    head = F.when(V.draw("g", F.col("id"), 9) == 0, F.lit("Well. ")).otherwise(F.concat(F.col("a").cast("string"), F.lit(" by "), F.col("b").cast("string"), F.lit(". ")))
     return rows.withColumn("said", F.concat(head, body))
 
 
@@ -103,7 +102,7 @@ def _extract_sql() -> str:
 
 @query("str09_12_answer_extraction", _extract_sql())
 def answer_extraction(spark, sf):
-    rows = _answers(spark, sf).select("id", T.extract_answer(F.col("said"), A, B, exact=True).alias("e"))
+    rows = _answers(spark, sf).select("id", T.extract_answer(F.col("said"), F.col("a"), F.col("b"), exact=True).alias("e"))
     return rows.select("id", "e.answer", "e.strategy", F.round("e.confidence", 6).alias("confidence"), "e.truncated", "e.contaminated")
 
 
@@ -114,7 +113,7 @@ def truncation(spark, sf):
 
 @query("str13_confident", None)
 def confident(spark, sf):
-    e = _answers(spark, sf).select(T.extract_answer(F.col("said"), A, B).alias("e"))
+    e = _answers(spark, sf).select(T.extract_answer(F.col("said"), F.col("a"), F.col("b")).alias("e"))
     sure = (F.col("e.confidence") >= 0.7) & ~F.col("e.contaminated")
     return e.groupBy("e.strategy").agg(F.count("*").alias("n"), F.count_if(sure).alias("confident"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import by_step, materialize, small_batches, utf8
+from tallyforge.llm.shared import by_step, known_few, materialize, small_batches, utf8
 from tallyforge.llm.textvec import PLAIN, U64, mix, powers, runs, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -36,6 +36,8 @@ SLOTS = BANDS * ROWS
 HOPELESS = 0.6
 #: Pivots of a bucket in each later round, and documents that meet them in one task; a bucket of no more documents is done in one round.
 PIVOTS, CHUNK = 256, 512
+#: Documents of a bucket up to which its pairs are rows.
+SMALL = 32
 #: Shared shingles that one vectorised step of such a meeting counts at once.
 COUNTED = 2 << 20
 #: Pairs whose ids (16 bytes a pair) may be broadcast.
@@ -219,13 +221,12 @@ def meet(pivots: pa.Array, others: pa.Array, least: float) -> tuple[np.ndarray,
 
 
 def _meetings(members: DataFrame, pivots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between pivots (band, pivot, own) and the documents of other components in their buckets (band, doc_id, comp).
+    """Links (a, b) between pivots (band, pivot, own, n) and the documents of other components in their buckets (band, doc_id, comp, n).
     A bucket's documents are dealt to chunks by a hash, and its pivots, of which there are PIVOTS at most, go to each."""
     small_batches(members.sparkSession)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    own = members.join(sizes, "band").select("band", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"), "doc_id", "comp")
-    each = pivots.join(sizes, "band").select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), F.col("pivot").alias("doc_id"), F.col("own").alias("comp"))
+    own = members.select("band", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"), "doc_id", "comp")
+    each = pivots.select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), F.col("pivot").alias("doc_id"), F.col("own").alias("comp"))
     rows = own.unionByName(each).join(texts.select("doc_id", "text"), "doc_id").select("band", "chunk", "pivot", "doc_id", "comp", "text")
 
     def link(table: pa.Table) -> pa.Table:
@@ -282,24 +283,32 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     members = materialize(members.join(weight, "doc_id").select("band", "doc_id", "weight"), "members")
     first = members.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot"))
     members = materialize(members.join(first, "band"), "members")
-    texts = materialize(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sigs = materialize(reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
+    wanted = known_few(materialize(members.select("doc_id").distinct(), "wanted"))
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sigs = materialize(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
     pairs = materialize(members.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
     links = materialize(_verify(pairs, sigs, texts, least), "links")
     comp = materialize(_merged(members.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), links), "comp")
     members = members.filter("doc_id <> pivot").select("band", "doc_id", "weight")  # without pivots: they have met all others
     while True:
         known = members.join(comp, "doc_id")
-        open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
+        open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("band", "n")
         members = materialize(known.join(open_, "band"), "members")
         if members.isEmpty():
             break
-        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("m"))
+        main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
         others = members.join(main, "band").filter("comp <> main")
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
-        pivots = materialize(others.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("band", F.col("doc_id").alias("pivot"), F.col("comp").alias("own")), "pivots")
-        new = materialize(_meetings(members, pivots, texts, least), "links")
+        pivots = materialize(others.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("band", F.col("doc_id").alias("pivot"), F.col("comp").alias("own"), "n"), "pivots")
+        # small buckets by pairs, which signatures thin out; large ones by meetings, which make no rows of pairs
+        small = F.col("n") <= SMALL
+        pairs = materialize(members.filter(small).join(pivots.drop("n"), "band").filter("comp <> own").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
+        found = _verify(pairs, sigs, texts, least)
+        large = pivots.filter(~small)
+        if not large.isEmpty():
+            found = found.union(_meetings(members.filter(~small), large, texts, least))
+        new = materialize(found, "links")
         if not new.isEmpty():
             comp = materialize(_merged(comp, new), "comp")
         members = members.select("band", "doc_id", "weight").join(pivots.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti")
@@ -311,9 +320,12 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """docs with one document of each class: that which names it. Rows with a null doc_id stay."""
     of = materialize(classes(docs, least), "classes")
-    kept = of.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.filter("n > 1").isEmpty():  # repeated rows
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    gone = materialize(of.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    out = docs.join(known_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = of.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    # of repeated rows one stays; all of their text is equal, or they would be told apart by their ids
+    again = materialize(repeated.select("doc_id"), "repeated")
+    one = out.join(known_few(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return out.join(known_few(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one)

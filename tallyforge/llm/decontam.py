@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Sent, by_step, small_batches
+from tallyforge.llm.shared import Sent, by_step, known_few, materialize, small_batches
 from tallyforge.llm.textvec import PLAIN, U64, Members, mix, runs, word_hash, words
 
 MIN_MATCH, THRESHOLD = 4, 0.5
@@ -154,4 +154,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no item is found in; a null doc_id is never found and stays."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(contaminated(docs, benchmark, **how).filter("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(known_few(found), "doc_id", "left_anti").select(*docs.columns)

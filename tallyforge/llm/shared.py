@@ -46,6 +46,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (some 32 bytes each in a hash table) that may be broadcast; a join of more of them is left to Spark's shuffle.
+FEW_IDS = 500_000
+
+
+def known_few(ids: DataFrame, most: int = FEW_IDS) -> DataFrame:
+    """ids, a materialized table, to be broadcast if a count shows that they are few."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,6 +1,6 @@
 """The registered queries of the library and their SQL."""
 
-from tallyforge.plans import digit_queries, stat_queries, table_queries, text_queries
+from tallyforge.plans import digit_queries, stat_queries, table_queries, template_queries, text_queries
 from tallyforge.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "digit_queries", "stat_queries", "table_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "digit_queries", "stat_queries", "table_queries", "template_queries", "text_queries"]

@@ -34,7 +34,7 @@ def grid(spark, sf):
 
 @query("gen11_hds")
 def hds(spark, sf):
-    return G.hds(spark, 300, pool=20_000)
+    return G.hds(spark, 300, pool=6_000)
 
 
 @query("gen12_traps")

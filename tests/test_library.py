@@ -216,3 +216,12 @@ def test_best_epoch(spark):
     log = spark.createDataFrame([("r", i, v) for i, v in enumerate([3.0, 2.0, 2.5, 2.6, 1.0])], "run string, epoch int, val_loss double")
     got = [(r["best"], r["is_best"], r["stopped"]) for r in analysis.best_epoch(log).orderBy("epoch").collect()]
     assert got == [(3.0, True, False), (2.0, True, False), (2.0, False, False), (2.0, False, False), (1.0, True, True)]
+
+
+def test_template_audit(spark):
+    from tallyforge.functions import templates
+
+    assert templates.audit(templates.bank(spark)).count() == 0
+    bad = spark.createDataFrame([("OT", 0, "Column method"), ("OT", 1, "column-method!"), ("DD", 0, "Round the base in many many words that make this one far longer than all of the others")], "label string, nth int, text string")
+    assert {(r["kind"], r["label"]) for r in templates.audit(bad).collect()} == {("double", "OT"), ("missing", "DD"), ("leaked", "DD"), ("spread", None)}
+    assert len(templates.bank_hash()) == 16

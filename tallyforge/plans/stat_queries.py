@@ -189,11 +189,11 @@ def token_loss(spark, sf):
 
 
 def _log(spark, sf):
-    o = V.table(spark, sf, "orders").select((F.col("o_orderkey") % 97).alias("run"), F.floor(F.col("o_orderkey") / 97).alias("epoch"), F.col("o_totalprice").alias("val_loss")).filter("epoch < 12")
+    o = V.table(spark, sf, "orders").select((F.col("o_orderkey") % 97).alias("run"), (F.floor(F.col("o_orderkey") / 97) % 12).alias("epoch"), F.col("o_totalprice").alias("val_loss"))
     return o.groupBy("run", "epoch").agg(F.min("val_loss").alias("val_loss"))
 
 
-@query("agg21_best_epoch", """with l as (select o_orderkey % 97 as run, o_orderkey // 97 as epoch, min(o_totalprice) as val_loss from orders where o_orderkey // 97 < 12 group by 1, 2),
+@query("agg21_best_epoch", """with l as (select o_orderkey % 97 as run, (o_orderkey // 97) % 12 as epoch, min(o_totalprice) as val_loss from orders group by 1, 2),
     b as (select *, min(val_loss) over (partition by run order by epoch rows between unbounded preceding and 1 preceding) as before, min(val_loss) over (partition by run order by epoch) as best from l),
     n as (select *, before is null or val_loss < before as is_best from b), t as (select *, max(case when is_best then epoch end) over (partition by run order by epoch rows unbounded preceding) as lb from n),
     s as (select *, min(case when epoch - lb >= 2 then epoch end) over (partition by run) as stop from t) select run, epoch, val_loss, best, is_best, coalesce(epoch > stop, false) as stopped from s""")
@@ -257,12 +257,12 @@ def modulo(spark, sf):
 
 def _train(spark, sf):
     """Problems asked for again, the factors the other way round for every second."""
-    p = V.problems(spark, sf).filter("split = 'train' or k % 5 = 0")
+    p = V.problems(spark, sf)
     swap = F.col("k") % 2 == 0
     return p.select("id", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
-_LEAK = f"""{V.PROBLEMS}, tr as (select id, case when k % 2 = 0 then b else a end as a, case when k % 2 = 0 then a else b end as b from problems where split = 'train' or k % 5 = 0),
+_LEAK = f"""{V.PROBLEMS}, tr as (select id, case when k % 2 = 0 then b else a end as a, case when k % 2 = 0 then a else b end as b from problems),
     ex as (select distinct least(a, b) as lo, greatest(a, b) as hi from problems where split = 'test' and a <> 0 and b <> 0)"""
 
 
@@ -276,20 +276,20 @@ def leakage_semi(spark, sf):
     return J.leaks(_train(spark, sf), V.problems(spark, sf).filter("split = 'test'"))
 
 
-@query("join03_evaluated", f"""with {V.PROBLEMS}, i as (select id from problems where k % 3 = 0 union select id from problems where split = 'test') select count(*) as count, round(avg(cast(complexity_c as double)), 1) as mean_c from problems where id in (select id from i)""")
+@query("join03_evaluated", f"""with {V.PROBLEMS}, i as (select id from problems where split = 'val' union select id from problems where split = 'test') select count(*) as count, round(avg(cast(complexity_c as double)), 1) as mean_c from problems where id in (select id from i)""")
 def evaluated(spark, sf):
     p = V.problems(spark, sf)
-    return J.evaluated(p, p.filter("k % 3 = 0"), p.filter("split = 'test'"))
+    return J.evaluated(p, p.filter("split = 'val'"), p.filter("split = 'test'"))
 
 
 
 
-@query("join04_05_modalities", f"""with {PROBED}, vv as (select id, k, lora, {V.s_one_of((*V.LABELS, 'UNKNOWN'), V.s_draw('d', "lora || '|' || id", 4))} as ld from problems cross join (select unnest({list(V.ADAPTERS)}) as lora)),
-    im as (select id, ld, row_number() over (partition by id order by lora desc) as rn from vv where k % 4 <> 1)
+@query("join04_05_modalities", f"""with {PROBED}, vv as (select id, split, lora, {V.s_one_of((*V.LABELS, 'UNKNOWN'), V.s_draw('d', "lora || '|' || id", 4))} as ld from problems cross join (select unnest({list(V.ADAPTERS)}) as lora)),
+    im as (select id, ld, row_number() over (partition by id order by lora desc) as rn from vv where split <> 'val')
     select p.id, p.detected, im.ld as image_detected, p.detected <> im.ld as flip from probed p join im on im.id = p.id and im.rn = 1""")
 def modalities(spark, sf):
     ord_ = F.array_position(F.array(*(F.lit(x) for x in V.ADAPTERS)), F.col("lora"))
-    image = V.variants(spark, sf).filter("k % 4 <> 1").select("id", F.col("lora_detected").alias("detected"), ord_.alias("ord"))
+    image = V.variants(spark, sf).filter("split <> 'val'").select("id", F.col("lora_detected").alias("detected"), ord_.alias("ord"))
     return J.modality_flips(probed(spark, sf), image)
 
 
@@ -316,10 +316,10 @@ def alignment(spark, sf):
     return J.alignment(p.filter("split = 'train'"), p.filter("split = 'test'"), "key")
 
 
-@query("win11_union_ids", f"with {V.PROBLEMS} select id from problems where split = 'test' union select id from problems where k % 7 = 0")
+@query("win11_union_ids", f"with {V.PROBLEMS} select id from problems where split = 'test' union select id from problems where design_family = 'DD'")
 def union_ids(spark, sf):
     p = V.problems(spark, sf)
-    return p.filter("split = 'test'").select("id").union(p.filter("k % 7 = 0").select("id")).distinct()
+    return p.filter("split = 'test'").select("id").union(p.filter("design_family = 'DD'").select("id")).distinct()
 
 
 # ---------------------------------------------------------------- selection
@@ -410,14 +410,16 @@ def vote(spark, sf):
 
 
 def _adapters(spark, sf):
-    """The first vectors of each label as adapters' weights: a seeded twin for every second."""
-    e = V.table(spark, sf, "embeddings").filter("vec_id < 12")
-    name = F.concat(F.get(F.array(*(F.lit(x) for x in ("DD", "OT", "RC"))), (F.col("vec_id") % 3).cast("int")), F.when(F.col("vec_id") >= 3, F.concat(F.lit("_SEED"), F.col("vec_id"))).otherwise(""))
-    return e.select(name.alias("name"), F.posexplode("embedding").alias("key", "value"))
+    """All vectors as the weights of twelve adapters, three plain and nine seeded."""
+    n = (F.col("vec_id") % 12).cast("int")
+    name = F.concat(F.get(F.array(*(F.lit(x) for x in ("DD", "OT", "RC"))), n % 3), F.when(n >= 3, F.concat(F.lit("_SEED"), n)).otherwise(""))
+    e = V.table(spark, sf, "embeddings").select(name.alias("name"), F.floor(F.col("vec_id") / 12).alias("g"), F.posexplode("embedding").alias("pos", "value"))
+    return e.select("name", (F.col("g") * 64 + F.col("pos")).alias("key"), "value")
 
 
-_ADAPT = """ad as (select ['DD', 'OT', 'RC'][1 + vec_id % 3] || case when vec_id >= 3 then '_SEED' || vec_id else '' end as name, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 as key from embeddings where vec_id < 12),
-    cs as (select x.name as name_1, y.name as name_2, sum(x.value * y.value) / (sqrt(sum(x.value * x.value)) * sqrt(sum(y.value * y.value))) as cosine from ad x join ad y on x.key = y.key and x.name < y.name group by 1, 2)"""
+_ADAPT = """ad as (select ['DD', 'OT', 'RC'][1 + (vec_id % 12) % 3] || case when vec_id % 12 >= 3 then '_SEED' || (vec_id % 12) else '' end as name, unnest(embedding)::double as value, (vec_id // 12) * 64 + generate_subscripts(embedding, 1) - 1 as key from embeddings),
+    nr as (select name, sqrt(sum(value * value)) as norm from ad group by 1), dt as (select x.name as name_1, y.name as name_2, sum(x.value * y.value) as d from ad x join ad y on x.key = y.key and x.name < y.name group by 1, 2),
+    cs as (select name_1, name_2, d / (n1.norm * n2.norm) as cosine from dt join nr n1 on n1.name = name_1 join nr n2 on n2.name = name_2)"""
 
 
 @query("stat10_join11_cosines", f"with {_ADAPT} select name_1, name_2, cosine from cs")
@@ -447,14 +449,14 @@ def matrix(spark, sf):
     return M.matrix(M.cosines(_adapters(spark, sf)), ["DD", "OT", "RC"])
 
 
-_FACT = """ad as (select 'v' || vec_id as name, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 as key from embeddings where vec_id < 6),
-    fa as (select name, key % 4 as r, key // 4 as i, value from ad where key < 32), fb as (select name, (key - 32) // 4 as o, (key - 32) % 4 as r, value from ad where key >= 32),
+_FACT = """ad as (select 'v' || (vec_id % 6) as name, vec_id // 6 as g, unnest(embedding)::double as value, generate_subscripts(embedding, 1) - 1 as key from embeddings),
+    fa as (select name, key % 4 as r, g * 8 + key // 4 as i, value from ad where key < 32), fb as (select name, g * 8 + (key - 32) // 4 as o, (key - 32) % 4 as r, value from ad where key >= 32),
     up as (select fb.name, o, i, sum(fb.value * fa.value) as w from fb join fa on fa.name = fb.name and fa.r = fb.r group by 1, 2, 3)"""
 
 
 @query("stat11_update_inner", f"with {_FACT} select x.name as name_1, y.name as name_2, sum(x.w * y.w) as inner_product from up x join up y on x.o = y.o and x.i = y.i and x.name <= y.name group by 1, 2")
 def update_inner(spark, sf):
-    ad = V.table(spark, sf, "embeddings").filter("vec_id < 6").select(F.concat(F.lit("v"), F.col("vec_id")).alias("name"), F.posexplode("embedding").alias("key", "x")).withColumn("value", F.col("x").cast("double"))
-    a = ad.filter("key < 32").select("name", (F.col("key") % 4).alias("r"), F.floor(F.col("key") / 4).alias("i"), "value")
-    b = ad.filter("key >= 32").select("name", F.floor((F.col("key") - 32) / 4).alias("o"), (F.col("key") % 4).alias("r"), "value")
+    ad = V.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id") % 6).alias("name"), F.floor(F.col("vec_id") / 6).alias("g"), F.posexplode("embedding").alias("key", "x")).withColumn("value", F.col("x").cast("double"))
+    a = ad.filter("key < 32").select("name", (F.col("key") % 4).alias("r"), (F.col("g") * 8 + F.floor(F.col("key") / 4)).alias("i"), "value")
+    b = ad.filter("key >= 32").select("name", (F.col("g") * 8 + F.floor((F.col("key") - 32) / 4)).alias("o"), (F.col("key") % 4).alias("r"), "value")
     return M.update_inner(a, b).withColumnRenamed("inner", "inner_product")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import by_step, known_few, materialize, small_batches, utf8
+from tallyforge.llm.shared import by_step, known_few, materialize, small_batches, steps, utf8
 from tallyforge.llm.textvec import PLAIN, U64, mix, powers, runs, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -35,11 +35,11 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share aren't compared: over five standard errors below SIMILAR.
 HOPELESS = 0.6
 #: Pivots of a bucket in each later round, and documents that meet them in one task; a bucket of no more documents is done in one round.
-PIVOTS, CHUNK = 256, 512
+PIVOTS, CHUNK = 128, 256
 #: Documents of a bucket up to which its pairs are rows.
 SMALL = 32
 #: Shared shingles that one vectorised step of such a meeting counts at once.
-COUNTED = 2 << 20
+COUNTED = 1 << 20
 #: Pairs whose ids (16 bytes a pair) may be broadcast.
 FEW = 200_000
 
@@ -133,7 +133,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(by_step(of, most=6 << 20), f"doc_id {kind}, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary")
+    return picked.mapInArrow(by_step(of, most=3 << 20), f"doc_id {kind}, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary")
 
 
 def overlap(a: tuple, b: tuple, n: int) -> np.ndarray:
@@ -162,10 +162,11 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float) -
 
     def exact(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                score = overlap(shingles(*utf8(part.column(2))), shingles(*utf8(part.column(3))), part.num_rows)
-                yield part.select([0, 1]).filter(pa.array(score >= least))
+            if batch.num_rows:
+                (x, at), (y, to) = utf8(batch.column(2)), utf8(batch.column(3))
+                for i, j in steps(at + to):
+                    score = overlap(shingles(x[at[i] : at[j]], at[i : j + 1] - at[i]), shingles(y[to[i] : to[j]], to[i : j + 1] - to[i]), j - i)
+                    yield batch.slice(i, j - i).select([0, 1]).filter(pa.array(score >= least))
 
     kind = pairs.schema["a"].dataType.simpleString()
     sigs = _needed(sigs, pairs)
@@ -184,7 +185,9 @@ def _needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, token, size of each text): a shingle's k-th occurrence is a token of its own, so that sets overlap as multisets do."""
-    doc, sh, count, _ = shingles(*utf8(texts))
+    data, offsets = utf8(texts)
+    parts = [(doc + i, sh, count) for i, j in steps(offsets) for doc, sh, count, _ in [shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]]
+    doc, sh, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     return np.repeat(doc, count), mix(np.repeat(sh, count) + nth.astype(U64)), np.bincount(doc, count, len(texts))
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts are whole, so a batch is kept small enough for a few very long ones.
 BATCH_ROWS = 2000
+#: Bytes of one, where Spark can bound them.
+BATCH_BYTES = 32 << 20
 #: UTF-8 bytes that one vectorised step takes at once; a longer text is taken alone.
 STEP_BYTES = 2 << 20
 
@@ -27,6 +29,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

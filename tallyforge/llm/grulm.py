@@ -8,8 +8,8 @@ P(token) = P(class | state) * P(word | class, state); within the class of all ot
 words, of which there is no bounded number: texts meet them in a join, and only the HEAD commonest, at most, are sent to all.
 
 Training is by truncated backpropagation, data-parallel: in each round every task starts from the same parameters,
-passes over its share of that round's hash slice of the training texts (SLICE of SLICES, so it grows with the corpus),
-and the parameters are averaged by tokens. Scoring carries the state across windows of WINDOW tokens through the whole
+passes over its share of that round's hash slice of the training texts, CHUNK tokens or so at once, and the parameters
+are averaged by tokens. The rounds' slices part the training texts, so that every token of them is a goal once. Scoring carries the state across windows of WINDOW tokens through the whole
 text; a lane is a text, and lanes end with their texts.
 
 Edge cases: null and empty texts are one end; without training texts all tokens are unknown and every score is 0; rows
@@ -34,8 +34,8 @@ HEAD = 1 << 16
 CLASSES, WIDTH, HIDDEN, SHARED = 32, 32, 24, 64
 OWN = CLASSES * WIDTH
 WINDOW, LANES, TRUNCATE = 32, 64, 16
-#: Rounds of training, each over SLICE of SLICES slices of the training texts; and their learning rates.
-SLICES, SLICE, RATES = 64, 4, (0.02, 0.01, 0.005)
+#: Learning rates of the rounds of training, which share out all training texts; and tokens that a task holds at once.
+RATES, CHUNK = (0.02, 0.01, 0.005), 1 << 20
 LOG10 = np.log(10.0)
 
 
@@ -126,23 +126,36 @@ class Gru:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         a = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, a[:, 2 * HIDDEN :]
+        zr = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, a = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        n = r * a
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n, a
 
     def log_probs(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Natural logs of P(class) * P(word | class) of own words, of P(class) of others."""
         kind = np.where((rank >= 0) & (rank < OWN), rank // WIDTH, CLASSES).astype(np.uint8)
         s = h @ self.p["wc"] + self.p["bc"]
-        out = s[np.arange(len(s)), kind] - np.log(np.exp(s).sum(1))
+        out = s[np.arange(len(s)), kind]
+        out -= np.log(np.exp(s, out=s).sum(1))
         order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edge[c] : edge[c + 1]]
-            if len(at):
-                w = h[at] @ self.p["ww"][c] + self.p["bw"][c]
-                out[at] += w[np.arange(len(at)), rank[at] % WIDTH] - np.log(np.exp(w).sum(1))
+        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        order = order[: edge[CLASSES]]
+        own, w = h[order], np.empty((len(order), WIDTH), np.float32)
+        for c, (i, j) in enumerate(zip(edge, edge[1:])):
+            if i < j:
+                np.matmul(own[i:j], self.p["ww"][c], out=w[i:j])
+                w[i:j] += self.p["bw"][c]
+        out[order] += w[np.arange(len(order)), rank[order] % WIDTH]
+        out[order] -= np.log(np.exp(w, out=w).sum(1))
         return out
 
     def score(self, h: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -171,100 +184,159 @@ class Gru:
     end = -1  # the rank of the end
 
 
-def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float) -> None:
-    """One pass of truncated backpropagation over a stream of texts, cut into LANES; Adam."""
-    symbol = model.symbols(h, rank)
+class Adam:
+    """Moments of all parameters, which lie in one array: the model's own become views of it."""
+
+    def __init__(self, model: Gru) -> None:
+        self.all = model.flat().astype(np.float32)
+        self.g, self.m, self.s, self.a, self.b = (np.zeros_like(self.all) for _ in range(5))
+        self.i, self.grad, at = 0, {}, 0
+        for k in Gru.NAMES:
+            shape, n = model.p[k].shape, model.p[k].size
+            model.p[k], self.grad[k] = self.all[at : at + n].reshape(shape), self.g[at : at + n].reshape(shape)
+            at += n
+
+    def step(self, rate: float) -> None:
+        self.i += 1
+        g, m, s, a, b = self.g, self.m, self.s, self.a, self.b
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=a)
+        s *= np.float32(0.99)
+        g *= g
+        s += np.multiply(g, np.float32(0.01), out=a)
+        np.multiply(s, np.float32(1 / (1 - 0.99**self.i)), out=b)
+        np.sqrt(b, out=b)
+        b += np.float32(1e-6)
+        np.divide(m, b, out=a)
+        a *= np.float32(rate / (1 - 0.9**self.i))
+        self.all -= a
+
+
+def softmax(e: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.exp(e, out=e)
+    e *= 1 / e.sum(1, keepdims=True)
+    return e
+
+
+def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam | None = None) -> None:
+    """One pass of truncated backpropagation over a stream of texts, cut into LANES; Adam. Every token is a goal once."""
+    if not len(h):
+        return
+    adam = adam or Adam(model)
+    symbol = model.symbols(np.append(U64(END), h[:-1]), np.append(model.end, rank[:-1]))  # the first text follows an end
     lanes = max(1, min(LANES, len(h) // (TRUNCATE + 1)))
-    n = (len(h) - 1) // lanes
-    inputs, goals = symbol[: n * lanes].reshape(lanes, n), rank[1 : n * lanes + 1].reshape(lanes, n)
+    n = -(-len(h) // lanes)
+    # the lanes' last places may lie beyond the stream: symbols there are of any kind, goals have no weight
+    inputs, goals = np.resize(symbol, n * lanes).reshape(lanes, n), np.resize(rank, n * lanes).reshape(lanes, n)
+    live = (np.arange(n * lanes) < len(h)).reshape(lanes, n)
     state = np.zeros((lanes, HIDDEN), np.float32)
-    p = model.p
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    for i, t0 in enumerate(range(0, n - TRUNCATE + 1, TRUNCATE), 1):
-        kept, h0 = [], state
-        for t in range(t0, t0 + TRUNCATE):
-            x = inputs[:, t]
-            state, z, r, c, a = model.step(p["x"][x], h0)
-            kept.append((x, h0, z, r, c, a, state))
-            h0 = state
-        hs = np.concatenate([k[6] for k in kept])
-        goal = goals[:, t0 : t0 + TRUNCATE].T.ravel()
-        kind = np.where((goal >= 0) & (goal < OWN), goal // WIDTH, CLASSES)
-        size = len(hs)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        e = np.exp(hs @ p["wc"] + p["bc"])
-        e /= e.sum(1, keepdims=True)
+    p, g = model.p, adam.grad
+    for t0 in range(0, n, TRUNCATE):
+        steps = min(TRUNCATE, n - t0)
+        size = steps * lanes
+        flat = inputs[:, t0 : t0 + steps].T.ravel()
+        xs = p["x"][flat].reshape(steps, lanes, 3 * HIDDEN)
+        hs, before, z, r, c, a = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(6))
+        for t in range(steps):
+            before[t] = state
+            state, z[t], r[t], c[t], a[t] = model.step(xs[t], state)
+            hs[t] = state
+        hs = hs.reshape(size, HIDDEN)
+        goal = goals[:, t0 : t0 + steps].T.ravel()
+        kind = np.where((goal >= 0) & (goal < OWN), goal // WIDTH, CLASSES).astype(np.uint8)
+        ok = live[:, t0 : t0 + steps].T.ravel()
+        share = np.float32(1 / max(int(ok.sum()), 1))
+        e = softmax(hs @ p["wc"] + p["bc"])
         e[np.arange(size), kind] -= 1
-        e /= size
-        g["wc"], g["bc"], dh = hs.T @ e, e.sum(0), e @ p["wc"].T
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                e = np.exp(hs[at] @ p["ww"][k] + p["bw"][k])
-                e /= e.sum(1, keepdims=True)
-                e[np.arange(len(at)), goal[at] % WIDTH] -= 1
-                e /= size
-                g["ww"][k], g["bw"][k] = hs[at].T @ e, e.sum(0)
-                dh[at] += e @ p["ww"][k].T
-        back = np.zeros_like(state)
-        gates = []
-        for t in range(TRUNCATE - 1, -1, -1):
-            x, before, z, r, c, a, _ = kept[t]
-            d = dh[t * lanes : (t + 1) * lanes] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz, dr = d * (before - c) * z * (1 - z), dc * a * r * (1 - r)
-            da = np.concatenate([dz, dr, dc * r], 1)
-            g["u"] += before.T @ da
-            back = d * z + da @ p["u"].T
-            gates.append((x, np.concatenate([dz, dr, dc], 1)))
-        x = np.concatenate([k for k, _ in gates])
-        order = np.argsort(x, kind="stable")
-        only, at = np.unique(x[order], return_index=True)
-        g["x"][only] = np.add.reduceat(np.concatenate([d for _, d in gates])[order], at)
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            p[k] -= (rate / (1 - 0.9**i)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-6)
+        e *= share
+        if not ok.all():
+            e[~ok] = 0
+        g["wc"][:], g["bc"][:], dh = hs.T @ e, e.sum(0), e @ p["wc"].T
+        # words of all classes, by class: scores and gradients a class, what lies between for all at once
+        order = np.argsort(np.where(ok, kind, CLASSES).astype(np.uint8), kind="stable")
+        edge = np.searchsorted(kind[order[: int(ok.sum())]], np.arange(CLASSES + 1)).tolist()
+        order = order[: edge[CLASSES]] if ok.all() else order[ok[order]][: edge[CLASSES]]
+        own = hs[order]
+        e, d = np.empty((len(order), WIDTH), np.float32), np.empty((len(order), HIDDEN), np.float32)
+        g["ww"][:], g["bw"][:] = 0, 0
+        used = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+        for k, i, j in used:
+            np.matmul(own[i:j], p["ww"][k], out=e[i:j])
+            e[i:j] += p["bw"][k]
+        softmax(e)
+        e[np.arange(len(order)), goal[order] % WIDTH] -= 1
+        e *= share
+        for k, i, j in used:
+            np.matmul(own[i:j].T, e[i:j], out=g["ww"][k])
+            np.matmul(e[i:j], p["ww"][k].T, out=d[i:j])
+        if used:
+            g["bw"][[k for k, *_ in used]] = np.add.reduceat(e, [i for _, i, _ in used])
+        dh[order] += d
+        dh = dh.reshape(steps, lanes, HIDDEN)
+        # the gates' gradients are those of the state times these
+        inner = (1 - z) * (1 - c * c)
+        by = np.stack([(before - c) * z * (1 - z), inner * a * r * (1 - r), inner * r], 2)
+        back, ut = np.zeros_like(state), p["u"].T.copy()
+        da = np.empty((steps, lanes, 3, HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            d = dh[t]
+            d += back
+            np.multiply(d[:, None], by[t], out=da[t])
+            back = da[t].reshape(lanes, 3 * HIDDEN) @ ut
+            back += d * z[t]
+        g["u"][:] = before.reshape(size, HIDDEN).T @ da.reshape(size, 3 * HIDDEN)
+        da[:, :, 2] = dh * inner  # of the inputs, from here on
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        g["x"][:] = 0
+        g["x"][flat[order[at]]] = np.add.reduceat(da.reshape(size, 3 * HIDDEN)[order], at)
+        adam.step(rate)
 
 
 def fit(docs: DataFrame, v: Vocab) -> Gru:
-    """Rounds of local training and averaging over hash slices of docs (doc_id, text)."""
+    """Rounds of local training and averaging over hash slices of docs (doc_id, text): a text is in one round."""
     spark = docs.sparkSession
     small_batches(spark)
     model = Gru(v)
     model.end = int(v.ranks(np.array([END]))[0])
     if not v.total:
         return model
-    slice_ = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(SLICES))
+    slice_ = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(len(RATES)))
     for r, rate in enumerate(RATES):
         sent = Sent(spark, (v, model))
 
         def run(batches, sent=sent, rate=rate):
             v, own = sent.value
+            adam = Adam(own)
             seen: list[np.ndarray] = []
+            n, who = 0, 0
+
+            def learn() -> None:
+                nonlocal n, who
+                h = np.concatenate(seen)
+                seen.clear()
+                train(own, h, v.ranks(h), rate, adam)
+                who = who if n else int(h[:1].view(np.int64)[0])
+                n += len(h)
 
             def of(rows, data, offsets):
                 seen.append(tokens(data, offsets)[0])
+                if sum(map(len, seen)) >= CHUNK:
+                    learn()
                 return ()
 
-            n, size = 0, 0
             for _ in by_step(of)(batches):
                 pass
-            h = np.concatenate(seen) if seen else np.zeros(0, U64)
-            if len(h) > TRUNCATE + 1:
-                train(own, h, v.ranks(h), rate)
-                n = len(h)
-                flat = own.flat()
-                size = len(flat)
+            if seen:
+                learn()
+            flat = own.flat()
+            size = len(flat) if n else 0
             at = list(range(0, size, 4096))
-            who = int(h[:1].view(np.int64)[0]) if n else 0
             yield pa.RecordBatch.from_arrays([pa.array([k // 4096 for k in at], pa.int32()), pa.array([who & 63] * len(at), pa.int32()), pa.array([float(n)] * len(at)), pa.array([flat[k : k + 4096].tobytes() for k in at], pa.binary())], ["part", "salt", "n", "values"])
 
         schema = "part int, salt int, n double, values binary"
-        made = docs.filter(slice_.between(SLICE * r, SLICE * r + SLICE - 1)).select("text").mapInArrow(run, schema)
+        made = docs.filter(slice_ == r).select("text").mapInArrow(run, schema)
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
             w = rows["n"].to_numpy()

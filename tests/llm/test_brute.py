@@ -270,6 +270,27 @@ def test_gradients_of_the_language_model():
     assert m.score(h[stream[:2000]], stream[:2000], first)[0] > 0.6 * before
 
 
+def test_every_training_text_reaches_the_language_model(spark):
+    # ids of many hashes, each alone; the first ones that earlier slices (12 to 63 of 64) passed over
+    ids = spark.range(60).filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(64)) >= 12).limit(6)
+    for (i,) in ids.collect():
+        docs = spark.createDataFrame([(i, "a few words " * 9)], "doc_id bigint, text string")
+        v = grulm.vocab(grulm.count(docs))
+        assert not np.array_equal(grulm.fit(docs, v).flat(), grulm.Gru(v).flat())
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 40, 1089, 1105])
+def test_every_token_is_a_goal(n):
+    h = textvec.mix(np.arange(50, dtype=np.uint64))
+    v = grulm.Vocab(textvec.Members(h), np.full(50, 400), 20000, 50, 0, 0)
+    first, last = grulm.Gru(v), grulm.Gru(v)
+    for m, at in ((first, 0), (last, n - 1)):
+        stream = np.full(n, 7)
+        stream[at] = 40  # of another class than 7
+        grulm.train(m, h[stream], stream, 0.01)
+        assert m.p["bw"][1, 40 - grulm.WIDTH] > grulm.Gru(v).p["bw"][1, 40 - grulm.WIDTH]
+
+
 def filled(sizes, weights, share=1.5, most=2.0):
     """Targets by sharing again and again what is above a cap."""
     target, open_, left = {}, set(sizes), share * sum(sizes.values())

@@ -225,7 +225,7 @@ def pearson(spark, sf):
 @query("stat04_bootstrap", None)
 def bootstrap(spark, sf):
     rows = probed(spark, sf).select("id", "design_family", (F.col("detected") == F.col("design_family")).cast("double").alias("hit"))
-    return S.bootstrap(rows, "hit", "design_family", draws=200)
+    return S.bootstrap(rows, "hit", "design_family")
 
 
 _SUFFIX = lambda by, src="outputs": f"""w as (select * exclude (k), unnest([1, 2, 3, 4]) as k from {src} where model_answer > 0 and model_answer <> product) select {by}k, count(*) as n, avg(case when model_answer % [10, 100, 1000, 10000][k] = product % [10, 100, 1000, 10000][k] then 1.0::double else 0.0 end) as rate from w group by all"""

@@ -128,6 +128,15 @@ def test_leakage(spark):
     assert {r["id"] for r in joins.leaks(train, test).collect()} == {1, 2, 3}
 
 
+def test_bootstrap_query_makes_all_draws(spark):
+    from tallyforge.plans import catalog, stat_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = stat_queries.probed(spark, sf).select("id", "design_family", (F.col("detected") == F.col("design_family")).cast("double").alias("hit"))
+    key = lambda r: r["design_family"]
+    assert sorted(catalog.QUERIES["stat04_bootstrap"](spark, sf).collect(), key=key) == sorted(statistics.bootstrap(rows, "hit", "design_family", draws=1000).collect(), key=key)
+
+
 def test_numbering_over_ranges(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("x"))
     got = selection.numbered(df, ["x"], "n_", 5).orderBy("x").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,15 @@ def _pool(spark: SparkSession, family: str, n: int, seed: int) -> DataFrame:
     return df.select(a.alias("a"), b.alias("b")).filter("a between 10 and 999999999 and b between 10 and 999999999")
 
 
+def _enough(make: Callable[[int], DataFrame], n: int, pool: int, doublings: int = 6) -> DataFrame:
+    """make(pool) from a pool that is doubled until n rows come of it."""
+    for k in range(doublings + 1):
+        df = make(pool << k)
+        if (got := df.limit(n).count()) == n:
+            return df
+    raise ValueError(f"{got} of {n} rows come of a pool of {pool << doublings}")
+
+
 def scored(df: DataFrame) -> DataFrame:
     """a, b with costs, complexity and the cheapest label by a margin of 0.75."""
     a, b = F.col("a"), F.col("b")
@@ -89,17 +100,20 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def hds(spark: SparkSession, count: int = 1000, seed: int = 42, pool: int = 40_000, exclude: DataFrame | None = None) -> DataFrame:
-    """count problems, a third of each family (the rest RC): cost winners in the complexity band, each family's spread over bands."""
+    """count problems, a third of each family (the rest RC): cost winners in the complexity band, each family's spread over bands; from a pool a family, or a larger one if need be."""
     third = count // 3
     want = {"RC": count - 2 * third, "DD": third, "OT": third}
-    parts = []
-    for j, (family, n) in enumerate(want.items()):
+
+    def winners(family: str, j: int, size: int) -> DataFrame:
         # one of each pair first: the factors are columns from here on, not expressions that costs would repeat
-        df = _pool(spark, family, pool, seed + 1000 * j).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        df = _pool(spark, family, size, seed + 1000 * j).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
         df = scored(df.groupBy("lo", "hi").agg(F.min("a").alias("a")).withColumn("b", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))))
         df = df.filter((F.col("canonical_target_heuristic") == family) & F.col("complexity_c").between(12, 324))
-        if exclude is not None:
-            df = without_leaks(df, exclude, None)
+        return df if exclude is None else without_leaks(df, exclude, None)
+
+    parts = []
+    for j, (family, n) in enumerate(want.items()):
+        df = _enough(lambda size, family=family, j=j: winners(family, j, size), n, pool)
         # the next of each band in turn, so that bands are as even as the pool allows
         df = df.withColumn("band", D.band(F.col("complexity_c"))).withColumn("turn", F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64(F.lit(seed), "lo", "hi"))))
         parts.append(df.orderBy("turn", "band", "lo", "hi").limit(n).withColumn("design_family", F.lit(family)))
@@ -145,10 +159,14 @@ def traps(spark: SparkSession, exclude: DataFrame | None = None, seed: int = 42)
 
 def training_traces(spark: SparkSession, label: str, count: int = 100, exclude: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Worked solutions of one method, of problems that aren't excluded: id, a, b, product, heuristic, prompt, reasoning_trace, full_text, split."""
-    pool = _pool(spark, {"STYLE": "OT"}.get(label, label), 20 * count, seed).filter("a < 10000 and b < 10000")
-    if exclude is not None:
-        pool = without_leaks(pool, exclude, None)
-    pool = pool.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).orderBy(F.xxhash64(F.lit(seed), "lo", "hi"), "lo", "hi").limit(count)
+
+    def candidates(size: int) -> DataFrame:
+        pool = _pool(spark, {"STYLE": "OT"}.get(label, label), size, seed).filter("a < 10000 and b < 10000")
+        if exclude is not None:
+            pool = without_leaks(pool, exclude, None)
+        return pool.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
+
+    pool = _enough(candidates, count, 20 * count).orderBy(F.xxhash64(F.lit(seed), "lo", "hi"), "lo", "hi").limit(count)
     rows = pool.withColumn("id", F.concat(F.lit(f"{label.lower()}_gen_"), F.lpad((F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "lo", "hi"), "lo", "hi")) - 1).cast("string"), 4, "0")))
     a, b = F.col("a"), F.col("b")
     rows = rows.select("id", "a", "b", (a * b).alias("product"), F.lit(label).alias("heuristic"), T.prompt(a, b).alias("prompt"), T.TRACES[label](a, b).alias("full_text"))

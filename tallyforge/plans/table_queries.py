@@ -29,12 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query("gen05_07_grid")
 def grid(spark, sf):
-    return G.grid(spark, 2000)
+    return G.grid(spark)
 
 
 @query("gen11_hds")
 def hds(spark, sf):
-    return G.hds(spark, 300, pool=6_000)
+    return G.hds(spark)
 
 
 @query("gen12_traps")
@@ -45,7 +45,7 @@ def traps(spark, sf):
 @query("gen13_training_traces")
 def training(spark, sf):
     test = V.problems(spark, sf)
-    return reduce(DataFrame.unionByName, [G.training_traces(spark, k, 100, test) for k in ("RC", "DD", "OT", "STYLE")])
+    return reduce(DataFrame.unionByName, [G.training_traces(spark, k, 1000, test) for k in ("RC", "DD", "OT", "STYLE")])
 
 
 @query("gen09_curated_audit", f"with {V.PROBLEMS} select design_family, canonical_target, count(*) as n from problems where design_family <> canonical_target group by 1, 2")

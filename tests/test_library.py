@@ -194,6 +194,28 @@ def test_hds_thirds(spark):
     assert all(r["canonical_target_heuristic"] == r["design_family"] and 12 <= r["complexity_c"] <= 324 and r["canonical_target_margin"] >= 0.75 for r in rows)
 
 
+def test_generator_queries_are_of_full_size(spark):
+    from tallyforge.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    bands = lambda rows: [sum(lo <= r["complexity_c"] <= hi for r in rows) for lo, hi in digits.BANDS]
+    grid, hds = (catalog.QUERIES[k](spark, sf).select("complexity_c").collect() for k in ("gen05_07_grid", "gen11_hds"))
+    assert len(grid) == 10_000 and min(bands(grid)) >= 1000
+    assert len(hds) == 1000 and min(bands(hds)) >= 100
+    traces = catalog.QUERIES["gen13_training_traces"](spark, sf).groupBy("heuristic").count().collect()
+    assert {tuple(r) for r in traces} == {(k, 1000) for k in ("RC", "DD", "OT", "STYLE")}
+
+
+def test_generators_fill_their_quotas_or_raise(spark):
+    rows = generation.hds(spark, 90, pool=100).collect()
+    assert [sum(r["design_family"] == k for r in rows) for k in ("RC", "DD", "OT")] == [30, 30, 30]
+    taken = generation.training_traces(spark, "RC", 50).select("a", "b", F.lit("test").alias("split"))
+    assert generation.training_traces(spark, "RC", 50, taken).count() == 50
+    every = generation._pool(spark, "RC", 1 << 17, 42).withColumn("split", F.lit("test"))  # all that the largest pool holds
+    with pytest.raises(ValueError):
+        generation.training_traces(spark, "RC", 50, every)
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", 'two\nlines "quoted"', "test"), ("b", None, "train")], "id string, note string, split string")
     sinks.write_csv(df, str(tmp_path / "x"), one_file=True, remap={"test": "val"})

@@ -32,8 +32,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for, dealt to shards."""
-    return mixing.mix(docs)
+    """Documents as often as their source's target asks for, dealt to shards and shuffled within them."""
+    return mixing.shuffled(mixing.mix(docs))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("mixture", mixture)]

@@ -291,6 +291,17 @@ def test_every_token_is_a_goal(n):
         assert m.p["bw"][1, 40 - grulm.WIDTH] > grulm.Gru(v).p["bw"][1, 40 - grulm.WIDTH]
 
 
+def test_the_pipelines_mixture_is_shuffled(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i} of some words", f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string")
+    mixed, got = mixing.mix(docs).collect(), corpus_pipeline.mixture(spark, docs, "").collect()
+    at = [(r["shard"], r["shuffle_key"]) for r in got]
+    assert at == sorted(at) and len({x for x, _ in at}) > 1
+    key = lambda r: (r["doc_id"], r["copy"])
+    assert sorted(map(key, got)) == sorted(map(key, mixed))
+
+
 def filled(sizes, weights, share=1.5, most=2.0):
     """Targets by sharing again and again what is above a cap."""
     target, open_, left = {}, set(sizes), share * sum(sizes.values())

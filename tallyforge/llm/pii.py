@@ -29,6 +29,13 @@ _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN by country; that length is tried first.
+_IBAN_LENGTHS = {
+    c: n for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for c in cs.encode().split()
+}
 #: Words that, near a proposal, make it likelier or less likely.
 CONTEXT = {
     "email": (b"mail", b"contact", b"write"), "ip": (b"address", b"server", b"host"), "card": (b"card", b"visa", b"payment", b"credit"),
@@ -53,6 +60,21 @@ def mod97(iban: bytes) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: bytes) -> list[tuple[int, int]]:
+    """A match, or what of it ends at a blank, that the checksum confirms: of the country's length, or else the longest. Words after an IBAN may look like more of it."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        found = m[0]
+        ends = [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] == 32)]
+        sizes = {e: len(found[:e].replace(b" ", b"")) for e in ends}
+        ends = sorted((e for e in ends if sizes[e] >= 15), key=lambda e: sizes[e] != _IBAN_LENGTHS.get(found[:2]))
+        end = next((e for e in ends if mod97(found[:e])), 0)
+        if end:
+            out.append((m.start(), m.start() + end))
+        m = _IBAN.search(text, m.start() + (end or 1))
+    return out
+
+
 def _digits(span: bytes) -> bytes:
     return bytes(c for c in span if 48 <= c <= 57)
 
@@ -84,7 +106,7 @@ def spans(text: bytes) -> dict[str, list[tuple[int, int, float]]]:
     found["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p := q.lstrip(b"0")) <= 3 and int(p or b"0") <= 255 for q in m[0].split(b"."))]
     found["card"] = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     found["phone"] = [m.span() for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-    found["iban"] = [m.span() for m in _IBAN.finditer(text) if mod97(m[0])]
+    found["iban"] = _ibans(text)
     found["ssn"] = [m.span() for m in _SSN.finditer(text)]
     scored = {k: [(s, e, score(k, text, s, e)) for s, e in v] for k, v in found.items()}
     return {k: [x for x in v if k in BASE or x[2] >= LEAST] for k, v in scored.items()}

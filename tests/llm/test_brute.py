@@ -302,6 +302,15 @@ def test_the_pipelines_mixture_is_shuffled(spark):
     assert sorted(map(key, got)) == sorted(map(key, mixed))
 
 
+@pytest.mark.parametrize("before", ["", "iban ", "AB12 ", "é "])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " EUR", " 2024", " ok", ".", " DE89370400440532013000"])
+def test_ibans_before_other_words(before, iban, after):
+    text = (before + iban + after).encode()
+    got = [text[s:e].decode() for s, e, _ in pii.spans(text)["iban"]]
+    assert got == [iban, *([after.strip()] if after.startswith(" DE") else [])]
+
+
 def filled(sizes, weights, share=1.5, most=2.0):
     """Targets by sharing again and again what is above a cap."""
     target, open_, left = {}, set(sizes), share * sum(sizes.values())

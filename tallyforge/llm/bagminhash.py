@@ -3,30 +3,32 @@
 A document is the multiset of its runs of SHINGLE words. For each shingle and each dyadic block of weights
 [0,1], [1,2], [2,4], [4,8], ... a Poisson process, seeded by both, throws points (time, weight, slot); a point
 counts if its weight is within the shingle's count. A slot of the signature is the earliest point that falls into
-it, so that two documents agree in a slot with the probability of their weighted Jaccard similarity. Points are made
-in order of time up to a bound of the document that, for most, fills all slots; those it doesn't fill run again
-with a larger one. The signature is exact either way, and of most shingles only the first point's time is looked at.
+it, so that two documents agree in a slot with the probability of their weighted Jaccard similarity. Blocks aren't
+split further; points are made in order of time up to a bound of the document that, for most, fills all slots; those it
+doesn't fill run again with a larger one. The signature is exact either way, and of most shingles only the first
+point's time is looked at.
 
-Bands of ROWS slots propose pairs, the whole signature's estimate drops the hopeless, and the exact overlap of the
-multisets decides. Within a bucket not all pairs are made: all its documents meet one pivot, the one of
-most company in all bands; those that aren't yet in
-one component then meet further pivots, until every two documents of a bucket are in one component or have been
-compared (of two documents of different components at least one has been a pivot). Components are the classes.
+Bands of ROWS slots propose pairs, the whole signature's estimate drops those below `hopeless` (0: none), and the exact
+overlap of the multisets decides, for buckets of every size. Within a bucket not all pairs are made: all its documents
+meet one pivot, the one of most company in all bands; those that aren't yet in one component then meet further pivots,
+twice as many in each round, until every two documents of a bucket are in one component or have been compared (of two
+documents of different components at least one has been a pivot). Components are the classes.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased; equal sequences of words are copies, and one
-of them stands for all. A document of fewer words than SHINGLE is one shingle; one without words is a class of its own.
-A null text has no words; a row with a null doc_id has a null class and takes no part; repeated rows are copies;
-an empty table gives an empty one; extra columns are ignored. A class is named by its least doc_id.
+of them (a node) stands for all. A document of fewer words than SHINGLE is one shingle; one without words is alike to none.
+A null text has no words. Rows are told apart by id and text, not by the id alone: repeated rows are copies, and of
+one id's different texts each has a class. A class is named by its least doc_id, null ids aside; without any its name is null.
+An empty table gives an empty one; extra columns are ignored by `classes` and kept by `dedup`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import by_step, known_few, materialize, small_batches, steps, utf8
+from tallyforge.llm.shared import by_step, discard, known_few, materialize, small_batches, steps, utf8
 from tallyforge.llm.textvec import PLAIN, U64, mix, powers, runs, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -34,12 +36,12 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share aren't compared: over five standard errors below SIMILAR.
 HOPELESS = 0.6
-#: Pivots of a bucket in each later round, and documents that meet them in one task; a bucket of no more documents is done in one round.
-PIVOTS, CHUNK = 128, 256
+#: Pivots of a bucket in the first of the later rounds; documents, and bytes of them, that meet a lot of pivots in one task.
+PIVOTS, CHUNK, CHUNK_BYTES = 128, 256, 4 << 20
 #: Documents of a bucket up to which its pairs are rows.
 SMALL = 32
-#: Shared shingles that one vectorised step of such a meeting counts at once.
-COUNTED = 1 << 20
+#: Shared shingles that one vectorised step of such a meeting counts at once, and shingles whose points are made at once.
+COUNTED, THROWN = 1 << 20, 1 << 18
 #: Pairs whose ids (16 bytes a pair) may be broadcast.
 FEW = 200_000
 
@@ -85,20 +87,22 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     """Earliest times (texts x SLOTS); infinite for texts without shingles."""
     out = np.full((n_docs, SLOTS), np.inf)
     total = np.bincount(doc, count, n_docs)
-    # blocks of weights: the first for all, the k-th (from 2**(k-1) up to 2**k) for counts above its lower end
-    parts = [(doc, mix(shingle), np.zeros(len(doc)), np.ones(len(doc)), count)]
-    k = 0
-    while (more := count > (1 << k)).any():
-        n = int(more.sum())
-        parts.append((doc[more], mix(shingle[more] + U64(k + 1)), np.full(n, float(1 << k)), np.full(n, float(1 << k)), count[more]))
-        k += 1
-    doc, key, low, width, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     bound = np.where(total > 0, SLOTS * (np.log(SLOTS) + 2.3) / np.maximum(total, 1), 0)
     todo = total > 0
     while todo.any():
-        at = np.flatnonzero(todo[doc])
         out[todo] = np.inf
-        _points(doc[at], key[at], low[at], width[at], count[at], bound, n_docs, out)
+        at = np.flatnonzero(todo[doc])
+        for i in range(0, len(at), THROWN):
+            part = at[i : i + THROWN]
+            d, s, c = doc[part], shingle[part], count[part]
+            # blocks of weights: the first for all, the k-th (from 2**(k-1) up to 2**k) for counts above its lower end
+            blocks = [(d, mix(s), np.zeros(len(d)), np.ones(len(d)), c)]
+            k = 0
+            while (more := c > (1 << k)).any():
+                d, s, c = d[more], s[more], c[more]
+                blocks.append((d, mix(s + U64(k + 1)), np.full(len(d), float(1 << k)), np.full(len(d), float(1 << k)), c))
+                k += 1
+            _points(*(np.concatenate(x) for x in zip(*blocks, strict=True)), bound, n_docs, out)
         todo &= ~np.isfinite(out).all(1)
         bound = bound * 2
     return out
@@ -114,8 +118,16 @@ def _sequence_hash(w, n_docs: int, base: int) -> np.ndarray:
     return mix(h + np.diff(w.first).astype(U64))
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, e1 and e2 (128 bits of the words in order), bands (hashes), sig (16 bits of each slot)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits of each row's id and text, never null."""
+    return docs.withColumns({f"__row{i}": F.xxhash64(F.lit(i), "doc_id", "text") for i in (1, 2)})
+
+
+KEY = ["__row1", "__row2"]
+
+
+def sign(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` and n_bytes, n_words, e1 and e2 (128 bits of the words in order), bands (hashes), sig (16 bits of each slot)."""
     small_batches(docs.sparkSession)
 
     def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
@@ -128,12 +140,12 @@ def sign(docs: DataFrame) -> DataFrame:
         band = mix(band + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
         low = np.ascontiguousarray((bits >> U64(48)).astype(np.uint16))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
-        cols = [rows.column(0), pa.array(np.diff(w.first)), pa.array(_sequence_hash(w, n, 0xD1342543DE82EF95).view(np.int64)), pa.array(_sequence_hash(w, n, 0xA0761D6478BD642F).view(np.int64)), lists, pa.array([x.tobytes() for x in low], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "e1", "e2", "bands", "sig"])
+        cols = [*rows.columns[:-1], pa.array(np.diff(offsets)), pa.array(np.diff(w.first)), pa.array(_sequence_hash(w, n, 0xD1342543DE82EF95).view(np.int64)), pa.array(_sequence_hash(w, n, 0xA0761D6478BD642F).view(np.int64)), lists, pa.array([x.tobytes() for x in low], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, [*rows.schema.names[:-1], "n_bytes", "n_words", "e1", "e2", "bands", "sig"])
 
-    picked = docs.select("doc_id", "text")
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(by_step(of, most=3 << 20), f"doc_id {kind}, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary")
+    picked = docs.select(*keep, "text")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    return picked.mapInArrow(by_step(of), ", ".join([*kinds, "n_bytes bigint, n_words bigint, e1 bigint, e2 bigint, bands array<bigint>, sig binary"]))
 
 
 def overlap(a: tuple, b: tuple, n: int) -> np.ndarray:
@@ -147,18 +159,23 @@ def overlap(a: tuple, b: tuple, n: int) -> np.ndarray:
     return np.where(total > both, both / np.maximum(total - both, 1), 0.0)
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The share of slots in which signatures agree."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(-1, SLOTS) for s in (a, b))
+    return (x == y).mean(1)
+
+
+def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float, hopeless: float) -> DataFrame:
     """Of pairs (a, b): those of a weighted Jaccard similarity of `least` or more."""
     small_batches(pairs.sparkSession)
 
     def side(t: DataFrame, x: str, col: str) -> DataFrame:
-        return t.select(F.col("doc_id").alias(x), F.col(col).alias(f"{col}_{x}"))
+        return t.select(F.col("node").alias(x), F.col(col).alias(f"{col}_{x}"))
 
     def alike(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, SLOTS) for i in (2, 3)]
-                yield batch.select([0, 1]).filter(pa.array((sig[0] == sig[1]).mean(1) >= HOPELESS))
+                yield batch.select([0, 1]).filter(pa.array(_alike(batch.column(2), batch.column(3)) >= hopeless))
 
     def exact(batches):
         for batch in batches:
@@ -168,19 +185,18 @@ def _verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: float) -
                     score = overlap(shingles(x[at[i] : at[j]], at[i : j + 1] - at[i]), shingles(y[to[i] : to[j]], to[i : j + 1] - to[i]), j - i)
                     yield batch.slice(i, j - i).select([0, 1]).filter(pa.array(score >= least))
 
-    kind = pairs.schema["a"].dataType.simpleString()
     sigs = _needed(sigs, pairs)
     signed = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
-    hopeful = materialize(signed.mapInArrow(alike, f"a {kind}, b {kind}"), "hopeful")
+    hopeful = materialize(signed.mapInArrow(alike, "a bigint, b bigint"), "hopeful")
     texts = _needed(texts, hopeful)
     told = hopeful.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return told.mapInArrow(exact, f"a {kind}, b {kind}")
+    return told.mapInArrow(exact, "a bigint, b bigint")
 
 
 def _needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of documents in pairs; without a shuffle of all rows if the ids are few, which is counted first."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return rows.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return rows.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "node", "left_semi")
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,31 +239,40 @@ def meet(pivots: pa.Array, others: pa.Array, least: float) -> tuple[np.ndarray,
     return np.concatenate([p for p, _ in out]), np.concatenate([o for _, o in out])
 
 
-def _meetings(members: DataFrame, pivots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between pivots (band, pivot, own, n) and the documents of other components in their buckets (band, doc_id, comp, n).
-    A bucket's documents are dealt to chunks by a hash, and its pivots, of which there are PIVOTS at most, go to each."""
+def _lots(n: Column, n_bytes: Column, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / most), F.ceil(n_bytes / CHUNK_BYTES)).cast("int")
+
+
+def _meetings(members: DataFrame, pivots: DataFrame, texts: DataFrame, sigs: DataFrame, least: float, hopeless: float) -> DataFrame:
+    """Links (a, b) between pivots (band, node, comp) and the documents of other components in their buckets (band, node, comp, chunks, lots).
+    A bucket's documents are dealt to chunks by a hash and its pivots to lots; each chunk meets each lot, in a task of its own."""
     small_batches(members.sparkSession)
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
-    own = members.select("band", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("pivot"), "doc_id", "comp")
-    each = pivots.select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"), F.col("pivot").alias("doc_id"), F.col("own").alias("comp"))
-    rows = own.unionByName(each).join(texts.select("doc_id", "text"), "doc_id").select("band", "chunk", "pivot", "doc_id", "comp", "text")
+
+    def dealt(rows: DataFrame, pivot: bool) -> DataFrame:
+        own, other = ("lots", "chunks") if pivot else ("chunks", "lots")
+        to = rows.select("band", "node", "comp", F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+        return to.select("band", F.col("other" if pivot else "own").alias("chunk"), F.col("own" if pivot else "other").alias("lot"), F.lit(pivot).alias("pivot"), "node", "comp")
+
+    rows = dealt(members, False).unionByName(dealt(pivots, True)).join(texts, "node").join(sigs, "node").select("band", "chunk", "lot", "pivot", "node", "comp", "text", "sig")
 
     def link(table: pa.Table) -> pa.Table:
         is_pivot = table.column("pivot").to_numpy()
-        p, o = table.filter(pa.array(is_pivot)), table.filter(pa.array(~is_pivot))
+        p, o = table.filter(pa.array(is_pivot)).combine_chunks(), table.filter(pa.array(~is_pivot)).combine_chunks()
         x, y = meet(p.column("text"), o.column("text"), least)
-        ids = [t.column("doc_id").combine_chunks() for t in (p, o)]
-        a, b = ids[0].take(pa.array(x)), ids[1].take(pa.array(y))
-        apart = pa.array(np.asarray(p.column("comp").combine_chunks().take(pa.array(x)).to_pylist(), object) != np.asarray(o.column("comp").combine_chunks().take(pa.array(y)).to_pylist(), object), pa.bool_())
-        return pa.table({"a": a.filter(apart), "b": b.filter(apart)})
+        comps = [t.column("comp").to_numpy() for t in (p, o)]
+        apart = comps[0][x] != comps[1][y]
+        x, y = pa.array(x[apart]), pa.array(y[apart])
+        if len(x):
+            ok = pa.array(_alike(p.column("sig").take(x), o.column("sig").take(y)) >= hopeless)
+            x, y = x.filter(ok), y.filter(ok)
+        return pa.table({"a": p.column("node").take(x), "b": o.column("node").take(y)})
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("band", "chunk").applyInArrow(link, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("band", "chunk", "lot").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (doc_id, comp) of every document in one, comp the least id: alternating large and small stars
-    until each edge leads to its component's least id. Each round is written to the shared folder."""
+    """Edges (a, b) to (node, comp) of every node in one, comp the least: alternating large and small stars
+    until each edge leads to its component's least node. Each round is written to the shared folder."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -255,80 +280,100 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct(), "edges")
+        last, e = e, materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct(), "edges")
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """comp (doc_id, comp) after links (a, b) have joined components: only the components' own graph is searched."""
-    side = lambda x: comp.select(F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"))
-    moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("doc_id").alias("comp"), F.col("comp").alias("to"))
-    return comp.join(moved, "comp", "left").select("doc_id", F.coalesce("to", "comp").alias("comp"))
-
-
-def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id and class_id of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    signed = materialize(sign(docs), "signatures")
-    ids = signed.filter(F.col("doc_id").isNotNull())
-    named = ids.select("doc_id", "n_words", "e1", "e2")
-    copies = materialize(named.filter("n_words > 0").groupBy("e1", "e2").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = ids.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    in_band = reps.select("doc_id", F.explode("bands").alias("band"))
+    """comp (node, comp) after links (a, b) have joined components: only the components' own graph is searched."""
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, least: float, hopeless: float) -> DataFrame:
+    """(node, comp) of the nodes that share a band with another."""
+    in_band = nodes.select("node", "n_bytes", F.explode("bands").alias("band"))
     full = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(in_band.join(full, "band"), "members")
+    shared = materialize(in_band.join(full, "band"), "members")
     # the first pivot of a bucket is its document of most company over all bands: of a text and its altered copies, the text
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = materialize(members.join(weight, "doc_id").select("band", "doc_id", "weight"), "members")
-    first = members.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot"))
-    members = materialize(members.join(first, "band"), "members")
-    wanted = known_few(materialize(members.select("doc_id").distinct(), "wanted"))
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sigs = materialize(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
-    pairs = materialize(members.filter("doc_id <> pivot").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
-    links = materialize(_verify(pairs, sigs, texts, least), "links")
-    comp = materialize(_merged(members.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), links), "comp")
-    members = members.filter("doc_id <> pivot").select("band", "doc_id", "weight")  # without pivots: they have met all others
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = materialize(shared.join(weight, "node").select("band", "node", "n_bytes", "weight"), "members")
+    first = weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    members = materialize(weighed.join(first, "band"), "members")
+    wanted = materialize(members.select("node").distinct(), "wanted")
+    keys = known_few(materialize(nodes.select("node", *KEY).join(known_few(wanted), "node", "left_semi"), "keys"))
+    texts = materialize(_keyed(docs.select("doc_id", "text")).join(keys, KEY).select("node", "text").dropDuplicates(["node"]), "texts")
+    sigs = materialize(nodes.select("node", "sig").join(known_few(wanted), "node", "left_semi"), "sigs")
+    pairs = materialize(members.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
+    links = materialize(_verify(pairs, sigs, texts, least, hopeless), "links")
+    comp = materialize(_merged(wanted.withColumn("comp", F.col("node")), links), "comp")
+    members = members.filter("node <> pivot").select("band", "node", "n_bytes")  # without pivots: they have met all others
+    discard(shared, weighed, pairs, links)
+    most = PIVOTS
     while True:
-        known = members.join(comp, "doc_id")
-        open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("band", "n")
+        known = members.join(comp, "node")
+        open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).filter("x <> y").select("band", "n", "bytes")
         members = materialize(known.join(open_, "band"), "members")
         if members.isEmpty():
             break
-        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("m"))
-        main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        others = members.join(main, "band").filter("comp <> main")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "doc_id"))
-        pivots = materialize(others.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("band", F.col("doc_id").alias("pivot"), F.col("comp").alias("own"), "n"), "pivots")
+        sizes = members.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n_bytes").alias("m_bytes"))
+        main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.struct("m", "comp", "m_bytes")).alias("of"))
+        # pivots are some `most` documents outside of a bucket's largest component, drawn by a hash: no bucket is sorted
+        known = members.join(main.select("band", "main", F.col("of.m").alias("m"), F.col("of.m_bytes").alias("m_bytes")), "band")
+        share = F.least(F.lit(1.0), F.lit(float(most)) / (F.col("n") - F.col("m")))
+        known = known.withColumn("chunks", _lots(F.col("n"), F.col("bytes"), CHUNK)).withColumn("lots", _lots((F.col("n") - F.col("m")) * share, (F.col("bytes") - F.col("m_bytes")) * share, PIVOTS))
+        chosen = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(most), "band", "node"), F.lit(1 << 30)) < share * (1 << 30))
+        known = materialize(known.select("band", "node", "n_bytes", "comp", "n", "chunks", "lots", chosen.alias("pivot")), "rounds")
         # small buckets by pairs, which signatures thin out; large ones by meetings, which make no rows of pairs
         small = F.col("n") <= SMALL
-        pairs = materialize(members.filter(small).join(pivots.drop("n"), "band").filter("comp <> own").select(F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b")).distinct(), "pairs")
-        found = _verify(pairs, sigs, texts, least)
-        large = pivots.filter(~small)
-        if not large.isEmpty():
-            found = found.union(_meetings(members.filter(~small), large, texts, least))
-        new = materialize(found, "links")
-        if not new.isEmpty():
-            comp = materialize(_merged(comp, new), "comp")
-        members = members.select("band", "doc_id", "weight").join(pivots.select("band", F.col("pivot").alias("doc_id")), ["band", "doc_id"], "left_anti")
-    out = named.join(copies, ["e1", "e2"], "left").withColumn("rep", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = out.join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
-    return out.unionByName(signed.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
-
-
-def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs with one document of each class: that which names it. Rows with a null doc_id stay."""
-    of = materialize(classes(docs, least), "classes")
-    gone = materialize(of.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    out = docs.join(known_few(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = of.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+        pivots = known.filter("pivot")
+        pairs = materialize(known.filter(small).select("band", "node", "comp").join(pivots.filter(small).select("band", F.col("node").alias("p"), F.col("comp").alias("own")), "band").filter("comp <> own").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), "pairs")
+        found = _verify(pairs, sigs, texts, least, hopeless)
+        if not pivots.filter(~small).isEmpty():
+            found = found.union(_meetings(known.filter(~small), pivots.filter(~small), texts, sigs, least, hopeless))
+        links = materialize(found, "links")
+        if not links.isEmpty():
+            comp = materialize(_merged(comp, links), "comp")
+        discard(members, pairs, links)
+        members = known.filter("not pivot").select("band", "node", "n_bytes")
+        most *= 2
+    discard(texts, sigs, wanted)
+    return comp
+
+
+def _classed(docs: DataFrame, least: float, hopeless: float) -> DataFrame:
+    """doc_id, the row's key, class_id and `lead`, the key of the class's row that stays, of every row of docs."""
+    signed = materialize(sign(_keyed(docs.select("doc_id", "text")), ("doc_id", *KEY)), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *KEY)
+    alike = signed.filter("n_words > 0").groupBy("e1", "e2").agg(F.min(row).alias("lead"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = materialize(alike.select(F.monotonically_increasing_id().alias("node"), "e1", "e2", "lead", *(F.col(f"lead.{k}").alias(k) for k in KEY), "n_bytes", "bands", "sig"), "nodes")
+    comp = _linked(docs, nodes, least, hopeless)
+    heads = nodes.select("node", "lead").join(comp, "node").groupBy("comp").agg(F.min("lead").alias("head"))
+    heads = materialize(comp.join(heads, "comp").select("node", "head"), "heads")
+    named = nodes.select("e1", "e2", "node", "lead").join(heads, "node", "left").select("e1", "e2", F.coalesce("head", "lead").alias("lead"))
+    out = signed.select("doc_id", *KEY, "e1", "e2", (F.col("n_words") > 0).alias("worded")).join(named, ["e1", "e2"], "left").withColumn("lead", F.when(F.col("worded"), F.col("lead")).otherwise(row))
+    return out.select("doc_id", *KEY, F.col("lead.doc_id").alias("class_id"), F.struct(*(F.col(f"lead.{k}") for k in KEY)).alias("lead"))
+
+
+def classes(docs: DataFrame, least: float = SIMILAR, hopeless: float = HOPELESS) -> DataFrame:
+    """doc_id and class_id of every row of docs (doc_id, text). With hopeless = 0 every pair that shares a band is compared exactly or linked by others."""
+    return _classed(docs, least, hopeless).select("doc_id", "class_id")
+
+
+def dedup(docs: DataFrame, least: float = SIMILAR, hopeless: float = HOPELESS) -> DataFrame:
+    """docs with one row of each class: of the least doc_id, null ids last."""
+    of = materialize(_classed(docs, least, hopeless), "classes")
+    key = F.struct(*KEY)
+    gone = materialize(of.filter(key != F.col("lead")).select(*KEY).distinct(), "gone")
+    repeated = materialize(of.filter(key == F.col("lead")).groupBy(*KEY).count().filter("count > 1").select(*KEY), "repeated")
+    left = _keyed(docs).join(known_few(gone), KEY, "left_anti")
     if repeated.isEmpty():
-        return out
-    # of repeated rows one stays; all of their text is equal, or they would be told apart by their ids
-    again = materialize(repeated.select("doc_id"), "repeated")
-    one = out.join(known_few(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(known_few(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return left.select(*docs.columns)
+    one = left.join(known_few(repeated), KEY, "left_semi").dropDuplicates(KEY)
+    return left.join(known_few(repeated), KEY, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; texts are whole, so a batch is kept small enough for a few very long ones.
 BATCH_ROWS = 2000
 #: Bytes of one, where Spark can bound them.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: UTF-8 bytes that one vectorised step takes at once; a longer text is taken alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where the session names none, as in tests."""
+    """The cluster's folder for checkpoints; a temporary one only where the session names none and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,7 +49,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize that nothing will read again: all that came from them has been written itself."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        with contextlib.suppress(Exception):  # what stays costs only room
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids (some 32 bytes each in a hash table) that may be broadcast; a join of more of them is left to Spark's shuffle.
@@ -115,3 +129,7 @@ class Sent:
         if self.own is None:
             self.own = cloudpickle.loads(self.packed.value)
         return self.own
+
+    def drop(self) -> None:
+        """Free it on the driver and the executors, once every job that needs it has ended."""
+        self.packed.destroy()

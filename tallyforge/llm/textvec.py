@@ -68,6 +68,10 @@ SPACED = _lut(lambda b: b != 32 and not 9 <= b <= 13)
 PLAIN = _lut(lambda b: b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
 
+#: The bytes between words of SPACED.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
 class Words(NamedTuple):
     hashes: np.ndarray  # of each word
     doc: np.ndarray  # its text's place in the batch
@@ -75,14 +79,30 @@ class Words(NamedTuple):
     start: np.ndarray  # its first byte
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = SPACED) -> Words:
-    n_docs = len(offsets) - 1
+#: Bytes that one pass over bytes takes at once, in some 50 times the room; longer input is cut between words.
+PASS_BYTES = 1 << 18
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray):
+    """Ranges of some PASS_BYTES that no word lies across: they end at a byte of no word or at a text's end."""
+    at, n = 0, len(data)
+    while at < n:
+        end = at + PASS_BYTES
+        if end < n:
+            text_end = int(offsets[np.searchsorted(offsets, end)])
+            while end < text_end:
+                found = np.flatnonzero(gap[data[end : min(end + 4096, text_end)]])
+                if len(found):
+                    end += int(found[0])
+                    break
+                end = min(end + 4096, text_end)
+        yield at, min(end, n)
+        at = end
+
+
+def _pass(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray, gap: np.ndarray):
     b = lut[data]
-    # NUL bytes are part of words of SPACED, but 0 marks the space between words
-    inside = lut.astype(bool)[data] if lut is not SPACED else ~((data == 32) | ((data >= 9) & (data <= 13)))
-    if not len(b):
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U64), z, np.zeros(n_docs + 1, np.int64), z)
+    inside = ~gap[data]
     edge = np.zeros(len(b) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
@@ -97,8 +117,20 @@ def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = SPACED) -> Wo
     sums[0] = 0
     np.cumsum(CODES[b] * powers(_BASE, len(b)), out=sums[1:])
     h = (sums[end] - sums[start]) * powers(_INVERSE, len(b))[start]
-    first = np.searchsorted(start, offsets)
-    return Words(mix(h + (end - start).astype(U64)), np.repeat(np.arange(n_docs), np.diff(first)), first, start)
+    return mix(h + (end - start).astype(U64)), start, np.searchsorted(start, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray = SPACED) -> Words:
+    n_docs = len(offsets) - 1
+    # NUL bytes are part of words of SPACED, but 0 marks the space between words
+    gap = SPACE if lut is SPACED else lut == 0
+    hashes, starts, first = [np.zeros(0, U64)], [np.zeros(0, np.int64)], np.zeros(n_docs + 1, np.int64)
+    for at, end in _cuts(data, offsets, gap):
+        h, start, part = _pass(data[at:end], np.clip(offsets, at, end) - at, lut, gap)
+        hashes.append(h)
+        starts.append(start + at)
+        first += part
+    return Words(np.concatenate(hashes), np.repeat(np.arange(n_docs), np.diff(first)), first, np.concatenate(starts))
 
 
 def runs(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

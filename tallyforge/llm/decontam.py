@@ -1,33 +1,37 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items are joined on hashes of MIN_MATCH words in a row (seeds). Each pair that shares a seed is
+Documents and test items meet in a join on hashes of MIN_MATCH words in a row (seeds). Each pair that can count is
 tiled: rounds of Karp-Rabin matching find common runs of words of falling length; the longest unmarked run becomes
-a tile and is marked in both texts, so that tiles never overlap and their order doesn't matter. A pair counts if
+a tile and is marked in both texts, so that tiles never overlap and their order doesn't matter; of runs of one length
+the one that begins first in the text, and then in the item, is marked first. A pair counts if
 tiles cover THRESHOLD of the item's words: reordered passages are found like whole ones.
 
-The benchmark's size is checked: it is taken in blocks of BLOCK_ROWS items, each of them sent to the executors
-and met with all documents; more items mean more blocks, never fewer items.
+Both sides of the join are rows, whatever the benchmark's size. One pass over the documents keeps the seeds that a bit
+table of all items' seeds (of 2**MOST_BITS bits at most) lets through. A tile's words lie in common seeds. So only an
+item's rarest seeds are joined: those left out, the most frequent in documents, cover too few of its words to make a
+pair count by themselves. A seed that a third of all documents or of all items share joins nothing unless the item
+consists of such seeds. Before a pair is tiled, the item's words within common seeds are counted in the same way.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. Edge cases: null or empty texts and items
 have no words and match nothing; an item of fewer words than MIN_MATCH is one seed of all its words; repeated rows
-give repeated results; an empty table gives an empty one; extra columns are ignored.
+give repeated results; an empty table gives an empty one; extra columns are ignored. Ids may be of any type.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import Sent, by_step, known_few, materialize, small_batches
-from tallyforge.llm.textvec import PLAIN, U64, Members, mix, runs, word_hash, words
+from tallyforge.llm.textvec import PLAIN, U64, mix, runs, words
 
 MIN_MATCH, THRESHOLD = 4, 0.5
-#: Items of a block, and UTF-8 bytes that make a block of its own smaller.
-BLOCK_ROWS = 20_000
+#: Bits of the seeds' table for each seed, and the most that its size may be, as a power of 2 (8 MB to each executor).
+BITS_A_SEED, MOST_BITS = 16, 26
+#: Items that one row brings together with a document.
+LOT = 256
 
 
 def _keys(h: np.ndarray, k: int) -> np.ndarray:
@@ -86,73 +90,164 @@ def _longest(item: np.ndarray, text: np.ndarray, used_item: np.ndarray, used_tex
     return low
 
 
-class Seeds:
-    """A block of items, found by their seeds."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
-        self.items = [(i, w) for i, t in items if t and len(w := word_hash(t, PLAIN))]
-        long = [n for n, (_, w) in enumerate(self.items) if len(w) >= least]
-        parts = [_keys(self.items[n][1], least) for n in long]
-        seed = mix(np.concatenate(parts)) if parts else np.zeros(0, U64)
-        owner = np.repeat(np.array(long, np.int64), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        order = np.lexsort((owner, seed))
-        seed, owner = seed[order], owner[order]
-        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])]) if len(seed) else np.zeros(0, bool)
-        seed, self.owner = seed[new], owner[new]
-        only, self.first = np.unique(seed, return_index=True)
-        self.last = np.append(self.first[1:], len(seed))
-        self.members = Members(only)
-        self.short = [n for n, (_, w) in enumerate(self.items) if len(w) < least]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _covered(places: np.ndarray, n: int, k: int) -> int:
+    """How many of n words lie in runs of k from these places."""
+    step = np.zeros(n + k + 1, np.int64)
+    np.add.at(step, places, 1)
+    np.add.at(step, places + k, -1)
+    return int((np.cumsum(step)[:n] > 0).sum())
+
+
+def _seeds(w: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, place) of all k words in a row; seeds of different lengths differ."""
+    h, doc, at = runs(w, first, k)
+    return mix(h + U64(k)), doc, at
+
+
+def _items(benchmark: DataFrame, least: int) -> DataFrame:
+    """item (a number), item_id, words (their hashes) and seeds, an array with one seed a place, of items that have words."""
+
+    def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        w = words(data, offsets, PLAIN)
+        hashes, seeds = [], []
+        for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+            own = w.hashes[a:b]
+            hashes.append(own.tobytes())
+            seeds.append(_seeds(own, np.array([0, len(own)]), min(least, len(own)))[0].view(np.int64).tolist() if len(own) else [])
+        cols = [rows.column(0), pa.array(np.diff(w.first), pa.int32()), pa.array(hashes, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["item_id", "n", "words", "seeds"]).filter(pa.array(np.diff(w.first) > 0))
+
+    picked = benchmark.select("item_id", F.col("text").alias("__text"))
+    rows = picked.mapInArrow(by_step(of, "__text"), f"item_id {picked.schema['item_id'].dataType.simpleString()}, n int, words binary, seeds array<bigint>")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("item"), "*"), "items")
+
+
+def _filter_of(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """A bit table of all seeds, its number of bits as a power of 2, and the seeds' lengths that occur below the usual one."""
+    told = items.agg(F.sum(F.size("seeds")).alias("n"), F.collect_set(F.when(F.size("seeds") == 1, F.col("n"))).alias("short")).first()
+    bits = max(16, min(MOST_BITS, int((told["n"] or 1) * BITS_A_SEED).bit_length()))
+
+    def run(batches):
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            table[(batch.column(0).flatten().to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(table)
+        at = [i for i in range(0, len(packed), 4096) if packed[i : i + 4096].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed[i : i + 4096].tobytes() for i in at], pa.binary())], ["at", "part"])
+
+    def either(rows: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows.column("part").to_pylist()])
+        return pa.table({"at": rows.column("at").slice(0, 1), "part": pa.array([both.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in items.select("seeds").mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(either, "at int, part binary").collect():
+        out[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
+    return out, bits, sorted(told["short"])
+
+
+def _met(docs: DataFrame, table: np.ndarray, bits: int, lengths: list[int]) -> DataFrame:
+    """row (a number), doc_id, text and seeds (distinct) of the documents with a seed that the table lets through."""
+    sent = Sent(docs.sparkSession, table)
+
+    def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+        w = words(data, offsets, PLAIN)
+        found = [(np.zeros(0, U64), np.zeros(0, np.int64))]
+        for k in lengths:
+            seed, doc, _ = _seeds(w.hashes, w.first, k)
+            at = (seed >> U64(64 - bits)).astype(np.int64)
+            ok = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+            found.append((seed[ok], doc[ok]))
+        seed, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((seed, doc))
+        seed, doc = seed[order], doc[order]
+        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])]) if len(seed) else np.zeros(0, bool)
+        seed, doc = seed[new], doc[new]
+        first = np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(first), pa.array(seed.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*rows.columns, lists], ["doc_id", "text", "seeds"]).filter(pa.array(np.diff(first) > 0))
+
+    picked = docs.select("doc_id", "text")
+    rows = picked.mapInArrow(by_step(of), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string, seeds array<bigint>")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "met")
+
+
+def _rarest(items: DataFrame, seeds: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(seed, item): of each item the seeds that documents have, rarest first, without the last ones that cover too little by themselves."""
+    df = seeds.groupBy("seed").agg(F.count("*").alias("df"))
+    places = items.select("item", "n", F.posexplode("seeds").alias("at", "seed"))
+    told = places.join(df, "seed").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("df", "seed", "at"))).alias("found"))
+
+    def choose(batches):
+        for batch in batches:
+            item, out = [], []
+            found = batch.column(2)
+            for i in range(batch.num_rows):
+                n = batch.column(1)[i].as_py()
+                own = found[i].values
+                at, seed = own.field("at").to_numpy().astype(np.int64), own.field("seed").to_numpy()
+                k, need = min(least, n), threshold * n
+                # the most of the frequent end that covers less than what is needed: by halving, as more seeds cover more
+                low, high = 0, len(at)
+                while low < high:
+                    mid = (low + high + 1) // 2
+                    low, high = (mid, high) if _covered(at[len(at) - mid :], n, k) < need else (low, mid - 1)
+                rare = np.unique(seed[: len(at) - low])
+                item += [batch.column(0)[i].as_py()] * len(rare)
+                out.append(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *out])), pa.array(item, pa.int64())], ["seed", "item"])
+
+    return told.mapInArrow(choose, "seed bigint, item bigint")
+
+
+def _tiled(rows: DataFrame, least: int, threshold: float) -> DataFrame:
+    """row, text, items (array of item, words) to row, item, item_words, matched_words, n_tiles, coverage of the pairs that count."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = (batch.column(1)[i].as_py() or "").encode("utf-8", "replace")
+                w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), PLAIN).hashes
+                own, out = {}, []
+                for item, raw in zip(*(batch.column(2)[i].values.field(f).to_pylist() for f in ("item", "words")), strict=True):
+                    h = np.frombuffer(raw, U64)
+                    k = min(least, len(h))
+                    if k not in own:
+                        own[k] = np.unique(_keys(w, k))
+                    places = np.flatnonzero(np.isin(_keys(h, k), own[k]))
+                    if _covered(places, len(h), k) >= threshold * len(h):
+                        got = tile(h, w, least)
+                        matched = sum(t[2] for t in got)
+                        if matched >= threshold * len(h) and matched:
+                            out.append((batch.column(0)[i].as_py(), item, len(h), matched, len(got), matched / len(h)))
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "item", "item_words", "matched_words", "n_tiles", "coverage"])
+
+    return rows.select("row", "text", "items").mapInArrow(run, "row bigint, item bigint, item_words int, matched_words int, n_tiles int, coverage double")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and an item that it covers: doc_id, item_id, item_words, matched_words, n_tiles, coverage."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words int, matched_words int, n_tiles int, coverage double"
-    total = benchmark.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    blocks = max(1, -(-total["n"] // block_rows), -(-(total["b"] or 0) // (block_rows * 400)))
-    numbered = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    picked = docs.select("doc_id", F.col("text").alias("__text"))
-
-    def against(k: int) -> DataFrame:
-        items = [(r["item_id"], r["text"]) for r in (numbered.filter(F.col("block") == k) if blocks > 1 else numbered).collect()]
-        seeds = Sent(spark, Seeds(items, least))
-
-        def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
-            s = seeds.value
-            w = words(data, offsets, PLAIN)
-            pairs: set[tuple[int, int]] = set()
-            h = _keys(w.hashes, least)
-            place = s.members.places(mix(h))
-            at = np.flatnonzero(place >= 0)
-            at = at[at + least <= w.first[w.doc[at] + 1]] if len(at) else at
-            if len(at):
-                pair = np.unique(np.stack([w.doc[at], place[at]]), axis=1)
-                for d, p in pair.T:
-                    pairs |= {(int(d), int(n)) for n in s.owner[s.first[p] : s.last[p]]}
-            for n in s.short:
-                own = s.items[n][1]
-                seen, of_doc, _ = runs(w.hashes, w.first, len(own))
-                pairs |= {(int(d), n) for d in of_doc[seen == runs(own, np.array([0, len(own)]), len(own))[0][0]]}
-            ids, out = rows.column(0), []
-            for d, n in sorted(pairs):
-                item_id, item = s.items[n]
-                got = tile(item, w.hashes[w.first[d] : w.first[d + 1]], least)
-                matched = sum(t[2] for t in got)
-                if matched >= threshold * len(item):
-                    out.append((ids[d].as_py(), item_id, len(item), matched, len(got), matched / len(item)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = (ids.type, None, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t is not None else pa.array(c, pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "item_words", "matched_words", "n_tiles", "coverage"])
-
-        return picked.mapInArrow(by_step(of, "__text"), schema)
-
-    return reduce(DataFrame.union, [against(k) for k in range(blocks)])
+    small_batches(docs.sparkSession)
+    items = _items(benchmark, least)
+    table, bits, short = _filter_of(items)
+    met = _met(docs, table, bits, sorted({*(k for k in short if k < least), least}))
+    seeds = met.select("row", F.explode("seeds").alias("seed"))
+    rare = known_few(materialize(_rarest(items, seeds, least, threshold), "rarest"))
+    pairs = materialize(seeds.join(rare, "seed").select("row", "item").distinct(), "pairs")
+    # a document's items in lots, so that no row holds all items of a document that has many
+    lots = pairs.groupBy("row").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    dealt = pairs.join(lots, "row").withColumn("lot", F.pmod(F.xxhash64("item"), F.col("lots")))
+    dealt = dealt.join(items.select("item", "words"), "item").groupBy("row", "lot").agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    wanted = known_few(materialize(pairs.select("row").distinct(), "wanted"))
+    texts = met.join(wanted, "row", "left_semi").select("row", "text")
+    found = materialize(_tiled(dealt.join(texts, "row"), least, threshold), "tiled")
+    ids = met.select("row", "doc_id").join(known_few(materialize(found.select("row").distinct(), "rows")), "row", "left_semi")
+    return found.join(ids, "row").join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "item_words", "matched_words", "n_tiles", "coverage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that no item is found in; a null doc_id is never found and stays."""
-    found = materialize(contaminated(docs, benchmark, **how).filter("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(known_few(found), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that no item is found in, told by their texts: rows of a null or repeated id are judged each by its own."""
+    key = F.md5(F.col("text").cast("binary"))
+    found = materialize(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__md5")).distinct(), "contaminated")
+    return docs.join(known_few(found), key == F.col("__md5"), "left_anti").select(*docs.columns)

@@ -5,31 +5,38 @@ is drawn: whole passes first, then blocks in a permuted order until the rest of
 is drawn in part, document by document in a permuted order, and blocks and one document that fit fill what is then
 missing. The numbers of draws of all sources stand at the root
 of a binary tree over the output shards. Each node hands its left child half of its draws (exactly), as many of
-each source as an urn without replacement gives: a multivariate hypergeometric split. At the leaves a shard owns a
-run of each source's permuted draws, so shards are disjoint, and it is shuffled by a key of its own.
+each source as an urn without replacement gives: a multivariate hypergeometric split. It is drawn for groups of sources
+first, then, given a group's numbers, for the group's sources: a group is a row, so no row holds all sources. At the leaves a
+shard owns a run of each source's permuted draws, so shards are disjoint, and it is shuffled by a key of its own.
 
 Only sums by (source, block) are shuffled: BLOCKS rows a source at most, whatever the source's size; a hot source
-is in BLOCKS groups. Quotas and the tree have one entry a source.
+is in BLOCKS groups, and the block that it draws in part is sorted by ranges of hashes. The plan is one row a source: the permuted
+order is that of a hash, so that the runs of the shards and the blocks drawn are given by bounds of it.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last; sources of size 0 get target 0;
-repeated rows are taken alike (they share a hash); an empty table gives an empty mix; extra columns are kept,
-those named like a result's column (size, block, ...) are replaced by it.
+repeated rows (of one id and text) are taken alike; an empty table gives an empty mix; extra columns are kept as they are,
+but for those named like a result's (copy, shard, shuffle_key), which it replaces.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import materialize
+from tallyforge.llm.shared import discard, materialize
 
 #: Fixed values of the contract: weights in turn, the share of all sizes, the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCKS, SHARDS, SEED = 4096, 16, 42
-#: Rows of the plan (about 100 bytes each) up to which it is broadcast; above, Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
+#: Groups of sources in the tree.
+GROUPS = 64
+#: Bytes of the plan up to which it is broadcast; above, documents meet it in a shuffle, each source dealt to so many places.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+_LAST = (1 << 63) - 1
+PLACE = ["__skey", "__block", "__h", "__at"]
 
 
 def words_of(text: Column) -> Column:
@@ -37,124 +44,198 @@ def words_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """docs with size, skey (the source, never null), block and h (the order in a block)."""
-    out = docs.withColumn("size", words_of(F.col("text"))).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    out = out.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    return out.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(blocks)).cast("int"))
+    """docs with __skey (the source, never null), __h (the order in a block), __block and __at (a block's place in its source's permuted order)."""
+    if not 0 < blocks <= 4096:
+        raise ValueError("1 to 4096 blocks")  # a place holds the block in its 12 lowest bits
+    out = docs.withColumns({"__skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "__h": F.xxhash64(F.lit(seed), "doc_id", "text")})
+    out = out.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(blocks)).cast("int"))
+    return out.withColumn("__at", F.expr(f"(xxhash64({seed + 2}, __skey, __block) & -4096L) | cast(__block as bigint)"))
+
+
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes (skey, source_size) with nth, the source's place by code point, null last: by ranges and the sizes of those before."""
+    order = [F.col("skey") == "n", F.col("skey")]
+    ranges = materialize(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = ranges.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.join(F.broadcast(before.select("range", "before")), "range").select("skey", "source_size", (F.col("before") + rank - 1).alias("nth"))
+
+
+def _level(df: DataFrame, goal: float) -> float | None:
+    """The level at which sum(min(cap, level * w)) is goal, found in bins of cap / w, ever finer ones around it; None if all caps are below."""
+    below, above, width = 0.0, 0.0, F.floor(F.log2("ratio") * 64)
+    part = df.filter("ratio > 0")
+    while True:
+        bins = part.groupBy(width.alias("bin")).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).orderBy("bin").collect()
+        left = above + sum(b["w"] for b in bins)
+        for b in bins:
+            if below + b["cap"] + b["hi"] * (left - b["w"]) >= goal:
+                level = (goal - below) / left
+                if level <= b["lo"] or b["lo"] == b["hi"]:
+                    return level
+                lo, hi, above = b["lo"], b["hi"], left - b["w"]
+                part, width = df.filter(F.col("ratio").between(lo, hi)), F.floor((F.col("ratio") - lo) / (hi - lo) * 4095)
+                break
+            below, left = below + b["cap"], left - b["w"]
+        else:
+            return None
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """skey, source, source_size to the same with target: the level at which weights fill the share, no source above `most` of its size.
+    """skey, source_size to the same with target: the level at which weights fill the share, no source above `most` of its size."""
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    df = _numbered(sizes).withColumn("w", w).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    df = materialize(df.withColumn("ratio", F.col("cap") / F.col("w")), "mix-caps")
+    level = _level(df, share * (df.agg(F.sum("source_size")).first()[0] or 0))
+    return df.select("skey", "source_size", (F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))).alias("target"))
 
-    A source is at its cap if the level that the ones of larger cap-to-weight ratio leave is above its ratio; one row a source is sorted.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (turn + 1).cast("int"))
-    df = sizes.withColumn("w", w).withColumn("cap", F.lit(most) * F.col("source_size"))
-    up = Window.orderBy(F.col("cap") / F.col("w"), "skey")
-    df = df.withColumn("pos", F.row_number().over(up)).withColumn("total", F.sum("source_size").over(Window.partitionBy(F.lit(0))))
-    before = F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("level", (F.lit(share) * F.col("total") - before) / left)
-    first = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("pos", "level"))).over(Window.partitionBy(F.lit(0)))
-    df = df.withColumn("first", first)
-    return df.select("skey", "source", "source_size", F.least("cap", F.coalesce(F.col("first.level") * F.col("w"), F.col("cap"))).alias("target"))
-
-
-def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _log_factorial(n: str) -> str:
+    """Of a whole number: by a table below 16, else by Stirling's series."""
+    small = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(16))
+    return _let("f", f"cast({n} as double)", f"if(f < 16, element_at(array({small}), cast(f as int) + 1), (f + 0.5D) * ln(f) - f + {math.log(2 * math.pi) / 2!r}D + 1 / (12 * f) - 1 / (360 * f * f * f) + 1 / (1260 * f * f * f * f * f))")
+
+
+def _drawn(total: str, kind: str, draws: str, chance: str) -> str:
+    """How many of `kind` are among `draws` of `total` without replacement: the inverse of the distribution at `chance`, within 12 deviations of the mean."""
+    fall = lambda n: _log_factorial(n)
+    log_p = f"{fall('h.k')} - {fall('lo')} - {fall('h.k - lo')} + {fall('h.n - h.k')} - {fall('h.l - lo')} - {fall('h.n - h.k - h.l + lo')} - {fall('h.n')} + {fall('h.l')} + {fall('h.n - h.l')}"
+    step = "s.p * (h.k - t) * (h.l - t) / (cast(t + 1 as double) * (h.n - h.k - h.l + t + 1))"
+    walk = _let("p0", f"exp({log_p})", f"aggregate(sequence(lo, hi - 1), named_struct('p', p0, 'c', p0, 'x', lo), (s, t) -> {_let('q', step, "named_struct('p', q, 'c', s.c + q, 'x', if(s.c < h.u, t + 1, s.x))")}, s -> s.x)")
+    near = _let("e", "named_struct('m', h.l * (cast(h.k as double) / h.n), 'd', 12 + 12 * sqrt(h.l * (cast(h.k as double) / h.n) * (1 - cast(h.k as double) / h.n)))",
+                _let("lo", "greatest(0L, h.l + h.k - h.n, cast(floor(e.m - e.d) as bigint))", _let("hi", "least(h.k, h.l, cast(ceil(e.m + e.d) as bigint))", walk)))
+    return _let("h", f"named_struct('n', {total}, 'k', {kind}, 'l', {draws}, 'u', {chance})", f"if(greatest(0L, h.l + h.k - h.n) >= least(h.k, h.l), greatest(0L, h.l + h.k - h.n), {near})")
+
+
+def _left(seed: int, draws: str) -> str:
+    """Of `ks`, an array of (s, k): how many of each are among the left child's draws, one kind after the other from what is left of the urn."""
+    chance = f"(shiftrightunsigned(xxhash64({seed}, node, x.s), 11) + 0.5D) * {2.0**-53!r}D"
+    took = _let("v", _drawn("acc.n", "x.k", "acc.l", chance), "named_struct('n', acc.n - x.k, 'l', acc.l - v, 'out', array_append(acc.out, v))")
+    return f"aggregate(ks, named_struct('n', aggregate(ks, 0L, (a, x) -> a + x.k), 'l', {draws}, 'out', cast(array() as array<bigint>)), (acc, x) -> {took}, acc -> acc.out)"
+
+
+def _children(nodes: DataFrame, keep: str = "") -> DataFrame:
+    """A node's rows for both children; `left` says what goes to the left one."""
+    half = lambda side, k: f"named_struct('node', 2 * node + {side}, 'ks', zip_with(ks, `left`, (x, y) -> named_struct('s', x.s, 'k', {k})){keep.format(side=side)})"
+    return nodes.select(F.explode(F.expr(f"array({half(0, 'y')}, {half(1, 'x.k - y')})")).alias("c"), *(["g"] if keep else [])).select("c.*", *(["g"] if keep else []))
+
+
+def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups: int = GROUPS) -> DataFrame:
     """(skey, quota) to (skey, shard, q): the tree's leaves. shards is a power of 2.
 
-    An urn of a node holds its draws; the left child takes them one by one without replacement, each with the chance
-    (places left) / (draws left). A node is one row with an array of one entry a source.
+    The tree is split for groups of sources, a node a row, then for each group's sources, a node of a group a row.
     """
     depth = shards.bit_length() - 1
     if 1 << depth != shards:
         raise ValueError("shards is a power of 2")
-    nodes = quotas.filter(F.col("quota") > 0).agg(F.sort_array(F.collect_list(F.struct(F.col("skey").alias("s"), F.col("quota").cast("bigint").alias("k")))).alias("ks")).select(F.lit(1).cast("bigint").alias("node"), "ks")
-    chance = f"(pmod(xxhash64({seed}, node, x.s, t), 1073741824) + 0.5D) / 1073741824"
-    urn = f"if(x.k > 0, aggregate(sequence(1L, greatest(x.k, 1L)), acc.l, (l, t) -> l - if({chance} * (acc.n - t + 1) < l, 1L, 0L)), acc.l)"
-    left = f"""aggregate(ks, named_struct('n', draws, 'l', draws div 2 + if(draws % 2 = 1 and pmod(xxhash64({seed}, node), 2) = 0, 1L, 0L), 'out', cast(array() as array<bigint>)),
-        (acc, x) -> element_at(transform(array({urn}), v -> named_struct('n', acc.n - x.k, 'l', v, 'out', array_append(acc.out, acc.l - v))), 1), acc -> acc.out)"""
+    pair = F.struct(F.col("skey").alias("s"), F.col("quota").cast("bigint").alias("k"))
+    urns = quotas.filter(F.col("quota") > 0).groupBy(F.pmod(F.xxhash64(F.lit(seed), "skey"), F.lit(groups)).cast("int").alias("g")).agg(F.sort_array(F.collect_list(pair)).alias("ks"))
+    urns = materialize(urns, "mix-urns")
+    all_ = urns.select(F.struct(F.col("g").alias("s"), F.expr("aggregate(ks, 0L, (a, x) -> a + x.k)").alias("k")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("ks"))
+    nodes = all_.select(F.lit(1).cast("bigint").alias("node"), "ks")
+    half = f"{_let('d', 'aggregate(ks, 0L, (a, x) -> a + x.k)', f'd div 2 + if(d % 2 = 1 and pmod(xxhash64({seed}, node), 2) = 0, 1L, 0L)')}"
     for _ in range(depth):
-        nodes = nodes.withColumn("draws", F.expr("aggregate(ks, 0L, (a, x) -> a + x.k)")).withColumn("left", F.expr(left))
-        nodes = nodes.select(
-            F.explode(F.expr("array(named_struct('node', 2 * node, 'ks', zip_with(ks, left, (x, y) -> named_struct('s', x.s, 'k', y))), named_struct('node', 2 * node + 1, 'ks', zip_with(ks, left, (x, y) -> named_struct('s', x.s, 'k', x.k - y))))")).alias("c")
-        ).select("c.node", "c.ks")
+        nodes = _children(nodes.withColumn("left", F.expr(_left(seed, half))))
+    leaves = nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("ks").alias("x")).groupBy(F.col("x.s").alias("g")).agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "x.k"))), lambda x: x["k"]).alias("qs"))
+    nodes = urns.join(leaves, "g").select("g", F.lit(1).cast("bigint").alias("node"), "ks", "qs")
+    for i in range(depth):
+        n = shards >> i + 1  # leaves below each child
+        nodes = _children(nodes.withColumn("left", F.expr(_left(seed + 1, f"aggregate(slice(qs, 1, {n}), 0L, (a, x) -> a + x)"))), f", 'qs', slice(qs, 1 + {n} * {{side}}, {n})")
     return nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("ks").alias("x")).select(F.col("x.s").alias("skey"), "shard", F.col("x.k").alias("q"))
 
 
 class Plan(NamedTuple):
-    sources: DataFrame  # skey, source, source_size, target
-    blocks: DataFrame  # skey, block, source_size, target, draws: array of (pass, shard, first, cut): h from first to cut is taken, null for no bound
+    rows: DataFrame  # doc_id, size and place (PLACE) of each document
+    #: skey, source_size, target, full (whole passes), limit (blocks before this place are in the last pass, all without one), part_at and cut (of this place
+    #: documents up to the cut are), fills (blocks that are), extra_h and extra_block (a document that is), bounds (pass and place at which each next shard begins)
+    sources: DataFrame
+
+
+def _cut(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Of part (skey, block, want): the last hash up to which documents in order fit into want, and their words. Ranges of hashes first, then one range's documents."""
+    inner = rows.select(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__h").alias("h"), "size").join(part, ["skey", "block"])
+    inner = materialize(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)), "mix-part")
+    ranges = inner.groupBy("skey", "want", "range").agg(F.sum("size").alias("size"), F.max("h").alias("h")).withColumn("upto", F.sum("size").over(Window.partitionBy("skey").orderBy("range")))
+    fits = F.col("upto") <= F.col("want")
+    told = ranges.groupBy("skey", "want").agg(F.max(F.when(fits, F.col("h"))).alias("h0"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("base"), F.min(F.when(~fits, F.col("range"))).alias("range"))
+    last = inner.join(told.select("skey", "range", "base"), ["skey", "range"]).withColumn("upto", F.col("base") + F.sum("size").over(Window.partitionBy("skey").orderBy("h")))
+    last = last.filter(fits).groupBy("skey").agg(F.max("h").alias("h1"), F.max("upto").alias("upto"))
+    return told.join(last, "skey", "left").select("skey", F.coalesce("h1", "h0").alias("cut"), (F.col("want") - F.coalesce("upto", "base")).alias("gap"))
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
     """docs needs doc_id, text, source."""
-    light = materialize(keyed(docs.select("doc_id", "text", "source"), blocks, seed).select("skey", "source", "block", "h", "size"), "mix-rows")
-    sums = materialize(light.groupBy("skey", "block").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "mix-blocks")
-    sources = materialize(targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))), "mix-sources")
+    rows = materialize(keyed(docs.select("doc_id", "text", "source"), blocks, seed).select("doc_id", words_of(F.col("text")).alias("size"), *PLACE), "mix-rows")
+    sums = materialize(rows.groupBy(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__at").alias("at")).agg(F.sum("size").alias("words")), "mix-blocks")
+    sources = materialize(targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size"))), "mix-sources")
     fill = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    df = sums.drop("source").join(sources.drop("source"), "skey").withColumn("full", fill.cast("bigint"))
+    df = sums.join(sources, "skey").withColumn("full", fill.cast("bigint"))
     df = df.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), F.col("skey"), F.col("block")), "block")
-    df = df.withColumn("rank", F.row_number().over(order)).withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    df = df.withColumn("n_blocks", F.count("*").over(Window.partitionBy("skey")))
+    order = Window.partitionBy("skey").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("before", F.sum("words").over(order) - F.col("words"))
     df = df.withColumn("kind", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none"))
-    df = materialize(df, "mix-order")
-    # the block that is drawn in part: at most one a source; its documents in order while they fit
-    part = df.filter("kind = 'part'").select("skey", "block", (F.col("rest") - F.col("before")).alias("want"))
-    inner = light.join(part, ["skey", "block"]).groupBy("skey", "block", "want", "h").agg(F.sum("size").alias("size"))
-    inner = inner.withColumn("upto", F.sum("size").over(Window.partitionBy("skey", "block").orderBy("h")))
-    fits = F.col("upto") <= F.col("want")
-    cuts = inner.groupBy("skey", "block", "want").agg(F.max(F.when(fits, F.col("h"))).alias("cut"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("upto"))
-    gaps = cuts.select("skey", F.col("block").alias("at_block"), "cut", (F.col("want") - F.col("upto")).alias("gap"))
+    df = materialize(df.drop("source_size", "target"), "mix-order")
+    # the block that is drawn in part, at most one a source: its documents in order while they fit
+    part = df.filter("kind = 'part'")
+    gaps = _cut(rows, part.select("skey", "block", (F.col("rest") - F.col("before")).alias("want"))).join(part.select("skey", F.col("at").alias("part_at")), "skey")
     df = df.join(gaps, "skey", "left").withColumn("kind", F.when((F.col("kind") == "part") & F.col("cut").isNull(), "none").otherwise(F.col("kind")))
     # then later blocks that fit into what is missing, in the permuted order
-    could = (F.col("kind") == "none") & (F.col("words") <= F.col("gap")) & (F.col("block") != F.col("at_block"))
-    df = df.withColumn("upto", F.when(could, F.sum(F.when(could, F.col("words"))).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    df = df.withColumn("kind", F.when(F.col("upto") <= F.col("gap"), "fill").otherwise(F.col("kind")))
-    filled = F.max(F.when(F.col("kind") == "fill", F.col("upto"))).over(Window.partitionBy("skey"))
-    df = materialize(df.withColumn("gap", F.col("gap") - F.coalesce(filled, F.lit(0))).drop("upto"), "mix-cuts")
-    # and at last the one document left whose size is nearest to what is still missing
-    left = (F.col("kind") == "none") | ((F.col("block") == F.col("at_block")) & (F.col("h") > F.col("cut")))
-    rest = light.join(df.select("skey", "block", "kind", "gap", "at_block", "cut", "full").filter("gap > 0"), ["skey", "block"]).filter(left)
-    rest = rest.groupBy("skey", "block", "h", "gap", "full").agg(F.sum("size").alias("size"))
-    best = rest.groupBy("skey", "gap", "full").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "h", "block")).alias("b")).filter("b.miss < gap")
-    n_draws = F.col("full") + F.when(F.col("kind") == "none", 0).otherwise(1)
-    whole = F.when(F.col("kind") == "part", F.col("cut"))
-    draws = df.select("skey", "block", whole.alias("cut"), "full", "kind", F.explode(F.expr("sequence(0L, full)")).alias("pass"), ((F.col("rank") - 1) + F.col("n_blocks") * F.col("pass")).alias("at")).filter((F.col("pass") < F.col("full")) | (F.col("kind") != "none"))
-    draws = draws.select("skey", "block", "full", "pass", "at", F.lit(None).cast("bigint").alias("first"), "cut")
-    draws = draws.unionByName(best.select("skey", "b.block", "full", F.col("full").alias("pass"), F.lit(1 << 62).alias("at"), F.col("b.h").alias("first"), F.col("b.h").alias("cut")))
-    quotas = df.select("skey", n_draws.alias("n")).unionByName(best.select("skey", F.lit(1).cast("bigint").alias("n"))).groupBy("skey").agg(F.sum("n").alias("quota"))
-    leaves = split_tree(quotas, shards, seed)
-    run = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    places = leaves.filter("q > 0").withColumn("end", F.sum("q").over(run)).select("skey", "shard", F.explode(F.expr("sequence(end - q, end - 1)")).alias("nth"))
-    # a source's draws are numbered without gaps: passes first, then the permuted order
-    draws = draws.withColumn("nth", (F.row_number().over(Window.partitionBy("skey").orderBy("at")) - 1).cast("bigint"))
-    in_part = F.col("pass") == F.col("full")
-    owned = draws.join(places, ["skey", "nth"]).groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "shard", F.when(in_part, F.col("first")).alias("first"), F.when(in_part, F.col("cut")).alias("cut")))).alias("draws"))
-    owned = df.select("skey", "block", "source_size", "target").join(owned, ["skey", "block"], "left").withColumn("draws", F.expr("coalesce(draws, cast(array() as array<struct<pass:int,shard:int,first:bigint,cut:bigint>>))"))
-    return Plan(sources, materialize(owned, "mix-plan"))
-
-
-def planned(docs: DataFrame, made: Plan, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and draws: array of (pass, shard) in which the document is."""
-    rows = keyed(docs, blocks, seed)
-    side = made.blocks
-    if side.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    clash = [c for c in ("source_size", "target", "draws") if c in rows.columns]
-    got = rows.drop(*clash).join(side, ["skey", "block"])
-    return got.withColumn("draws", F.expr("transform(filter(draws, d -> (d.first is null or h >= d.first) and (d.cut is null or h <= d.cut)), d -> named_struct('pass', d.pass, 'shard', d.shard))"))
+    could = (F.col("kind") == "none") & F.col("words").between(1, F.col("gap")) & (F.col("at") != F.col("part_at"))
+    df = df.withColumn("upto", F.when(could, F.sum(F.when(could, F.col("words"))).over(order)))
+    filled = F.col("upto") <= F.col("gap")
+    df = materialize(df.withColumn("kind", F.when(filled, "fill").otherwise(F.col("kind"))).withColumn("filled", F.when(filled, F.col("words"))), "mix-kinds")
+    drawn = F.col("kind") != "none"
+    one = df.groupBy("skey").agg(
+        F.max("full").alias("full"), F.min(F.when(F.col("kind") != "whole", F.col("at"))).alias("limit"), F.max(F.when(F.col("kind") == "part", F.col("at"))).alias("part_at"),
+        F.max("cut").alias("cut"), F.sort_array(F.collect_list(F.when(F.col("kind") == "fill", F.col("block")))).alias("fills"), (F.max("gap") - F.coalesce(F.sum("filled"), F.lit(0))).alias("gap"),
+        F.sum(F.col("full") + drawn.cast("int")).alias("quota"),
+    )
+    one = materialize(one, "mix-one")
+    # and at last the one document left whose size is nearest to what is still missing; repeated rows count together, each of them is smaller
+    taken = F.coalesce(F.col("__at") < F.col("limit"), F.lit(True)) | F.coalesce((F.col("__at") == F.col("part_at")) & (F.col("__h") <= F.col("cut")), F.lit(False)) | F.array_contains("fills", F.col("__block"))
+    left = rows.join(one.filter("gap > 0").select(F.col("skey").alias("__skey"), "gap", "limit", "part_at", "cut", "fills"), "__skey").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~taken)
+    left = left.groupBy("__skey", "__block", "__h", "gap").agg(F.sum("size").alias("size"))
+    best = left.groupBy("__skey", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "__h", "__block")).alias("b")).filter("b.miss < gap")
+    one = one.join(best.select(F.col("__skey").alias("skey"), F.col("b.__h").alias("extra_h"), F.col("b.__block").alias("extra_block")), "skey", "left")
+    one = materialize(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")), "mix-quotas")
+    # a source's draws in order, numbered without gaps; a shard's run begins where the runs of those before it end
+    draws = df.select("skey", "at", F.explode(F.expr("sequence(0L, full)")).alias("pass"), "full", "kind").filter((F.col("pass") < F.col("full")) | drawn).select("skey", "pass", "at")
+    draws = draws.unionByName(one.filter("extra_h is not null").select("skey", F.col("full").alias("pass"), F.lit(_LAST).alias("at")))
+    draws = draws.withColumn("nth", F.row_number().over(Window.partitionBy("skey").orderBy("pass", "at")).cast("bigint") - 1)
+    ends = split_tree(one.select("skey", "quota"), shards, seed).withColumn("nth", F.sum("q").over(Window.partitionBy("skey").orderBy("shard")))
+    bounds = draws.join(ends.select("skey", "nth"), ["skey", "nth"]).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("pass", "at"))).alias("bounds"))
+    out = sources.join(one.drop("gap", "quota"), "skey").join(bounds, "skey", "left")
+    out = materialize(out.withColumn("bounds", F.coalesce("bounds", F.expr("cast(array() as array<struct<pass:bigint,at:bigint>>)"))), "mix-plan")
+    discard(sums, df)
+    return Plan(rows, out)
+
+
+def _drawn_in(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (with PLACE) with __plan, their source's row, and __draws: array of (pass, shard) in which the document is."""
+    n_bytes = sources.agg(F.sum(F.octet_length("skey") + 200 + 48 * F.size("bounds") + 4 * F.size("fills"))).first()[0] or 0
+    side = sources.select(F.col("skey").alias("__skey"), F.struct("*").alias("__plan"))
+    if n_bytes <= BROADCAST_BYTES:
+        got = rows.join(F.broadcast(side), "__skey")
+    else:
+        side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        got = rows.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(side, ["__skey", "__salt"]).drop("__salt")
+    extra = "coalesce(__h = __plan.extra_h and __block = __plan.extra_block, false)"
+    last = f"(coalesce(__at < __plan.limit, true) or coalesce(__at = __plan.part_at and __h <= __plan.cut, false) or array_contains(__plan.fills, __block) or {extra})"
+    passes = f"filter(transform(sequence(0L, __plan.full), p -> named_struct('pass', p, 'at', if(p = __plan.full and {extra}, {_LAST}L, __at))), d -> d.pass < __plan.full or {last})"
+    shard = "size(filter(__plan.bounds, b -> b.pass < d.pass or (b.pass = d.pass and b.at <= d.at)))"
+    return got.withColumn("__draws", F.expr(f"transform({passes}, d -> named_struct('pass', cast(d.pass as int), 'shard', {shard}))"))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix: docs' columns with copy, shard and shuffle_key, a row for each draw of each document."""
-    got = planned(docs, plan(docs, shards, blocks, seed), blocks, seed)
+    got = _drawn_in(keyed(docs, blocks, seed), plan(docs, shards, blocks, seed).sources)
     own = [c for c in docs.columns if c not in ("copy", "shard", "shuffle_key")]
-    out = got.select(*own, "h", F.explode("draws").alias("d"))
-    return out.select(*own, F.col("d.pass").alias("copy"), F.col("d.shard").alias("shard"), F.xxhash64(F.lit(seed + 3), "d.shard", "d.pass", "h").alias("shuffle_key"))
+    out = got.select(*own, "__h", F.explode("__draws").alias("__d"))
+    return out.select(*own, F.col("__d.pass").alias("copy"), F.col("__d.shard").alias("shard"), F.xxhash64(F.lit(seed + 3), "__d.shard", "__d.pass", "__h").alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
@@ -163,6 +244,9 @@ def shuffled(mixed: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    light = docs.select("doc_id", "text", "source")
-    return planned(light, plan(light)).select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), F.col("target").cast("double").alias("target"), (F.col("size") * F.size("draws")).cast("bigint").alias("taken"))
+    """doc_id, size, source_size, target, taken and draws (copy:shard, joined by commas) of every document."""
+    made = plan(docs)
+    return _drawn_in(made.rows, made.sources).select(
+        "doc_id", "size", F.col("__plan.source_size").cast("bigint").alias("source_size"), F.col("__plan.target").cast("double").alias("target"), (F.col("size") * F.size("__draws")).cast("bigint").alias("taken"),
+        F.array_join(F.transform("__draws", lambda d: F.concat(d["pass"], F.lit(":"), d["shard"])), ",").alias("draws"),
+    )

@@ -2,7 +2,9 @@
 
 An as-of join in two levels, as one URL may hold a third of all records: records are dealt by (URL, slice of
 time); within a slice a running maximum finds the latest earlier response, and what a slice doesn't hold comes
-from the last response of the URL's earlier slices, of which there is one row each.
+from the last response of the URL's earlier slices, of which there is one row each. Slices are quantiles of all records'
+times, so none holds many more than others, whatever the span. A time that is itself a quantile twice (or null) is a slice of its
+own and is dealt further: its records, being of one time, find nothing among themselves.
 
 A revisit is resolved if a validator agrees: its ETag (weak comparison) if both have one, else its Last-Modified,
 else the payload digest. Headers of the 304 replace those of the response, but for those that describe a body or a
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+SLICES, SALTS = 256, 64
 #: Headers that a 304 doesn't change in the stored response.
 KEPT_BACK = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$"
@@ -46,6 +48,18 @@ def merged(stored: Column, fresh: Column) -> Column:
     return F.array_sort(F.concat(F.filter(stored, lambda h: ~F.array_contains(names, h["name"])), may))
 
 
+def _slice(df: DataFrame, slices: int) -> Column:
+    """Even numbers for times that are slices of their own, odd ones for those between; -2 for null."""
+    found = df.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    bounds = sorted(set(found))
+    heavy = [b for b in bounds if found.count(b) > 1]
+    # how many bounds aren't above the time: whole sixteens first, then within one
+    ts, all_ = F.col("ts"), F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    tens = F.size(F.filter(F.array(*map(F.lit, bounds[15::16])).cast("array<bigint>"), lambda b: b <= ts))
+    n = 16 * tens + F.size(F.filter(F.slice(all_, 16 * tens + 1, 16), lambda b: b <= ts))
+    return F.when(ts.isNull(), -2).otherwise(2 * n + (~ts.isin(heavy)).cast("int")).cast("bigint")
+
+
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """records: record_id, url, ts (bigint), kind ('response' or 'revisit'), etag, last_modified, digest, headers (array of (name, value)).
 
@@ -54,13 +68,12 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     # null URLs meet under a key that no URL has, as they begin with a letter or digit once they are canonical
     df = records.withColumn("canonical_url", canonical(F.col("url"))).withColumn("k", F.coalesce("canonical_url", F.lit("\x00"))).withColumn("at", F.coalesce(F.col("ts"), F.lit(_LONG_AGO)))
-    span = df.filter(F.col("ts").isNotNull()).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, width = (span["lo"], max(1, -(-(span["hi"] - span["lo"] + 1) // slices))) if span["lo"] is not None else (0, 1)
-    df = df.withColumn("slice", F.when(F.col("ts").isNull(), -1).otherwise(F.floor((F.col("ts") - lo) / width)).cast("bigint"))
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", "headers"))
-    earlier = Window.partitionBy("k", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    here = df.withColumn("full", full).withColumn("near", F.max("full").over(earlier)).filter(F.col("kind") == "revisit")
-    last = df.withColumn("full", full).groupBy("k", "slice").agg(F.max("full").alias("full"))
+    df = df.withColumn("slice", _slice(df, slices))
+    salt = F.when(F.pmod("slice", F.lit(2)) == 0, F.pmod(F.xxhash64("record_id"), F.lit(SALTS))).otherwise(0)
+    df = df.withColumn("salt", salt).withColumn("full", F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", "headers")))
+    earlier = Window.partitionBy("k", "slice", "salt").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    here = df.withColumn("near", F.max("full").over(earlier)).filter(F.col("kind") == "revisit")
+    last = df.groupBy("k", "slice").agg(F.max("full").alias("full"))
     far = last.withColumn("far", F.max("full").over(Window.partitionBy("k").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1))).select("k", "slice", "far")
     got = here.join(far, ["k", "slice"], "left").withColumn("hit", F.coalesce("near", "far"))
     hit = F.col("hit")
@@ -83,24 +96,32 @@ def _headers(**named: Column) -> Column:
 
 
 def crawl(pages: DataFrame) -> DataFrame:
-    """Records of a crawl of `pages`, which has no headers: each page is a response at twice its id, and is asked for again
-    right after. Every fifth revisit has a stale ETag, every seventh no ETag but a date, every eleventh only a digest."""
+    """Records of a crawl of `pages`, which has no headers: each page is a response, is asked for again right after, and brings
+    its host's robots.txt along, of which only every third is a full response and which changes every 40 pages: its revisits
+    refer to what other pages brought. Every fifth page's revisit has a stale ETag, every seventh none but a date, every eleventh only a digest."""
     p = F.coalesce("page_id", F.lit(0))
     digest, date = F.md5(F.coalesce("html", F.lit("")).cast("binary")), (p % 1000).cast("string")
-    base = pages.select("page_id", "url", p.alias("p"), digest.alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("n"), date.alias("date"))
+    base = pages.select("url", p.alias("p"), digest.alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("n"), date.alias("date"))
     tag = F.concat(F.lit('"'), F.substring("digest", 1, 12), F.lit('"'))
-    response = base.select(
-        (2 * F.col("p")).alias("record_id"), "url", (2 * F.col("p")).alias("ts"), F.lit("response").alias("kind"),
-        F.when(F.col("p") % 11 != 0, tag).alias("etag"), F.col("date").alias("last_modified"), "digest",
-        _headers(cache_control=F.lit("max-age=60"), content_length=F.col("n"), content_type=F.lit("text/html"), date=F.col("date")).alias("headers"),
-    )
-    revisit = base.select(
-        (2 * F.col("p") + 1).alias("record_id"), "url", (2 * F.col("p") + 1).alias("ts"), F.lit("revisit").alias("kind"),
-        F.when(F.col("p") % 5 == 0, F.lit('"stale"')).when((F.col("p") % 7 != 0) & (F.col("p") % 11 != 0), F.concat(F.lit("W/"), tag)).alias("etag"),
-        F.when(F.col("p") % 11 != 0, F.col("date")).alias("last_modified"), "digest",
-        _headers(content_length=F.lit(0), date=(F.col("p") + 1) % 1000, expires=F.lit("0")).alias("headers"),
+    full = F.col("p") % 3 == 0
+    version = F.concat(F.lit("r"), F.floor(F.col("p") / 40).cast("string"))
+    asked = (F.col("p") % 7 != 0) & (F.col("p") % 11 != 0)
+    old = _headers(cache_control=F.lit("max-age=60"), content_length=F.col("n"), content_type=F.lit("text/html"), date=F.col("date"))
+    fresh = _headers(content_length=F.lit(0), date=(F.col("p") + 1) % 1000, expires=F.lit("0"))
+
+    def record(nth: int, kind: Column, etag: Column, modified: Column, digest: Column, headers: Column, url: Column) -> DataFrame:
+        at = 4 * F.col("p") + nth
+        return base.select(at.alias("record_id"), url.alias("url"), at.alias("ts"), kind.alias("kind"), etag.alias("etag"), modified.alias("last_modified"), digest.alias("digest"), headers.alias("headers"))
+
+    response = record(0, F.lit("response"), F.when(F.col("p") % 11 != 0, tag), F.col("date"), F.col("digest"), old, F.col("url"))
+    weak = F.when(F.col("p") % 5 == 0, F.lit('"stale"')).when(asked, F.concat(F.lit("W/"), tag))
+    revisit = record(1, F.lit("revisit"), weak, F.when(F.col("p") % 11 != 0, F.col("date")), F.col("digest"), fresh, F.col("url"))
+    robots = record(
+        2, F.when(full, "response").otherwise("revisit"), F.when(full, version).when(asked, F.concat(F.lit("W/"), version)), F.when(full | (F.col("p") % 11 != 0), version), F.md5(version.cast("binary")),
+        F.when(full, _headers(cache_control=F.lit("max-age=9"), content_length=F.col("p"), content_type=F.lit("text/plain"), date=F.col("date"))).otherwise(fresh),
+        F.regexp_replace("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*).*$", "$1/robots.txt"),
     )
-    return response.unionByName(revisit)
+    return response.unionByName(revisit).unionByName(robots)
 
 
 def headers_as_text(rows: DataFrame) -> DataFrame:
@@ -109,31 +130,35 @@ def headers_as_text(rows: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 with b as (
-  select coalesce(page_id, 0) as p, url, md5(coalesce(html, '')) as digest, length(coalesce(html, '')) as n, cast(coalesce(page_id, 0) % 1000 as varchar) as date,
-    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/@]*@)?', '') as bare
+  select coalesce(page_id, 0) as p, url, md5(coalesce(html, '')) as digest, length(coalesce(html, '')) as n, cast(coalesce(page_id, 0) % 1000 as varchar) as date, 'r' || (coalesce(page_id, 0) // 40) as version
   from pages
+), rec as (
+  select 4 * p as id, p, url, 'response' as kind, case when p % 11 <> 0 then '"' || substr(digest, 1, 12) || '"' end as tag, date as modified, digest, 'max-age=60' as cache, n as len, 'text/html' as type from b
+  union all
+  select 4 * p + 1, p, url, 'revisit', case when p % 5 = 0 then '"stale"' when p % 7 <> 0 and p % 11 <> 0 then '"' || substr(digest, 1, 12) || '"' end, case when p % 11 <> 0 then date end, digest, null, null, null from b
+  union all
+  select 4 * p + 2, p, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*).*$', '\1/robots.txt'), case when p % 3 = 0 then 'response' else 'revisit' end,
+    case when p % 3 = 0 or (p % 7 <> 0 and p % 11 <> 0) then version end, case when p % 3 = 0 or p % 11 <> 0 then version end, md5(version), 'max-age=9', p, 'text/plain' from b
+), bare as (
+  select *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/@]*@)?', '') as bare from rec
 ), c as (
-  select *, '"' || substr(digest, 1, 12) || '"' as tag,
-    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$'))) as kept
-  from b
+  select *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$'))) as kept from bare
 ), r as (
   select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^(www|m)\.', ''), ':(80|443)$', '')
     || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as canonical_url
   from c
-), v as (
-  select *, case when p % 5 = 0 then '"stale"' when p % 7 <> 0 and p % 11 <> 0 then tag end as asked_tag, case when p % 11 <> 0 then date end as asked_date from r
 ), f as (
-  select p as rp, canonical_url as u, case when p % 11 <> 0 then tag end as own_tag, date as own_date, digest as own_digest, n as own_n from r
+  select id as fid, canonical_url as u, tag as own_tag, modified as own_modified, digest as own_digest, cache as own_cache, len as own_len, type as own_type from r where kind = 'response'
 ), j as (
-  select v.*, f.* from v asof left join f on v.canonical_url = f.u and v.p >= f.rp
+  select v.*, f.* from (select * from r where kind = 'revisit') v asof left join f on v.canonical_url = f.u and v.id > f.fid
 ), d as (
-  select *, case when rp is null then 'unresolved'
-    when asked_tag is not null and own_tag is not null then case when asked_tag = own_tag then 'etag' else 'changed' end
-    when asked_date is not null then case when asked_date = own_date then 'last-modified' else 'changed' end
+  select *, case when fid is null then 'unresolved'
+    when tag is not null and own_tag is not null then case when tag = own_tag then 'etag' else 'changed' end
+    when modified is not null and own_modified is not null then case when modified = own_modified then 'last-modified' else 'changed' end
     when digest = own_digest then 'digest' else 'changed' end as verdict
   from j
 )
-select 2 * p + 1 as record_id, canonical_url, 2 * p + 1 as ts, case when verdict not in ('unresolved', 'changed') then 2 * rp end as refers_to, verdict,
-  case when verdict not in ('unresolved', 'changed') then 'cache-control: max-age=60; content-length: ' || own_n || '; content-type: text/html; date: ' || cast((p + 1) % 1000 as varchar) || '; expires: 0' end as headers
+select id as record_id, canonical_url, id as ts, case when verdict not in ('unresolved', 'changed') then fid end as refers_to, verdict,
+  case when verdict not in ('unresolved', 'changed') then 'cache-control: ' || own_cache || '; content-length: ' || own_len || '; content-type: ' || own_type || '; date: ' || cast((p + 1) % 1000 as varchar) || '; expires: 0' end as headers
 from d
 """

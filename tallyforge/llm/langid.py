@@ -23,6 +23,8 @@ from tallyforge.llm.shared import Sent, by_step, small_batches, steps
 
 #: Labelled documents to learn from: of each language, and of all together at most. Documents of these many characters first.
 PER_LANG, MOST, LIKED = 300, 6000, (64, 8192)
+#: Languages (the commonest labels), and UTF-8 bytes of the whole sample, but for one document a language that may be longer.
+MOST_LANGS, MOST_BYTES = 1000, 64 << 20
 LANDMARKS, RIDGE = 128, 0.05
 UND = "und"
 
@@ -129,22 +131,27 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> list[tuple[str, str]]:
-    """A bounded sample of labelled documents, the same on each run: by the hash of the id, documents of a liked length first.
+def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST, most_bytes: int = MOST_BYTES) -> list[tuple[str, str]]:
+    """A bounded sample of labelled documents, the same on each run: by the hash of id and text, documents of a liked length first.
 
-    Ids are ranked first, then their texts are fetched.
+    Documents are ranked by a hash and their length first, then whole texts of those chosen are fetched. Repeated rows count once.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max(2, min(per_lang, most // max(1, len(count))))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    count = {r["lang"]: r["n"] for r in common}
+    each = max(1, min(per_lang, most // max(1, len(count))))
     # of a language with many rows a share by the hash is enough, so that what is ranked stays bounded
     share = F.coalesce(*(F.when(F.col("lang") == a, F.lit(8.0 * each / n)) for a, n in sorted(count.items()) if n > 8 * each), F.lit(2.0))
-    ranked = rows.select("doc_id", "lang", F.length("text").between(*LIKED).alias("liked"), F.xxhash64("doc_id").alias("h"))
-    ranked = ranked.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    first = Window.partitionBy("lang").orderBy(F.desc("liked"), "h", "doc_id")
-    ids = ranked.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("doc_id").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id").select("lang", "text", F.xxhash64("doc_id").alias("h")).limit(2 * most).collect()
-    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["text"]))]
+    some = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    if len(count) == MOST_LANGS:
+        some = some.filter(F.col("lang").isin(sorted(count)))
+    told = some.groupBy("lang", "h").agg(F.max(F.length("text").between(*LIKED)).alias("liked"), F.max(F.octet_length("text")).alias("bytes"))
+    first = Window.partitionBy("lang").orderBy(F.desc("liked"), "h")
+    told = told.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each)
+    before = F.sum("bytes").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    chosen = told.withColumn("before", before).filter((F.col("rank") == 1) | (F.col("before") + F.col("bytes") <= most_bytes // max(1, len(count)))).select("lang", "h")
+    got = some.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"]))]
 
 
 def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -183,8 +190,6 @@ def identify(docs: DataFrame, train: Column, keep: list[str]) -> DataFrame:
     return predict(docs, fit(sample(docs.filter(train))), keep)
 
 
-
-
 def known_only(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows of docs whose text is in some language with a score of `least` or more; columns as they are."""
     small_batches(docs.sparkSession)

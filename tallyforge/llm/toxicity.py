@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import Sent, by_step, small_batches
@@ -99,11 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) ->
     small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # of a label with many rows a share by the hash is enough, so that what is ranked stays bounded
     h = F.xxhash64("doc_id")
-    share = F.coalesce(*(F.when(F.col("y") == y, F.lit(1.5 * sizes[y] / n)) for y, n in total.items() if n > 1.5 * sizes[y]), F.lit(2.0))
-    ranked = known.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(h, "doc_id")))
-    chosen = ranked.filter(F.col("rank") <= F.when(F.col("y") == 1, sizes[1]).otherwise(sizes[0])).select("doc_id", "y")
+    firsts = [known.filter(F.col("y") == y).orderBy(h, "doc_id").limit(n) for y, n in sorted(sizes.items())]
+    chosen = firsts[0].unionByName(firsts[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def tally(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
@@ -135,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) ->
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInArrow(by_step(encode), f"doc_id {kind}, y int, bits binary").collect(), key=lambda r: (str(r["doc_id"]), r["bits"]))
+    shared.drop()
     if not got:
         return Machine(column, float(np.log(p / n)), np.zeros(len(picked), np.float32), np.zeros((len(picked), FACTORS), np.float32))
     x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(picked)].astype(np.float32)

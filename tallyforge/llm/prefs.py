@@ -14,9 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
-ASSISTANT = "assistant"
-
 
 def gather(turns: DataFrame) -> DataFrame:
     """conv_id and its turns in order, as an array of (turn, role, text)."""

@@ -36,7 +36,7 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("least_score")
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,8 @@ def test_adpcm_one_sample_at_a_time_and_round_trip(spark):
     assert got[3].tolist() == out
     media = spark.createDataFrame([(1, bytearray(telephony.wave(blocks.tobytes(), telephony.ADPCM, block=256))), (2, None)], "doc_id int, stored binary")
     r = {x["doc_id"]: x for x in telephony.to_pcm(media).collect()}
-    assert r[1]["rate"] == 16000 and np.frombuffer(r[1]["pcm"], "<i2")[::2].tolist() == got.reshape(-1).tolist() and r[2]["pcm"] is None
+    kind, rate, block, samples = telephony.unwave(bytes(r[1]["pcm"]))
+    assert (kind, rate, block, r[1]["rate"]) == (telephony.LINEAR, 16000, 2, 16000) and np.frombuffer(samples, "<i2")[::2].tolist() == got.reshape(-1).tolist() and r[2]["pcm"] is None
     with pytest.raises(ValueError):
         telephony.unwave(telephony.wave(b"abcd")[:-2])
 
@@ -187,8 +188,7 @@ def test_tiling(spark):
         marks = Counter(x for i, _, k in tiles for x in range(i, i + k)) + Counter(("t", x) for _, j, k in tiles for x in range(j, j + k))
         assert max(marks.values(), default=1) == 1
         want = slow_tiles(item, text, min(3, len(item)))
-        assert abs(sum(t[2] for t in tiles) - want) <= 3  # ties between tiles of one length may fall differently
-        assert bool(tiles) == bool(want)
+        assert sum(t[2] for t in tiles) == want
     item = noise(rng, 40)
     w = item.split()
     docs = [(1, noise(rng, 100) + " " + " ".join(w[20:] + w[:20]) + " " + noise(rng, 50)), (2, noise(rng, 200)), (3, " ".join(w[:15])), (4, item.upper().replace(" ", ", "))]

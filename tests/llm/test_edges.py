@@ -66,10 +66,12 @@ def test_decontamination(spark, docs, none):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()}
     assert got == {(103, 1), (None, 4), (102, 5)}
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
-    # blocks of the benchmark give the same pairs
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items, block_rows=2).collect()} == got
+    # ids of any type
+    odd = decontam.contaminated(docs.withColumn("doc_id", F.col("doc_id").cast("smallint")), items.withColumn("item_id", F.col("item_id").cast("decimal(9,2)")))
+    assert {(r["doc_id"], r["item_id"]) for r in odd.collect()} == got
     left = decontam.clean(docs, items)
-    assert left.columns == docs.columns and not {102, 103} & {r["doc_id"] for r in left.collect()} and left.filter("doc_id is null").count() == 1
+    assert left.columns == docs.columns and not {102, 103} & {r["doc_id"] for r in left.collect()} and left.filter("doc_id is null").count() == 0  # a row without an id is judged by its text, too
+    assert decontam.clean(docs, items.filter("item_id <> 4")).filter("doc_id is null").count() == 1
 
 
 def test_pii(docs, none):

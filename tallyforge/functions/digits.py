@@ -22,7 +22,12 @@ def text(n: Column) -> Column:
 
 
 def length(n: Column) -> Column:
-    return F.length(text(n))
+    """Digits of a whole number: by comparisons up to 18, which is generated code, beyond by its text."""
+    v = F.abs(n)
+    out = F.when(v < 10, 1)
+    for k in range(2, 19):
+        out = out.when(v < 10**k, k)
+    return out.when(v.isNotNull(), F.length(v.cast("string")))
 
 
 def nonzero(n: Column) -> Column:
@@ -77,8 +82,10 @@ def place_values(n: Column) -> Column:
 
 
 def carry_pairs(a: Column, b: Column) -> Column:
-    """Pairs of digits whose product is 10 or more."""
-    return F.size(F.filter(F.flatten(F.transform(digits(a), lambda x: F.transform(digits(b), lambda y: x * y))), lambda p: p >= 10))
+    """Pairs of digits whose product is 10 or more: a 2 carries with 5 and more, a 3 with 4 and more, a 4 with 3 and more, larger ones with 2 and more."""
+    left = lambda n, drop: F.length(F.translate(text(n), drop, ""))
+    least = {k: left(b, "0123456789"[:k]) for k in (2, 3, 4, 5)}
+    return left(a, "013456789") * least[5] + left(a, "012456789") * least[4] + left(a, "012356789") * least[3] + left(a, "01234") * least[2]
 
 
 def ot_cost(a: Column, b: Column) -> Column:
@@ -129,6 +136,11 @@ def rc_cost(a: Column, b: Column, bases: list[int] | None = None) -> Column:
 
 def nearest_base(n: Column, bases) -> Column:
     """The nearest base; of two the one listed first."""
+    if list(bases) == sorted(bases):  # up to the middle between it and the next: comparisons only
+        out = F.when(n.isNull(), F.lit(None).cast("bigint"))
+        for low, high in zip(bases, bases[1:]):
+            out = out.when(2 * n <= low + high, F.lit(low).cast("bigint"))
+        return out.otherwise(F.lit(bases[-1]).cast("bigint"))
     return F.array_min(F.array(*(F.struct(F.abs(n - x).alias("d"), F.lit(i).alias("i"), F.lit(x).cast("bigint").alias("base")) for i, x in enumerate(bases))))["base"]
 
 
@@ -165,8 +177,37 @@ def applicability(a: Column, b: Column, bases: list[int] | None = None) -> Colum
     return F.struct(ot.alias("ot"), dd.alias("dd"), rc.alias("rc"))
 
 
+def let(value: Column, of) -> Column:
+    """of(value), where value is worked out once a row."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _no_carry_short(a: Column, b: Column) -> Column:
+    """Of factors of nine digits at most: three digits in ten bits each make a number, whose products hold five column sums (of 729 at most) in ten bits each."""
+    whole = lambda x: F.floor(x).cast("bigint")
+
+    def parts(n: Column, name: str) -> list[Column]:
+        threes = [whole(n / 1000**i) % 1000 for i in range(3)]
+        return [(t % 10 + F.shiftleft(whole(t / 10) % 10, 10) + F.shiftleft(whole(t / 100), 20)).alias(f"{name}{i}") for i, t in enumerate(threes)]
+
+    def sums(p: Column) -> Column:
+        return F.struct(*(sum((p[f"a{i}"] * p[f"b{k - i}"] for i in range(3) if 0 <= k - i < 3), F.lit(0).cast("bigint")).alias(f"s{k}") for k in range(5)))
+
+    def digit(s: Column, place: int) -> Column:
+        at = [(place // 3, place % 3), (place // 3 - 1, place % 3 + 3)]
+        return sum((F.shiftright(s[f"s{k}"], 10 * m).bitwiseAND(1023) for k, m in at if 0 <= k < 5 and m < 5), F.lit(0).cast("bigint")) % 10
+
+    value = lambda s: sum((digit(s, p) * F.lit(10**p).cast("bigint") for p in range(17)), F.lit(0).cast("bigint"))
+    return let(F.struct(*parts(F.abs(a), "a"), *parts(F.abs(b), "b")), lambda p: let(sums(p), value))
+
+
 def no_carry_product(a: Column, b: Column) -> Column:
     """Column sums of digit products, each modulo 10, without carries into the next column."""
+    short = (F.abs(a) < 10**9) & (F.abs(b) < 10**9)
+    return F.when(short, _no_carry_short(a.cast("bigint"), b.cast("bigint")).cast(BIG)).otherwise(_no_carry_long(a, b))
+
+
+def _no_carry_long(a: Column, b: Column) -> Column:
     x, y = F.reverse(digits(a)), F.reverse(digits(b))
 
     def column(p: Column) -> Column:
@@ -207,20 +248,32 @@ def error_taxonomy(a: Column, b: Column, answer: Column) -> Column:
 
 def error_shape(a: Column, b: Column, answer: Column) -> Column:
     """(label, confidence) of the error basis that the miss is in (1.0) or within a tenth of (0.8); ties in the order OT, DD, RC."""
-    a, b = a.cast(BIG), b.cast(BIG)
-    miss = (answer.cast(BIG) - (a * b).cast(BIG)).cast(BIG)
-    both = lambda xs: F.array(*(c.cast(BIG) for x in xs for c in (x, -x)))
+    miss = F.abs(answer.cast(BIG) - (a.cast(BIG) * b.cast(BIG)).cast(BIG))
+    # with short factors no basis reaches 2 * 10**18: plain 64-bit numbers do, and a larger miss is in none
+    short = (F.abs(a) < 10**9) & (F.abs(b) < 10**9)
+    near = F.when(miss < 2 * 10**18, miss).cast("bigint")
+    return F.when(short & near.isNull() & miss.isNotNull(), F.struct(F.lit("UNKNOWN").alias("label"), F.lit(0.0).alias("confidence"))).when(short, _shape(a.cast("bigint"), b.cast("bigint"), near, "bigint")).otherwise(_shape(a.cast(BIG), b.cast(BIG), miss, BIG))
+
+
+def _shape(a: Column, b: Column, miss: Column, kind: str) -> Column:
+    """The same for a miss without its sign: a basis has every number in both signs, so only sizes matter."""
     tens = lambda n: n - n % 10
-    na, nb = nearest_base(a, SHAPE_BASES).cast(BIG), nearest_base(b, SHAPE_BASES).cast(BIG)
-    basis = {
-        "OT": both([F.lit(x) for x in (10, 100, 1000, 9, 90, 900)]),
-        "DD": both([a * (b % 10), a * tens(b), (a % 10) * b, tens(a) * b]),
-        "RC": both([F.lit(1), F.lit(2), na, nb, na - a, nb - b]),
-    }
-    fit = lambda xs: F.when(F.array_contains(xs, miss), 1.0).when(F.exists(xs, lambda x: (x != 0) & (F.abs(miss - x) * 10 <= F.abs(x))), 0.8).otherwise(0.0)
-    best = F.array_max(F.array(*(F.struct(fit(xs).alias("confidence"), F.lit(-i).alias("i"), F.lit(name).alias("label")) for i, (name, xs) in enumerate(basis.items()))))
-    known = (miss != 0) & (best["confidence"] > 0)
-    return F.struct(F.when(known, best["label"]).otherwise("UNKNOWN").alias("label"), F.when(known, best["confidence"]).otherwise(0.0).alias("confidence"))
+    na, nb = (nearest_base(n, SHAPE_BASES).cast(kind) for n in (a, b))
+    basis = {"OT": [F.lit(x) for x in (10, 100, 1000, 9, 90, 900)], "DD": [a * (b % 10), a * tens(b), (a % 10) * b, tens(a) * b], "RC": [F.lit(1), F.lit(2), na, nb, na - a, nb - b]}
+
+    def fit(sizes: Column) -> Column:
+        # a miss beyond 9 * 10**17 is within a tenth of none that is short, and ten times it may not fit
+        tenth = lambda x: F.abs(miss - x) * 10 <= x
+        within = F.exists(sizes, lambda x: (x != 0) & (tenth(x) if kind == BIG else F.when(F.abs(miss - x) < 9 * 10**17, tenth(x)).otherwise(False)))
+        return F.when(F.array_contains(sizes, miss), 1.0).when(within, 0.8).otherwise(0.0)
+
+    best = F.array_max(F.array(*(F.struct(fit(F.array(*(F.abs(x).cast(kind) for x in xs))).alias("confidence"), F.lit(-i).alias("i"), F.lit(name).alias("label")) for i, (name, xs) in enumerate(basis.items()))))
+
+    def told(top: Column) -> Column:
+        known = (miss != 0) & (top["confidence"] > 0)
+        return F.struct(F.when(known, top["label"]).otherwise("UNKNOWN").alias("label"), F.when(known, top["confidence"]).otherwise(0.0).alias("confidence"))
+
+    return let(best, told)
 
 
 def nearby_wrong(n: Column) -> Column:

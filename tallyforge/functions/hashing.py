@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _half(h: Column, start: int) -> Column:
-    return F.conv(F.substring(h, start, 16), 16, 10).cast("decimal(20,0)")
+def _piece(h: Column, start: int, n: int) -> Column:
+    return F.conv(F.substring(h, start, n), 16, 10).cast("bigint")
 
 
 def md5_bucket(text: Column, buckets: int = 10_000) -> Column:
-    """md5 of the text as one 128-bit number, modulo buckets: 2**64 modulo buckets times the upper half, plus the lower."""
+    """md5 of the text as one 128-bit number, modulo buckets: in steps of 48 bits, which stay within 64."""
+    if buckets >= 1 << 15 and buckets * (2**48 % buckets) >= 1 << 62:
+        raise ValueError("too many buckets")
     h = F.md5(text.cast("binary"))
-    return F.pmod(F.pmod(_half(h, 1), F.lit(buckets)).cast("bigint") * F.lit(2**64 % buckets) + F.pmod(_half(h, 17), F.lit(buckets)).cast("bigint"), F.lit(buckets)).cast("int")
+    out = _piece(h, 1, 8) % buckets
+    for start in (9, 21):
+        out = (out * (2**48 % buckets) + _piece(h, start, 12)) % buckets
+    return out.cast("int")
 
 
 #: Shares of the splits, in order.
@@ -52,4 +57,4 @@ def template_index(seed: int, a: Column, b: Column, label: Column, count: int) -
     if count <= 1:
         return F.lit(0)
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), label, a.cast("string"), b.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(count)).cast("int")
+    return ((_piece(h, 1, 8) % count * (2**32 % count) + _piece(h, 9, 8)) % count).cast("int")

@@ -15,6 +15,12 @@ PATTERNS = {
     "DD": [r"\bdecompos[ei]\b", r"\bbreak\s*(into|down)\b", r"\bdistributive\b", r"\bsum\s*of\b", r"\b\(\d+\s*[+×]\s*\d+\)\b", r"\b\d+\s*×\s*\d+\s*\+\s*\d+\s*×\s*\d+\b", r"\bfirst.*then\s*add\b", r"\bpartial\s*products?\b"],
     "RC": [r"\bround(ing|ed)?\b", r"\bapproximate\b", r"\bcompensate\b", r"\bnear(ly)?\s*\d+\b", r"\bclose\s*to\b", r"\b[±]\s*\d+\b", r"\bsubtract\s*(back|off)\b", r"\badd\s*back\b", r"\bdifference\s*of\s*squares\b", r"\b\(.*[−-].*\)\s*\(.*[+].*\)\b"],
 }
+#: Of each pattern a piece that any match holds, in lower case: texts without it aren't searched.
+NEEDS = {
+    "OT": ["carry", "one", "ten", "write", "column", "place", "digit", "multiply", "carry"],
+    "DD": ["decompos", "break", "distributive", "sum", "(", "×", "first", "partial"],
+    "RC": ["round", "approximate", "compensate", "near", "close", "±", "subtract", "add", "difference", "("],
+}
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 CUT_OFF = (r"\[\s*$", r"\\\[\s*$", r"=\s*\d{1,2}\s*$", r"\.\.\.\s*$", r"###\s*Step\s*\d+[^#]*$", r"[+\-*/×]\s*$", r"=\s*$", r"\(\s*$", r"\{\s*$")
 #: (pattern, strategy, confidence) in the order in which they are tried; the last match of a pattern is its answer.
@@ -35,17 +41,20 @@ STRATEGIES = (
 
 
 def matches(t: Column, label: str) -> Column:
-    return reduce(lambda x, y: x + y, (F.regexp_count(t, F.lit("(?i)" + p)) for p in PATTERNS[label]))
+    low = F.lower(t)
+    return reduce(lambda x, y: x + y, (F.when(F.contains(low, F.lit(need)), F.regexp_count(t, F.lit("(?i)" + p))).otherwise(0) for p, need in zip(PATTERNS[label], NEEDS[label], strict=True)))
 
 
 def classify(t: Column) -> Column:
     """(label, confidence, ot, dd, rc): the label of most pattern matches and its share; ties in the order OT, DD, RC."""
     t = F.coalesce(t, F.lit(""))
-    n = {k: matches(t, k) for k in PATTERNS}
-    total = n["OT"] + n["DD"] + n["RC"]
-    best = F.greatest(*n.values())
-    label = F.when(total == 0, "UNKNOWN").when(n["OT"] == best, "OT").when(n["DD"] == best, "DD").otherwise("RC")
-    return F.struct(label.alias("label"), F.when(total == 0, 0.0).otherwise(best / total).alias("confidence"), *(c.alias(k.lower()) for k, c in n.items()))
+
+    def told(n: Column) -> Column:
+        total, best = n["OT"] + n["DD"] + n["RC"], F.greatest(n["OT"], n["DD"], n["RC"])
+        label = F.when(total == 0, "UNKNOWN").when(n["OT"] == best, "OT").when(n["DD"] == best, "DD").otherwise("RC")
+        return F.struct(label.alias("label"), F.when(total == 0, 0.0).otherwise(best / F.when(total != 0, total)).alias("confidence"), *(n[k].alias(k.lower()) for k in PATTERNS))
+
+    return D.let(F.struct(*(matches(t, k).alias(k) for k in PATTERNS)), told)
 
 
 def normalize(t: Column) -> Column:
@@ -76,9 +85,13 @@ def number(s: Column, exact: bool = False) -> Column:
     return F.when(plain.rlike(r"^\d{1,38}$"), plain).try_cast(D.BIG) if exact else by_double
 
 
-def _last(t: Column, pattern: str) -> Column:
+#: Of each strategy pieces of which any match holds one, in lower case.
+HINTS = (("boxed",), ("mathbf",), ("textbf",), ("$",), ("answer", "result", "product"), ("boxed",), ("answer", "result", "total", "product"), ("equal", "is"), ("×",), ("*",), ("=",), ("=",))
+
+
+def _last(t: Column, low: Column, pattern: str, hints: tuple[str, ...]) -> Column:
     found = F.regexp_extract_all(t, F.lit(pattern.replace("NUM", NUMBER)), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.when(reduce(lambda x, y: x | y, (F.contains(low, F.lit(h)) for h in hints)), F.get(F.reverse(found), F.lit(0)))
 
 
 def extract_answer(t: Column, a: Column, b: Column, exact: bool = False) -> Column:
@@ -89,12 +102,13 @@ def extract_answer(t: Column, a: Column, b: Column, exact: bool = False) -> Colu
     contaminated = a.isNotNull() & b.isNotNull() & ~(F.contains(bare, a.cast("string")) | F.contains(bare, b.cast("string")))
     row = lambda v, c, n: F.struct(v.cast(D.BIG).alias("answer"), F.lit(c).cast("double").alias("confidence") if not isinstance(c, Column) else c.alias("confidence"), F.lit(n).alias("strategy"))
     # one candidate a pattern, in order; the first that is plausible
-    tried = F.array(*(row(number(_last(s, p), exact), c, n) for p, n, c in STRATEGIES))
+    low = F.lower(s)
+    tried = F.array(*(row(number(_last(s, low, p, h), exact), c, n) for (p, n, c), h in zip(STRATEGIES, HINTS, strict=True)))
     good = F.filter(tried, lambda x: x["answer"].isNotNull() & D.plausible(x["answer"], a, b))
     numbers = F.regexp_extract_all(s, F.lit(f"({NUMBER})"), F.lit(1))
     parsed = F.filter(F.transform(F.reverse(numbers), lambda x: number(x, exact)), lambda x: x.isNotNull())
     big = F.filter(parsed, lambda x: (x >= 10) & D.plausible(x, a, b))
-    low = F.when(truncated, 0.20).otherwise(0.50)
+    sure = F.when(truncated, 0.20).otherwise(0.50)
     last = F.when(F.size(numbers) > 0, number(F.element_at(numbers, -1), exact))
     few = F.filter(F.slice(parsed, 1, 3), lambda x: x >= 10)
     dirty = F.coalesce(F.get(few, F.lit(0)), last)
@@ -103,13 +117,24 @@ def extract_answer(t: Column, a: Column, b: Column, exact: bool = False) -> Colu
         F.when(raw == "", none)
         .when(contaminated, row(dirty, F.when(dirty.isNotNull(), 0.10).otherwise(0.0), "contaminated"))
         .when(F.size(good) > 0, F.get(good, F.lit(0)))
-        .when(F.size(big) > 0, row(F.get(big, F.lit(0)), low, "fallback"))
-        .when(last.isNotNull(), row(last, low * 0.8, "fallback"))
+        .when(F.size(big) > 0, row(F.get(big, F.lit(0)), sure, "fallback"))
+        .when(last.isNotNull(), row(last, sure * 0.8, "fallback"))
         .otherwise(none)
     )
     return F.struct(best["answer"].alias("answer"), best["confidence"].alias("confidence"), best["strategy"].alias("strategy"), truncated.alias("truncated"), (contaminated & (raw != "")).alias("contaminated"))
 
 
+def confident(confidence: Column, truncated: Column, least: float = 0.7) -> Column:
+    """Whether an answer read out of a text can be relied on: not from a cut-off text, nor without a confidence."""
+    return F.coalesce(confidence >= least, F.lit(False)) & ~F.coalesce(truncated, F.lit(False))
+
+
+def token_count(t: Column, side: str = "expected") -> Column:
+    """The image tokens that an error's text says it expected or got, or null."""
+    pattern = {"expected": r"(?i)expected\s+(\d+)\s+tokens", "got": r"(?i)got\s+(\d+)"}[side]
+    return F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).try_cast("bigint")
+
+
 def prompt(a: Column, b: Column) -> Column:
     return F.format_string("What is %d × %d?", a, b)
 

@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows over all cores where its files are fewer: a shuffle of the narrow columns that are left, so that what is worked out of them isn't one task's job."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, df.columns[0]) if len(df.inputFiles()) < n else df
+
+
 def draw(salt: str, key: Column, n: int = 10_000) -> Column:
     """A fixed number below n for each key."""
     return H.md5_bucket(F.concat(F.lit(salt + ":"), key), n)
@@ -30,7 +36,7 @@ def _one_of(labels, i: Column) -> Column:
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     a = 10 + (F.col("o_orderkey") * 7919) % D.power10(1 + (F.col("o_orderkey") % 8).cast("int"))
     b = 10 + ((F.col("o_custkey") + 1) * 104729) % D.power10(1 + (F.floor(F.col("o_orderkey") / 8) % 8).cast("int"))
     df = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("p_"), F.col("o_orderkey")).alias("id"), a.alias("a"), b.alias("b"))
@@ -63,12 +69,16 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ADAPTERS = ("DD", "OT", "RC", "STYLE")
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each problem and adapter: what it answers, whether that is known to be right, and the label found."""
-    df = problems(spark, sf_dir).withColumn("lora", F.explode(F.array(*(F.lit(x) for x in ADAPTERS))))
+def variants(spark: SparkSession, sf_dir: str, base_kind: bool = False) -> DataFrame:
+    """A row for each problem and adapter: what it answers, whether that is known to be right, and the label found. base_kind: with the base answer's
+    error kind. What is of the problem alone is worked out before there is a row for each adapter."""
     key = F.concat_ws("|", "lora", "id")
-    df = df.withColumns({"lora_answer": _answer("v", key), "lora_detected": _one_of((*LABELS, "UNKNOWN"), draw("d", key, 4)), "base_answer": _answer("9", F.col("id")), "base_detected": _one_of((*LABELS, "UNKNOWN"), draw("d", F.col("id"), 4))})
-    return df.withColumns({"base_correct": F.col("base_answer") == F.col("product"), "lora_correct": F.col("lora_answer") == F.col("product")})
+    detected = (*LABELS, "UNKNOWN")
+    df = problems(spark, sf_dir).withColumns({"base_answer": _answer("9", F.col("id")), "base_detected": _one_of(detected, draw("d", F.col("id"), 4))}).withColumn("base_correct", F.col("base_answer") == F.col("product"))
+    if base_kind:
+        df = df.withColumn("base_kind", D.error_taxonomy(F.col("a"), F.col("b"), F.col("base_answer")))
+    df = df.withColumn("lora", F.explode(F.array(*(F.lit(x) for x in ADAPTERS))))
+    return df.withColumns({"lora_answer": _answer("v", key), "lora_detected": _one_of(detected, draw("d", key, 4))}).withColumn("lora_correct", F.col("lora_answer") == F.col("product"))
 
 
 def template_losses(spark: SparkSession, sf_dir: str) -> DataFrame:

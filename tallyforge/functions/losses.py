@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.casts import finite
+from tallyforge.functions.casts import finite, to_finite, to_label
 
 #: The order in which ties are resolved.
 ORDER = ("OT", "DD", "RC")
@@ -41,6 +41,59 @@ def probe_status(losses: dict[str, Column], neutral: Column, status: Column) ->
     return F.struct(resolved.alias("resolved"), F.when(~resolved & said.isin("ok", "retry_resolved", "fallback_resolved"), "unresolved").otherwise(said).alias("status"))
 
 
+def stored_mass(payload: Column, keys: tuple[str, ...]) -> Column:
+    """A map of stored shares as a struct of numbers; null unless every key has a finite one."""
+    values = {k: to_finite(payload[k]) for k in keys}
+    whole = F.lit(True)
+    for v in values.values():
+        whole = whole & v.isNotNull()
+    return F.when(F.coalesce(whole, F.lit(False)), F.struct(*(v.alias(k) for k, v in values.items())))
+
+
+def mass_of_record(stored: Column, losses: dict[str, Column], neutral: Column) -> Column:
+    """The stored mass of a record if it is whole, else that of its losses; null if neither is."""
+    found, made = stored_mass(stored, ("DD", "OT", "RC", "NEUTRAL")), support_mass(losses, neutral)
+    pick = lambda m: F.struct(*(m[k].alias(k) for k in ("DD", "OT", "RC", "NEUTRAL")))
+    return F.when(found.isNotNull(), pick(found)).when(made.isNotNull(), pick(made))
+
+
+def best_of_mass(mass: Column, keys: tuple[str, ...]) -> Column:
+    """The key of the largest share, of equal ones the first; UNKNOWN without a mass."""
+    top = F.greatest(*(mass[k] for k in keys))
+    return F.coalesce(*(F.when(mass[k] == top, k) for k in keys), F.lit("UNKNOWN"))
+
+
+def embedding_label(stored: Column, mass: Column) -> Column:
+    """The label that a record states, else that of the largest of its four shares."""
+    return F.when(stored.isNotNull(), to_label(stored)).otherwise(best_of_mass(mass, ("DD", "OT", "RC", "STYLE")))
+
+
+def probe_metadata(losses: dict[str, Column], neutral: Column, resolved: Column, status: Column, error: Column, tokens: Column) -> Column:
+    """What a probe says of itself: `resolved` as it states, else whether all four losses are finite."""
+    mass = support_mass(losses, neutral)
+    return F.struct(F.coalesce(resolved, mass.isNotNull()).alias("resolved"), status.alias("status"), error.alias("error"), tokens.alias("tokens"), mass.alias("mass"))
+
+
+def agreed(stated: Column, other: Column, what: str) -> Column:
+    """A label that two columns give in whatever spelling: the first that is filled. Two that differ are an error."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    s, o = filled(stated), filled(other)
+    told = F.concat(F.lit(f"{what}: "), F.coalesce(s, F.lit("")), F.lit(" against "), F.coalesce(o, F.lit("")))
+    return F.when(s.isNotNull() & o.isNotNull() & (to_label(s) != to_label(o)), F.raise_error(told)).otherwise(to_label(F.coalesce(s, o)))
+
+
+def checked_best(losses: dict[str, Column], stated: Column) -> Column:
+    """The label of the least finite loss; a record that states another one is an error."""
+    best = detect(losses)["label"]
+    told = F.concat(F.lit("the record states "), F.coalesce(stated, F.lit("")), F.lit(", its losses say "), best)
+    return F.when((best != "UNKNOWN") & stated.isNotNull() & (to_label(stated) != best), F.raise_error(told)).otherwise(best)
+
+
+def stated_confidence(stated: Column, other: Column) -> Column:
+    """The first of two columns of numbers that has a finite one, else 0."""
+    return F.coalesce(to_finite(stated), to_finite(other), F.lit(0.0))
+
+
 def preference(right: Column, wrong: Column) -> Column:
     """Whether the right text has the smaller loss; null unless both are finite."""
     return F.when(finite(right).isNotNull() & finite(wrong).isNotNull(), right < wrong)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -41,19 +39,49 @@ FORBIDDEN = {
     "RC": ("column", "columns", "digit by digit", "right to left", "rightmost", "carry", "decomposition", "partial products", "distributive", "split and combine", "split", "place value", "addends", "tens and ones"),
 }
 LIKE, SPREAD = 0.94, 7
+# What kind a profile is, the wording family of its templates in order, and the cues that each is said to hold.
+KINDS = {"balanced": "balanced", "style_mismatch": "style_only", "crosswired_stress": "crosswired_stress"}
+STYLES = {"balanced": ("tagged", "plain", "formal", "compact"), "style_mismatch": ("structured", "plain", "compact", "formal"), "crosswired_stress": ("structured", "plain", "formal", "compact")}
+CUES = {
+    "balanced": {
+        "OT": ("column|ones digit", "digit by digit|ones place", "columns|right to left", "rightmost|column"),
+        "DD": ("decomposition|place-value", "partial products|tens and ones", "distributive|addends", "split-and-combine|partial products"),
+        "RC": ("round|base|compensate", "base|round|correct", "compensation|base|offset", "near-base|round|adjust"),
+    },
+    "style_mismatch": {
+        "OT": ("columns|ones place", "digit by digit|right to left", "rightmost|column|carry", "column|ones digit"),
+        "DD": ("split|place-value", "tens and ones|partial products", "addends|expand", "distributive|decomposition"),
+        "RC": ("round|base|offset", "round|compensate", "base|adjust", "base|approximation|correction"),
+    },
+    "crosswired_stress": {
+        "OT": ("columns|place-value", "partial-products|ones column|carry", "distributive|right-to-left|columns", "split-and-combine|ones column|carry"),
+        "DD": ("tens-and-ones|base", "compensation|addends", "near-base|place-value", "base-method|parts"),
+        "RC": ("column-method|round|base|offset", "digit-by-digit|round|compensate", "schoolbook|base|adjust", "right-to-left|round|base"),
+    },
+}
+# The wording of right and wrong steps; OT: the standard ones and that of a slipped carry.
+STEP_TEXTS = {
+    "OT": ("Ones column: %d × %d = %d; write %d, carry %d", "Start with ones place: %d × %d = %d; write %d, carry %d", "Rightmost column: %d × %d = %d; record %d, carry %d"),
+    "DD": "Decompose %d = %d + %d; compute %d × %d = %d",
+    "RC": "Rounding %d to %d: adjustment %d × %d = %d",
+}
 
 
 def bank(spark: SparkSession, profile: str = "balanced") -> DataFrame:
-    """label, nth, text."""
-    q = "'"
-    rows = ", ".join(f"({q}{k}{q}, {i}, {q}{t}{q})" for k, ts in BANKS[profile].items() for i, t in enumerate(ts))
-    return spark.sql(f"select * from values {rows} as t(label, nth, text)")
+    """label, nth, style, cues, text."""
+    rows = [(k, i, STYLES[profile][i], CUES[profile][k][i], t) for k, ts in BANKS[profile].items() for i, t in enumerate(ts)]
+    return spark.sql(f"select * from values {', '.join(str(r) for r in rows)} as t(label, nth, style, cues, text)")
 
 
-def bank_hash(profile: str = "balanced", mode: str = "multi", seed: int = 0) -> str:
-    """16 hex digits of a bank and how it's used."""
-    payload = {"profile": profile, "mode": mode, "seed": seed, "bank": BANKS[profile]}
-    return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+def bank_hash(rows: DataFrame, profile: str = "balanced", mode: str = "multi", seed: int = 0) -> DataFrame:
+    """bank_hash: 16 hex digits of the canonical JSON (sorted keys, no blanks) of a bank's rows and how it's used."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    cues = F.array_join(F.transform(F.split("cues", "[|]"), quoted), ",")
+    spec = F.format_string('{"heuristic":"%s","semantic_cues":[%s],"style_family":"%s","text":"%s"}', "label", cues, "style", "text")
+    labels = rows.select("label", F.struct("nth", spec.alias("spec")).alias("x")).groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["spec"]), ",").alias("specs"))
+    each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "specs"))), lambda x: F.concat(F.lit('"'), x["label"], F.lit('":['), x["specs"], F.lit("]"))), ",")
+    head = f'{{"mode":"{mode}","profile":"{profile}","profile_kind":"{KINDS[profile]}","seed":{seed},"template_bank":{{'
+    return labels.agg(F.substring(F.sha2(F.concat(F.lit(head), each, F.lit("}}")).cast("binary"), 256), 1, 16).alias("bank_hash"))
 
 
 def normalized(t: Column) -> Column:
@@ -87,18 +115,40 @@ def audit(rows: DataFrame, strict: bool = True) -> DataFrame:
     return out
 
 
-def step_pairs(a: Column, b: Column) -> Column:
-    """Array of (label, right, wrong): one right and one wrong statement of a step of each method."""
+def step_pairs(a: Column, b: Column, profile: str = "standard", mode: str = "multi", seed: int = 0) -> Column:
+    """Array of (label, nth, right, wrong): pairs of statements of a step that differ in numbers only. Two pairs a method; harder:
+    two more, with wrong numbers that look likelier. single: of each method the one that the problem's hash picks."""
     from tallyforge.functions import digits as D
 
-    tens, ones = b - b % 10, b % 10
-    base = D.nearest_base(a, D.TEMPLATE_BASES)
-    say = {
-        "OT": ("%d × %d = %d", (a, ones, a * ones), (a, ones, D.nearby_wrong(a * ones))),
-        "DD": ("%d × %d = %d", (a, tens, a * tens), (a, tens, D.nearby_wrong(a * tens))),
-        "RC": ("%d × %d = %d", (base, b, base * b), (base, b, D.nearby_wrong(base * b))),
-    }
-    return F.array(*(F.struct(F.lit(k).alias("label"), F.format_string(f, *r).alias("right"), F.format_string(f, *w).alias("wrong")) for k, (f, r, w) in say.items()))
+    whole = lambda x: F.floor(x).cast("bigint")
+    x, y = a % 10, b % 10
+    ones = x * y
+    slipped = F.when(ones >= 10, ones - 10).otherwise(ones + 10)
+    column = lambda text, z: F.format_string(text, x, y, z, z % 10, whole(z / 10))
+    pairs = {"OT": [(STEP_TEXTS["OT"][i], ones, z, column) for i, z in ((0, D.nearby_wrong(ones)), (1, D.nearby_wrong(ones)), (0, slipped), (2, slipped))]}
+    sides = ((a, b), (b, a))
+
+    def split(n: Column, other: Column):
+        tens = n - n % 10
+        first = (tens, other) if n is a else (other, tens)
+        return tens * other, lambda text, z: F.format_string(text, n, tens, n % 10, *first, z)
+
+    def rounded(n: Column, other: Column):
+        base = D.nearest_base(n, D.TEMPLATE_BASES)
+        off = F.abs(n - base)
+        return off * other, lambda text, z: F.format_string(text, n, base, off, other, z)
+
+    shifted = lambda z, n: F.when(z % 10 == 0, whole(z / 10)).otherwise(z * 10)
+    more = lambda z, n: z + n
+    for label, made, slip in (("DD", split, shifted), ("RC", rounded, more)):
+        of = [(*made(n, other), other) for n, other in sides]
+        pairs[label] = [(STEP_TEXTS[label], z, D.nearby_wrong(z), say) for z, say, _ in of] + [(STEP_TEXTS[label], z, slip(z, other), say) for z, say, other in of]
+    out = []
+    for label, own in pairs.items():
+        own = own if profile == "harder" else own[:2]
+        rows = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(i).alias("nth"), say(text, z).alias("right"), say(text, w).alias("wrong")) for i, (text, z, w, say) in enumerate(own)))
+        out.append(rows if mode == "multi" else F.array(F.get(rows, template_index(seed, a, b, F.lit(f"contrastive:{label}"), len(own)))))
+    return F.concat(*out)
 
 
 def tables(t: Column) -> Column:

@@ -53,6 +53,58 @@ def by_family(rows: DataFrame) -> DataFrame:
     )
 
 
+def _mean_and_se(value: Column, name: str) -> list[Column]:
+    v = C.finite(value)
+    return [F.coalesce(F.avg(v), F.lit(0.0)).alias(name), S.mean_se(v).alias(f"{name}_se")]
+
+
+def record_totals(rows: DataFrame) -> DataFrame:
+    """One row of `probed` rows with delta_ot, delta_dd, delta_rc (stored, may be null), probe_resolved and embedding_resolved (stated, may be null)
+    and embedding_mass: accuracy, mean losses and deltas, resolved shares, each with its error. Without any stored delta the difference of the means stands for it."""
+    probe = F.coalesce(F.col("probe_resolved"), F.col("mass").isNotNull())
+    traced = F.coalesce(F.col("embedding_resolved"), F.col("embedding_mass").isNotNull())
+    means = [c for k in ("dd", "ot", "rc", "neutral") for c in _mean_and_se(F.col(f"loss_{k}"), f"loss_{k}")]
+    out = rows.agg(
+        F.count("*").alias("n"), _share(F.col("is_correct")).alias("accuracy"), S.binary_se(F.col("is_correct")).alias("accuracy_se"), *means, *(F.avg(C.finite(F.col(f"delta_{k}"))).alias(f"delta_{k}") for k in ("dd", "ot", "rc")),
+        F.count_if(probe).alias("resolved"), _share(probe).alias("resolved_rate"), S.binary_se(probe).alias("resolved_se"),
+        F.count_if(traced).alias("traced"), _share(traced).alias("traced_rate"), S.binary_se(traced).alias("traced_se"),
+    )
+    gap = {f"delta_{k}": F.coalesce(f"delta_{k}", F.when(F.col("loss_neutral") != 0, F.col(f"loss_{k}") - F.col("loss_neutral")).otherwise(0.0)) for k in ("dd", "ot", "rc")}
+    return out.withColumns(gap)
+
+
+def record_families(rows: DataFrame) -> DataFrame:
+    """A row for each of DD, OT and RC, whether it has records or not: detection by the least loss, coverage and mean share of the family's own label by losses
+    and by the embedding, and among records with an embedding how often it names the family; each with its error. Rows as in record_totals, with embedding_label."""
+    k = F.col("design_family")
+    own = lambda m, keys: F.coalesce(*(F.when(k == x, F.col(m)[x]) for x in keys))
+    parts = []
+    for name, mass in (("target", "mass"), ("embedding", "embedding_mass")):
+        there = F.col(mass).isNotNull()
+        parts += [F.count_if(there).alias(f"{name}_n"), _share(there).alias(f"{name}_coverage"), S.binary_se(there).alias(f"{name}_coverage_se"), *_mean_and_se(own(mass, ("DD", "OT", "RC")), f"{name}_support")]
+    named = F.when(F.col("embedding_mass").isNotNull(), F.col("embedding_label") == k)
+    found = rows.filter(k.isin("DD", "OT", "RC")).groupBy("design_family").agg(F.count("*").alias("n"), _share(F.col("detected") == k).alias("detection"), S.binary_se(F.col("detected") == k).alias("detection_se"), *parts, _share(named).alias("embedding_detection"), S.binary_se(named).alias("embedding_detection_se"))
+    all_ = rows.sparkSession.sql("select * from values ('DD'), ('OT'), ('RC') as t(design_family)").join(found, "design_family", "left")
+    return all_.select("design_family", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in found.dtypes[1:]))
+
+
+def require_quality(totals: DataFrame) -> DataFrame:
+    """totals of `overview`, or an error if they are invalid and no probe is resolved."""
+    told = F.format_string("too degraded: no probe is resolved, and %d of %d labels are unknown", "unknown_count", "total")
+    return totals.withColumn("quality_status", F.when((F.col("quality_status") == "invalid") & (F.col("resolved_probe_count") == 0), F.raise_error(told)).otherwise(F.col("quality_status")))
+
+
+def loss_vectors(rows: DataFrame) -> DataFrame:
+    """label, id, loss: the finite losses of each label."""
+    each = F.array(*(F.struct(F.lit(k).alias("label"), C.finite(F.col(f"loss_{k.lower()}")).alias("loss")) for k in L.ORDER))
+    return rows.select("id", F.explode(each).alias("x")).select("x.label", "id", "x.loss").filter("loss is not null")
+
+
+def without(rows: DataFrame, prefix: str = "template_") -> DataFrame:
+    """rows without the columns whose names begin so."""
+    return rows.select(*(c for c in rows.columns if not c.startswith(prefix)))
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """Family against detected label in percent of its rows, UNKNOWN aside."""
     n = [F.count_if(F.col("detected") == k) for k in ("RC", "DD", "OT")]
@@ -76,6 +128,12 @@ def template_variability(losses: DataFrame) -> DataFrame:
     return template_means(losses).groupBy("label").agg(F.avg("spread").alias("mean_std"), F.count("spread").alias("n"))
 
 
+def template_contrast(rows: DataFrame) -> DataFrame:
+    """rows: label, template, loss, wrong. Of each template the means of its finite pairs and their difference."""
+    pairs = rows.filter(C.finite(F.col("loss")).isNotNull() & C.finite(F.col("wrong")).isNotNull())
+    return pairs.groupBy("label", "template").agg(F.count("*").alias("n"), F.avg("loss").alias("right_mean"), F.avg("wrong").alias("wrong_mean"), F.avg(F.col("wrong") - F.col("loss")).alias("delta_mean"))
+
+
 def contrastive(rows: DataFrame) -> DataFrame:
     """rows: target, label, right, wrong (losses). By label, by target and over all: means of finite pairs, their difference and how often the right one is preferred."""
     pairs = rows.withColumn("prefers", L.preference(F.col("right"), F.col("wrong"))).filter("prefers is not null")
@@ -116,8 +174,9 @@ def detection_changes(rows: DataFrame) -> DataFrame:
 
 
 def taxonomy_rollup(rows: DataFrame) -> DataFrame:
-    """Error kinds of base and adapted answers, and of adapted ones that got worse or better; STYLE aside."""
-    rows = rows.filter("lora <> 'STYLE'").withColumns({"base_kind": D.error_taxonomy(F.col("a"), F.col("b"), F.col("base_answer")), "lora_kind": D.error_taxonomy(F.col("a"), F.col("b"), F.col("lora_answer"))})
+    """Error kinds of base and adapted answers, and of adapted ones that got worse or better; STYLE aside. base_kind may be there already."""
+    kinds = {f"{x}_kind": D.error_taxonomy(F.col("a"), F.col("b"), F.col(f"{x}_answer")) for x in ("base", "lora") if f"{x}_kind" not in rows.columns}
+    rows = rows.filter("lora <> 'STYLE'").withColumns(kinds)
     sides = F.array(*(F.when(on, F.struct(F.lit(n).alias("side"), F.col(c).alias("kind"))) for n, c, on in (("base", "base_kind", F.lit(True)), ("lora", "lora_kind", F.lit(True)), ("degraded", "lora_kind", F.col("correctness_flip") == "degraded"), ("improved", "lora_kind", F.col("correctness_flip") == "improved"))))
     return rows.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x")).groupBy("x.side", "x.kind").agg(F.count("*").alias("n"))
 

@@ -164,7 +164,7 @@ def detection_changes(spark, sf):
 @query("agg12_taxonomy_rollup", f"""with {FLIPS}, k as (select flip, {DQ._KIND('base_answer')} as bk, {DQ._KIND('lora_answer')} as lk from flips where lora <> 'STYLE'),
     s as (select 'base' as side, bk as kind from k union all select 'lora', lk from k union all select 'degraded', lk from k where flip = 'degraded' union all select 'improved', lk from k where flip = 'improved') select side, kind, count(*) as n from s group by 1, 2""")
 def taxonomy_rollup(spark, sf):
-    return A.taxonomy_rollup(flips(spark, sf))
+    return A.taxonomy_rollup(A.flips(V.variants(spark, sf, base_kind=True)))
 
 
 @query("agg13_headline", f"with {FLIPS} select count_if({_CH}) as flips, count_if(det) as detection_flips, count(*) as comparisons from flips where lora <> 'STYLE'")
@@ -403,7 +403,12 @@ def _signals(spark, sf):
     return rows.select("id", F.col("shape.label").alias("l1"), F.col("shape.confidence").alias("c1"), F.col("detected").alias("l2"), F.col("confidence").alias("c2"))
 
 
-@query("emb05_vote", None)
+_VOTE = lambda k: f"case when l1 = '{k}' then c1 else 0 end + case when l2 = '{k}' then c2 else 0 end as v_{k.lower()}"
+
+
+@query("emb05_vote", f"""with {PROBED}, sh as ({DQ._shape_sql()}), j as (select p.id, sh.label as l1, sh.confidence as c1, p.detected as l2, p.confidence as c2 from probed p join sh on sh.id = p.id),
+    v as (select *, {', '.join(_VOTE(k) for k in ('OT', 'DD', 'RC'))}, case when l1 <> 'UNKNOWN' then c1 else 0 end + case when l2 <> 'UNKNOWN' then c2 else 0 end as total from j), w as (select *, greatest(v_ot, v_dd, v_rc) as best from v)
+    select id, case when total = 0 then 'UNKNOWN' when v_ot = best then 'OT' when v_dd = best then 'DD' when v_rc = best then 'RC' end as label, cast(case when total = 0 then 0 else best / greatest(total, 1.0) end as double) as confidence from w""")
 def vote(spark, sf):
     rows = _signals(spark, sf)
     return rows.select("id", P.vote([(F.col("l1"), F.col("c1")), (F.col("l2"), F.col("c2"))]).alias("v")).select("id", "v.label", "v.confidence")

@@ -22,8 +22,12 @@ from tallyforge.streaming import incremental as I
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallyforge-")
+    """A new path in the cluster's shared folder; a temporary one only where the session names none and all runs on this machine, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tallyforge-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,11 +52,6 @@ def training(spark, sf):
     return reduce(DataFrame.unionByName, [G.training_traces(spark, k, 1000, test) for k in ("RC", "DD", "OT", "STYLE")])
 
 
-@query("gen09_curated_audit", f"with {V.PROBLEMS} select design_family, canonical_target, count(*) as n from problems where design_family <> canonical_target group by 1, 2")
-def curated_audit(spark, sf):
-    return V.problems(spark, sf).filter("design_family <> canonical_target").groupBy("design_family", "canonical_target").agg(F.count("*").alias("n"))
-
-
 @query("src03_problem_versions", f"""with {V.PROBLEMS}, f as (select id, a, b, k % 3 as version, design_family, canonical_target, complexity_c, digit_total, nonzero_total, (k % 50)::double as ot, (k % 37)::double as dd, (k % 23)::double as rc from problems)
     select id, case version when 0 then design_family else canonical_target end as design_family, canonical_target, case version when 0 then (greatest(ot, dd, rc) - ot) / greatest(greatest(ot, dd, rc) - least(ot, dd, rc), 1e-6) when 1 then ot / 100 else 0.5 end::double as ot_score,
       complexity_c::double as complexity_c from f""")
@@ -80,11 +79,15 @@ def json_lines(spark, sf):
     return readers.parse_lines(e, "user_id bigint, value double").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("src16_model_slug", "select s_suppkey, case when s_suppkey % 3 = 0 then null else cast(s_suppkey % 300 as varchar) || 'b' end as model from supplier")
+@query("src16_model_slug", "select case when s_suppkey % 3 = 0 then null else (s_suppkey % 4 + 1) * 30 || 'b' end as model, case when s_suppkey % 3 = 0 then null else (s_suppkey % 4 + 1) * 30 end as model_size, count(*) as n from supplier group by 1, 2")
 def model_slug(spark, sf):
+    """Result files of folders of several models, read together: each row's model is in its folder's name."""
+    path = scratch(spark, "models")
     s = V.table(spark, sf, "supplier")
-    path = F.when(F.col("s_suppkey") % 3 == 0, "/x/fingerprint_HDS/f.csv").otherwise(F.concat(F.lit("/x/fingerprint_HDS_"), F.col("s_suppkey") % 300, F.lit("b/f.csv")))
-    return s.select("s_suppkey", F.nullif(F.regexp_extract(path, r"_([0-9]+b)/", 1), F.lit("")).alias("model"))
+    folder = F.when(F.col("s_suppkey") % 3 == 0, "fingerprint_HDS").otherwise(F.concat(F.lit("fingerprint_HDS_"), ((F.col("s_suppkey") % 4 + 1) * 30).cast("string"), F.lit("b")))
+    s.select("s_suppkey", folder.alias("of")).write.partitionBy("of").json(path)
+    rows = readers.with_model(spark.read.schema("s_suppkey bigint").option("recursiveFileLookup", True).json(path))
+    return rows.groupBy("model", "model_size").agg(F.count("*").alias("n"))
 
 
 @query("snk01_csv_round_trip", f"with {V.s_traces()} select id, a, b, trace_label, md5(trace) as trace_md5, case split when 'test' then 'val' else split end as split from traces")

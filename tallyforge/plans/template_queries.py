@@ -25,11 +25,16 @@ def template_audit(spark, sf):
     return reduce(DataFrame.unionByName, [M.audit(M.bank(spark, p), p != "crosswired_stress").withColumn("profile", F.lit(p)) for p in M.BANKS])
 
 
-@query("str07_bank_hash", " union all ".join(f"select '{p}' as profile, '{M.bank_hash(p)}' as bank_hash" for p in M.BANKS))
-def bank_hash(spark, sf):
-    return spark.sql("select * from values " + ", ".join(f"('{p}', '{M.bank_hash(p)}')" for p in M.BANKS) + " as t(profile, bank_hash)")
+def _bank_sql(profile: str) -> str:
+    rows = ", ".join(str((k, i, M.STYLES[profile][i], M.CUES[profile][k][i], t)) for k, ts in M.BANKS[profile].items() for i, t in enumerate(ts))
+    return f"""select '{profile}' as profile, substr(sha256('{{"mode":"multi","profile":"{profile}","profile_kind":"{M.KINDS[profile]}","seed":0,"template_bank":{{' || string_agg('"' || label || '":[' || specs || ']', ',' order by label) || '}}}}'), 1, 16) as bank_hash
+      from (select label, string_agg('{{"heuristic":"' || label || '","semantic_cues":["' || replace(cues, '|', '","') || '"],"style_family":"' || style || '","text":"' || text || '"}}', ',' order by nth) as specs
+        from (values {rows}) t(label, nth, style, cues, text) group by label)"""
 
 
+@query("str07_bank_hash", " union all ".join(_bank_sql(p) for p in M.BANKS))
+def bank_hash(spark, sf):
+    return reduce(DataFrame.unionByName, [M.bank_hash(M.bank(spark, p), p).select(F.lit(p).alias("profile"), "bank_hash") for p in M.BANKS])
 
 
 def _near(x: str) -> str:
@@ -37,12 +42,41 @@ def _near(x: str) -> str:
     return f"case when {x} - {step} >= 0 and length(cast({x} - {step} as varchar)) = length(cast({x} as varchar)) then {x} - {step} else {x} + {step} end"
 
 
-@query("str08_step_pairs", f"""with {V.PROBLEMS}, s as (select id, 'OT' as label, a as x, b % 10 as y, a * (b % 10) as z from problems union all select id, 'DD', a, b - b % 10, a * (b - b % 10) from problems
-    union all select id, 'RC', {V.s_nearest('a', (10, 50, 100, 200, 500, 1000))}, b, {V.s_nearest('a', (10, 50, 100, 200, 500, 1000))} * b from problems)
-    select id, label, x || ' × ' || y || ' = ' || z as right_step, x || ' × ' || y || ' = ' || {_near('z')} as wrong_step from s""")
+def _steps_sql() -> str:
+    """Common table expressions down to `pairs` (id, a, b, label, nth, right_step, wrong_step), harder ones last."""
+    say = {
+        "OT": lambda text, z: f"printf('{text}', a % 10, b % 10, {z}, ({z}) % 10, ({z}) // 10)",
+        "DA": lambda text, z: f"printf('{text}', a, a - a % 10, a % 10, a - a % 10, b, {z})",
+        "DB": lambda text, z: f"printf('{text}', b, b - b % 10, b % 10, a, b - b % 10, {z})",
+        "RA": lambda text, z: f"printf('{text}', a, ba, abs(a - ba), b, {z})",
+        "RB": lambda text, z: f"printf('{text}', b, bb, abs(b - bb), a, {z})",
+    }
+    ten = lambda z: f"case when {z} % 10 = 0 then {z} // 10 else {z} * 10 end"
+    ot = M.STEP_TEXTS["OT"]
+    rows = [("OT", 0, "OT", ot[0], "o", _near("o")), ("OT", 1, "OT", ot[1], "o", _near("o"))]
+    rows += [("OT", i, "OT", t, "o", "case when o >= 10 then o - 10 else o + 10 end") for i, t in ((2, ot[0]), (3, ot[2]))]
+    for label, sides in (("DD", (("DA", "da", ten("da")), ("DB", "db", ten("db")))), ("RC", (("RA", "ra", "ra + b"), ("RB", "rb", "rb + a")))):
+        rows += [(label, i, k, M.STEP_TEXTS[label], z, _near(z)) for i, (k, z, _) in enumerate(sides)] + [(label, i + 2, k, M.STEP_TEXTS[label], z, w) for i, (k, z, w) in enumerate(sides)]
+    union = " union all ".join(f"select id, a, b, '{label}' as label, {i} as nth, {say[k](t, z)} as right_step, {say[k](t, w)} as wrong_step from n" for label, i, k, t, z, w in rows)
+    bases = (10, 50, 100, 200, 500, 1000)
+    return f"""{V.PROBLEMS}, n0 as (select id, a, b, {V.s_nearest('a', bases)} as ba, {V.s_nearest('b', bases)} as bb from problems),
+      n as (select *, (a % 10) * (b % 10) as o, (a - a % 10) * b as da, a * (b - b % 10) as db, abs(a - ba) * b as ra, abs(b - bb) * a as rb from n0), pairs as ({union})"""
+
+
+def _steps(spark, sf, **how):
+    rows = V.problems(spark, sf).select("id", F.explode(M.step_pairs(F.col("a"), F.col("b"), **how)).alias("s"))
+    return rows.select("id", "s.label", "s.nth", F.col("s.right").alias("right_step"), F.col("s.wrong").alias("wrong_step"))
+
+
+@query("str08_step_pairs", f"with {_steps_sql()} select id, label, nth, right_step, wrong_step from pairs")
 def step_pairs(spark, sf):
-    rows = V.problems(spark, sf).select("id", F.explode(M.step_pairs(F.col("a"), F.col("b"))).alias("s"))
-    return rows.select("id", "s.label", F.col("s.right").alias("right_step"), F.col("s.wrong").alias("wrong_step"))
+    return _steps(spark, sf, profile="harder")
+
+
+@query("str08_single_pairs", f"""with {_steps_sql()} select id, label, nth, right_step, wrong_step from pairs
+    where nth = cast(('0x' || substr(sha256('0|contrastive:' || label || '|' || a || '|' || b), 1, 16))::UBIGINT % 2 as int)""")
+def single_pairs(spark, sf):
+    return _steps(spark, sf, mode="single")
 
 
 @query("str16_trace_status", f"with {V.s_traces()}, t as (select id, case {V.s_draw('y', 'id', 5)} when 0 then '' when 1 then 'nothing' else trace end as said, a, b from traces) select case when trim(said) = '' then 'trace_missing' when not (contains(said, cast(a as varchar)) or contains(said, cast(b as varchar))) then 'contaminated_trace' else 'ok' end as status, count(*) as n from t group by 1")

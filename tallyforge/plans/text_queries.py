@@ -111,13 +111,6 @@ def truncation(spark, sf):
     return _answers(spark, sf).groupBy(T.cut_off(F.trim("said")).alias("truncated"), "form").agg(F.count("*").alias("n"))
 
 
-@query("str13_confident", None)
-def confident(spark, sf):
-    e = _answers(spark, sf).select(T.extract_answer(F.col("said"), F.col("a"), F.col("b")).alias("e"))
-    sure = (F.col("e.confidence") >= 0.7) & ~F.col("e.contaminated")
-    return e.groupBy("e.strategy").agg(F.count("*").alias("n"), F.count_if(sure).alias("confident"))
-
-
 _ESC = "said"
 for _o, _n in (("\\", "\\textbackslash{}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("{", "\\{"), ("}", "\\}"), ("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}")):
     _ESC = f"replace({_ESC}, {_q(_o)}, {_q(_n)})"
@@ -132,7 +125,7 @@ def latex_escape(spark, sf):
     cast(nullif(regexp_extract('expected ' || (event_id % 977) || ' tokens for image, got ' || user_id, 'got (\d+)', 1), '') as bigint) as got from events""")
 def token_counts(spark, sf):
     e = V.table(spark, sf, "events").withColumn("m", F.concat(F.lit("expected "), F.col("event_id") % 977, F.lit(" tokens for image, got "), F.col("user_id")))
-    return e.select("event_id", F.nullif(F.regexp_extract("m", r"expected (\d+) tokens", 1), F.lit("")).cast("int").alias("expected"), F.nullif(F.regexp_extract("m", r"got (\d+)", 1), F.lit("")).cast("bigint").alias("got"))
+    return e.select("event_id", T.token_count(F.col("m")).cast("int").alias("expected"), T.token_count(F.col("m"), "got").alias("got"))
 
 
 _RAW = "[' True', 'YES', '1', 'n', '0', 'unknown', '', 'correct ', 'INCORRECT', '1e3', ' 2.5', 'nan', 'inf', '1_000', '1.0d', ' decomposition', 'ot', '  ']"

@@ -42,6 +42,25 @@ def resolve_result(spark: SparkSession, root: str, datasets: list[str], name: st
     return found
 
 
+#: Files of similarities between adapters, best first, and the format that each is in.
+SIMILARITIES = (("effective_update_similarity.json", "effective_update_similarity"), ("cosine_similarity.json", "cosine_similarity"), ("gradient_analysis.json", "correlation"))
+
+
+def similarities(spark: SparkSession, root: str, model: str | None = None, schema: t.StructType | str | None = None) -> DataFrame | None:
+    """The first of SIMILARITIES in gradient_analysis[_model], with a column `format`; None without any."""
+    folder = f"{root}/gradient_analysis" + (f"_{model}" if model else "")
+    found = first_existing(spark, [f"{folder}/{name}" for name, _ in SIMILARITIES])
+    if found is None:
+        return None
+    return read_json(spark, found, schema).withColumn("format", F.lit(dict(SIMILARITIES)[found.rsplit("/", 1)[1]]))
+
+
+def dataset_size(spark: SparkSession, paths: list[str]) -> int:
+    """Rows of the first CSV file that is there, 0 without any. Values of several lines count as one row."""
+    found = first_existing(spark, paths)
+    return read_csv(spark, found).count() if found else 0
+
+
 def read_csv(spark: SparkSession, path: str, schema: t.StructType | str | None = None, missing_ok: bool = False) -> DataFrame | None:
     """A CSV file with a header; quoted values may hold line ends and doubled quotes. All text without a schema."""
     if missing_ok and not exists(spark, path):

@@ -81,11 +81,9 @@ def test_detection_and_mass(spark):
 
 
 def test_answers_from_text(spark):
-    cases = [("47 × 53 = 2491", 2491, "equation", 0.7), ("so the answer is **2,491**.", 2491, "final_marker", 0.9), ("\\boxed{2491} for 47", 2491, "boxed", 0.95), ("47 gives 2491 = ", 2491, "fallback", 0.2), ("only 5 and 9", 9, "contaminated", 0.1), ("", None, "none", 0.0), ("it is $2491$ of 47", 2491, "latex", 0.9), ("47... boxed 99999999999", 99999999999, "fallback", 0.4)]
+    cases = [("47 × 53 = 2491", 2491, "equation", 0.7), ("so the answer is **2,491**.", 2491, "contaminated", 0.1), ("for 47, so the answer is **2,491**.", 2491, "final_marker", 0.9), ("\\boxed{2491} for 47", 2491, "boxed", 0.95), ("47 gives 2491 = ", 2491, "fallback", 0.2), ("only 5 and 9", 9, "contaminated", 0.1), ("", None, "none", 0.0), ("it is $2491$ of 47", 2491, "latex", 0.9), ("47... boxed 99999999999", 99999999999, "fallback", 0.4)]
     df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "i int, t string").select("i", text.extract_answer(F.col("t"), F.lit(47), F.lit(53)).alias("e")).orderBy("i")
     for r, (t, answer, strategy, conf) in zip(df.collect(), cases):
-        if strategy == "final_marker":
-            continue  # the operands aren't named: contaminated
         got = (None if r["e"]["answer"] is None else int(r["e"]["answer"]), r["e"]["strategy"], round(r["e"]["confidence"], 6))
         assert got == (answer, strategy, conf), t
     assert text.safe_name("10-60") == "TenToSixty" and text.number_words(121) == "OneTwoOne"
@@ -255,4 +253,3 @@ def test_template_audit(spark):
     assert templates.audit(templates.bank(spark)).count() == 0
     bad = spark.createDataFrame([("OT", 0, "Column method"), ("OT", 1, "column-method!"), ("DD", 0, "Round the base in many many words that make this one far longer than all of the others")], "label string, nth int, text string")
     assert {(r["kind"], r["label"]) for r in templates.audit(bad).collect()} == {("double", "OT"), ("missing", "DD"), ("leaked", "DD"), ("spread", None)}
-    assert len(templates.bank_hash()) == 16

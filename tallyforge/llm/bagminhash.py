@@ -273,14 +273,14 @@ def _meetings(members: DataFrame, pivots: DataFrame, texts: DataFrame, sigs: Dat
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to (node, comp) of every node in one, comp the least: alternating large and small stars
     until each edge leads to its component's least node. Each round is written to the shared folder."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", narrow=True)
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        last, e = e, materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct(), "edges")
+        last, e = e, materialize(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct(), "edges", narrow=True)
         discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
@@ -299,47 +299,50 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, least: float, hopeless: float) -> DataFrame:
     """(node, comp) of the nodes that share a band with another."""
     in_band = nodes.select("node", "n_bytes", F.explode("bands").alias("band"))
-    full = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(in_band.join(full, "band"), "members")
+    # what is known of a bucket is written before rows meet it, so that a hot bucket's rows may be split among tasks
+    full = known_few(materialize(in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "full", narrow=True))
+    shared = materialize(in_band.join(full, "band"), "members", narrow=True)
     # the first pivot of a bucket is its document of most company over all bands: of a text and its altered copies, the text
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = materialize(shared.join(weight, "node").select("band", "node", "n_bytes", "weight"), "members")
-    first = weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
-    members = materialize(weighed.join(first, "band"), "members")
-    wanted = materialize(members.select("node").distinct(), "wanted")
-    keys = known_few(materialize(nodes.select("node", *KEY).join(known_few(wanted), "node", "left_semi"), "keys"))
+    weighed = materialize(shared.join(weight, "node").select("band", "node", "n_bytes", "weight"), "members", narrow=True)
+    first = known_few(materialize(weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "first", narrow=True))
+    members = materialize(weighed.join(first, "band"), "members", narrow=True)
+    wanted = materialize(members.select("node").distinct(), "wanted", narrow=True)
+    keys = known_few(materialize(nodes.select("node", *KEY).join(known_few(wanted), "node", "left_semi"), "keys", narrow=True))
     texts = materialize(_keyed(docs.select("doc_id", "text")).join(keys, KEY).select("node", "text").dropDuplicates(["node"]), "texts")
     sigs = materialize(nodes.select("node", "sig").join(known_few(wanted), "node", "left_semi"), "sigs")
-    pairs = materialize(members.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
+    pairs = materialize(members.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs", narrow=True)
     links = materialize(_verify(pairs, sigs, texts, least, hopeless), "links")
-    comp = materialize(_merged(wanted.withColumn("comp", F.col("node")), links), "comp")
+    comp = materialize(_merged(wanted.withColumn("comp", F.col("node")), links), "comp", narrow=True)
     members = members.filter("node <> pivot").select("band", "node", "n_bytes")  # without pivots: they have met all others
     discard(shared, weighed, pairs, links)
     most = PIVOTS
     while True:
         known = members.join(comp, "node")
         open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).filter("x <> y").select("band", "n", "bytes")
-        members = materialize(known.join(open_, "band"), "members")
-        if members.isEmpty():
+        open_ = materialize(open_, "open", narrow=True)
+        if open_.isEmpty():
             break
+        members = materialize(known.join(known_few(open_), "band"), "members", narrow=True)
         sizes = members.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n_bytes").alias("m_bytes"))
         main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.struct("m", "comp", "m_bytes")).alias("of"))
+        main = known_few(materialize(main.select("band", "main", F.col("of.m").alias("m"), F.col("of.m_bytes").alias("m_bytes")), "main", narrow=True))
         # pivots are some `most` documents outside of a bucket's largest component, drawn by a hash: no bucket is sorted
-        known = members.join(main.select("band", "main", F.col("of.m").alias("m"), F.col("of.m_bytes").alias("m_bytes")), "band")
+        known = members.join(main, "band")
         share = F.least(F.lit(1.0), F.lit(float(most)) / (F.col("n") - F.col("m")))
         known = known.withColumn("chunks", _lots(F.col("n"), F.col("bytes"), CHUNK)).withColumn("lots", _lots((F.col("n") - F.col("m")) * share, (F.col("bytes") - F.col("m_bytes")) * share, PIVOTS))
         chosen = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(most), "band", "node"), F.lit(1 << 30)) < share * (1 << 30))
-        known = materialize(known.select("band", "node", "n_bytes", "comp", "n", "chunks", "lots", chosen.alias("pivot")), "rounds")
+        known = materialize(known.select("band", "node", "n_bytes", "comp", "n", "chunks", "lots", chosen.alias("pivot")), "rounds", narrow=True)
         # small buckets by pairs, which signatures thin out; large ones by meetings, which make no rows of pairs
         small = F.col("n") <= SMALL
         pivots = known.filter("pivot")
-        pairs = materialize(known.filter(small).select("band", "node", "comp").join(pivots.filter(small).select("band", F.col("node").alias("p"), F.col("comp").alias("own")), "band").filter("comp <> own").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), "pairs")
+        pairs = materialize(known.filter(small).select("band", "node", "comp").join(pivots.filter(small).select("band", F.col("node").alias("p"), F.col("comp").alias("own")), "band").filter("comp <> own").select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct(), "pairs", narrow=True)
         found = _verify(pairs, sigs, texts, least, hopeless)
         if not pivots.filter(~small).isEmpty():
             found = found.union(_meetings(known.filter(~small), pivots.filter(~small), texts, sigs, least, hopeless))
         links = materialize(found, "links")
         if not links.isEmpty():
-            comp = materialize(_merged(comp, links), "comp")
+            comp = materialize(_merged(comp, links), "comp", narrow=True)
         discard(members, pairs, links)
         members = known.filter("not pivot").select("band", "node", "n_bytes")
         most *= 2
@@ -355,7 +358,7 @@ def _classed(docs: DataFrame, least: float, hopeless: float) -> DataFrame:
     nodes = materialize(alike.select(F.monotonically_increasing_id().alias("node"), "e1", "e2", "lead", *(F.col(f"lead.{k}").alias(k) for k in KEY), "n_bytes", "bands", "sig"), "nodes")
     comp = _linked(docs, nodes, least, hopeless)
     heads = nodes.select("node", "lead").join(comp, "node").groupBy("comp").agg(F.min("lead").alias("head"))
-    heads = materialize(comp.join(heads, "comp").select("node", "head"), "heads")
+    heads = materialize(comp.join(heads, "comp").select("node", "head"), "heads", narrow=True)
     named = nodes.select("e1", "e2", "node", "lead").join(heads, "node", "left").select("e1", "e2", F.coalesce("head", "lead").alias("lead"))
     out = signed.select("doc_id", *KEY, "e1", "e2", (F.col("n_words") > 0).alias("worded")).join(named, ["e1", "e2"], "left").withColumn("lead", F.when(F.col("worded"), F.col("lead")).otherwise(row))
     return out.select("doc_id", *KEY, F.col("lead.doc_id").alias("class_id"), F.struct(*(F.col(f"lead.{k}") for k in KEY)).alias("lead"))
@@ -370,8 +373,8 @@ def dedup(docs: DataFrame, least: float = SIMILAR, hopeless: float = HOPELESS) -
     """docs with one row of each class: of the least doc_id, null ids last."""
     of = materialize(_classed(docs, least, hopeless), "classes")
     key = F.struct(*KEY)
-    gone = materialize(of.filter(key != F.col("lead")).select(*KEY).distinct(), "gone")
-    repeated = materialize(of.filter(key == F.col("lead")).groupBy(*KEY).count().filter("count > 1").select(*KEY), "repeated")
+    gone = materialize(of.filter(key != F.col("lead")).select(*KEY).distinct(), "gone", narrow=True)
+    repeated = materialize(of.filter(key == F.col("lead")).groupBy(*KEY).count().filter("count > 1").select(*KEY), "repeated", narrow=True)
     left = _keyed(docs).join(known_few(gone), KEY, "left_anti")
     if repeated.isEmpty():
         return left.select(*docs.columns)

@@ -6,8 +6,8 @@ a tile and is marked in both texts, so that tiles never overlap and their order
 the one that begins first in the text, and then in the item, is marked first. A pair counts if
 tiles cover THRESHOLD of the item's words: reordered passages are found like whole ones.
 
-Both sides of the join are rows, whatever the benchmark's size. One pass over the documents keeps the seeds that a bit
-table of all items' seeds (of 2**MOST_BITS bits at most) lets through. A tile's words lie in common seeds. So only an
+Both sides of the join are rows, and there are two passes over the documents whatever the benchmark's size: one keeps the seeds
+that a bit table of all items' seeds (of 2**MOST_BITS bits at most) lets through, the other fetches the texts of pairs that can count. A tile's words lie in common seeds. So only an
 item's rarest seeds are joined: those left out, the most frequent in documents, cover too few of its words to make a
 pair count by themselves. A seed that a third of all documents or of all items share joins nothing unless the item
 consists of such seeds. Before a pair is tiled, the item's words within common seeds are counted in the same way.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Sent, by_step, known_few, materialize, small_batches
+from tallyforge.llm.shared import Sent, by_step, discard, known_few, materialize, small_batches
 from tallyforge.llm.textvec import PLAIN, U64, mix, runs, words
 
 MIN_MATCH, THRESHOLD = 4, 0.5
@@ -145,8 +145,16 @@ def _filter_of(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     return out, bits, sorted(told["short"])
 
 
+#: 128 bits of a text.
+KEY = ["__text1", "__text2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", *(F.xxhash64(F.lit(i), "text").alias(k) for i, k in enumerate(KEY)))
+
+
 def _met(docs: DataFrame, table: np.ndarray, bits: int, lengths: list[int]) -> DataFrame:
-    """row (a number), doc_id, text and seeds (distinct) of the documents with a seed that the table lets through."""
+    """KEY and seeds (distinct) of the documents with a seed that the table lets through."""
     sent = Sent(docs.sparkSession, table)
 
     def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
@@ -164,11 +172,10 @@ def _met(docs: DataFrame, table: np.ndarray, bits: int, lengths: list[int]) -> D
         seed, doc = seed[new], doc[new]
         first = np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(first), pa.array(seed.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*rows.columns, lists], ["doc_id", "text", "seeds"]).filter(pa.array(np.diff(first) > 0))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:2], lists], [*KEY, "seeds"]).filter(pa.array(np.diff(first) > 0))
 
-    picked = docs.select("doc_id", "text")
-    rows = picked.mapInArrow(by_step(of), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string, seeds array<bigint>")
-    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "met")
+    rows = _keyed(docs).select(*KEY, "text").mapInArrow(by_step(of), f"{KEY[0]} bigint, {KEY[1]} bigint, seeds array<bigint>")
+    return materialize(rows, "met")
 
 
 def _rarest(items: DataFrame, seeds: DataFrame, least: int, threshold: float) -> DataFrame:
@@ -200,15 +207,15 @@ def _rarest(items: DataFrame, seeds: DataFrame, least: int, threshold: float) ->
 
 
 def _tiled(rows: DataFrame, least: int, threshold: float) -> DataFrame:
-    """row, text, items (array of item, words) to row, item, item_words, matched_words, n_tiles, coverage of the pairs that count."""
+    """KEY, text, items (array of item, words) to KEY, item, item_words, matched_words, n_tiles, coverage of the pairs that count."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                text = (batch.column(1)[i].as_py() or "").encode("utf-8", "replace")
+                text = (batch.column(2)[i].as_py() or "").encode("utf-8", "replace")
                 w = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), PLAIN).hashes
                 own, out = {}, []
-                for item, raw in zip(*(batch.column(2)[i].values.field(f).to_pylist() for f in ("item", "words")), strict=True):
+                for item, raw in zip(*(batch.column(3)[i].values.field(f).to_pylist() for f in ("item", "words")), strict=True):
                     h = np.frombuffer(raw, U64)
                     k = min(least, len(h))
                     if k not in own:
@@ -218,12 +225,12 @@ def _tiled(rows: DataFrame, least: int, threshold: float) -> DataFrame:
                         got = tile(h, w, least)
                         matched = sum(t[2] for t in got)
                         if matched >= threshold * len(h) and matched:
-                            out.append((batch.column(0)[i].as_py(), item, len(h), matched, len(got), matched / len(h)))
+                            out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), item, len(h), matched, len(got), matched / len(h)))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "item", "item_words", "matched_words", "n_tiles", "coverage"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [*KEY, "item", "item_words", "matched_words", "n_tiles", "coverage"])
 
-    return rows.select("row", "text", "items").mapInArrow(run, "row bigint, item bigint, item_words int, matched_words int, n_tiles int, coverage double")
+    return rows.select(*KEY, "text", "items").mapInArrow(run, f"{KEY[0]} bigint, {KEY[1]} bigint, item bigint, item_words int, matched_words int, n_tiles int, coverage double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,22 +239,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     items = _items(benchmark, least)
     table, bits, short = _filter_of(items)
     met = _met(docs, table, bits, sorted({*(k for k in short if k < least), least}))
-    seeds = met.select("row", F.explode("seeds").alias("seed"))
+    seeds = met.select(*KEY, F.explode("seeds").alias("seed"))
     rare = known_few(materialize(_rarest(items, seeds, least, threshold), "rarest"))
-    pairs = materialize(seeds.join(rare, "seed").select("row", "item").distinct(), "pairs")
-    # a document's items in lots, so that no row holds all items of a document that has many
-    lots = pairs.groupBy("row").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
-    dealt = pairs.join(lots, "row").withColumn("lot", F.pmod(F.xxhash64("item"), F.col("lots")))
-    dealt = dealt.join(items.select("item", "words"), "item").groupBy("row", "lot").agg(F.collect_list(F.struct("item", "words")).alias("items"))
-    wanted = known_few(materialize(pairs.select("row").distinct(), "wanted"))
-    texts = met.join(wanted, "row", "left_semi").select("row", "text")
-    found = materialize(_tiled(dealt.join(texts, "row"), least, threshold), "tiled")
-    ids = met.select("row", "doc_id").join(known_few(materialize(found.select("row").distinct(), "rows")), "row", "left_semi")
-    return found.join(ids, "row").join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "item_words", "matched_words", "n_tiles", "coverage")
+    pairs = materialize(seeds.join(rare, "seed").select(*KEY, "item").distinct(), "pairs", narrow=True)
+    # a text's items in lots, so that no row holds all items of a text that has many
+    lots = pairs.groupBy(*KEY).agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    dealt = pairs.join(lots, KEY).withColumn("lot", F.pmod(F.xxhash64("item"), F.col("lots")))
+    dealt = dealt.join(items.select("item", "words"), "item").groupBy(*KEY, "lot").agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    wanted = known_few(materialize(pairs.select(*KEY).distinct(), "wanted", narrow=True))
+    rows = materialize(_keyed(docs).join(wanted, KEY, "left_semi"), "candidates")
+    found = _tiled(dealt.join(rows.select(*KEY, "text").dropDuplicates(KEY), KEY), least, threshold)
+    found = materialize(found.join(items.select("item", "item_id"), "item"), "tiled")
+    discard(met)
+    return rows.select("doc_id", *KEY).join(found, KEY).select("doc_id", "item_id", "item_words", "matched_words", "n_tiles", "coverage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that no item is found in, told by their texts: rows of a null or repeated id are judged each by its own."""
     key = F.md5(F.col("text").cast("binary"))
-    found = materialize(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__md5")).distinct(), "contaminated")
+    found = materialize(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__md5")).distinct(), "contaminated", narrow=True)
     return docs.join(known_few(found), key == F.col("__md5"), "left_anti").select(*docs.columns)

@@ -55,18 +55,20 @@ def keyed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
 def _numbered(sizes: DataFrame) -> DataFrame:
     """sizes (skey, source_size) with nth, the source's place by code point, null last: by ranges and the sizes of those before."""
     order = [F.col("skey") == "n", F.col("skey")]
-    ranges = materialize(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    ranges = materialize(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges", narrow=True)
     before = ranges.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
     return ranges.join(F.broadcast(before.select("range", "before")), "range").select("skey", "source_size", (F.col("before") + rank - 1).alias("nth"))
 
 
-def _level(df: DataFrame, goal: float) -> float | None:
-    """The level at which sum(min(cap, level * w)) is goal, found in bins of cap / w, ever finer ones around it; None if all caps are below."""
-    below, above, width = 0.0, 0.0, F.floor(F.log2("ratio") * 64)
+def _level(df: DataFrame, share: float) -> float | None:
+    """The level at which sum(min(cap, level * w)) is this share of all sizes, found in bins of cap / w, ever finer ones around it; None if all caps are below."""
+    goal, below, above, width = None, 0.0, 0.0, F.floor(F.log2("ratio") * 64)
     part = df.filter("ratio > 0")
     while True:
-        bins = part.groupBy(width.alias("bin")).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).orderBy("bin").collect()
+        sums = [F.sum(c).alias(c) for c in ("cap", "w", "source_size")]
+        bins = part.groupBy(width.alias("bin")).agg(*sums, F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).orderBy("bin").collect()
+        goal = share * sum(b["source_size"] for b in bins) if goal is None else goal
         left = above + sum(b["w"] for b in bins)
         for b in bins:
             if below + b["cap"] + b["hi"] * (left - b["w"]) >= goal:
@@ -85,8 +87,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """skey, source_size to the same with target: the level at which weights fill the share, no source above `most` of its size."""
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
     df = _numbered(sizes).withColumn("w", w).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    df = materialize(df.withColumn("ratio", F.col("cap") / F.col("w")), "mix-caps")
-    level = _level(df, share * (df.agg(F.sum("source_size")).first()[0] or 0))
+    df = materialize(df.withColumn("ratio", F.col("cap") / F.col("w")), "mix-caps", narrow=True)
+    level = _level(df, share)
     return df.select("skey", "source_size", (F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))).alias("target"))
 
 
@@ -134,7 +136,7 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups
         raise ValueError("shards is a power of 2")
     pair = F.struct(F.col("skey").alias("s"), F.col("quota").cast("bigint").alias("k"))
     urns = quotas.filter(F.col("quota") > 0).groupBy(F.pmod(F.xxhash64(F.lit(seed), "skey"), F.lit(groups)).cast("int").alias("g")).agg(F.sort_array(F.collect_list(pair)).alias("ks"))
-    urns = materialize(urns, "mix-urns")
+    urns = materialize(urns, "mix-urns", narrow=True)
     all_ = urns.select(F.struct(F.col("g").alias("s"), F.expr("aggregate(ks, 0L, (a, x) -> a + x.k)").alias("k")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("ks"))
     nodes = all_.select(F.lit(1).cast("bigint").alias("node"), "ks")
     half = f"{_let('d', 'aggregate(ks, 0L, (a, x) -> a + x.k)', f'd div 2 + if(d % 2 = 1 and pmod(xxhash64({seed}, node), 2) = 0, 1L, 0L)')}"
@@ -158,7 +160,7 @@ class Plan(NamedTuple):
 def _cut(rows: DataFrame, part: DataFrame) -> DataFrame:
     """Of part (skey, block, want): the last hash up to which documents in order fit into want, and their words. Ranges of hashes first, then one range's documents."""
     inner = rows.select(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__h").alias("h"), "size").join(part, ["skey", "block"])
-    inner = materialize(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)), "mix-part")
+    inner = materialize(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)), "mix-part", narrow=True)
     ranges = inner.groupBy("skey", "want", "range").agg(F.sum("size").alias("size"), F.max("h").alias("h")).withColumn("upto", F.sum("size").over(Window.partitionBy("skey").orderBy("range")))
     fits = F.col("upto") <= F.col("want")
     told = ranges.groupBy("skey", "want").agg(F.max(F.when(fits, F.col("h"))).alias("h0"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("base"), F.min(F.when(~fits, F.col("range"))).alias("range"))
@@ -170,15 +172,15 @@ def _cut(rows: DataFrame, part: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
     """docs needs doc_id, text, source."""
     rows = materialize(keyed(docs.select("doc_id", "text", "source"), blocks, seed).select("doc_id", words_of(F.col("text")).alias("size"), *PLACE), "mix-rows")
-    sums = materialize(rows.groupBy(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__at").alias("at")).agg(F.sum("size").alias("words")), "mix-blocks")
-    sources = materialize(targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size"))), "mix-sources")
+    sums = materialize(rows.groupBy(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__at").alias("at")).agg(F.sum("size").alias("words")), "mix-blocks", narrow=True)
+    sources = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")))
     fill = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     df = sums.join(sources, "skey").withColumn("full", fill.cast("bigint"))
     df = df.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     order = Window.partitionBy("skey").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("before", F.sum("words").over(order) - F.col("words"))
     df = df.withColumn("kind", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none"))
-    df = materialize(df.drop("source_size", "target"), "mix-order")
+    df = materialize(df.drop("source_size", "target"), "mix-order", narrow=True)
     # the block that is drawn in part, at most one a source: its documents in order while they fit
     part = df.filter("kind = 'part'")
     gaps = _cut(rows, part.select("skey", "block", (F.col("rest") - F.col("before")).alias("want"))).join(part.select("skey", F.col("at").alias("part_at")), "skey")
@@ -187,21 +189,21 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     could = (F.col("kind") == "none") & F.col("words").between(1, F.col("gap")) & (F.col("at") != F.col("part_at"))
     df = df.withColumn("upto", F.when(could, F.sum(F.when(could, F.col("words"))).over(order)))
     filled = F.col("upto") <= F.col("gap")
-    df = materialize(df.withColumn("kind", F.when(filled, "fill").otherwise(F.col("kind"))).withColumn("filled", F.when(filled, F.col("words"))), "mix-kinds")
+    df = materialize(df.withColumn("kind", F.when(filled, "fill").otherwise(F.col("kind"))).withColumn("filled", F.when(filled, F.col("words"))), "mix-kinds", narrow=True)
     drawn = F.col("kind") != "none"
     one = df.groupBy("skey").agg(
         F.max("full").alias("full"), F.min(F.when(F.col("kind") != "whole", F.col("at"))).alias("limit"), F.max(F.when(F.col("kind") == "part", F.col("at"))).alias("part_at"),
         F.max("cut").alias("cut"), F.sort_array(F.collect_list(F.when(F.col("kind") == "fill", F.col("block")))).alias("fills"), (F.max("gap") - F.coalesce(F.sum("filled"), F.lit(0))).alias("gap"),
         F.sum(F.col("full") + drawn.cast("int")).alias("quota"),
     )
-    one = materialize(one, "mix-one")
+    one = materialize(one, "mix-one", narrow=True)
     # and at last the one document left whose size is nearest to what is still missing; repeated rows count together, each of them is smaller
     taken = F.coalesce(F.col("__at") < F.col("limit"), F.lit(True)) | F.coalesce((F.col("__at") == F.col("part_at")) & (F.col("__h") <= F.col("cut")), F.lit(False)) | F.array_contains("fills", F.col("__block"))
     left = rows.join(one.filter("gap > 0").select(F.col("skey").alias("__skey"), "gap", "limit", "part_at", "cut", "fills"), "__skey").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~taken)
     left = left.groupBy("__skey", "__block", "__h", "gap").agg(F.sum("size").alias("size"))
     best = left.groupBy("__skey", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "__h", "__block")).alias("b")).filter("b.miss < gap")
     one = one.join(best.select(F.col("__skey").alias("skey"), F.col("b.__h").alias("extra_h"), F.col("b.__block").alias("extra_block")), "skey", "left")
-    one = materialize(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")), "mix-quotas")
+    one = materialize(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")), "mix-quotas", narrow=True)
     # a source's draws in order, numbered without gaps; a shard's run begins where the runs of those before it end
     draws = df.select("skey", "at", F.explode(F.expr("sequence(0L, full)")).alias("pass"), "full", "kind").filter((F.col("pass") < F.col("full")) | drawn).select("skey", "pass", "at")
     draws = draws.unionByName(one.filter("extra_h is not null").select("skey", F.col("full").alias("pass"), F.lit(_LAST).alias("at")))
@@ -209,7 +211,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     ends = split_tree(one.select("skey", "quota"), shards, seed).withColumn("nth", F.sum("q").over(Window.partitionBy("skey").orderBy("shard")))
     bounds = draws.join(ends.select("skey", "nth"), ["skey", "nth"]).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("pass", "at"))).alias("bounds"))
     out = sources.join(one.drop("gap", "quota"), "skey").join(bounds, "skey", "left")
-    out = materialize(out.withColumn("bounds", F.coalesce("bounds", F.expr("cast(array() as array<struct<pass:bigint,at:bigint>>)"))), "mix-plan")
+    out = materialize(out.withColumn("bounds", F.coalesce("bounds", F.expr("cast(array() as array<struct<pass:bigint,at:bigint>>)"))), "mix-plan", narrow=True)
     discard(sums, df)
     return Plan(rows, out)
 

@@ -44,12 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and lost executors lose nothing of it."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, and lost executors lose nothing of it.
+    narrow: rows are few numbers, so that two tasks a core write them, and as many files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
 

@@ -34,6 +34,8 @@ HEAD = 1 << 16
 CLASSES, WIDTH, HIDDEN, SHARED = 32, 32, 24, 64
 OWN = CLASSES * WIDTH
 WINDOW, LANES, TRUNCATE = 32, 64, 16
+#: Parameters that one step of Adam takes at once.
+PIECE = 1 << 15
 #: Learning rates of the rounds of training, which share out all training texts; and tokens that a task holds at once.
 RATES, CHUNK = (0.02, 0.01, 0.005), 1 << 20
 LOG10 = np.log(10.0)
@@ -125,15 +127,16 @@ class Gru:
         return np.where((rank >= 0) & (rank < OWN), rank, OWN + (h % U64(SHARED)).astype(np.int64))
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        a = h @ self.p["u"]
-        zr = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        """One token of every lane; a lane is a column, so that a gate's values lie together. x: 3 * HIDDEN rows of inputs, which are overwritten."""
+        a = self.p["u"].T @ h
+        zr = x[: 2 * HIDDEN]
+        zr += a[: 2 * HIDDEN]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, a = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
-        n = r * a
-        n += x[:, 2 * HIDDEN :]
+        z, r, a, n = zr[:HIDDEN], zr[HIDDEN:], a[2 * HIDDEN :], x[2 * HIDDEN :]
+        n += r * a
         np.tanh(n, out=n)
         out = h - n
         out *= z
@@ -165,7 +168,7 @@ class Gru:
         begin, longest = first[lane], length[lane]
         symbol = self.symbols(h, rank)
         out = np.zeros(len(length))
-        state = np.zeros((len(length), HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, len(length)), np.float32)
         start = self.symbols(np.array([END]), np.array([self.end]))[0]
         for t0 in range(0, int(longest[0]) if len(length) else 0, WINDOW):
             n = int(np.searchsorted(-longest, -t0, "left"))
@@ -173,8 +176,8 @@ class Gru:
             for t in range(t0, min(t0 + WINDOW, int(longest[0]))):
                 n = int(np.searchsorted(-longest[:n], -t, "left"))
                 at = begin[:n] + t
-                state[:n] = self.step(self.p["x"][symbol[at - 1] if t else np.full(n, start)], state[:n])[0]
-                steps.append(state[:n].copy())
+                state = self.step(np.ascontiguousarray(self.p["x"][symbol[at - 1] if t else np.full(n, start)].T), state[:, :n])[0]
+                steps.append(state.T)
                 lanes.append(n)
                 places.append(at)
             lp = self.log_probs(np.concatenate(steps), rank[np.concatenate(places)])
@@ -189,7 +192,7 @@ class Adam:
 
     def __init__(self, model: Gru) -> None:
         self.all = model.flat().astype(np.float32)
-        self.g, self.m, self.s, self.a, self.b = (np.zeros_like(self.all) for _ in range(5))
+        self.g, self.m, self.s, self.a = (np.zeros_like(self.all) for _ in range(4))
         self.i, self.grad, at = 0, {}, 0
         for k in Gru.NAMES:
             shape, n = model.p[k].shape, model.p[k].size
@@ -197,19 +200,23 @@ class Adam:
             at += n
 
     def step(self, rate: float) -> None:
+        """In pieces that stay in a core's cache. Gradients are kept."""
         self.i += 1
-        g, m, s, a, b = self.g, self.m, self.s, self.a, self.b
-        m *= np.float32(0.9)
-        m += np.multiply(g, np.float32(0.1), out=a)
-        s *= np.float32(0.99)
-        g *= g
-        s += np.multiply(g, np.float32(0.01), out=a)
-        np.multiply(s, np.float32(1 / (1 - 0.99**self.i)), out=b)
-        np.sqrt(b, out=b)
-        b += np.float32(1e-6)
-        np.divide(m, b, out=a)
-        a *= np.float32(rate / (1 - 0.9**self.i))
-        self.all -= a
+        c = np.sqrt(1 - 0.99**self.i)
+        tiny, rate = np.float32(1e-6 * c), np.float32(rate * c / (1 - 0.9**self.i))
+        for k in range(0, len(self.all), PIECE):
+            g, m, s, a, p = (x[k : k + PIECE] for x in (self.g, self.m, self.s, self.a, self.all))
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=a)
+            s *= np.float32(0.99)
+            np.multiply(g, g, out=a)
+            a *= np.float32(0.01)
+            s += a
+            np.sqrt(s, out=a)
+            a += tiny
+            np.divide(m, a, out=a)
+            a *= rate
+            p -= a
 
 
 def softmax(e: np.ndarray) -> np.ndarray:
@@ -230,19 +237,19 @@ def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam |
     # the lanes' last places may lie beyond the stream: symbols there are of any kind, goals have no weight
     inputs, goals = np.resize(symbol, n * lanes).reshape(lanes, n), np.resize(rank, n * lanes).reshape(lanes, n)
     live = (np.arange(n * lanes) < len(h)).reshape(lanes, n)
-    state = np.zeros((lanes, HIDDEN), np.float32)
-    p, g = model.p, adam.grad
+    state = np.zeros((HIDDEN, lanes), np.float32)
+    p, g, touched = model.p, adam.grad, slice(None)
     for t0 in range(0, n, TRUNCATE):
         steps = min(TRUNCATE, n - t0)
         size = steps * lanes
         flat = inputs[:, t0 : t0 + steps].T.ravel()
-        xs = p["x"][flat].reshape(steps, lanes, 3 * HIDDEN)
-        hs, before, z, r, c, a = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(6))
+        xs = p["x"][flat].reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1).copy()
+        hs, before, z, r, c, a = np.empty((6, steps, HIDDEN, lanes), np.float32)
         for t in range(steps):
             before[t] = state
             state, z[t], r[t], c[t], a[t] = model.step(xs[t], state)
             hs[t] = state
-        hs = hs.reshape(size, HIDDEN)
+        hs = hs.transpose(0, 2, 1).reshape(size, HIDDEN)
         goal = goals[:, t0 : t0 + steps].T.ravel()
         kind = np.where((goal >= 0) & (goal < OWN), goal // WIDTH, CLASSES).astype(np.uint8)
         ok = live[:, t0 : t0 + steps].T.ravel()
@@ -273,24 +280,31 @@ def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam |
         if used:
             g["bw"][[k for k, *_ in used]] = np.add.reduceat(e, [i for _, i, _ in used])
         dh[order] += d
-        dh = dh.reshape(steps, lanes, HIDDEN)
+        dh = dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1).copy()
         # the gates' gradients are those of the state times these
         inner = (1 - z) * (1 - c * c)
-        by = np.stack([(before - c) * z * (1 - z), inner * a * r * (1 - r), inner * r], 2)
-        back, ut = np.zeros_like(state), p["u"].T.copy()
-        da = np.empty((steps, lanes, 3, HIDDEN), np.float32)
+        by = np.empty((steps, 3, HIDDEN, lanes), np.float32)
+        np.multiply(before - c, z * (1 - z), out=by[:, 0])
+        np.multiply(inner, r, out=by[:, 2])
+        np.multiply(by[:, 2] * a, 1 - r, out=by[:, 1])
+        back = np.zeros_like(state)
+        da = np.empty((steps, 3, HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             d = dh[t]
             d += back
-            np.multiply(d[:, None], by[t], out=da[t])
-            back = da[t].reshape(lanes, 3 * HIDDEN) @ ut
+            np.multiply(d, by[t], out=da[t])
+            back = p["u"] @ da[t].reshape(3 * HIDDEN, lanes)
             back += d * z[t]
-        g["u"][:] = before.reshape(size, HIDDEN).T @ da.reshape(size, 3 * HIDDEN)
-        da[:, :, 2] = dh * inner  # of the inputs, from here on
+        by_lane = lambda x: x.transpose(0, 2, 1).reshape(size, -1)
+        rows = by_lane(da.reshape(steps, 3 * HIDDEN, lanes))
+        g["u"][:] = by_lane(before).T @ rows
+        rows[:, 2 * HIDDEN :] = by_lane(dh * inner)  # of the inputs, from here on
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        g["x"][:] = 0
-        g["x"][flat[order[at]]] = np.add.reduceat(da.reshape(size, 3 * HIDDEN)[order], at)
+        flat = flat[order]
+        at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        g["x"][touched] = 0
+        touched = flat[at]
+        g["x"][touched] = np.add.reduceat(rows[order], at)
         adam.step(rate)
 
 
@@ -345,6 +359,7 @@ def fit(docs: DataFrame, v: Vocab) -> Gru:
 
         # in two steps, so that no group holds the parts of all tasks
         got = made.groupBy("part", "salt").applyInPandas(mean, schema).groupBy("part").applyInPandas(mean, schema).collect()
+        sent.drop()
         if got:
             model.load(np.concatenate([np.frombuffer(x["values"], np.float32) for x in sorted(got, key=lambda x: x["part"])]))
     return model

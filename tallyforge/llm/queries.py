@@ -56,5 +56,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing)}
-ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE}
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_pii: the number of base spans of each kind."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9_telephony: the payload that is read back."""
+    return op9_telephony(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_mixing: sizes and targets."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+PII_SQL = rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents), f as (
+  select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as emails, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ips,
+    regexp_extract_all(text, '[0-9]([ -]?[0-9])+') as cards, regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]') as phones from t
+)
+select doc_id, len(emails)::bigint as n_email,
+  len(list_filter(ips, lambda m: len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(nullif(ltrim(x, '0'), '') as int), 0) > 255)) = 0))::bigint as n_ip,
+  len(list_filter(cards, lambda m: length({_DIGITS}) between 13 and 19 and list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: case when i % 2 = 1 then cast(substr(reverse({_DIGITS}), i, 1) as int)
+    else (2 * cast(substr(reverse({_DIGITS}), i, 1) as int)) // 10 + (2 * cast(substr(reverse({_DIGITS}), i, 1) as int)) % 10 end)) % 10 = 0))::bigint as n_card,
+  len(list_filter(phones, lambda m: length({_DIGITS}) between 9 and 15))::bigint as n_phone
+from f
+"""
+AUDIO_SQL = """
+with t as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, '')))::bigint as n from documents), p as (
+  select *, greatest(192, (n + 191) // 192 * 192)::bigint as size from t
+)
+select doc_id, n as n_bytes, size as payload_bytes, sha256(text || repeat(' ', size - n)) as payload_sha256 from p
+"""
+MIX_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents), s as (
+  select source, sum(size)::bigint as n, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from d group by source
+), r as (select *, 2.0::double * n as cap, row_number() over (order by 2.0::double * n / w, source nulls last) as pos, sum(n) over () as total from s
+), l as (select *, (1.5::double * total - coalesce(sum(cap) over (order by pos rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by pos rows between current row and unbounded following) as level from r
+), f as (select *, (select level from l where level <= cap / w order by pos limit 1) as best from l)
+select doc_id, size, n as source_size, round(least(cap, coalesce(best * w, cap)), 6) as target from d join f on d.source is not distinct from f.source
+"""
+
+_ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, pii_counts, audio_payloads, mix_targets)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL}

@@ -42,8 +42,8 @@ def to_label(c: Column) -> Column:
 
 
 def first_filled(*cols: Column) -> Column:
-    """The first that is neither null nor blank."""
-    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cols))
+    """The first that is neither null nor empty; a blank counts as filled."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
 
 
 def correctness_label(c: Column) -> Column:
@@ -56,7 +56,7 @@ def flip(base: Column, variant: Column) -> Column:
 
 
 def failure_kind(status: Column, message: Column) -> Column:
-    """infrastructure, checkpoint or other, by the status code and words of the message."""
+    """infrastructure, checkpoint or other, by the status code and words of the message (fixed values)."""
     m = F.lower(F.coalesce(message, F.lit("")))
     infra = F.coalesce(status.isin(401, 408, 409, 429) | (status >= 500), F.lit(False)) | m.rlike("invalid jwt|authentication|connection error|request timed out|heartbeat")
     stale = F.coalesce(status.isin(400, 404), F.lit(False)) | m.rlike("checkpoint|tinker://|not found|missing|path|sampler_weights|_state")

@@ -40,6 +40,12 @@ def digits(n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)).cast("int"))
 
 
+def digit_bounds(count: int, low: int, high: int) -> tuple[int, int] | None:
+    """The least and the largest number of so many digits within low and high; None if there is none."""
+    bounds = (max(low, 10 ** (count - 1)), min(high, 10**count - 1)) if count > 0 else (1, 0)
+    return bounds if bounds[0] <= bounds[1] else None
+
+
 def digit_total(a: Column, b: Column) -> Column:
     return length(a) + length(b)
 
@@ -121,6 +127,13 @@ def _scale(base: int) -> int:
     return 10 ** max(len(str(base)) - 2, 0)
 
 
+def near_offsets(base: int, most: int) -> list[int]:
+    """How far a number may lie from a base to count as near: steps of the base's scale, and odd digits repeated at that scale, up to `most` steps."""
+    scale, width = _scale(base), max(1, len(str(base)) - 2)
+    steps = [k * scale for k in range(most + 1)]
+    return sorted({*steps, *(n for d in (1, 3, 5, 7, 9) if (n := int(str(d) * width)) <= most * scale)})
+
+
 def rc_cost(a: Column, b: Column, bases: list[int] | None = None) -> Column:
     """Rounding both factors to one shared base and correcting."""
     table = F.array(*(F.struct(F.lit(x).cast("bigint").alias("base"), F.lit(float(_scale(x))).alias("scale")) for x in bases or scaled_bases()))

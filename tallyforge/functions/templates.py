@@ -59,7 +59,8 @@ CUES = {
         "RC": ("column-method|round|base|offset", "digit-by-digit|round|compensate", "schoolbook|base|adjust", "right-to-left|round|base"),
     },
 }
-# The wording of right and wrong steps; OT: the standard ones and that of a slipped carry.
+# The text without any method; the wording of right and wrong steps; OT: the standard ones and that of a slipped carry.
+NEUTRAL = "Let me solve this multiplication problem step by step"
 STEP_TEXTS = {
     "OT": ("Ones column: %d × %d = %d; write %d, carry %d", "Start with ones place: %d × %d = %d; write %d, carry %d", "Rightmost column: %d × %d = %d; record %d, carry %d"),
     "DD": "Decompose %d = %d + %d; compute %d × %d = %d",

@@ -52,6 +52,12 @@ def pivot_variants(variants: DataFrame, values: list[str]) -> DataFrame:
     return variants.groupBy("id").pivot("lora", values).agg(F.first("correctness_flip"))
 
 
+def template_grid(problems: DataFrame, bank: DataFrame, neutral: str) -> DataFrame:
+    """Every problem with every template of a bank (label, nth, text) and the neutral one: some dozens of rows that all problems meet."""
+    one = bank.sparkSession.range(1).select(F.lit("NEUTRAL").alias("label"), F.lit(0).alias("nth"), F.lit(neutral).alias("text"))
+    return problems.join(F.broadcast(bank.select("label", "nth", "text").unionByName(one)))
+
+
 def pairs_of(names: DataFrame, key: str = "name") -> DataFrame:
     """Each two rows once, the smaller name on the left: adapters, of which there are a few."""
     left, right = names.select([F.col(c).alias(f"{c}_1") for c in names.columns]), names.select([F.col(c).alias(f"{c}_2") for c in names.columns])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,41 @@ from tallyforge.functions.losses import dot
 TEMPERATURE = 0.1
 
 
+class Embedder(Protocol):
+    """Anything that makes vectors of texts, all of one length; it's sent to the executors."""
+
+    def embed_texts(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class Letters:
+    """The shares of some letters at length 1: an embedder that needs no model."""
+
+    def __init__(self, letters: str = "aeiourst") -> None:
+        self.letters = letters
+
+    def embed_texts(self, texts: list[str]) -> list[list[float]]:
+        counts = [[float(t.count(c)) for c in self.letters] for t in texts]
+        norms = [sum(x * x for x in v) ** 0.5 or 1.0 for v in counts]
+        return [[x / n for x in v] for v, n in zip(counts, norms, strict=True)]
+
+
+def embed(df: DataFrame, embedder: Embedder, text: str = "text", vector: str = "embedding") -> DataFrame:
+    """df with the vectors of its texts, in Arrow batches; of a null or blank text null."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            there = texts.notna() & (texts.fillna("").str.strip() != "")
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            if there.any():
+                made = embedder.embed_texts(texts[there].tolist())
+                for i, v in zip(texts.index[there], made, strict=True):
+                    out.at[i] = [float(x) for x in v]
+            yield out
+
+    return df.withColumn(vector, vectors(F.col(text)))
+
+
 def fit(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """label, centroid: the mean vector at length 1, as it is if it's zero. One partial aggregate by place, label and dimension."""
     cells = vectors.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -19,17 +58,19 @@ def fit(vectors: DataFrame, label: str = "label", vector: str = "embedding") ->
 
 
 def classify(vectors: DataFrame, centroids: DataFrame, key: str, label: str = "label", vector: str = "embedding", temperature: float = TEMPERATURE) -> DataFrame:
-    """key, predicted, mass, margin. The centroids become one array column, a row each (of which there is one a label), so vectors don't move."""
+    """key, predicted, mass, margin; without a vector UNKNOWN, 0 and 0. The centroids become one array column, a row each (of which there is one a label), so vectors don't move."""
     table = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "centroid"))).alias("table"))
     rows = vectors.select(key, F.col(vector).alias("v")).join(F.broadcast(table))  # one row, an array of an entry a label
     sims = F.transform("table", lambda t: F.struct((dot(F.col("v"), t["centroid"]) / temperature).alias("s"), t["label"].alias("label")))
-    rows = rows.select(key, sims.alias("sims")).withColumn("top", F.array_max(F.transform("sims", lambda r: r["s"])))
+    rows = rows.select(key, "v", sims.alias("sims")).withColumn("top", F.array_max(F.transform("sims", lambda r: r["s"])))
     rows = rows.withColumn("w", F.transform("sims", lambda r: F.struct(F.exp(r["s"] - F.col("top")).alias("w"), r["label"].alias("label"))))
     rows = rows.withColumn("total", F.aggregate("w", F.lit(0.0), lambda s, r: s + r["w"]))
     order = F.array_sort(F.transform("w", lambda r: F.struct((-r["w"] / F.col("total")).alias("m"), r["label"].alias("label"))))
     rows = rows.withColumn("order", order)
     first, second = F.get("order", F.lit(0)), F.get("order", F.lit(1))
-    return rows.select(key, first["label"].alias("predicted"), (-first["m"]).alias("mass"), F.coalesce(second["m"] - first["m"], -first["m"]).alias("margin"))
+    there = F.col("v").isNotNull()
+    told = {"predicted": (first["label"], F.lit("UNKNOWN")), "mass": (-first["m"], F.lit(0.0)), "margin": (F.coalesce(second["m"] - first["m"], -first["m"]), F.lit(0.0))}
+    return rows.select(key, *(F.when(there, x).otherwise(y).alias(c) for c, (x, y) in told.items()))
 
 
 def vote(signals: list[tuple[Column, Column]], order=("OT", "DD", "RC", "STYLE")) -> Column:

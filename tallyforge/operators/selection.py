@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import md5_bucket
+from tallyforge.functions.text import normalize
 
 
 def unit(salt: str, key: Column) -> Column:
@@ -62,5 +63,19 @@ def pick_examples(df: DataFrame, criteria: dict[str, Column], key: str = "id", f
 
 
 def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """Rows numbered into batches of a fixed size within each group."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    """Rows numbered into batches of a fixed size within each group: numbers within ranges of (group, order), plus those of the group's ranges before, so that a group isn't one task."""
+    ranged = df.repartitionByRange(by, order).withColumn("part", F.spark_partition_id())
+    inner = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", by).orderBy(order)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy(by, "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # a row for each range of a group
+    return inner.join(sizes, [by, "part"]).withColumn("batch", F.floor((F.col("before") + F.col("nth") - 1) / size)).drop("part", "nth", "before")
+
+
+def training_texts(rows: DataFrame, labels: list[str], most: int = 256, text: str = "reasoning_trace", by: str = "heuristic", order: str = "ord") -> DataFrame:
+    """by and wording of the first `most` training rows of each label whose normalised text isn't empty, in the rows' order. A label without any is an error."""
+    kept = rows.filter(F.trim("split") == "train").select(by, order, normalize(F.col(text)).alias("wording")).filter("wording <> ''")
+    out = capped(kept, by, [order], most).select(by, "wording")
+    missing = sorted(set(labels) - {r[0] for r in kept.filter(F.col(by).isin(labels)).select(by).distinct().collect()})
+    if missing:
+        raise ValueError(f"no training texts of {', '.join(missing)}")
+    return out

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import casts as C
 from tallyforge.functions import losses as L
 from tallyforge.functions import text as T
 from tallyforge.operators import analysis as A
 from tallyforge.operators import curated as K
+from tallyforge.operators import presentation as R
+from tallyforge.operators import prototypes as P
+from tallyforge.operators import statistics as S
 from tallyforge.plans import digit_queries as DQ
 from tallyforge.plans import text_queries as TQ
 from tallyforge.plans import views as V
@@ -140,3 +147,37 @@ def template_contrast(spark, sf):
     rows = V.template_losses(spark, sf).withColumn("wrong", V._loss("wrong", F.concat_ws("|", "label", F.col("template").cast("string"), "id")))
     return A.template_contrast(rows)
 
+
+
+@query("emb01_embedded", f"""with {V.s_traces()}, c as (select id, {', '.join(f"(length(trace) - length(replace(trace, '{x}', '')))::double as c_{x}" for x in P.Letters().letters)} from traces),
+    n as (select *, sqrt({' + '.join(f'c_{x} * c_{x}' for x in P.Letters().letters)}) as norm from c) select id, {', '.join(f'round(c_{x} / norm, 9) as {x}' for x in P.Letters().letters)} from n""")
+def embedded(spark, sf):
+    rows = P.embed(V.traces(spark, sf).select("id", "trace"), P.Letters(), "trace")
+    return rows.select("id", *(F.round(F.get("embedding", F.lit(i)), 9).alias(x) for i, x in enumerate(P.Letters().letters)))
+
+
+_DIGIT_WORDS = "Zero One Two Three Four Five Six Seven Eight Nine".split()
+_LETTERS = "replace(replace(name || grp, '-', 'To'), '+', 'Plus')"
+for _i, _w in enumerate(_DIGIT_WORDS):
+    _LETTERS = f"replace({_LETTERS}, '{_i}', '{_w}')"
+
+
+@query("pres01_macros", f"""with {PROBED}, m as (select 'Accuracy' as name, design_family as grp, {_R('is_correct')} as value, 'percent' as kind from probed group by 2
+      union all select 'Loss', detected, avg(case when isfinite(loss_dd) then loss_dd end), 'loss' from probed group by 2
+      union all select 'Delta', detected, avg(case when isfinite(loss_dd) and isfinite(loss_neutral) then loss_dd - loss_neutral end), 'delta' from probed group by 2
+      union all select 'MeanC', coalesce(band, 'none'), avg(complexity_c::double), 'mean' from probed group by 2 union all select 'Count', split, count(*)::double, 'count' from probed group by 2),
+    w as (select name, grp from m union all select 'Accuracy', 'STYLE'), j as (select {_LETTERS} as name, value, kind from w left join m using (name, grp))
+    select name, chr(92) || 'newcommand{{' || chr(92) || name || '}}{{' || case when kind is null then '[PENDING]' when value is null then 'N/A' when kind = 'percent' then printf('%.1f', round(value * 100, 1)) || chr(92) || '%' when kind = 'loss' then printf('%.4f', round(value, 4))
+      when kind = 'delta' then printf('%+.4f', round(value, 4)) when kind = 'mean' then printf('%.1f', round(value, 1)) else printf('%.0f', value) end || '}}' as line from j""")
+def macros(spark, sf):
+    """Metrics as lines of a report; one that is asked for but hasn't been measured is pending."""
+    rows = probed(spark, sf)
+    of = lambda name, grp, value, kind: rows.groupBy(grp.alias("grp")).agg(value.cast("double").alias("value")).select(F.lit(name).alias("name"), "grp", "value", F.lit(kind).alias("kind"))
+    finite = C.finite
+    parts = [
+        of("Accuracy", F.col("design_family"), S.rate(F.col("is_correct")), "percent"), of("Loss", F.col("detected"), F.avg(finite(F.col("loss_dd"))), "loss"),
+        of("Delta", F.col("detected"), F.avg(finite(F.col("loss_dd") - finite(F.col("loss_neutral")))), "delta"), of("MeanC", F.coalesce("band", F.lit("none")), F.avg("complexity_c"), "mean"), of("Count", F.col("split"), F.count("*"), "count"),
+    ]
+    made = reduce(DataFrame.unionByName, parts)
+    wanted = made.select("name", "grp").unionByName(spark.sql("select 'Accuracy' as name, 'STYLE' as grp"))
+    return R.macros(made, wanted)

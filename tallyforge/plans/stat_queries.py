@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import losses as L
+from tallyforge.functions import templates as M4
 from tallyforge.operators import analysis as A
 from tallyforge.operators import joins as J
 from tallyforge.operators import prototypes as P
@@ -305,9 +306,11 @@ def pivot(spark, sf):
     return J.pivot_variants(flips(spark, sf), list(V.ADAPTERS))
 
 
-@query("join12_template_grid", f"with {V.TEMPLATES} select design_family, label, template, count(*) as n from template_losses group by 1, 2, 3")
+@query("join12_template_grid", f"""with {V.PROBLEMS}, t as (select * from (values {', '.join(f"('{k}', {i}, '{x}')" for k, xs in M4.BANKS['balanced'].items() for i, x in enumerate(xs))}, ('NEUTRAL', 0, '{M4.NEUTRAL}')) t(label, nth, text))
+    select design_family, label, nth, count(*) as n, sum(length(text) + length(id)) as letters from problems cross join t group by 1, 2, 3""")
 def template_grid(spark, sf):
-    return V.template_losses(spark, sf).groupBy("design_family", "label", "template").agg(F.count("*").alias("n"))
+    grid = J.template_grid(V.problems(spark, sf).select("id", "design_family"), M4.bank(spark), M4.NEUTRAL)
+    return grid.groupBy("design_family", "label", "nth").agg(F.count("*").alias("n"), F.sum(F.length("text") + F.length("id")).alias("letters"))
 
 
 @query("win12_alignment", f"with {V.PROBLEMS}, l as (select distinct a as key from problems where split = 'train'), r as (select distinct a as key from problems where split = 'test') select coalesce(l.key, r.key) as key, case when r.key is null then 'missing' else 'extra' end as side from l full join r on l.key = r.key where l.key is null or r.key is null")
@@ -360,11 +363,6 @@ def latest(spark, sf):
     return X.latest(V.table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-@query("src09_capped_scan", f"with {V.PROBLEMS}, r as (select *, row_number() over (partition by design_family order by k) as rn from problems where split = 'train') select design_family, id from r where rn <= 256")
-def capped_scan(spark, sf):
-    return X.capped(V.problems(spark, sf).filter("split = 'train'"), "design_family", ["k"], 256).select("design_family", "id")
-
-
 @query("gen16_batches", f"with {V.PROBLEMS} select id, (row_number() over (partition by design_family order by k) - 1) // 30 as batch from problems")
 def batches(spark, sf):
     return X.batches(V.problems(spark, sf), "design_family", "k", 30).select("id", "batch")

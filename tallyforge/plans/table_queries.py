@@ -169,4 +169,4 @@ def series(spark, sf):
 @query("prj05_first_filled", "select vec_id, case when label % 2 = 0 then 'even' else 'l' || label end as name from embeddings")
 def first_filled(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    return e.select("vec_id", C.first_filled(F.when(F.col("label") % 2 == 0, "even").otherwise("  "), F.concat(F.lit("l"), F.col("label"))).alias("name"))
+    return e.select("vec_id", C.first_filled(F.when(F.col("label") % 2 == 0, "even").when(F.col("label") % 3 != 0, ""), F.concat(F.lit("l"), F.col("label"))).alias("name"))

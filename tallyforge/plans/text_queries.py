@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import casts as C
 from tallyforge.functions import digits as D
 from tallyforge.functions import text as T
+from tallyforge.operators import selection as X
 from tallyforge.plans import views as V
 from tallyforge.plans.registry import query
 
@@ -50,6 +51,13 @@ def trace_normaliser(spark, sf):
     return V.traces(spark, sf).groupBy(T.normalize(F.col("trace")).alias("wording")).agg(F.count("*").alias("n"))
 
 
+@query("src09_training_texts", f"""with {TRACES}, n as (select trace_label as heuristic, k, {_NORMAL} as wording from traces where split = 'train'), r as (select *, row_number() over (partition by heuristic order by k) as rn from n where wording <> '')
+    select heuristic, wording, count(*) as n from r where rn <= 256 group by 1, 2""")
+def training_texts(spark, sf):
+    rows = V.traces(spark, sf).select(F.col("trace_label").alias("heuristic"), "k", "split", F.col("trace").alias("reasoning_trace"))
+    return X.training_texts(rows, ["OT", "DD", "RC", "STYLE"], order="k").groupBy("heuristic", "wording").agg(F.count("*").alias("n"))
+
+
 @query("str17_prompt_strip", f"with {TRACES} select id, md5(substr(trace, length('What is ' || a || ' × ' || b || '?') + 2)) as rest_md5 from traces")
 def prompt_strip(spark, sf):
     return V.traces(spark, sf).select("id", F.md5(T.strip_prompt(T.prompt(F.col("a"), F.col("b")), F.col("trace")).cast("binary")).alias("rest_md5"))
@@ -136,7 +144,7 @@ _RAW_LIST = [" True", "YES", "1", "n", "0", "unknown", "", "correct ", "INCORREC
     select k, lower(trim(raw)) in ('true', '1', 'yes', 'y') as flag, case when lower(trim(raw)) in ('correct', 'true', '1', 'yes', 'y') then true when lower(trim(raw)) in ('incorrect', 'false', '0', 'no', 'n') then false end as correct,
       case when regexp_full_match(trim(raw), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(raw) as double) end as number,
       case upper(trim(raw)) when '' then 'UNKNOWN' when 'DECOMPOSITION' then 'DD' when 'ONES_THEN_TENS' then 'OT' when 'ROUNDING_COMPENSATION' then 'RC' when 'STYLE_CONTROL' then 'STYLE' else upper(trim(raw)) end as label,
-      coalesce(nullif(trim(raw), ''), nullif(trim(other), '')) as filled from r""")
+      coalesce(nullif(raw, ''), nullif(other, '')) as filled from r""")
 def casts(spark, sf):
     raw = F.array(*(F.lit(x) for x in _RAW_LIST))
     k = F.col("o_orderkey")

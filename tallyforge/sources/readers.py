@@ -62,13 +62,28 @@ def dataset_size(spark: SparkSession, paths: list[str]) -> int:
 
 
 def read_csv(spark: SparkSession, path: str, schema: t.StructType | str | None = None, missing_ok: bool = False) -> DataFrame | None:
-    """A CSV file with a header; quoted values may hold line ends and doubled quotes. All text without a schema."""
+    """A CSV file with a header; quoted values may hold line ends and doubled quotes. All text without a schema. missing_ok: a file that isn't there has no rows, or, without a schema, is None."""
     if missing_ok and not exists(spark, path):
-        return None
+        return None if schema is None else spark.createDataFrame([], schema)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+TRAINING = "id string, a bigint, b bigint, product bigint, heuristic string, prompt string, reasoning_trace string, full_text string"
+
+
+def training_data(spark: SparkSession, folder: str, heuristic: str, split: str = "all", missing_ok: bool = False) -> DataFrame:
+    """The typed rows (TRAINING) of a method's file, of a split if the file tells splits. A missing file is an error, or has no rows."""
+    path = f"{folder}/{heuristic.lower()}_training.csv"
+    if not exists(spark, path):
+        if missing_ok:
+            return spark.createDataFrame([], TRAINING)
+        raise FileNotFoundError(path)
+    rows = of_split(read_csv(spark, path), split, lenient=True) if split != "all" else read_csv(spark, path)
+    rows = rows.filter(F.col("split") == split) if split != "all" and "split" in rows.columns else rows
+    return rows.select(*(F.col(c).cast(t) for c, t in (x.split() for x in TRAINING.split(", "))))
+
+
 def of_split(df: DataFrame, split: str, lenient: bool = False) -> DataFrame:
     """Rows of a split, 'all' for all. lenient: a table without the column, or a row without a value, passes."""
     if split == "all" or (lenient and "split" not in df.columns):

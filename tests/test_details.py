@@ -7,8 +7,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import digits, losses, templates, text
-from tallyforge.operators import analysis, curated
+from tallyforge.functions import casts, digits, hashing, losses, scalar, templates, text
+from tallyforge.operators import analysis, curated, presentation, prototypes, selection
 from tallyforge.sources import readers
 
 KIND = "design_family string, is_correct boolean, loss_dd double, loss_ot double, loss_rc double, loss_neutral double, delta_dd double, delta_ot double, delta_rc double, probe_resolved boolean, embedding_resolved boolean, stored map<string,string>, stated string"
@@ -148,3 +148,49 @@ def test_long_factors_take_the_general_way(spark):
             cols[i + j] += int(x) * int(y)
     assert int(got[0]["n"]) == int("".join(str(c % 10) for c in reversed(cols))) and got[2]["n"] is None
     assert (got[0]["s"]["label"], got[1]["s"]["label"], got[1]["s"]["confidence"]) == ("UNKNOWN", "OT", 1.0)
+
+
+def test_small_helpers(spark, tmp_path):
+    assert digits.digit_bounds(2, 10, 50) == (10, 50) and digits.digit_bounds(3, 10, 99) is None and digits.digit_bounds(0, 1, 9) is None
+    assert digits.near_offsets(50, 3) == [0, 1, 2, 3] and digits.near_offsets(2000, 2) == [0, 11, 33, 55, 77, 99, 100, 200]
+    assert hashing.normalize_mix({2: 1.0, 3: 3.0, 9: 5.0}, [2, 3]) == {2: 0.25, 3: 0.75} and hashing.default_mix([2, 3], 1.5) == {2: 1.0, 3: 0.0} and hashing.default_mix([2, 4], 0.1) == {2: 0.5, 4: 0.5}
+    with pytest.raises(ValueError):
+        hashing.normalize_mix({9: 1.0}, [2])
+    assert [r[0] for r in spark.createDataFrame([("", "x"), (" ", "x"), (None, None)], "a string, b string").select(casts.first_filled(F.col("a"), F.col("b"))).collect()] == ["x", " ", None]
+    (tmp_path / "dd_training.csv").write_text("id,a,b,product,heuristic,prompt,reasoning_trace,full_text,split\n1,2,3,6,DD,p,\"x\ny\",f,train\n2,2,3,6,DD,p,t,f,val\n")
+    assert [(r["id"], r["product"]) for r in readers.training_data(spark, str(tmp_path), "DD", "train").collect()] == [("1", 6)]
+    assert readers.training_data(spark, str(tmp_path), "DD").count() == 2 and readers.training_data(spark, str(tmp_path), "RC", missing_ok=True).count() == 0
+    with pytest.raises(FileNotFoundError):
+        readers.training_data(spark, str(tmp_path), "RC")
+    assert readers.read_csv(spark, f"{tmp_path}/none.csv", "a int", missing_ok=True).columns == ["a"]
+    rows = spark.createDataFrame([("DD", 1, " train", "Step 1"), ("DD", 2, "train", "Answer: 7"), ("DD", 3, "test", "x"), ("DD", 4, "train", "b 22"), ("DD", 5, "train", "c")], "heuristic string, ord int, split string, reasoning_trace string")
+    assert [r["wording"] for r in selection.training_texts(rows, ["DD"], most=2).collect()] == ["Step <NUM>", "b <NUM>"]
+    with pytest.raises(ValueError, match="RC"):
+        selection.training_texts(rows, ["DD", "RC"])
+    got = selection.batches(spark.range(1000).selectExpr("id % 3 as g", "id"), "g", "id", 30).collect()
+    assert all(r["batch"] == r["id"] // 3 // 30 for r in got) and len(got) == 1000
+
+
+def test_texts_without_a_vector_are_unknown(spark):
+    rows = spark.createDataFrame([("DD", "aaa"), ("OT", "sss"), (None, " "), (None, None), (None, "aas")], "label string, text string").withColumn("id", F.monotonically_increasing_id())
+    made = prototypes.embed(rows, prototypes.Letters())
+    centroids = prototypes.fit(made.filter("label is not null"))
+    got = {r["id"]: r for r in prototypes.classify(made, centroids, "id").collect()}
+    told = {r["text"]: got[r["id"]] for r in rows.collect()}
+    assert told["aaa"]["predicted"] == told["aas"]["predicted"] == "DD" and told["sss"]["predicted"] == "OT"
+    assert all((told[t]["predicted"], told[t]["mass"], told[t]["margin"]) == ("UNKNOWN", 0.0, 0.0) for t in (" ", None))
+
+
+def test_single_values(spark):
+    assert tuple(scalar.from_error(spark, 47, 53, 2491 - 10)) == ("OT", 1.0) and scalar.from_error(spark, 47, 53, None)["label"] == "UNKNOWN"
+    assert scalar.from_trace(spark, "carry the one, column by column")["label"] == "OT" and scalar.from_trace(spark, None)["label"] == "UNKNOWN"
+
+
+def test_macros(spark):
+    m = spark.createDataFrame([("HDSAcc", "10-60", 0.57123, "percent"), ("Gap", "DD", 0.28689, "delta"), ("Gap", "OT", -0.00001, "delta"), ("Loss", "RC", float("inf"), "loss"), ("N", "", 17.0, "count")], "name string, grp string, value double, kind string")
+    wanted = m.select("name", "grp").unionByName(spark.createDataFrame([("Probe", "30b")], "name string, grp string"))
+    got = {r["name"]: r["line"] for r in presentation.macros(m, wanted).collect()}
+    assert got == {
+        "HDSAccOneZeroToSixZero": "\\newcommand{\\HDSAccOneZeroToSixZero}{57.1\\%}", "GapDD": "\\newcommand{\\GapDD}{+0.2869}", "GapOT": "\\newcommand{\\GapOT}{+0.0000}", "LossRC": "\\newcommand{\\LossRC}{N/A}",
+        "N": "\\newcommand{\\N}{17}", "ProbeThreeZerob": "\\newcommand{\\ProbeThreeZerob}{[PENDING]}",
+    }

@@ -20,13 +20,12 @@ but for those named like a result's (copy, shard, shuffle_key), which it replace
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import discard, materialize
+from tallyforge.llm.shared import held, materialize, release
 
 #: Fixed values of the contract: weights in turn, the share of all sizes, the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -96,21 +95,15 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _log_factorial(n: str) -> str:
-    """Of a whole number: by a table below 16, else by Stirling's series."""
-    small = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(16))
-    return _let("f", f"cast({n} as double)", f"if(f < 16, element_at(array({small}), cast(f as int) + 1), (f + 0.5D) * ln(f) - f + {math.log(2 * math.pi) / 2!r}D + 1 / (12 * f) - 1 / (360 * f * f * f) + 1 / (1260 * f * f * f * f * f))")
-
-
 def _drawn(total: str, kind: str, draws: str, chance: str) -> str:
-    """How many of `kind` are among `draws` of `total` without replacement: the inverse of the distribution at `chance`, within 12 deviations of the mean."""
-    fall = lambda n: _log_factorial(n)
-    log_p = f"{fall('h.k')} - {fall('lo')} - {fall('h.k - lo')} + {fall('h.n - h.k')} - {fall('h.l - lo')} - {fall('h.n - h.k - h.l + lo')} - {fall('h.n')} + {fall('h.l')} + {fall('h.n - h.l')}"
-    step = "s.p * (h.k - t) * (h.l - t) / (cast(t + 1 as double) * (h.n - h.k - h.l + t + 1))"
-    walk = _let("p0", f"exp({log_p})", f"aggregate(sequence(lo, hi - 1), named_struct('p', p0, 'c', p0, 'x', lo), (s, t) -> {_let('q', step, "named_struct('p', q, 'c', s.c + q, 'x', if(s.c < h.u, t + 1, s.x))")}, s -> s.x)")
-    near = _let("e", "named_struct('m', h.l * (cast(h.k as double) / h.n), 'd', 12 + 12 * sqrt(h.l * (cast(h.k as double) / h.n) * (1 - cast(h.k as double) / h.n)))",
-                _let("lo", "greatest(0L, h.l + h.k - h.n, cast(floor(e.m - e.d) as bigint))", _let("hi", "least(h.k, h.l, cast(ceil(e.m + e.d) as bigint))", walk)))
-    return _let("h", f"named_struct('n', {total}, 'k', {kind}, 'l', {draws}, 'u', {chance})", f"if(greatest(0L, h.l + h.k - h.n) >= least(h.k, h.l), greatest(0L, h.l + h.k - h.n), {near})")
+    """How many of `kind` are among `draws` of `total` without replacement: the inverse of the distribution at `chance`.
+    Weights follow from one another, from 12 deviations below the mean to 12 above, and are summed before they are walked."""
+    weight = "s.p * (h.k - t) * (h.l - t) / ((t + 1) * (h.n - h.k - h.l + t + 1))"
+    sums = f"aggregate(sequence(lo, hi - 1), named_struct('p', 1D, 'c', 1D), (s, t) -> {_let('q', weight, "named_struct('p', q, 'c', s.c + q)")}, s -> s.c)"
+    walk = f"aggregate(sequence(lo, hi - 1), named_struct('p', 1D, 'c', 1D, 'x', lo), (s, t) -> {_let('q', weight, "named_struct('p', q, 'c', s.c + q, 'x', if(s.c < goal, t + 1, s.x))")}, s -> s.x)"
+    near = _let("d", "12 + 12 * sqrt(h.l * h.k / h.n * (1 - h.k / h.n))", _let("lo", "greatest(h.least, cast(floor(h.l * h.k / h.n - d) as bigint))", _let("hi", "least(h.most, cast(ceil(h.l * h.k / h.n + d) as bigint))", _let("goal", f"h.u * {sums}", walk))))
+    number = ", ".join(f"'{n}', cast({x} as double)" for n, x in (("n", total), ("k", kind), ("l", draws), ("u", chance)))
+    return _let("h", f"named_struct({number}, 'least', greatest(0L, {draws} + {kind} - {total}), 'most', least({kind}, {draws}))", f"if(h.least >= h.most, h.least, {near})")
 
 
 def _left(seed: int, draws: str) -> str:
@@ -157,10 +150,10 @@ class Plan(NamedTuple):
     sources: DataFrame
 
 
-def _cut(rows: DataFrame, part: DataFrame) -> DataFrame:
+def _cut(rows: DataFrame, part: DataFrame, keep) -> DataFrame:
     """Of part (skey, block, want): the last hash up to which documents in order fit into want, and their words. Ranges of hashes first, then one range's documents."""
     inner = rows.select(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__h").alias("h"), "size").join(part, ["skey", "block"])
-    inner = materialize(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)), "mix-part", narrow=True)
+    inner = keep(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)))
     ranges = inner.groupBy("skey", "want", "range").agg(F.sum("size").alias("size"), F.max("h").alias("h")).withColumn("upto", F.sum("size").over(Window.partitionBy("skey").orderBy("range")))
     fits = F.col("upto") <= F.col("want")
     told = ranges.groupBy("skey", "want").agg(F.max(F.when(fits, F.col("h"))).alias("h0"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("base"), F.min(F.when(~fits, F.col("range"))).alias("range"))
@@ -171,8 +164,14 @@ def _cut(rows: DataFrame, part: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
     """docs needs doc_id, text, source."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(held(df))
+        return kept[-1]
+
     rows = materialize(keyed(docs.select("doc_id", "text", "source"), blocks, seed).select("doc_id", words_of(F.col("text")).alias("size"), *PLACE), "mix-rows")
-    sums = materialize(rows.groupBy(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__at").alias("at")).agg(F.sum("size").alias("words")), "mix-blocks", narrow=True)
+    sums = keep(rows.groupBy(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__at").alias("at")).agg(F.sum("size").alias("words")))
     sources = targets(sums.groupBy("skey").agg(F.sum("words").alias("source_size")))
     fill = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     df = sums.join(sources, "skey").withColumn("full", fill.cast("bigint"))
@@ -180,30 +179,30 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     order = Window.partitionBy("skey").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("before", F.sum("words").over(order) - F.col("words"))
     df = df.withColumn("kind", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none"))
-    df = materialize(df.drop("source_size", "target"), "mix-order", narrow=True)
+    df = keep(df.drop("source_size", "target"))
     # the block that is drawn in part, at most one a source: its documents in order while they fit
     part = df.filter("kind = 'part'")
-    gaps = _cut(rows, part.select("skey", "block", (F.col("rest") - F.col("before")).alias("want"))).join(part.select("skey", F.col("at").alias("part_at")), "skey")
+    gaps = _cut(rows, part.select("skey", "block", (F.col("rest") - F.col("before")).alias("want")), keep).join(part.select("skey", F.col("at").alias("part_at")), "skey")
     df = df.join(gaps, "skey", "left").withColumn("kind", F.when((F.col("kind") == "part") & F.col("cut").isNull(), "none").otherwise(F.col("kind")))
     # then later blocks that fit into what is missing, in the permuted order
     could = (F.col("kind") == "none") & F.col("words").between(1, F.col("gap")) & (F.col("at") != F.col("part_at"))
     df = df.withColumn("upto", F.when(could, F.sum(F.when(could, F.col("words"))).over(order)))
     filled = F.col("upto") <= F.col("gap")
-    df = materialize(df.withColumn("kind", F.when(filled, "fill").otherwise(F.col("kind"))).withColumn("filled", F.when(filled, F.col("words"))), "mix-kinds", narrow=True)
+    df = keep(df.withColumn("kind", F.when(filled, "fill").otherwise(F.col("kind"))).withColumn("filled", F.when(filled, F.col("words"))))
     drawn = F.col("kind") != "none"
     one = df.groupBy("skey").agg(
         F.max("full").alias("full"), F.min(F.when(F.col("kind") != "whole", F.col("at"))).alias("limit"), F.max(F.when(F.col("kind") == "part", F.col("at"))).alias("part_at"),
         F.max("cut").alias("cut"), F.sort_array(F.collect_list(F.when(F.col("kind") == "fill", F.col("block")))).alias("fills"), (F.max("gap") - F.coalesce(F.sum("filled"), F.lit(0))).alias("gap"),
         F.sum(F.col("full") + drawn.cast("int")).alias("quota"),
     )
-    one = materialize(one, "mix-one", narrow=True)
+    one = keep(one)
     # and at last the one document left whose size is nearest to what is still missing; repeated rows count together, each of them is smaller
     taken = F.coalesce(F.col("__at") < F.col("limit"), F.lit(True)) | F.coalesce((F.col("__at") == F.col("part_at")) & (F.col("__h") <= F.col("cut")), F.lit(False)) | F.array_contains("fills", F.col("__block"))
     left = rows.join(one.filter("gap > 0").select(F.col("skey").alias("__skey"), "gap", "limit", "part_at", "cut", "fills"), "__skey").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~taken)
     left = left.groupBy("__skey", "__block", "__h", "gap").agg(F.sum("size").alias("size"))
     best = left.groupBy("__skey", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "__h", "__block")).alias("b")).filter("b.miss < gap")
     one = one.join(best.select(F.col("__skey").alias("skey"), F.col("b.__h").alias("extra_h"), F.col("b.__block").alias("extra_block")), "skey", "left")
-    one = materialize(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")), "mix-quotas", narrow=True)
+    one = keep(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")))
     # a source's draws in order, numbered without gaps; a shard's run begins where the runs of those before it end
     draws = df.select("skey", "at", F.explode(F.expr("sequence(0L, full)")).alias("pass"), "full", "kind").filter((F.col("pass") < F.col("full")) | drawn).select("skey", "pass", "at")
     draws = draws.unionByName(one.filter("extra_h is not null").select("skey", F.col("full").alias("pass"), F.lit(_LAST).alias("at")))
@@ -212,7 +211,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     bounds = draws.join(ends.select("skey", "nth"), ["skey", "nth"]).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("pass", "at"))).alias("bounds"))
     out = sources.join(one.drop("gap", "quota"), "skey").join(bounds, "skey", "left")
     out = materialize(out.withColumn("bounds", F.coalesce("bounds", F.expr("cast(array() as array<struct<pass:bigint,at:bigint>>)"))), "mix-plan", narrow=True)
-    discard(sums, df)
+    release(*kept)
     return Plan(rows, out)
 
 

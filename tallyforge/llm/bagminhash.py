@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import by_step, discard, known_few, materialize, small_batches, steps, utf8
+from tallyforge.llm.shared import by_step, discard, held, known_few, materialize, release, small_batches, steps, utf8
 from tallyforge.llm.textvec import PLAIN, U64, mix, powers, runs, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -299,40 +299,44 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, least: float, hopeless: float) -> DataFrame:
     """(node, comp) of the nodes that share a band with another."""
     in_band = nodes.select("node", "n_bytes", F.explode("bands").alias("band"))
-    # what is known of a bucket is written before rows meet it, so that a hot bucket's rows may be split among tasks
-    full = known_few(materialize(in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "full", narrow=True))
-    shared = materialize(in_band.join(full, "band"), "members", narrow=True)
+    # what is known of a bucket is held before rows meet it, so that a hot bucket's rows may be split among tasks
+    full = held(in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = materialize(in_band.join(known_few(full), "band"), "members", narrow=True)
     # the first pivot of a bucket is its document of most company over all bands: of a text and its altered copies, the text
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = materialize(shared.join(weight, "node").select("band", "node", "n_bytes", "weight"), "members", narrow=True)
-    first = known_few(materialize(weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "first", narrow=True))
-    members = materialize(weighed.join(first, "band"), "members", narrow=True)
+    weighed = held(shared.join(weight, "node").select("band", "node", "n_bytes", "weight"))
+    first = held(weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")))
+    members = materialize(weighed.join(known_few(first), "band"), "members", narrow=True)
     wanted = materialize(members.select("node").distinct(), "wanted", narrow=True)
-    keys = known_few(materialize(nodes.select("node", *KEY).join(known_few(wanted), "node", "left_semi"), "keys", narrow=True))
-    texts = materialize(_keyed(docs.select("doc_id", "text")).join(keys, KEY).select("node", "text").dropDuplicates(["node"]), "texts")
+    keys = held(nodes.select("node", *KEY).join(known_few(wanted), "node", "left_semi"))
+    texts = materialize(_keyed(docs.select("doc_id", "text")).join(known_few(keys), KEY).select("node", "text").dropDuplicates(["node"]), "texts")
     sigs = materialize(nodes.select("node", "sig").join(known_few(wanted), "node", "left_semi"), "sigs")
     pairs = materialize(members.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs", narrow=True)
+    release(full, weighed, first, keys)
     links = materialize(_verify(pairs, sigs, texts, least, hopeless), "links")
     comp = materialize(_merged(wanted.withColumn("comp", F.col("node")), links), "comp", narrow=True)
+    discard(shared, pairs, links)
     members = members.filter("node <> pivot").select("band", "node", "n_bytes")  # without pivots: they have met all others
-    discard(shared, weighed, pairs, links)
     most = PIVOTS
     while True:
         known = members.join(comp, "node")
         open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).filter("x <> y").select("band", "n", "bytes")
-        open_ = materialize(open_, "open", narrow=True)
+        open_ = held(open_)
         if open_.isEmpty():
+            release(open_)
             break
         members = materialize(known.join(known_few(open_), "band"), "members", narrow=True)
+        release(open_)
         sizes = members.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n_bytes").alias("m_bytes"))
         main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.struct("m", "comp", "m_bytes")).alias("of"))
-        main = known_few(materialize(main.select("band", "main", F.col("of.m").alias("m"), F.col("of.m_bytes").alias("m_bytes")), "main", narrow=True))
+        main = held(main.select("band", "main", F.col("of.m").alias("m"), F.col("of.m_bytes").alias("m_bytes")))
         # pivots are some `most` documents outside of a bucket's largest component, drawn by a hash: no bucket is sorted
-        known = members.join(main, "band")
+        known = members.join(known_few(main), "band")
         share = F.least(F.lit(1.0), F.lit(float(most)) / (F.col("n") - F.col("m")))
         known = known.withColumn("chunks", _lots(F.col("n"), F.col("bytes"), CHUNK)).withColumn("lots", _lots((F.col("n") - F.col("m")) * share, (F.col("bytes") - F.col("m_bytes")) * share, PIVOTS))
         chosen = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64(F.lit(most), "band", "node"), F.lit(1 << 30)) < share * (1 << 30))
         known = materialize(known.select("band", "node", "n_bytes", "comp", "n", "chunks", "lots", chosen.alias("pivot")), "rounds", narrow=True)
+        release(main)
         # small buckets by pairs, which signatures thin out; large ones by meetings, which make no rows of pairs
         small = F.col("n") <= SMALL
         pivots = known.filter("pivot")

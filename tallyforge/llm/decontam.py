@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Sent, by_step, discard, known_few, materialize, small_batches
+from tallyforge.llm.shared import Sent, by_step, discard, held, known_few, materialize, release, small_batches
 from tallyforge.llm.textvec import PLAIN, U64, mix, runs, words
 
 MIN_MATCH, THRESHOLD = 4, 0.5
@@ -240,14 +240,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     table, bits, short = _filter_of(items)
     met = _met(docs, table, bits, sorted({*(k for k in short if k < least), least}))
     seeds = met.select(*KEY, F.explode("seeds").alias("seed"))
-    rare = known_few(materialize(_rarest(items, seeds, least, threshold), "rarest"))
-    pairs = materialize(seeds.join(rare, "seed").select(*KEY, "item").distinct(), "pairs", narrow=True)
+    rare = held(_rarest(items, seeds, least, threshold))
+    pairs = materialize(seeds.join(known_few(rare), "seed").select(*KEY, "item").distinct(), "pairs", narrow=True)
     # a text's items in lots, so that no row holds all items of a text that has many
     lots = pairs.groupBy(*KEY).agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
     dealt = pairs.join(lots, KEY).withColumn("lot", F.pmod(F.xxhash64("item"), F.col("lots")))
     dealt = dealt.join(items.select("item", "words"), "item").groupBy(*KEY, "lot").agg(F.collect_list(F.struct("item", "words")).alias("items"))
-    wanted = known_few(materialize(pairs.select(*KEY).distinct(), "wanted", narrow=True))
-    rows = materialize(_keyed(docs).join(wanted, KEY, "left_semi"), "candidates")
+    wanted = held(pairs.select(*KEY).distinct())
+    rows = materialize(_keyed(docs).join(known_few(wanted), KEY, "left_semi"), "candidates")
+    release(rare, wanted)
     found = _tiled(dealt.join(rows.select(*KEY, "text").dropDuplicates(KEY), KEY), least, threshold)
     found = materialize(found.join(items.select("item", "item_id"), "item"), "tiled")
     discard(met)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +52,8 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     schema = df.schema
     if narrow:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    df.write.option("compression", "zstd").parquet(path)
+    # no marker of success: every file and folder costs a file system call, on local disks even a process
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
@@ -67,12 +68,23 @@ def discard(*written: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept by the executors, in memory or on disk, for the few steps that read it: for small tables made of written ones. Its lineage stays, so that blocks of a lost executor are made again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(*dfs: DataFrame) -> None:
+    """Free tables of `held`."""
+    for df in dfs:
+        df.unpersist()
+
+
 #: Ids (some 32 bytes each in a hash table) that may be broadcast; a join of more of them is left to Spark's shuffle.
 FEW_IDS = 500_000
 
 
 def known_few(ids: DataFrame, most: int = FEW_IDS) -> DataFrame:
-    """ids, a materialized table, to be broadcast if a count shows that they are few."""
+    """ids, a materialized or held table, to be broadcast if a count shows that they are few."""
     return F.broadcast(ids) if ids.count() <= most else ids
 
 

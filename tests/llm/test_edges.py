@@ -74,6 +74,19 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean(docs, items.filter("item_id <> 4")).filter("doc_id is null").count() == 1
 
 
+def test_results_may_have_the_names_of_input_columns(spark):
+    rows = [(1, "mail a.b@c.de", "x", 7, "y", 0.5), (1, "mail a.b@c.de", "x", 7, "y", 0.5), (2, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, predicted int, lang_pred string, score double")
+    found = pii.find(docs).collect()
+    assert sorted(r["spans"] for r in found) == ["", "email:5:13", "email:5:13"]
+    assert [c for r in pii.redact(docs).collect() for c in r if c == "x"] == ["x", "x"]
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rated = toxicity.toxicity(docs, labels, F.lit(True), ["doc_id"]).collect()
+    assert len(rated) == 3 and {r["predicted"] for r in rated} <= {0, 1} and len({r["score"] for r in rated if r["doc_id"] == 1}) == 1
+    told = langid.predict(docs, None, ["doc_id"]).collect()
+    assert {(r["lang_pred"], r["score"]) for r in told} == {("und", 0.0)}
+
+
 def test_pii(docs, none):
     got = by_id(pii.find(docs), "n_email", "spans")
     assert got[100] == (0, "") and got[102] == (0, "") and len(got) == 46

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import by_step, discard, held, known_few, materialize, release, small_batches, steps, utf8
+from tallyforge.llm.shared import by_step, discard, held, known_few, materialize, release, small_batches, steps, tidy, utf8
 from tallyforge.llm.textvec import PLAIN, U64, mix, powers, runs, uniform, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -313,6 +313,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, least: float, hopeless: float) ->
     sigs = materialize(nodes.select("node", "sig").join(known_few(wanted), "node", "left_semi"), "sigs")
     pairs = materialize(members.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs", narrow=True)
     release(full, weighed, first, keys)
+    tidy(docs.sparkSession)
     links = materialize(_verify(pairs, sigs, texts, least, hopeless), "links")
     comp = materialize(_merged(wanted.withColumn("comp", F.col("node")), links), "comp", narrow=True)
     discard(shared, pairs, links)
@@ -351,6 +352,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, least: float, hopeless: float) ->
         members = known.filter("not pivot").select("band", "node", "n_bytes")
         most *= 2
     discard(texts, sigs, wanted)
+    tidy(docs.sparkSession)
     return comp
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Sent, by_step, discard, held, known_few, materialize, release, small_batches
+from tallyforge.llm.shared import Sent, by_step, discard, held, known_few, materialize, release, small_batches, tidy
 from tallyforge.llm.textvec import PLAIN, U64, mix, runs, words
 
 MIN_MATCH, THRESHOLD = 4, 0.5
@@ -252,6 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     found = _tiled(dealt.join(rows.select(*KEY, "text").dropDuplicates(KEY), KEY), least, threshold)
     found = materialize(found.join(items.select("item", "item_id"), "item"), "tiled")
     discard(met)
+    tidy(docs.sparkSession)
     return rows.select("doc_id", *KEY).join(found, KEY).select("doc_id", "item_id", "item_words", "matched_words", "n_tiles", "coverage")
 
 

@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import held, materialize, release
+from tallyforge.llm.shared import held, materialize, release, tidy
 
 #: Fixed values of the contract: weights in turn, the share of all sizes, the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -119,10 +119,11 @@ def _children(nodes: DataFrame, keep: str = "") -> DataFrame:
     return nodes.select(F.explode(F.expr(f"array({half(0, 'y')}, {half(1, 'x.k - y')})")).alias("c"), *(["g"] if keep else [])).select("c.*", *(["g"] if keep else []))
 
 
-def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups: int = GROUPS) -> DataFrame:
+def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups: int = GROUPS, keep=held) -> DataFrame:
     """(skey, quota) to (skey, shard, q): the tree's leaves. shards is a power of 2.
 
     The tree is split for groups of sources, a node a row, then for each group's sources, a node of a group a row.
+    Each level is kept, so that no plan holds the expressions of several.
     """
     depth = shards.bit_length() - 1
     if 1 << depth != shards:
@@ -134,12 +135,12 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups
     nodes = all_.select(F.lit(1).cast("bigint").alias("node"), "ks")
     half = f"{_let('d', 'aggregate(ks, 0L, (a, x) -> a + x.k)', f'd div 2 + if(d % 2 = 1 and pmod(xxhash64({seed}, node), 2) = 0, 1L, 0L)')}"
     for _ in range(depth):
-        nodes = _children(nodes.withColumn("left", F.expr(_left(seed, half))))
+        nodes = keep(_children(nodes.withColumn("left", F.expr(_left(seed, half)))))
     leaves = nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("ks").alias("x")).groupBy(F.col("x.s").alias("g")).agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "x.k"))), lambda x: x["k"]).alias("qs"))
     nodes = urns.join(leaves, "g").select("g", F.lit(1).cast("bigint").alias("node"), "ks", "qs")
     for i in range(depth):
         n = shards >> i + 1  # leaves below each child
-        nodes = _children(nodes.withColumn("left", F.expr(_left(seed + 1, f"aggregate(slice(qs, 1, {n}), 0L, (a, x) -> a + x)"))), f", 'qs', slice(qs, 1 + {n} * {{side}}, {n})")
+        nodes = keep(_children(nodes.withColumn("left", F.expr(_left(seed + 1, f"aggregate(slice(qs, 1, {n}), 0L, (a, x) -> a + x)"))), f", 'qs', slice(qs, 1 + {n} * {{side}}, {n})"))
     return nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("ks").alias("x")).select(F.col("x.s").alias("skey"), "shard", F.col("x.k").alias("q"))
 
 
@@ -202,16 +203,18 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     left = left.groupBy("__skey", "__block", "__h", "gap").agg(F.sum("size").alias("size"))
     best = left.groupBy("__skey", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "__h", "__block")).alias("b")).filter("b.miss < gap")
     one = one.join(best.select(F.col("__skey").alias("skey"), F.col("b.__h").alias("extra_h"), F.col("b.__block").alias("extra_block")), "skey", "left")
+    tidy(docs.sparkSession)
     one = keep(one.withColumn("quota", F.col("quota") + F.col("extra_h").isNotNull().cast("int")))
     # a source's draws in order, numbered without gaps; a shard's run begins where the runs of those before it end
     draws = df.select("skey", "at", F.explode(F.expr("sequence(0L, full)")).alias("pass"), "full", "kind").filter((F.col("pass") < F.col("full")) | drawn).select("skey", "pass", "at")
     draws = draws.unionByName(one.filter("extra_h is not null").select("skey", F.col("full").alias("pass"), F.lit(_LAST).alias("at")))
     draws = draws.withColumn("nth", F.row_number().over(Window.partitionBy("skey").orderBy("pass", "at")).cast("bigint") - 1)
-    ends = split_tree(one.select("skey", "quota"), shards, seed).withColumn("nth", F.sum("q").over(Window.partitionBy("skey").orderBy("shard")))
+    ends = keep(split_tree(one.select("skey", "quota"), shards, seed, keep=keep).withColumn("nth", F.sum("q").over(Window.partitionBy("skey").orderBy("shard"))))
     bounds = draws.join(ends.select("skey", "nth"), ["skey", "nth"]).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("pass", "at"))).alias("bounds"))
     out = sources.join(one.drop("gap", "quota"), "skey").join(bounds, "skey", "left")
     out = materialize(out.withColumn("bounds", F.coalesce("bounds", F.expr("cast(array() as array<struct<pass:bigint,at:bigint>>)"))), "mix-plan", narrow=True)
     release(*kept)
+    tidy(docs.sparkSession)
     return Plan(rows, out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,8 +80,14 @@ def release(*dfs: DataFrame) -> None:
         df.unpersist()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more: broadcasts, shuffle files and held blocks are freed, on executors too, when the driver's collector finds them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Ids (some 32 bytes each in a hash table) that may be broadcast; a join of more of them is left to Spark's shuffle.
-FEW_IDS = 500_000
+FEW_IDS = 200_000
 
 
 def known_few(ids: DataFrame, most: int = FEW_IDS) -> DataFrame:

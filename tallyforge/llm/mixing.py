@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import held, materialize, release, tidy
+from tallyforge.llm.shared import FEW_IDS, held, materialize, planned_once, release, tidy
 
 #: Fixed values of the contract: weights in turn, the share of all sizes, the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -144,6 +144,14 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, groups
     return nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("ks").alias("x")).select(F.col("x.s").alias("skey"), "shard", F.col("x.k").alias("q"))
 
 
+def _meet(rows: DataFrame, side: DataFrame, few: bool) -> DataFrame:
+    """rows (with __skey and __h) with their source's row of side: broadcast if that is few, else each source dealt to SALTS places, as one may have most rows."""
+    if few:
+        return rows.join(F.broadcast(side), "__skey")
+    side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(side, ["__skey", "__salt"]).drop("__salt")
+
+
 class Plan(NamedTuple):
     rows: DataFrame  # doc_id, size and place (PLACE) of each document
     #: skey, source_size, target, full (whole passes), limit (blocks before this place are in the last pass, all without one), part_at and cut (of this place
@@ -153,7 +161,7 @@ class Plan(NamedTuple):
 
 def _cut(rows: DataFrame, part: DataFrame, keep) -> DataFrame:
     """Of part (skey, block, want): the last hash up to which documents in order fit into want, and their words. Ranges of hashes first, then one range's documents."""
-    inner = rows.select(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__h").alias("h"), "size").join(part, ["skey", "block"])
+    inner = rows.select(F.col("__skey").alias("skey"), F.col("__block").alias("block"), F.col("__h").alias("h"), "size").join(F.broadcast(part) if part.count() <= FEW_IDS else part, ["skey", "block"])
     inner = keep(inner.groupBy("skey", "want", "h").agg(F.sum("size").alias("size")).withColumn("range", F.shiftright("h", 52)))
     ranges = inner.groupBy("skey", "want", "range").agg(F.sum("size").alias("size"), F.max("h").alias("h")).withColumn("upto", F.sum("size").over(Window.partitionBy("skey").orderBy("range")))
     fits = F.col("upto") <= F.col("want")
@@ -165,6 +173,11 @@ def _cut(rows: DataFrame, part: DataFrame, keep) -> DataFrame:
 
 def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> Plan:
     """docs needs doc_id, text, source."""
+    with planned_once(docs.sparkSession):
+        return _plan(docs, shards, blocks, seed)
+
+
+def _plan(docs: DataFrame, shards: int, blocks: int, seed: int) -> Plan:
     kept: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -199,7 +212,8 @@ def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     one = keep(one)
     # and at last the one document left whose size is nearest to what is still missing; repeated rows count together, each of them is smaller
     taken = F.coalesce(F.col("__at") < F.col("limit"), F.lit(True)) | F.coalesce((F.col("__at") == F.col("part_at")) & (F.col("__h") <= F.col("cut")), F.lit(False)) | F.array_contains("fills", F.col("__block"))
-    left = rows.join(one.filter("gap > 0").select(F.col("skey").alias("__skey"), "gap", "limit", "part_at", "cut", "fills"), "__skey").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~taken)
+    short = one.filter("gap > 0").select(F.col("skey").alias("__skey"), "gap", "limit", "part_at", "cut", "fills")
+    left = _meet(rows, short, short.count() <= FEW_IDS).filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & ~taken)
     left = left.groupBy("__skey", "__block", "__h", "gap").agg(F.sum("size").alias("size"))
     best = left.groupBy("__skey", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "__h", "__block")).alias("b")).filter("b.miss < gap")
     one = one.join(best.select(F.col("__skey").alias("skey"), F.col("b.__h").alias("extra_h"), F.col("b.__block").alias("extra_block")), "skey", "left")
@@ -222,11 +236,7 @@ def _drawn_in(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows (with PLACE) with __plan, their source's row, and __draws: array of (pass, shard) in which the document is."""
     n_bytes = sources.agg(F.sum(F.octet_length("skey") + 200 + 48 * F.size("bounds") + 4 * F.size("fills"))).first()[0] or 0
     side = sources.select(F.col("skey").alias("__skey"), F.struct("*").alias("__plan"))
-    if n_bytes <= BROADCAST_BYTES:
-        got = rows.join(F.broadcast(side), "__skey")
-    else:
-        side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        got = rows.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(side, ["__skey", "__salt"]).drop("__salt")
+    got = _meet(rows, side, n_bytes <= BROADCAST_BYTES)
     extra = "coalesce(__h = __plan.extra_h and __block = __plan.extra_block, false)"
     last = f"(coalesce(__at < __plan.limit, true) or coalesce(__at = __plan.part_at and __h <= __plan.cut, false) or array_contains(__plan.fills, __block) or {extra})"
     passes = f"filter(transform(sequence(0L, __plan.full), p -> named_struct('pass', p, 'at', if(p = __plan.full and {extra}, {_LAST}L, __at))), d -> d.pass < __plan.full or {last})"

@@ -86,6 +86,18 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def planned_once(spark: SparkSession):
+    """While many small steps run, none is planned anew at run time: that takes the driver more memory than the steps are worth. Joins within must not rely on it for skew."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Ids (some 32 bytes each in a hash table) that may be broadcast; a join of more of them is left to Spark's shuffle.
 FEW_IDS = 200_000
 

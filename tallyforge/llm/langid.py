@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Sent, by_step, small_batches, steps
+from tallyforge.llm.shared import Sent, by_step, small_batches
 
 #: Labelled documents to learn from: of each language, and of all together at most. Documents of these many characters first.
 PER_LANG, MOST, LIKED = 300, 6000, (64, 8192)
@@ -27,6 +27,8 @@ PER_LANG, MOST, LIKED = 300, 6000, (64, 8192)
 MOST_LANGS, MOST_BYTES = 1000, 64 << 20
 LANDMARKS, RIDGE = 128, 0.05
 UND = "und"
+#: Texts whose presence rows are held at once.
+TEXTS = 512
 
 
 def _codes() -> np.ndarray:
@@ -76,8 +78,13 @@ class Model:
         out = out[:, :v]
         return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
+    def kernel(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts x landmarks, TEXTS at a time: short texts are many, and each has a row of all columns."""
+        parts = [(i, min(i + TEXTS, len(offsets) - 1)) for i in range(0, len(offsets) - 1, TEXTS)]
+        return np.concatenate([np.zeros((0, self.marks.shape[1]), np.float32), *(self.presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) @ self.marks for i, j in parts)])
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return (self.presence(data, offsets) @ self.marks) @ self.weights + self.bias
+        return self.kernel(data, offsets) @ self.weights + self.bias
 
 
 def _pieces(texts: list[bytes]) -> list[bytes]:
@@ -119,7 +126,7 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])  # Nyström features are kernel values times this
     data, offsets = packed(texts)
-    feats = np.concatenate([model.presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) @ model.marks for i, j in steps(offsets)]) @ root
+    feats = model.kernel(data, offsets) @ root
     goal = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weigh = (1 / np.bincount(label, minlength=len(langs)))[label][:, None]
     weigh /= weigh.mean()

@@ -247,11 +247,11 @@ def test_language_model_probabilities_add_up_and_state_is_carried():
     ranks = [rng.integers(0, 3000, n) for n in (1, 5, 100, 33)]
     both = m.score(h[np.concatenate(ranks)], np.concatenate(ranks), np.cumsum([0, *map(len, ranks)]))
     for k, r in enumerate(ranks):
-        s, total = np.zeros((1, grulm.HIDDEN), np.float32), 0.0
+        s, total = np.zeros((grulm.HIDDEN, 1), np.float32), 0.0
         prev = m.symbols(np.array([grulm.END]), np.array([m.end]))
         for t in r:
-            s = m.step(m.p["x"][prev], s)[0]
-            total += m.log_probs(s, np.array([t]))[0]
+            s = m.step(np.ascontiguousarray(m.p["x"][prev].T), s)[0]  # a lane is a column
+            total += m.log_probs(np.ascontiguousarray(s.T), np.array([t]))[0]
             prev = m.symbols(h[t : t + 1], np.array([t]))
         assert both[k] == pytest.approx(total, rel=1e-4)
 

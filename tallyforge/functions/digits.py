@@ -171,23 +171,28 @@ def rank_costs(ot: Column, dd: Column, rc: Column, least_margin: float) -> Colum
 def applicability(a: Column, b: Column, bases: list[int] | None = None) -> Column:
     """(ot, dd, rc) scores by rules: closeness to round bases, zeros and fives, carries."""
     table = bases or scaled_bases()
-    base_a, base_b = nearest_base(a, table), nearest_base(b, table)
 
     def far(n: Column, base: Column) -> Column:
         return F.abs(n - base) / power10(F.greatest(length(base) - 2, F.lit(0))).cast("double")
 
-    da, db = far(a, base_a), far(b, base_b)
-    hi, lo, same = F.greatest(da, db), F.least(da, db), base_a == base_b
-    rc = F.when(same & (hi == 0), 1.0).when(same & (hi <= 2), 0.9).when(same & (hi <= 5), 0.75).when(lo <= 2, 0.55).when(lo <= 5, 0.35).otherwise(0.1)
-    rc = F.when((da <= 2) & (db <= 2), F.greatest(rc, F.lit(0.55))).otherwise(rc)
-
     def either(m: int, bonus: float) -> Column:
         return F.when((a % m == 0) | (b % m == 0), bonus).otherwise(0.0)
 
+    def closeness(d: Column) -> Column:
+        hi, lo = F.greatest(d["a"], d["b"]), F.least(d["a"], d["b"])
+        rc = F.when(d["same"] & (hi == 0), 1.0).when(d["same"] & (hi <= 2), 0.9).when(d["same"] & (hi <= 5), 0.75).when(lo <= 2, 0.55).when(lo <= 5, 0.35).otherwise(0.1)
+        return F.when((d["a"] <= 2) & (d["b"] <= 2), F.greatest(rc, F.lit(0.55))).otherwise(rc)
+
+    def scores(s: Column) -> Column:
+        ot = F.when((s["rc"] < 0.5) & (s["dd"] < 0.5), 0.8).otherwise(0.45)
+        ot = F.when(carry_pairs(a, b) / (length(a) * length(b)) >= 0.5, F.greatest(ot, F.lit(0.7))).otherwise(ot)
+        return F.struct(ot.alias("ot"), s["dd"].alias("dd"), s["rc"].alias("rc"))
+
     dd = F.least(F.lit(1.0), F.lit(0.3) + either(10, 0.5) + either(100, 0.2) + either(25, 0.2) + either(5, 0.1))
-    ot = F.when((rc < 0.5) & (dd < 0.5), 0.8).otherwise(0.45)
-    ot = F.when(carry_pairs(a, b) / (length(a) * length(b)) >= 0.5, F.greatest(ot, F.lit(0.7))).otherwise(ot)
-    return F.struct(ot.alias("ot"), dd.alias("dd"), rc.alias("rc"))
+    # each step is bound once: written out, the steps multiply to a plan of a million characters
+    bases_ = F.struct(nearest_base(a, table).alias("a"), nearest_base(b, table).alias("b"))
+    steps = lambda n: F.struct(far(a, n["a"]).alias("a"), far(b, n["b"]).alias("b"), (n["a"] == n["b"]).alias("same"))
+    return let(bases_, lambda n: let(steps(n), lambda d: let(F.struct(closeness(d).alias("rc"), dd.alias("dd")), scores)))
 
 
 def let(value: Column, of) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bagminhash, decontam, grulm, langid, mixing, pii, prefs, telephony, toxicity, warc
+from tallyforge.llm import bagminhash, decontam, grulm, langid, mixing, pii, prefs, resample, telephony, toxicity, warc, whiten
 from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op11_whitening: the exact deviations."""
+    return op11_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op6_pii: the number of base spans of each kind."""
     return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -99,6 +112,13 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 select doc_id, size, n as source_size, round(least(cap, coalesce(best * w, cap)), 6) as target from d join f on d.source is not distinct from f.source
 """
 
-_ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, pii_counts, audio_payloads, mix_targets)
+DEVIATION_SQL = """
+with x as (select row_number() over () as r, vec_id, list_transform(embedding, c -> floor(64 * c::double)::bigint + 1000000) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c::double))) = 0),
+c as (select r, vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from x), s as (select i, sum(v) as s, count(*) as n from c group by i)
+select any_value(vec_id) as vec_id, any_value(n)::bigint as n, sum((n * v - s) * (n * v - s))::bigint as deviation from c join s using (i) group by r
+"""
+
+_ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, op11_whitening, op13_resampling, pii_counts, audio_payloads, mix_targets, embedding_deviations)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL}
+ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL, "embedding_deviations": DEVIATION_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bagminhash, decontam, grulm, langid, mixing, pii, prefs, resample, telephony, toxicity, warc, whiten
+from tallyforge.llm import bagminhash, decontam, grulm, langid, mixing, pii, prefs, repeats, resample, telephony, toxicity, warc, whiten
 from tallyforge.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.distinct(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -119,6 +123,6 @@ c as (select r, vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from x),
 select any_value(vec_id) as vec_id, any_value(n)::bigint as n, sum((n * v - s) * (n * v - s))::bigint as deviation from c join s using (i) group by r
 """
 
-_ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, op11_whitening, op13_resampling, pii_counts, audio_payloads, mix_targets, embedding_deviations)
+_ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, op11_whitening, op12_suffixes, op13_resampling, pii_counts, audio_payloads, mix_targets, embedding_deviations)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL, "embedding_deviations": DEVIATION_SQL}

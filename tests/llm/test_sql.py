@@ -5,7 +5,7 @@ import pytest
 
 from tallyforge.llm import queries
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

@@ -67,21 +67,37 @@ def features(texts: DataFrame, n: int, key: str | None = None) -> DataFrame:
     long, ints = t.LongType(), t.ArrayType(t.IntegerType())
     schema = t.StructType([t.StructField(name, x) for name, x in (("block", long), ("code", t.IntegerType()), ("feature", t.StringType()), ("uses", long), ("keys", t.ArrayType(kind)), ("words", ints), ("first", ints), ("codes", ints), ("counts", ints))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Keys and joined texts of some BLOCK_BYTES."""
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def joined() -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            keys = rows.column(0).combine_chunks()
+            data, offsets = utf8(rows.column(1))
             for i, j in steps(offsets, BLOCK_BYTES):
-                names, uses, first, codes, counts, words = block_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                many = [pa.array(np.full(len(names), block)), pa.array(np.arange(len(names)), pa.int32()), pa.array(names, pa.string()), pa.array(uses, pa.int64())]
-                keys = batch.column(0).slice(i, j - i)
-                one = [pa.array([block]), *(pa.nulls(1, x.type) for x in many[1:])]
-                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                arrays = [whole(keys), *(whole(pa.array(x, pa.int32())) for x in (words, first, codes, counts))]
-                columns = [f.name for f in schema]
-                yield pa.RecordBatch.from_arrays([*many, *(pa.nulls(len(names), x.type) for x in arrays)], columns)
-                yield pa.RecordBatch.from_arrays([*one, *arrays], columns)
-                block += 1
+                yield keys.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+        for batch in batches:  # Spark's batches may be far smaller than a block
+            waiting.append(batch)
+            size += batch.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield from joined()
+                waiting, size = [], 0
+        if waiting:
+            yield from joined()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [f.name for f in schema]
+        for block, (keys, data, offsets) in enumerate(blocks(batches), TaskContext.get().partitionId() << 32):
+            names, uses, first, codes, counts, words = block_features(data, offsets, n)
+            many = [pa.array(np.full(len(names), block)), pa.array(np.arange(len(names)), pa.int32()), pa.array(names, pa.string()), pa.array(uses, pa.int64())]
+            one = [pa.array([block]), *(pa.nulls(1, x.type) for x in many[1:])]
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            arrays = [whole(keys), *(whole(pa.array(x, pa.int32())) for x in (words, first, codes, counts))]
+            yield pa.RecordBatch.from_arrays([*many, *(pa.nulls(len(names), x.type) for x in arrays)], columns)
+            yield pa.RecordBatch.from_arrays([*one, *arrays], columns)
 
     return ids.mapInArrow(run, schema)
 

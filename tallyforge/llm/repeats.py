@@ -39,8 +39,8 @@ from tallyforge.llm.textvec import CODES, mix, powers
 U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
-#: Windows of one piece at most; longer runs are cut. Unlike pieces of an owner in one lot.
-PIECE, LOT = 512, 512
+#: Windows of one piece at most; longer runs are cut. Unlike pieces of an owner in one lot, of 4 MB at most: windows of larger groups meet once more, by their hashes.
+PIECE, LOT = 512, 4096
 #: Bytes of texts, and of pieces, that are worked on at once; a longer text is taken alone and in parts.
 STEP, PART = 1 << 18, 1 << 18
 

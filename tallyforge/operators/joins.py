@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import digits as D
+from tallyforge.operators.selection import ordinals
 
 
 def exclusion_keys(problems: DataFrame, splits: tuple[str, ...] | None = ("test",)) -> DataFrame:
@@ -58,6 +59,22 @@ def template_grid(problems: DataFrame, bank: DataFrame, neutral: str) -> DataFra
     return problems.join(F.broadcast(bank.select("label", "nth", "text").unionByName(one)))
 
 
+def zipped(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of equal places in two ordered tables, as far as the shorter one goes: places are numbered in ranges, then joined. Columns of both but the order's get _1 and _2."""
+
+    def placed(df: DataFrame, side: int) -> DataFrame:
+        own = [c for c in df.columns if c not in order]
+        return ordinals(df, [], order, "place").select("place", *(F.col(c).alias(f"{c}_{side}") for c in own))
+
+    return placed(left, 1).join(placed(right, 2), "place")
+
+
+def with_images(text: DataFrame, image: DataFrame, values: list[str], key: str = "id") -> DataFrame:
+    """All text rows with the values of their image row, null without one; of repeated image rows the last (by ord) counts."""
+    last = image.groupBy(key).agg(F.max_by(F.struct(*values), "ord").alias("image")).select(key, *(F.col(f"image.{c}").alias(f"image_{c}") for c in values))
+    return text.join(last, key, "left")
+
+
 def pairs_of(names: DataFrame, key: str = "name") -> DataFrame:
     """Each two rows once, the smaller name on the left: adapters, of which there are a few."""
     left, right = names.select([F.col(c).alias(f"{c}_1") for c in names.columns]), names.select([F.col(c).alias(f"{c}_2") for c in names.columns])

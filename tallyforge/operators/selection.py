@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.hashing import md5_bucket
 from tallyforge.functions.text import normalize
+from tallyforge.operators.quotas import length_quotas
 
 
 def unit(salt: str, key: Column) -> Column:
@@ -71,6 +72,31 @@ def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     return inner.join(sizes, [by, "part"]).withColumn("batch", F.floor((F.col("before") + F.col("nth") - 1) / size)).drop("part", "nth", "before")
 
 
+def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """Rows numbered from 1 by a total order within each group (no columns: over all): numbers within ranges of the order, plus the rows of the group in the ranges before, so that neither a group nor all rows are one task."""
+    ranged = df.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id())
+    inner = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part", *by).orderBy(*order)))
+    sums = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*by, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0)))
+    # null keys are groups, too
+    sizes = sizes.select(*(F.col(c).alias(f"key_{c}") for c in by), F.col("part").alias("key_part"), "before")
+    same = F.col("part") == F.col("key_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"key_{c}"))
+    return inner.join(sizes, same).withColumn(name, F.col("before") + F.col("within")).drop("part", "within", "before", "key_part", *(f"key_{c}" for c in by))
+
+
+def length_balanced(df: DataFrame, total: int, mix: dict[int, float], length: str, key: str = "id", salt: str = "q") -> DataFrame:
+    """`total` rows by a mix of lengths: a row a length is counted, shares are rounded half to even and mended by the largest fractions, what a length lacks others fill, and each length gives its first rows in a shuffled order."""
+    available = {r[0]: r["n"] for r in df.filter(F.col(length).isin(*mix)).groupBy(length).agg(F.count("*").alias("n")).collect()}
+    give = {k: n for k, n in length_quotas(available, total, mix).items() if n}
+    if not give:
+        return df.limit(0)
+    quota = F.coalesce(*(F.when(F.col(length) == k, n) for k, n in give.items()))
+    fair = df.filter(F.col(length).isin(*give)).withColumn("shuffled", md5_bucket(F.concat(F.lit(salt + ":"), F.col(key)), 1_000_003))
+    return ordinals(fair, [length], ["shuffled", key], "rank").filter(F.col("rank") <= quota).drop("shuffled")
+
+
 def training_texts(rows: DataFrame, labels: list[str], most: int = 256, text: str = "reasoning_trace", by: str = "heuristic", order: str = "ord") -> DataFrame:
     """by and wording of the first `most` training rows of each label whose normalised text isn't empty, in the rows' order. A label without any is an error."""
     kept = rows.filter(F.trim("split") == "train").select(by, order, normalize(F.col(text)).alias("wording")).filter("wording <> ''")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import casts as C
@@ -18,19 +16,10 @@ from tallyforge.plans import views as V
 from tallyforge.plans.registry import query
 from tallyforge.plans.stat_queries import _R, _SEB, FLIPS, PROBED, flips, probed
 from tallyforge.sources import readers, sinks
+from tallyforge.sources.scratch import scratch
 from tallyforge.streaming import incremental as I
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a temporary one only where the session names none and all runs on this machine, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tallyforge-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("gen05_07_grid")
 def grid(spark, sf):
     return G.grid(spark)

@@ -32,6 +32,31 @@ def append(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json") ->
     return stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str], time: str | None = None, late: str | None = None, fmt: str = "parquet") -> StreamingQuery:
+    """The first row of each key into files, however often it is delivered, and whichever batch is run again after a failure.
+
+    Keys that were seen are state of the stream. With `time` and `late` a key is kept until the watermark, the latest time
+    less `late`, has passed it; rows from before the watermark are taken for repeats. Without them all keys are kept.
+    The files' log tells which batches are in: read the folder with `appended`.
+    """
+    if time is None or late is None:
+        once = stream.dropDuplicates(key)
+    else:
+        once = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    return append(once, path, checkpoint, fmt)
+
+
+def appended(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """What batches that ended have appended; files of one that broke off don't count."""
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def append_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch into a folder of its own number: one that is run again overwrites what it has written."""
+    return into(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint, "append")
+
+
 def into(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Each batch to a function (rows, number of the batch), which may see a batch again after a failure."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

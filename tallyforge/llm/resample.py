@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from tallyforge.llm import textvec
-from tallyforge.llm.shared import materialize, small_batches, steps, utf8
+from tallyforge.llm.shared import discard, materialize, small_batches, spent_shuffles_go, steps, utf8
 
 #: UTF-8 bytes of the texts of a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -117,10 +117,14 @@ def gains(own: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     return s.join(F.broadcast(t_), "bucket", "left").select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
 
 
-def weigh(found: DataFrame, worth: DataFrame, kind: t.DataType) -> DataFrame:
-    """key, n_words, n_features, weight of each text. worth: feature, gain."""
+def block_gains(found: DataFrame, worth: DataFrame) -> DataFrame:
+    """block and the gains of its features, in the order of their codes. worth: feature, gain."""
     words = found.filter("feature is not null").select("block", "code", "feature").join(worth, "feature")
-    by_block = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", "gain")))["gain"].alias("gain"))
+    return words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("code", F.col("gain").cast("int").alias("gain"))))["gain"].alias("gain"))
+
+
+def weigh(found: DataFrame, by_block: DataFrame, kind: t.DataType) -> DataFrame:
+    """key, n_words, n_features, weight of each text."""
     texts = found.filter("feature is null").select("block", "keys", "words", "first", "codes", "counts").join(by_block, "block", "left")
     long = t.LongType()
     schema = t.StructType([t.StructField("block", long), t.StructField("nth", t.IntegerType()), t.StructField("key", kind), *(t.StructField(x, long) for x in ("n_words", "n_features", "weight"))])
@@ -148,10 +152,14 @@ def gumbel(key: Column, seed: int) -> Column:
 def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000, seed: int = 2024, least_words: int = 20, percent: int = 10, key: str = "doc_id") -> DataFrame:
     """key, n_features, weight, score, rank (null: not drawn) of every document. target: text."""
     kind = docs.schema[key].dataType
-    found = materialize(features(docs, n, key), "features")
-    words = materialize(dictionary(found, buckets), "dictionary")
-    worth = words.join(F.broadcast(gains(words, dictionary(features(target, n), buckets), buckets)), "bucket").select("feature", "gain")
-    scored = weigh(found, worth, kind).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed))
+    spark = docs.sparkSession
+    with spent_shuffles_go(spark):
+        found = materialize(features(docs, n, key), "features")
+        words = materialize(dictionary(found, buckets), "dictionary")
+        worth = words.join(F.broadcast(gains(words, dictionary(features(target, n), buckets), buckets)), "bucket").select("feature", "gain")
+        by_block = materialize(block_gains(found, worth), "gains")
+        scored = materialize(weigh(found, by_block, kind).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed)), "scores", narrow=True)
+    discard(found, words, by_block)
     fair = F.col("n_words") >= least_words
     order = [F.desc("score"), F.asc_nulls_last("key"), F.asc("block"), F.asc("nth")]
     # ranges of the order that are dealt once and written: numbers within them, after the sizes of those before

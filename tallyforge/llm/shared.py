@@ -45,6 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def spent_shuffles_go(spark: SparkSession):
+    """Within, the shuffle files of a job that has ended are deleted at once, not when the driver's collector finds them: for jobs whose result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and lost executors lose nothing of it.
     narrow: rows are few numbers, so that two tasks a core write them, and as many files."""

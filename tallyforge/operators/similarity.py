@@ -35,6 +35,35 @@ def update_inner(a: DataFrame, b: DataFrame) -> DataFrame:
     return g.join(h, ["name_1", "name_2", "r1", "r2"]).groupBy("name_1", "name_2").agg(F.sum(F.col("g") * F.col("h")).alias("inner"))
 
 
+def update_inner_of_experts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same, summed over experts: a: name, expert, r, i, value; b: name, expert, o, r, value.
+
+    A factor that has one expert only stands for all experts of the other's; it isn't copied, its rows meet each expert's.
+    Two factors of different numbers of experts, both more than one, are an error.
+    """
+
+    def told(x: DataFrame) -> DataFrame:
+        many = x.groupBy("name").agg((F.max("expert") + 1).alias("experts"))
+        counts = {r["experts"] for r in many.filter("experts > 1").select("experts").distinct().limit(2).collect()}
+        if len(counts) > 1:
+            raise ValueError(f"factors of {sorted(counts)} experts")
+        return x.join(F.broadcast(many), "name").withColumn("expert", F.when(F.col("experts") > 1, F.col("expert")))
+
+    def meet(x: DataFrame, y: DataFrame, keys: list[str], names: bool) -> DataFrame:
+        """Rows of equal keys whose experts are equal, or of which one side stands for all (null)."""
+        left, right = (z.select(*keys, *(F.col(c).alias(f"{c}_{i}") for c in z.columns if c not in keys)) for i, z in ((1, x), (2, y)))
+        parts = [left.filter("expert_1 is not null").join(right.filter("expert_2 is not null").withColumn("expert_1", F.col("expert_2")), [*keys, "expert_1"]), left.filter("expert_1 is null").join(right, keys), left.filter("expert_1 is not null").join(right.filter("expert_2 is null"), keys)]
+        out = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("expert", F.coalesce("expert_1", "expert_2"))
+        return out.filter("name_1 <= name_2") if names else out
+
+    def gram(x: DataFrame, over: str, name: str) -> DataFrame:
+        cells = told(x).select("name", "expert", over, "r", "value")
+        return meet(cells, cells, [over], True).groupBy("name_1", "name_2", "r_1", "r_2", "expert").agg(F.sum(F.col("value_1") * F.col("value_2")).alias(name))
+
+    both = meet(gram(b, "o", "g"), gram(a, "i", "h"), ["name_1", "name_2", "r_1", "r_2"], False)
+    return both.groupBy("name_1", "name_2").agg(F.sum(F.col("g_1") * F.col("h_2")).alias("inner"))
+
+
 def pair_summary(pairs: DataFrame, primary=("DD", "OT", "RC")) -> DataFrame:
     """One row: mean cosine of pairs of one label and of two, of seed controls (exactly one side seeded), of primary pairs, and gaps."""
     base = lambda c: F.regexp_replace(c, "_SEED.*$", "")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from tallyforge.functions import digits as D
+from tallyforge.functions.hashing import md5_bucket
 
 
 def rate(flag: Column) -> Column:
@@ -42,24 +49,50 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(spread > 0, F.covar_pop(x, y) / F.when(spread > 0, spread)).otherwise(0.0)
 
 
-def bootstrap(df: DataFrame, value: str, by: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+#: A prime below 2**31: products of two numbers below it stay within 64 bits.
+PRIME = 2_147_483_647
+#: Chances of a Poisson number of mean 1 to be at most 0, 1, ..., 7; beyond is 8.
+POISSON = tuple(round(exp(-1) * sum(1 / factorial(k) for k in range(m + 1)), 12) for m in range(8))
+
+
+def draw_factors(draws: int, seed: int) -> list[tuple[int, int]]:
+    """(factor, shift) of each draw: a key's hash h has the number (h * factor + shift) % PRIME in it."""
+    return [((seed * 48_271 + d * 1_103_515_245) % (PRIME - 1) + 1, (seed * 69_621 + d * 12_345_701) % PRIME) for d in range(1, draws + 1)]
+
+
+def bootstrap(df: DataFrame, value: str, by: str, key: str = "id", draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """by, estimate, low, high: percentile interval of the mean over `draws` Poisson resamples.
 
-    A row's weight in a draw is a Poisson(1) number that a hash of its place decides, so there's no state between rows:
-    weighted sums are partial aggregates, `draws` of them a group, and rows don't move.
+    A row's weight in a draw is a Poisson(1) number of the hash of its key, which should be its own: rows of one key are
+    resampled together, as clusters are. There's no state between rows: a task adds up the weights and weighted values of
+    all draws of its rows, and only such sums, a row a group and draw, move. Rows without a value don't count.
     """
-    keyed = df.select(by, F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))
-    u = F.pmod(F.xxhash64("h", "draw"), F.lit(1 << 30)) / (1 << 30)
-    below, cut, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        cut += p
-        p /= k
-        below = below + (u >= cut).cast("int")
-    drawn = keyed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", below)
-    means = drawn.groupBy(by, "draw").agg((F.sum(F.col("v") * F.col("w")) / F.sum(F.when(F.col("v").isNotNull(), F.col("w")))).alias("m"))
+    factors = np.array(draw_factors(draws, seed), np.int64)
+    cuts = np.array([int(p * PRIME) for p in POISSON])
+    keyed = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v"), md5_bucket(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), PRIME).cast("bigint").alias("h")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    schema = t.StructType([t.StructField("by", keyed.schema["by"].dataType), *(t.StructField(c, t.DoubleType()) for c in ("w", "s")), t.StructField("draw", t.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.fill_null(len(names.dictionary)).to_numpy()
+            labels = [*names.dictionary.to_pylist(), None]
+            v, h = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for i in range(0, len(v), 512):
+                w = np.searchsorted(cuts, (h[i : i + 512, None] * factors[:, 0] + factors[:, 1]) % PRIME, "right").astype(np.float64)
+                for c in np.unique(code[i : i + 512]):
+                    own = code[i : i + 512] == c
+                    total = sums.setdefault(labels[c], np.zeros((2, draws)))
+                    total += np.stack([w[own].sum(0), v[i : i + 512][own] @ w[own]])
+        for label, (w, s) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * draws, batch.column(0).type), pa.array(w), pa.array(s), pa.array(np.arange(draws), pa.int32())], [f.name for f in schema])
+
+    means = keyed.mapInArrow(run, schema).groupBy("by", "draw").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).filter("w > 0").withColumn("m", F.col("s") / F.col("w"))
     tail = (1 - level) / 2
-    ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return keyed.groupBy(by).agg(F.avg("v").alias("estimate")).join(ends, by)
+    ends = means.groupBy("by").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).select(F.col("by").alias("of"), "low", "high")
+    plain = keyed.groupBy("by").agg(F.avg("v").alias("estimate"))
+    return plain.join(ends, F.col("by").eqNullSafe(F.col("of"))).select(F.col("by").alias(by), "estimate", "low", "high")
 
 
 def _wrong(df: DataFrame, answer: str, product: str, exact: bool) -> DataFrame:

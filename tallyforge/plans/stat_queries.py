@@ -223,7 +223,12 @@ def pearson(spark, sf):
     return rows.groupBy("design_family").agg(S.pearson(F.col("loss_dd"), F.col("loss_ot")).alias("r"), S.pearson(F.col("loss_dd"), F.lit(1.0)).alias("flat"))
 
 
-@query("stat04_bootstrap", None)
+_WEIGHT = " + ".join(f"(u >= {int(p * S.PRIME)})::int" for p in S.POISSON)
+
+
+@query("stat04_bootstrap", f"""with {PROBED}, r as (select design_family, (detected = design_family)::int::double as v, {V.s_draw('42', 'id', S.PRIME)}::bigint as h from probed), d as (select range as d, (42::bigint * 48271 + range * 1103515245) % {S.PRIME - 1} + 1 as f, (42::bigint * 69621 + range * 12345701) % {S.PRIME} as s from range(1, 1001)),
+    m as (select design_family, d, sum(({_WEIGHT}) * v) / sum({_WEIGHT}) as m from (select design_family, v, d, (h * f + s) % {S.PRIME} as u from r, d) group by 1, 2), e as (select design_family, avg(v) as estimate from r group by 1)
+    select design_family, any_value(estimate) as estimate, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m join e using (design_family) group by 1""")
 def bootstrap(spark, sf):
     rows = probed(spark, sf).select("id", "design_family", (F.col("detected") == F.col("design_family")).cast("double").alias("hit"))
     return S.bootstrap(rows, "hit", "design_family")

@@ -115,7 +115,7 @@ def test_errors_against_numpy(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     df = spark.createDataFrame([(i, "g", float(i % 4 == 0)) for i in range(400)], "i int, g string, v double")
-    r = statistics.bootstrap(df, "v", "g", draws=300).first()
+    r = statistics.bootstrap(df, "v", "g", "i", draws=300).first()
     assert r["estimate"] == 0.25 and 0.19 < r["low"] < 0.25 < r["high"] < 0.31
 
 

@@ -110,7 +110,13 @@ def _left(seed: int, draws: str) -> str:
     """Of `ks`, an array of (s, k): how many of each are among the left child's draws, one kind after the other from what is left of the urn."""
     chance = f"(shiftrightunsigned(xxhash64({seed}, node, x.s), 11) + 0.5D) * {2.0**-53!r}D"
     took = _let("v", _drawn("acc.n", "x.k", "acc.l", chance), "named_struct('n', acc.n - x.k, 'l', acc.l - v, 'out', array_append(acc.out, v))")
-    return f"aggregate(ks, named_struct('n', aggregate(ks, 0L, (a, x) -> a + x.k), 'l', {draws}, 'out', cast(array() as array<bigint>)), (acc, x) -> {took}, acc -> acc.out)"
+    # an array that grows is copied at each step: parts of some square root of all are folded each for itself, then joined
+    nothing = "cast(array() as array<bigint>)"
+    part = f"aggregate(slice(ks, i * w + 1, w), named_struct('n', so_far.n, 'l', so_far.l, 'out', {nothing}), (acc, x) -> {took})"
+    joined = _let("r", part, "named_struct('n', r.n, 'l', r.l, 'out', concat(so_far.out, r.out))")
+    urn = f"named_struct('n', aggregate(ks, 0L, (a, x) -> a + x.k), 'l', {draws}, 'out', {nothing})"
+    fold = f"aggregate(sequence(0, cast(ceil(size(ks) / w) as int) - 1), {urn}, (so_far, i) -> {joined}, so_far -> so_far.out)"
+    return f"if(size(ks) = 0, {nothing}, {_let('w', 'cast(ceil(sqrt(size(ks))) as int)', fold)})"
 
 
 def _children(nodes: DataFrame, keep: str = "") -> DataFrame:

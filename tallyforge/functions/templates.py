@@ -161,3 +161,27 @@ def body_lines(table: Column) -> Column:
     """Rows between the middle and the bottom rule."""
     body = F.regexp_extract(table, r"(?s)\\midrule\s*(.*?)\s*\\bottomrule", 1)
     return F.filter(F.transform(F.split(body, "\n"), lambda x: F.rtrim(x)), lambda x: F.trim(x) != "")
+
+
+def labels(t: Column) -> Column:
+    """Names of the labels of a LaTeX text, in order, repeats kept."""
+    return F.regexp_extract_all(t, F.lit(r"\\label\{([^}]+)\}"), F.lit(1))
+
+
+def repeated_labels(t: Column) -> Column:
+    """Labels that a LaTeX text defines more than once, in order of their names."""
+    all_ = labels(t)
+    return F.array_sort(F.filter(F.array_distinct(all_), lambda x: F.size(F.filter(all_, lambda y: y == x)) > 1))
+
+
+def comment_values(t: Column, prefix: str) -> Column:
+    """What follows a prefix in the lines that start with it, white space at the ends aside."""
+    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(prefix))), lambda x: F.regexp_replace(F.substr(x, F.lit(len(prefix) + 1)), r"^\s+|\s+$", ""))
+
+
+def model_label(path: Column, t: Column) -> Column:
+    """A fragment's model: what its comment says, else the size in its file's name (30b: 30B), else the name without its ending."""
+    name = F.element_at(F.split(path, "/"), -1)
+    size = F.regexp_extract(F.lower(name), "([0-9]+)b", 1)
+    return F.coalesce(F.get(comment_values(t, "% Model:"), F.lit(0)), F.when(size != "", F.concat(size, F.lit("B"))), F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))

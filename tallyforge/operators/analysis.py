@@ -194,3 +194,42 @@ def best_epoch(log: DataFrame, patience: int = 2) -> DataFrame:
     rows = rows.withColumn("last_best", F.max(F.when(F.col("is_best"), F.col("epoch"))).over(up.rowsBetween(Window.unboundedPreceding, 0)))
     stop = F.min(F.when(F.col("epoch") - F.col("last_best") >= patience, F.col("epoch"))).over(Window.partitionBy("run"))
     return rows.withColumn("stopped", F.coalesce(F.col("epoch") > stop, F.lit(False))).drop("last_best")
+
+
+def of_adapters(rows: DataFrame, keep: list[str], by: str = "lora") -> DataFrame:
+    """Rows of some adapters; without the column all pass."""
+    return rows.filter(F.col(by).isin(*keep)) if by in rows.columns else rows
+
+
+def arms_of_adapters(rows: DataFrame, keep: list[str], arms: str = "arms") -> DataFrame:
+    """Rows whose map of adapters holds some of `keep`, with these only."""
+    kept = F.map_filter(arms, lambda k, _: k.isin(*keep))
+    return rows.withColumn(arms, kept).filter(F.size(arms) > 0)
+
+
+def surest(rows: DataFrame, by: str = "detected", confidence: str = "confidence", key: str = "id") -> DataFrame:
+    """by, key and confidence of the surest row of each label: an aggregate, of equally sure ones the least key."""
+    best = rows.groupBy(by).agg(F.min_by(F.struct(key, confidence), F.struct((-F.col(confidence)).alias("c"), key)).alias("x"))
+    return best.select(by, f"x.{key}", f"x.{confidence}")
+
+
+def flip_cells(rows: DataFrame) -> DataFrame:
+    """table, lora, column, cell of the report's three tables: improved/degraded of each family, changes of labels from one to another, and accuracies before and after with their difference in points."""
+    family = flips_by_family(rows).select(F.lit("families").alias("table"), "lora", F.col("design_family").alias("column"), F.concat(F.col("improved").cast("string"), F.lit("/"), F.col("degraded").cast("string")).alias("cell"))
+    changed = rows.filter("base_detected <> lora_detected").groupBy("lora", F.concat("base_detected", F.lit("->"), "lora_detected").alias("column")).agg(F.count("*").cast("string").alias("cell")).select(F.lit("changes").alias("table"), "lora", "column", "cell")
+    known = F.col("base_correct").isNotNull() & F.col("lora_correct").isNotNull()
+    share = lambda c: F.coalesce(F.avg(F.when(known, F.col(c).cast("double"))), F.lit(0.0)) * 100
+    rates = rows.groupBy("lora").agg(share("base_correct").alias("before"), share("lora_correct").alias("after"))
+    shown = lambda x: F.format_string("%.1f", F.round(x, 1))
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), c.alias("cell")) for n, c in (("before", shown(F.col("before"))), ("after", shown(F.col("after"))), ("points", F.format_string("%+.1f", F.round(F.col("after") - F.col("before"), 1) + 0.0))))))
+    return family.unionByName(changed).unionByName(rates.select(F.lit("accuracy").alias("table"), "lora", cells.alias("c")).select("table", "lora", "c.column", "c.cell"))
+
+
+def series(rows: DataFrame) -> DataFrame:
+    """chart, series, x, y, n of the charts' points over `probed` rows: accuracy and share of matches by band, accuracy by tenths of confidence, shares of labels by family."""
+    right, match = F.col("is_correct").cast("double"), (F.col("detected") == F.col("design_family")).cast("double")
+    point = lambda chart, name, x, y: F.struct(F.lit(chart).alias("chart"), name.alias("series"), x.cast("string").alias("x"), y.alias("y"))
+    each = F.array(point("accuracy by band", F.col("design_family"), F.col("band"), right), point("matches by band", F.col("design_family"), F.col("band"), match), point("accuracy by confidence", F.col("detected"), F.round(F.col("confidence") * 10).cast("int"), right))
+    means = rows.select(F.explode(each).alias("p")).select("p.*").filter("x is not null").groupBy("chart", "series", "x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    shares = rows.groupBy("design_family", "detected").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("design_family")))
+    return means.unionByName(shares.select(F.lit("labels by family").alias("chart"), F.col("detected").alias("series"), F.col("design_family").alias("x"), (F.col("n") / F.col("total")).alias("y"), "n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tallyforge.functions import hashing as H
 from tallyforge.functions import text as T
 from tallyforge.operators import quotas as Q
 from tallyforge.operators.joins import without_leaks
+from tallyforge.operators.selection import unit
 
 
 def _u(salt: int, *key: Column) -> Column:
@@ -172,3 +174,19 @@ def training_traces(spark: SparkSession, label: str, count: int = 100, exclude:
     rows = rows.select("id", "a", "b", (a * b).alias("product"), F.lit(label).alias("heuristic"), T.prompt(a, b).alias("prompt"), T.TRACES[label](a, b).alias("full_text"))
     split = H.hash_split(F.col("id"))
     return rows.withColumn("reasoning_trace", T.strip_prompt(F.col("prompt"), F.col("full_text"))).withColumn("split", F.when(split == "test", "val").otherwise(split))
+
+
+def mock_outputs(problems: DataFrame, seed: int = 42) -> DataFrame:
+    """problems (id, product, design_family, ot_score, dd_score, rc_score) with what a model could have said of them: losses of 2, less half the
+    method's score, with noise of deviation 0.1; the label of the least loss (of two OT before DD before RC); right with a chance of 0.85 where that is the
+    family, else 0.65; wrong by 10 or 100 too many, 10 too few, or 1. Chances are hashes of ids: each run says the same."""
+    key = F.col("id")
+    unit_ = lambda name: unit(f"{seed}:{name}", key)
+    noise = lambda k: F.sqrt(F.lit(-2.0) * F.log(unit_(f"r{k}"))) * F.cos(F.lit(2 * pi) * unit_(f"a{k}")) * 0.1
+    loss = {k: F.lit(2.0) - F.col(f"{k}_score") * 0.5 + noise(k) for k in ("ot", "dd", "rc")}
+    out = problems.withColumns({f"loss_{k}": v for k, v in loss.items()})
+    least = F.least("loss_ot", "loss_dd", "loss_rc")
+    out = out.withColumn("detected", F.when(F.col("loss_ot") == least, "OT").when(F.col("loss_dd") == least, "DD").otherwise("RC"))
+    right = unit_("right") < F.when(F.col("detected") == F.col("design_family"), 0.85).otherwise(0.65)
+    off = F.get(F.array(*(F.lit(x) for x in (10, -10, 1, -1, 100))), F.floor(unit_("off") * 5).cast("int"))
+    return out.withColumn("is_correct", right).withColumn("model_answer", F.when(F.col("is_correct"), F.col("product")).otherwise(F.col("product") + off))

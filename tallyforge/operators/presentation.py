@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import templates as T
+
 # How a kind of number is printed, and what stands for a number that isn't there: never measured, or undefined.
 FORMATS = {"percent": ("%.1f\\%%", 1), "loss": ("%.4f", 4), "delta": ("%+.4f", 4), "mean": ("%.1f", 1), "count": ("%.0f", 0)}
 PENDING, UNDEFINED = "[PENDING]", "N/A"
@@ -34,3 +36,37 @@ def macros(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
     value = F.when(F.col("kind").isNull(), PENDING).otherwise(shown(F.col("value"), F.col("kind")))
     name = macro_name(F.col("name"), F.col("grp"))
     return got.select(name.alias("name"), F.concat(F.lit("\\newcommand{\\"), name, F.lit("}{"), value, F.lit("}")).alias("line"))
+
+
+def fragment_rows(fragments: DataFrame) -> DataFrame:
+    """fragments (ord, path, content) to (ord, path, model, rows, n_tables): the body of each one's table, which counts if it has exactly one."""
+    tables = T.tables(F.col("content"))
+    return fragments.select("ord", "path", T.model_label(F.col("path"), F.col("content")).alias("model"), F.size(tables).alias("n_tables"), T.body_lines(F.get(tables, F.lit(0))).alias("rows"))
+
+
+def grouped_table(parts: DataFrame, caption: str, label: str, columns: str, header: list[str], width: int, comments: tuple[str, ...] = ()) -> DataFrame:
+    """One row `content`: a table of all parts (ord, model, rows), a heading for each model and a rule between them. Parts are fragments of a report, some lines each.
+
+    A part without exactly one table, or whose table has no body, is an error that names its path.
+    """
+    fine = F.when(F.col("n_tables") != 1, F.raise_error(F.concat(F.lit("expected one table in "), "path", F.lit(", found "), F.col("n_tables").cast("string")))).when(F.size("rows") == 0, F.raise_error(F.concat(F.lit("no table body in "), "path"))).otherwise(F.col("rows"))
+    group = F.concat(F.array(F.concat(F.lit(f"\\multicolumn{{{width}}}{{@{{}}l@{{}}}}{{\\textbf{{"), "model", F.lit("}} \\\\"))), fine)
+    head = [*comments, *([""] if comments else []), "\\begin{table}[htbp]", "\\centering", f"\\caption{{{caption}}}", f"\\label{{{label}}}", f"\\begin{{tabular}}{{{columns}}}", *header]
+    tail = ["\\bottomrule", "\\end{tabular}", "\\end{table}", ""]
+    groups = parts.select("ord", F.array_join(group, "\n").alias("lines")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "lines")))["lines"], "\n\\midrule\n").alias("body"))
+    return groups.select(F.concat(F.lit("\n".join(head) + "\n"), "body", F.lit("\n" + "\n".join(tail))).alias("content"))
+
+
+def merged_macros(fragments: DataFrame) -> DataFrame:
+    """fragments (ord, content) to (ord, nth, line): their lines in order, of macros of one name only the first."""
+    lines = fragments.select("ord", F.posexplode(F.split("content", "\n")).alias("nth", "line"))
+    lines = lines.withColumn("macro", F.regexp_extract(F.trim("line"), r"^\\newcommand\{\\([^}]+)\}", 1))
+    named = lines.filter("macro <> ''")
+    first = named.groupBy("macro").agg(F.min_by(F.struct("line"), F.struct("ord", "nth")).alias("r"), F.min(F.struct("ord", "nth")).alias("at")).select("at.ord", "at.nth", "r.line")
+    return lines.filter("macro = ''").select("ord", "nth", "line").unionByName(first)
+
+
+def unique_labels(content: DataFrame, context: str) -> DataFrame:
+    """content (column `content`) as it is; a label that it defines twice is an error."""
+    twice = T.repeated_labels(F.col("content"))
+    return content.withColumn("content", F.when(F.size(twice) > 0, F.raise_error(F.concat(F.lit(f"repeated labels in {context}: "), F.array_join(twice, ", ")))).otherwise(F.col("content")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.losses import dot
+from tallyforge.functions.text import classify as text_class
 
 TEMPERATURE = 0.1
 
@@ -73,6 +74,25 @@ def classify(vectors: DataFrame, centroids: DataFrame, key: str, label: str = "l
     return rows.select(key, *(F.when(there, x).otherwise(y).alias(c) for c, (x, y) in told.items()))
 
 
+def trace_signals(rows: DataFrame, embedder: Embedder | None = None, centroids: DataFrame | None = None, key: str = "id", trace: str = "trace", contaminated: str = "contaminated") -> DataFrame:
+    """key with both signals of a trace: trace_label and trace_confidence of its wording (null if it tells nothing), and embedding_label, _confidence,
+    _margin of its vector, with `resolved` and `status`: trace_missing for null and blank traces, contaminated_trace for those that quote other
+    factors, else ok. Only traces that are ok are embedded. Without an embedder the second signal and its status are null."""
+    found = text_class(F.col(trace))
+    known = found["label"] != "UNKNOWN"
+    missing = F.coalesce(F.trim(trace) == "", F.lit(True))
+    status = F.when(missing, "trace_missing").when(F.col(contaminated), "contaminated_trace").otherwise("ok")
+    told = rows.select(key, F.col(trace).alias("trace_"), F.when(~missing & known, found["label"]).alias("trace_label"), F.when(~missing & known, found["confidence"]).alias("trace_confidence"), status.alias("status"))
+    if embedder is None or centroids is None:
+        none = {f"embedding_{c}": F.lit(None).cast(t) for c, t in (("label", "string"), ("confidence", "double"), ("margin", "double"))}
+        return told.drop("trace_").withColumns({**none, "resolved": F.lit(None).cast("boolean"), "status": F.lit(None).cast("string")})
+    vectors = embed(told.withColumn("trace_", F.when(F.col("status") == "ok", F.col("trace_"))), embedder, "trace_", "embedding_")
+    kept = F.struct(key, "trace_label", "trace_confidence", "status")
+    out = classify(vectors.withColumn("row_", kept), centroids, "row_", vector="embedding_")
+    ok = F.col("row_.status") == "ok"
+    return out.select("row_.*", ok.alias("resolved"), *(F.when(ok, F.col(c)).alias(f"embedding_{n}") for n, c in (("label", "predicted"), ("confidence", "mass"), ("margin", "margin"))))
+
+
 def vote(signals: list[tuple[Column, Column]], order=("OT", "DD", "RC", "STYLE")) -> Column:
     """(label, confidence) of signals (label, confidence): confidences add up by label; UNKNOWN signals don't count; ties by order."""
     on = [(F.coalesce(k, F.lit("UNKNOWN")), F.coalesce(c, F.lit(0.0))) for k, c in signals]

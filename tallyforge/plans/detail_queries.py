@@ -20,6 +20,7 @@ from tallyforge.plans import text_queries as TQ
 from tallyforge.plans import views as V
 from tallyforge.plans.registry import query
 from tallyforge.plans.stat_queries import _OWN, _R, _SEB, PROBED, probed
+from tallyforge.sources.scratch import written
 
 _SHARES = ("DD", "OT", "RC", "STYLE")
 
@@ -136,8 +137,7 @@ def confident(spark, sf):
 @query("win08_most_confident", f"with {PROBED}, r as (select id, detected, confidence, row_number() over (partition by detected order by confidence desc, id) as rn from probed) select detected, id, confidence from r where rn = 1")
 def most_confident(spark, sf):
     """The surest row of each label, as an aggregate: the least id of those of the highest confidence."""
-    best = probed(spark, sf).groupBy("detected").agg(F.min_by(F.struct("id", "confidence"), F.struct((-F.col("confidence")).alias("c"), "id")).alias("x"))
-    return best.select("detected", "x.id", "x.confidence")
+    return A.surest(probed(spark, sf))
 
 
 @query("agg19_template_contrast", f"""with {V.TEMPLATES}, w as (select *, {V.s_loss('wrong', 'tkey')} as wrong from (select *, label || '|' || template || '|' || id as tkey from template_losses))
@@ -156,6 +156,32 @@ def embedded(spark, sf):
     return rows.select("id", *(F.round(F.get("embedding", F.lit(i)), 9).alias(x) for i, x in enumerate(P.Letters().letters)))
 
 
+_SAID = f"case {V.s_draw('y', 'id', 5)} when 0 then '' when 1 then 'nothing' else trace end"
+_SHARES = "[" + ", ".join(f"(length(said) - length(replace(said, '{x}', '')))::double" for x in P.Letters().letters) + "]"
+
+
+@query("str16_signals", f"""with {TQ._CLASSES}, t as (select id, split, trace_label as own, {_SAID} as said, a, b from traces),
+    s as (select *, case when trim(said) = '' then 'trace_missing' when not (contains(said, cast(a as varchar)) or contains(said, cast(b as varchar))) then 'contaminated_trace' else 'ok' end as status from t),
+    l as (select id, case when ot + dd + rc = 0 then null when ot >= dd and ot >= rc then 'OT' when dd >= rc then 'DD' else 'RC' end as label, case when ot + dd + rc > 0 then greatest(ot, dd, rc)::double / (ot + dd + rc) end as confidence from m),
+    r as (select id, split, own, {_SHARES} as c from s where status = 'ok'), v as (select id, split, own, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) as v from r),
+    cell as (select own, pos, avg(x) as x from (select own, unnest(v) as x, generate_subscripts(v, 1) as pos from v where split = 'train') group by 1, 2), norm as (select own, sqrt(sum(x * x)) as norm from cell group by 1),
+    dots as (select id, c.own, sum(e.x * c.x / n.norm) / 0.1::double as s from (select id, unnest(v) as x, generate_subscripts(v, 1) as pos from v) e join cell c using (pos) join norm n on n.own = c.own group by 1, 2),
+    w as (select id, own, exp(s - max(s) over (partition by id)) as w from dots), p as (select id, own, w / sum(w) over (partition by id) as m from w), o as (select *, row_number() over (partition by id order by m desc, own) as rn from p),
+    e as (select id, max(own) filter (where rn = 1) as label, max(m) filter (where rn = 1) as mass, max(m) filter (where rn = 1) - max(m) filter (where rn = 2) as margin from o group by 1)
+    select s.id, case when s.said = trace then l.label end as trace_label, case when s.said = trace then l.confidence end as trace_confidence, status, status = 'ok' as resolved, e.label as embedding_label, round(e.mass, 6) as embedding_confidence, round(e.margin, 6) as embedding_margin
+    from s join l using (id) join traces using (id) left join e using (id)""")
+def trace_signals(spark, sf):
+    """The wording's and the vector's signal of each trace, some of which are empty or say nothing; centroids of the training traces."""
+    kind = V.draw("y", F.col("id"), 5)
+    rows = V.traces(spark, sf).withColumn("said", F.when(kind == 0, "").when(kind == 1, "nothing").otherwise(F.col("trace")))
+    # read twice, and a filter on what is worked out of a trace would be pushed into its expressions
+    rows = written(rows.select("id", "split", "trace_label", "said", F.coalesce(T.extract_answer(F.col("said"), F.col("a"), F.col("b"))["contaminated"], F.lit(False)).alias("contaminated")), "said")
+    fair = rows.filter("split = 'train' and trim(said) <> '' and not contaminated")
+    centroids = P.fit(P.embed(fair, P.Letters(), "said").select(F.col("trace_label").alias("label"), "embedding"))
+    out = P.trace_signals(rows, P.Letters(), centroids, trace="said")
+    return out.withColumns({c: F.round(c, 6) for c in ("embedding_confidence", "embedding_margin")})
+
+
 _DIGIT_WORDS = "Zero One Two Three Four Five Six Seven Eight Nine".split()
 _LETTERS = "replace(replace(name || grp, '-', 'To'), '+', 'Plus')"
 for _i, _w in enumerate(_DIGIT_WORDS):

@@ -170,7 +170,7 @@ def taxonomy_rollup(spark, sf):
 
 @query("agg13_headline", f"with {FLIPS} select count_if({_CH}) as flips, count_if(det) as detection_flips, count(*) as comparisons from flips where lora <> 'STYLE'")
 def headline(spark, sf):
-    return A.flip_analysis(flips(spark, sf).filter("lora <> 'STYLE'")).agg(F.sum("flips").alias("flips"), F.sum("detection_flips").alias("detection_flips"), F.sum("total").alias("comparisons"))
+    return A.flip_analysis(A.of_adapters(flips(spark, sf), list(V.LABELS))).agg(F.sum("flips").alias("flips"), F.sum("detection_flips").alias("detection_flips"), F.sum("total").alias("comparisons"))
 
 
 @query("agg14_mismatch_share", f"with {PROBED} select count(*) as mismatches, avg(case when detected = 'DD' then 1.0::double else 0.0 end) as share from probed where detected <> design_family")

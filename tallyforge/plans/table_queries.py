@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import casts as C
+from tallyforge.functions import templates as T
 from tallyforge.operators import analysis as A
 from tallyforge.operators import generation as G
+from tallyforge.operators import presentation as P
 from tallyforge.operators import selection as X
 from tallyforge.operators import statistics as S
 from tallyforge.plans import views as V
@@ -143,16 +145,65 @@ def metrics(spark, sf):
     return reduce(DataFrame.unionByName, [one("accuracy", fam, "accuracy", "accuracy_se"), one("coverage", fam, "coverage_rate", "coverage_se"), one("mean_c", c, "v", "s"), one("detected", found, "v", 0.0)])
 
 
-@query("pres03_flip_table", f"with {FLIPS} select lora, design_family, count_if(flip = 'improved') || '/' || count_if(flip = 'degraded') as cell from flips group by 1, 2")
+@query("pres03_flip_table", f"""with {FLIPS}, r as (select lora, coalesce(avg(base_correct::int::double) filter (where base_correct is not null and lora_correct is not null), 0) * 100 as b, coalesce(avg(lora_correct::int::double) filter (where base_correct is not null and lora_correct is not null), 0) * 100 as a from flips group by 1)
+    select 'families' as "table", lora, design_family as "column", count_if(flip = 'improved') || '/' || count_if(flip = 'degraded') as cell from flips group by 1, 2, 3
+    union all select 'changes', lora, base_detected || '->' || lora_detected, count(*)::varchar from flips where base_detected <> lora_detected group by 2, 3
+    union all select 'accuracy', lora, 'before', printf('%.1f', round(b, 1)) from r union all select 'accuracy', lora, 'after', printf('%.1f', round(a, 1)) from r union all select 'accuracy', lora, 'points', printf('%+.1f', round(a - b, 1) + 0.0) from r""")
 def flip_table(spark, sf):
-    t = A.flips_by_family(flips(spark, sf))
-    return t.select("lora", "design_family", F.concat(F.col("improved").cast("string"), F.lit("/"), F.col("degraded").cast("string")).alias("cell"))
+    return A.flip_cells(flips(spark, sf))
 
 
-@query("pres05_series", f"with {PROBED} select detected as series, cast(round(confidence * 10) as int) as x, count(*) as n, avg(case when is_correct then 1.0::double else 0.0 end) as y from probed group by 1, 2")
+_POINT = "select '{0}' as chart, {1} as series, ({2})::varchar as x, avg(case when {3} then 1.0::double else 0.0 end) as y, count(*) as n from probed where {2} is not null group by 1, 2, 3"
+
+
+@query("pres05_series", f"""with {PROBED} {_POINT.format('accuracy by band', 'design_family', 'band', 'is_correct')} union all {_POINT.format('matches by band', 'design_family', 'band', 'detected = design_family')}
+    union all {_POINT.format('accuracy by confidence', 'detected', 'cast(round(confidence * 10) as int)', 'is_correct')}
+    union all select 'labels by family', detected, design_family, count(*) / sum(count(*)) over (partition by design_family)::double, count(*) from probed group by 2, 3""")
 def series(spark, sf):
-    rows = probed(spark, sf)
-    return rows.groupBy(F.col("detected").alias("series"), F.round(F.col("confidence") * 10).cast("int").alias("x")).agg(F.count("*").alias("n"), S.rate(F.col("is_correct")).alias("y"))
+    return A.series(probed(spark, sf))
+
+
+_UNIT = lambda name: f"(({V.s_draw('42:' + name, 'id', 1_000_003)} + 0.5::double) / 1000003.0::double)"
+_NOISY = lambda k, m: f"2.0::double - (k % {m})::double / {m} * 0.5 + sqrt(-2.0::double * ln({_UNIT('r' + k)})) * cos(2 * pi() * {_UNIT('a' + k)}) * 0.1"
+
+
+@query("gen15_mock_outputs", f"""with {V.PROBLEMS}, l as (select *, {_NOISY('ot', 50)} as loss_ot, {_NOISY('dd', 37)} as loss_dd, {_NOISY('rc', 23)} as loss_rc from problems),
+    d as (select *, case when loss_ot <= least(loss_dd, loss_rc) then 'OT' when loss_dd <= loss_rc then 'DD' else 'RC' end as detected from l),
+    c as (select *, {_UNIT('right')} < case when detected = design_family then 0.85 else 0.65 end as is_correct from d)
+    select id, round(loss_ot, 6) as loss_ot, round(loss_dd, 6) as loss_dd, round(loss_rc, 6) as loss_rc, detected, is_correct, product + case when is_correct then 0 else [10, -10, 1, -1, 100][1 + floor({_UNIT('off')} * 5)::int] end as model_answer from c""")
+def mock_outputs(spark, sf):
+    p = V.problems(spark, sf).withColumns({f"{k}_score": (F.col("k") % m).cast("double") / m for k, m in (("ot", 50), ("dd", 37), ("rc", 23))})
+    rounded = [F.round(f"loss_{k}", 6).alias(f"loss_{k}") for k in ("ot", "dd", "rc")]
+    return G.mock_outputs(p).select("id", *rounded, "detected", "is_correct", "model_answer")
+
+
+def _fragments(spark, sf):
+    """A report's fragment for each nation: a macro that all define, one of its own, and a table, some with a model's name."""
+    n = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("ord"), "n_name")
+    model = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("% Model: Big "), F.col("ord").cast("string"), F.lit("\n"))).otherwise("")
+    content = F.concat(model, F.lit("\\newcommand{\\shared}{"), F.col("ord").cast("string"), F.lit("}\n\\newcommand{\\own"), "n_name", F.lit("}{x}\n\\begin{table}\n\\label{tab:"), F.col("ord").cast("string"), F.lit("}\n\\midrule\n"), "n_name", F.lit(" & 1 \\\\\n\\bottomrule\n\\end{table}"))
+    path = F.concat(F.lit("out/table."), F.when(F.col("ord") % 3 == 1, F.concat(F.col("ord").cast("string"), F.lit("b."))).otherwise(F.lit("plain.")), F.lit("tex"))
+    return n.select("ord", path.alias("path"), content.alias("content"))
+
+
+@query("pres02_grouped_table", r"""with m as (select n_nationkey::int as ord, n_name, case n_nationkey % 3 when 0 then 'Big ' || n_nationkey when 1 then n_nationkey || 'B' else 'table.plain' end as model from nation)
+    select '\begin{table}[htbp]' || chr(10) || '\centering' || chr(10) || '\caption{All}' || chr(10) || '\label{tab:all}' || chr(10) || '\begin{tabular}{lr}' || chr(10) || '\toprule' || chr(10)
+      || string_agg('\multicolumn{2}{@{}l@{}}{\textbf{' || model || '}} \\' || chr(10) || n_name || ' & 1 \\', chr(10) || '\midrule' || chr(10) order by ord) || chr(10) || '\bottomrule' || chr(10) || '\end{tabular}' || chr(10) || '\end{table}' || chr(10) as content from m""")
+def grouped_table(spark, sf):
+    """All fragments' tables as one, grouped by model."""
+    return P.unique_labels(P.grouped_table(P.fragment_rows(_fragments(spark, sf)), "All", "tab:all", "lr", ["\\toprule"], 2), "the grouped table")
+
+
+@query("str20_macros_and_labels", r"""with n as (select n_nationkey::int as ord, n_name from nation), f as (select min(ord) as first from n)
+    select 'macro' as kind, ord, '\newcommand{\own' || n_name || '}{x}' as value from n union all select 'macro', first, '\newcommand{\shared}{' || first || '}' from f union all select 'label', ord, 'tab:' || ord from n
+    union all select 'repeated', ord, 'tab:' || ord from n where ord % 2 = 0""")
+def macros_and_labels(spark, sf):
+    """Macros of all fragments, of one name the first; labels; those that are there twice where every other fragment is doubled."""
+    f = _fragments(spark, sf)
+    macros = P.merged_macros(f).filter(F.startswith("line", F.lit("\\newcommand"))).select(F.lit("macro").alias("kind"), "ord", F.col("line").alias("value"))
+    labels = f.select(F.lit("label").alias("kind"), "ord", F.explode(T.labels(F.col("content"))).alias("value"))
+    twice = f.withColumn("content", F.when(F.col("ord") % 2 == 0, F.concat("content", "content")).otherwise(F.col("content")))
+    return macros.unionByName(labels).unionByName(twice.select(F.lit("repeated").alias("kind"), "ord", F.explode(T.repeated_labels(F.col("content"))).alias("value")))
 
 
 @query("prj05_first_filled", "select vec_id, case when label % 2 = 0 then 'even' else 'l' || label end as name from embeddings")

@@ -20,6 +20,10 @@ def duck():
     return c
 
 
+#: Characters of a physical plan beyond which expressions have multiplied: planning takes seconds then, and hundreds of MB.
+LONGEST_PLAN = 120_000
+
+
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         return str(int(v)) if isinstance(v, decimal.Decimal) and v == int(v) else f"{float(v):.9g}" if math.isfinite(v) else str(float(v))
@@ -31,6 +35,7 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(str([plain(r[c]) for c in cols]) for r in df.collect())
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < LONGEST_PLAN
     r = duck.execute(catalog.ORACLES[name])
     names = [d[0] for d in r.description]
     assert sorted(names) == cols

@@ -158,7 +158,7 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_0
         words = materialize(dictionary(found, buckets), "dictionary")
         worth = words.join(F.broadcast(gains(words, dictionary(features(target, n), buckets), buckets)), "bucket").select("feature", "gain")
         by_block = materialize(block_gains(found, worth), "gains")
-        scored = materialize(weigh(found, by_block, kind).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed)), "scores", narrow=True)
+        scored = materialize(weigh(found, by_block, kind).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed)), "scores")
     discard(found, words, by_block)
     fair = F.col("n_words") >= least_words
     order = [F.desc("score"), F.asc_nulls_last("key"), F.asc("block"), F.asc("nth")]

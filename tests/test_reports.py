@@ -55,7 +55,7 @@ class Counting(prototypes.Letters):
 
 def test_signals_of_traces(spark):
     rows = spark.createDataFrame([(1, "column by column, carry the 1", False), (2, "  ", False), (3, None, True), (4, "hidden column carry", True), (5, "zzz", False)], "id int, trace string, contaminated boolean")
-    centroids = spark.createDataFrame([("OT", [0.0, 0, 0, 1, 0, 0, 0, 0]), ("DD", [1.0, 0, 0, 0, 0, 0, 0, 0])], "label string, centroid array<double>")
+    centroids = spark.createDataFrame([("OT", [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]), ("DD", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])], "label string, centroid array<double>")
     got = {r["id"]: r for r in prototypes.trace_signals(rows, Counting(), centroids).collect()}
     assert [got[i]["status"] for i in range(1, 6)] == ["ok", "trace_missing", "trace_missing", "contaminated_trace", "ok"]
     assert [got[i]["resolved"] for i in range(1, 6)] == [True, False, False, False, True]

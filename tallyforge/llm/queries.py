@@ -116,13 +116,26 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 select doc_id, size, n as source_size, round(least(cap, coalesce(best * w, cap)), 6) as target from d join f on d.source is not distinct from f.source
 """
 
+#: Every window a row: for small tables.
+REPEATS_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select *, length(h) // 2 as n_bytes from d),
+w as (select r, i, md5(substr(h, 2 * i + 1, 800)) as m from (select r, h, unnest(range(0, n_bytes - 399)) as i from n where n_bytes >= 400)),
+c as (select r, i, count(*) over (partition by m) as times from w),
+g as (select r, i, sum(case when i - before > 400 or before is null then 1 else 0 end) over (partition by r order by i) as run from (select r, i, lag(i) over (partition by r order by i) as before from c where times > 1)),
+s as (select r, run, min(i) as lo, max(i) + 400 as hi from g group by r, run),
+b as (select *, coalesce(lag(hi) over (partition by r order by run), 0) as since from s),
+k as (select r, run, substr(h, 2 * since + 1, 2 * (lo - since)) as part, hi, lo from n join b using (r)),
+t as (select r, string_agg(part, '' order by run) as kept, max(hi) as last, sum(hi - lo)::bigint as n_removed, count(*) as n_spans from k group by r)
+select doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(case when t.r is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256 from n left join t on n.r = t.r
+"""
 DEVIATION_SQL = """
-with x as (select row_number() over () as r, vec_id, list_transform(embedding, c -> floor(64 * c::double)::bigint + 1000000) as x from embeddings
-  where embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c::double))) = 0),
+with x as (select row_number() over () as r, vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint + 1000000) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c::double))) = 0),
 c as (select r, vec_id, unnest(x) as v, generate_subscripts(x, 1) as i from x), s as (select i, sum(v) as s, count(*) as n from c group by i)
 select any_value(vec_id) as vec_id, any_value(n)::bigint as n, sum((n * v - s) * (n * v - s))::bigint as deviation from c join s using (i) group by r
 """
 
 _ALL = (op1_revisits, op2_decontamination, op3_language, op4_toxicity, op5_bagminhash, op6_pii, op7_preferences, op8_gru, op9_telephony, op10_mixing, op11_whitening, op12_suffixes, op13_resampling, pii_counts, audio_payloads, mix_targets, embedding_deviations)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL, "embedding_deviations": DEVIATION_SQL}
+ORACLES: dict[str, str] = {"op1_revisits": warc.ORACLE, "op7_preferences": prefs.ORACLE, "pii_counts": PII_SQL, "audio_payloads": AUDIO_SQL, "mix_targets": MIX_SQL, "embedding_deviations": DEVIATION_SQL, "op12_suffixes": REPEATS_SQL}

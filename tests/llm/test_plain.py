@@ -357,3 +357,13 @@ def test_no_temporary_folder_off_this_machine(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Far)
+
+
+def test_counts_of_the_language_model_dont_depend_on_partitions(spark):
+    from tallyforge.llm import grulm
+    from tallyforge.llm.shared import fold
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23}" for k in range(1 + i % 30))) for i in range(60)] + [(90, None), (91, "")], "doc_id bigint, text string")
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score"]
+    got = [{r["doc_id"]: [round(r[c], 9) for c in columns] for r in grulm.score(docs.repartition(n), fold("doc_id", 7) != 2, ["doc_id"]).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 62

@@ -157,13 +157,13 @@ def embedded(spark, sf):
 
 
 _SAID = f"case {V.s_draw('y', 'id', 5)} when 0 then '' when 1 then 'nothing' else trace end"
-_SHARES = "[" + ", ".join(f"(length(said) - length(replace(said, '{x}', '')))::double" for x in P.Letters().letters) + "]"
+_LETTER_SHARES = "[" + ", ".join(f"(length(said) - length(replace(said, '{x}', '')))::double" for x in P.Letters().letters) + "]"
 
 
 @query("str16_signals", f"""with {TQ._CLASSES}, t as (select id, split, trace_label as own, {_SAID} as said, a, b from traces),
     s as (select *, case when trim(said) = '' then 'trace_missing' when not (contains(said, cast(a as varchar)) or contains(said, cast(b as varchar))) then 'contaminated_trace' else 'ok' end as status from t),
     l as (select id, case when ot + dd + rc = 0 then null when ot >= dd and ot >= rc then 'OT' when dd >= rc then 'DD' else 'RC' end as label, case when ot + dd + rc > 0 then greatest(ot, dd, rc)::double / (ot + dd + rc) end as confidence from m),
-    r as (select id, split, own, {_SHARES} as c from s where status = 'ok'), v as (select id, split, own, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) as v from r),
+    r as (select id, split, own, {_LETTER_SHARES} as c from s where status = 'ok'), v as (select id, split, own, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) as v from r),
     cell as (select own, pos, avg(x) as x from (select own, unnest(v) as x, generate_subscripts(v, 1) as pos from v where split = 'train') group by 1, 2), norm as (select own, sqrt(sum(x * x)) as norm from cell group by 1),
     dots as (select id, c.own, sum(e.x * c.x / n.norm) / 0.1::double as s from (select id, unnest(v) as x, generate_subscripts(v, 1) as pos from v) e join cell c using (pos) join norm n on n.own = c.own group by 1, 2),
     w as (select id, own, exp(s - max(s) over (partition by id)) as w from dots), p as (select id, own, w / sum(w) over (partition by id) as m from w), o as (select *, row_number() over (partition by id order by m desc, own) as rn from p),

@@ -47,13 +47,13 @@ _EXPERTS = """ad as (select vec_id % 4 as n, (vec_id // 4) % 3 as expert, vec_id
     up as (select xb.name, xb.expert, o, i, sum(xb.value * xa.value) as w from xb join xa on xa.name = xb.name and xa.r = xb.r and xa.expert = xb.expert group by 1, 2, 3, 4)"""
 
 
-@query("stat11_experts", f"with {_EXPERTS} select x.name as name_1, y.name as name_2, sum(x.w * y.w) as inner_product from up x join up y on x.o = y.o and x.i = y.i and x.expert = y.expert and x.name <= y.name where not (x.name = 'e0' and y.name = 'e0' and x.expert > 0) group by 1, 2")
+@query("stat11_experts", f"with {_EXPERTS} select x.name as name_1, y.name as name_2, round(sum(x.w * y.w), 4) as inner_product from up x join up y on x.o = y.o and x.i = y.i and x.expert = y.expert and x.name <= y.name where not (x.name = 'e0' and y.name = 'e0' and x.expert > 0) group by 1, 2")
 def experts(spark, sf):
     """Four adapters of three experts; the first has one for both factors, the second one for B."""
     ad = V.table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("n"), (F.floor(F.col("vec_id") / 4) % 3).alias("expert"), F.floor(F.col("vec_id") / 12).alias("g"), F.posexplode("embedding").alias("key", "x")).withColumns({"value": F.col("x").cast("double"), "name": F.concat(F.lit("e"), "n")})
     a = ad.filter("key < 32 and (n > 0 or expert = 0)").select("name", "expert", (F.col("key") % 4).alias("r"), (F.col("g") * 8 + F.floor(F.col("key") / 4)).alias("i"), "value")
     b = ad.filter("key >= 32 and (n > 1 or expert = 0)").select("name", "expert", (F.col("g") * 8 + F.floor((F.col("key") - 32) / 4)).alias("o"), (F.col("key") % 4).alias("r"), "value")
-    return M.update_inner_of_experts(a, b).withColumnRenamed("inner", "inner_product")
+    return M.update_inner_of_experts(a, b).select("name_1", "name_2", F.round("inner", 4).alias("inner_product"))
 
 
 _TEXT = "(a || ' × ' || b)"

@@ -1,11 +1,16 @@
 """Fragments of reports, subsets of adapters, signals of traces, mock outputs."""
 
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tallyforge.functions import templates as T
 from tallyforge.operators import analysis, generation, presentation, prototypes
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the embedder goes to the workers with its code
+
 TABLE = "\\begin{table}\n\\midrule\nx & 1 \\\\\n\n  y & 2 \\\\  \n\\bottomrule\n\\end{table}"
 
 

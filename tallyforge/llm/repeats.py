@@ -1,6 +1,6 @@
 """Removal of repeated passages: every byte that a string of `length` bytes covers which also starts anywhere else.
 
-The strings of `length` bytes ("windows") never become rows. A window's smaller hashes decide where it can meet its like:
+The strings of `length` bytes ("windows") don't become rows, but for step 4. A window's smaller hashes decide where it can meet its like:
 
 1. Equal texts are one text from here on; one that is there twice is a repeat as a whole.
 2. Of each W places in a row that with the least hash of its K bytes is an anchor. Anchors are counted over all texts. A

@@ -74,15 +74,15 @@ def bank(spark: SparkSession, profile: str = "balanced") -> DataFrame:
     return spark.sql(f"select * from values {', '.join(str(r) for r in rows)} as t(label, nth, style, cues, text)")
 
 
-def bank_hash(rows: DataFrame, profile: str = "balanced", mode: str = "multi", seed: int = 0) -> DataFrame:
-    """bank_hash: 16 hex digits of the canonical JSON (sorted keys, no blanks) of a bank's rows and how it's used."""
+def bank_hash(rows: DataFrame, profile: str = "balanced", mode: str = "multi", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by and bank_hash: 16 hex digits of the canonical JSON (sorted keys, no blanks) of the rows of each bank and how it's used."""
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     cues = F.array_join(F.transform(F.split("cues", "[|]"), quoted), ",")
     spec = F.format_string('{"heuristic":"%s","semantic_cues":[%s],"style_family":"%s","text":"%s"}', "label", cues, "style", "text")
-    labels = rows.select("label", F.struct("nth", spec.alias("spec")).alias("x")).groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["spec"]), ",").alias("specs"))
+    labels = rows.select(*by, "label", F.struct("nth", spec.alias("spec")).alias("x")).groupBy(*by, "label").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["spec"]), ",").alias("specs"))
     each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "specs"))), lambda x: F.concat(F.lit('"'), x["label"], F.lit('":['), x["specs"], F.lit("]"))), ",")
     head = f'{{"mode":"{mode}","profile":"{profile}","profile_kind":"{KINDS[profile]}","seed":{seed},"template_bank":{{'
-    return labels.agg(F.substring(F.sha2(F.concat(F.lit(head), each, F.lit("}}")).cast("binary"), 256), 1, 16).alias("bank_hash"))
+    return labels.groupBy(*by).agg(F.substring(F.sha2(F.concat(F.lit(head), each, F.lit("}}")).cast("binary"), 256), 1, 16).alias("bank_hash"))
 
 
 def normalized(t: Column) -> Column:

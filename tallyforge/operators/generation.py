@@ -111,7 +111,7 @@ def hds(spark: SparkSession, count: int = 1000, seed: int = 42, pool: int = 40_0
         df = _pool(spark, family, size, seed + 1000 * j).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
         df = scored(df.groupBy("lo", "hi").agg(F.min("a").alias("a")).withColumn("b", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))))
         df = df.filter((F.col("canonical_target_heuristic") == family) & F.col("complexity_c").between(12, 324))
-        return df if exclude is None else without_leaks(df, exclude, None)
+        return df if exclude is None else without_leaks(df, exclude, None).withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
 
     parts = []
     for j, (family, n) in enumerate(want.items()):

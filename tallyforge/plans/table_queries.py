@@ -32,6 +32,16 @@ def hds(spark, sf):
     return G.hds(spark)
 
 
+@query("gen11_hds_fresh", f"""with {V.PROBLEMS} select t.family, t.n, (select count(*) from problems where a is null or b is null) as known, true as in_range, true as winners from (values ('DD', 333::bigint), ('OT', 333::bigint), ('RC', 334::bigint)) t(family, n)""")
+def fresh_hds(spark, sf):
+    """What holds of a generated set that leaves out all problems: its sizes, none of the problems, complexities within bounds, each row's method the cheapest."""
+    known = V.problems(spark, sf)
+    made = G.hds(spark, exclude=known)
+    pairs = known.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.lit(1).alias("old")).distinct()
+    rows = made.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(pairs, ["lo", "hi"], "left")
+    return rows.groupBy(F.col("design_family").alias("family")).agg(F.count("*").alias("n"), F.count("old").alias("known"), F.bool_and(F.col("complexity_c").between(12, 324)).alias("in_range"), F.bool_and(F.col("canonical_target_heuristic") == F.col("design_family")).alias("winners"))
+
+
 @query("gen12_traps")
 def traps(spark, sf):
     return G.traps(spark, V.problems(spark, sf).filter("split = 'test'"))

@@ -37,6 +37,18 @@ def bank_hash(spark, sf):
     return reduce(DataFrame.unionByName, [M.bank_hash(M.bank(spark, p), p).select(F.lit(p).alias("profile"), "bank_hash") for p in M.BANKS])
 
 
+_BALANCED = ", ".join(str((k, i, M.STYLES["balanced"][i], M.CUES["balanced"][k][i], t)) for k, ts in M.BANKS["balanced"].items() for i, t in enumerate(ts))
+
+
+@query("str07_bank_hash_of_suppliers", f"""with b as (select s_suppkey, label, nth, style, cues, text || ' by ' || s_name as text from supplier, (values {_BALANCED}) t(label, nth, style, cues, text)),
+    l as (select s_suppkey, label, string_agg('{{"heuristic":"' || label || '","semantic_cues":["' || replace(cues, '|', '","') || '"],"style_family":"' || style || '","text":"' || text || '"}}', ',' order by nth) as specs from b group by 1, 2)
+    select s_suppkey, substr(sha256('{{"mode":"multi","profile":"balanced","profile_kind":"{M.KINDS['balanced']}","seed":0,"template_bank":{{' || string_agg('"' || label || '":[' || specs || ']', ',' order by label) || '}}}}'), 1, 16) as bank_hash from l group by 1""")
+def bank_hash_of_suppliers(spark, sf):
+    """A bank for each supplier, whose texts end with its name, and the hash of each."""
+    rows = V.table(spark, sf, "supplier").select("s_suppkey", "s_name").join(F.broadcast(M.bank(spark)))  # some dozen templates a supplier
+    return M.bank_hash(rows.withColumn("text", F.concat("text", F.lit(" by "), "s_name")), by=("s_suppkey",))
+
+
 def _near(x: str) -> str:
     step = f"cast(pow(10, case when {x} % 10 = 0 then case when {x} = 0 then 1 else length(regexp_extract(cast({x} as varchar), '0+$')) end else 0 end) as bigint)"
     return f"case when {x} - {step} >= 0 and length(cast({x} - {step} as varchar)) = length(cast({x} as varchar)) then {x} - {step} else {x} + {step} end"

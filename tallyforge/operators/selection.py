@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.hashing import md5_bucket
 from tallyforge.functions.text import normalize
 from tallyforge.operators.quotas import length_quotas
+from tallyforge.sources.scratch import written
 
 
 def unit(salt: str, key: Column) -> Column:
@@ -26,9 +27,15 @@ def by_quota(df: DataFrame, stratum: str, quota: Column, key: str = "id", salt:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= quota)
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt into ranges of an order, with the number of each row's range as `part`. Written, as it is read twice: bounds are drawn from a sample, and small ranges put together, anew for each
+    reader, so that two readers of the plan would number by unlike ranges."""
+    return written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[str], prefix: str, width: int) -> DataFrame:
     """Ids by a total order: prefix and a number from 0. Numbers within ranges, plus the sizes of the ranges before, so that no task holds all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(df, *order)
     inner = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return inner.join(sizes, "part").withColumn("new_id", F.concat(F.lit(prefix), F.lpad((F.col("before") + F.col("nth") - 1).cast("string"), width, "0"))).drop("part", "nth", "before")
@@ -65,7 +72,7 @@ def pick_examples(df: DataFrame, criteria: dict[str, Column], key: str = "id", f
 
 def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Rows numbered into batches of a fixed size within each group: numbers within ranges of (group, order), plus those of the group's ranges before, so that a group isn't one task."""
-    ranged = df.repartitionByRange(by, order).withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(df, by, order)
     inner = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", by).orderBy(order)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = ranged.groupBy(by, "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # a row for each range of a group

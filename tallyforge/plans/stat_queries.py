@@ -347,7 +347,7 @@ def stratified_quota(spark, sf):
 
 @query("win05_06_numbering", f"""with {V.PROBLEMS} select id, 'hds_' || lpad(cast(row_number() over (order by design_family, complexity_c, a, b, id) - 1 as varchar), 6, '0') as new_id from problems""")
 def numbering(spark, sf):
-    return X.numbered(V.problems(spark, sf), ["design_family", "complexity_c", "a", "b", "id"], "hds_", 6).select("id", "new_id")
+    return X.numbered(V.problems(spark, sf).select("design_family", "complexity_c", "a", "b", "id"), ["design_family", "complexity_c", "a", "b", "id"], "hds_", 6).select("id", "new_id")
 
 
 @query("win07_08_examples", f"""with {PROBED}, one as (select id from probed where is_correct order by id limit 1), two as (select id from probed where detected = 'UNKNOWN' and id not in (select id from one) order by id limit 1),
@@ -370,7 +370,7 @@ def latest(spark, sf):
 
 @query("gen16_batches", f"with {V.PROBLEMS} select id, (row_number() over (partition by design_family order by k) - 1) // 30 as batch from problems")
 def batches(spark, sf):
-    return X.batches(V.problems(spark, sf), "design_family", "k", 30).select("id", "batch")
+    return X.batches(V.problems(spark, sf).select("id", "design_family", "k"), "design_family", "k", 30).select("id", "batch")
 
 
 @query("agg23_distinct_pairs", f"with {V.PROBLEMS}, r as (select *, row_number() over (partition by least(a, b), greatest(a, b) order by k) as rn from problems) select id, a, b from r where rn = 1")

@@ -18,3 +18,15 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """More ranges than a sample settles, put together by their bytes, as in large tables: two readers of one plan get unlike ones."""
+    ours = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "24"}
+    had = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in had.items():
+        spark.conf.set(k, v)

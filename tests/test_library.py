@@ -141,6 +141,15 @@ def test_numbering_over_ranges(spark):
     assert [r["new_id"] for r in got] == [f"n_{i:05d}" for i in range(5000)]
 
 
+def test_batches_over_many_ranges(spark, many_ranges):
+    df = spark.range(0, 60_000, 1, 16).select(((F.col("id") * 7919) % 60_013).alias("k"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    got = [(r["g"], r["k"], r["batch"]) for r in selection.batches(df, "g", "k", 30).collect()]
+    want = {}
+    for r in sorted(df.select("g", "k").collect()):
+        want.setdefault(r["g"], []).append(r["k"])
+    assert sorted(got) == sorted((g, k, i // 30) for g, ks in want.items() for i, k in enumerate(ks))
+
+
 def test_votes_and_prototypes(spark):
     df = spark.createDataFrame([("OT", 0.8, "RC", 0.9), ("UNKNOWN", 0.0, "DD", 0.4), ("UNKNOWN", 0.0, None, None)], "a string, x double, b string, y double")
     got = [tuple(r["v"]) for r in df.select(prototypes.vote([(F.col("a"), F.col("x")), (F.col("b"), F.col("y"))]).alias("v")).collect()]

@@ -81,7 +81,7 @@ def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
 
 def ordinals(df: DataFrame, by: list[str], order: list[str], name: str = "nth") -> DataFrame:
     """Rows numbered from 1 by a total order within each group (no columns: over all): numbers within ranges of the order, plus the rows of the group in the ranges before, so that neither a group nor all rows are one task."""
-    ranged = df.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(df, *by, *order)
     inner = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part", *by).orderBy(*order)))
     sums = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(*by, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0)))

@@ -263,6 +263,14 @@ def test_tables_are_zipped_by_place(spark):
     assert joins.zipped(left, right.limit(0), ["k"]).collect() == []
 
 
+def test_tables_of_many_ranges_are_zipped_by_place(spark, many_ranges):
+    left = spark.range(0, 60_000, 1, 16).select(((F.col("id") * 7919) % 60_000).alias("k")).withColumn("v", F.concat(F.lit("l"), "k"))
+    right = left.filter("k % 3 <> 0").withColumn("v", F.concat(F.lit("r"), "k"))
+    got = sorted(tuple(r) for r in joins.zipped(left, right, ["k"]).collect())
+    others = [k for k in range(60_000) if k % 3]
+    assert got == [(i + 1, f"l{i}", f"r{k}") for i, k in enumerate(others)]
+
+
 def test_text_rows_keep_their_place_without_an_image(spark):
     text = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, t string")
     image = spark.createDataFrame([(1, "old", 1), (1, None, 2), (3, "z", 1)], "id int, label string, ord int")

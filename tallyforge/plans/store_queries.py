@@ -64,7 +64,7 @@ def pictures(spark, sf):
     """Pictures of the test problems, written as files and read back."""
     path = scratch(spark, "pictures")
     rows = V.problems(spark, sf).filter("split = 'test'").select(F.concat("id", F.lit(".svg")).alias("file"), "a", "b")
-    assets.write_assets(rows.coalesce(16), path, assets.svg, "file", ["a", "b"])
+    assets.write_assets(rows, path, assets.svg, "file", ["a", "b"])
     return assets.read_assets(spark, path, "*.svg").select("name", F.md5("content").alias("md5"))
 
 

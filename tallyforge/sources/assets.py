@@ -10,8 +10,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from typing import Any
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -58,9 +60,12 @@ class AssetsWriter(DataSourceWriter):
         folder = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
         fs, at = _opened(f"{self.temporary}/{folder}")
         files = size = 0
+        made: str | None = None
         for row in iterator:
             target = f"{at}/{safe(row['name'])}"
-            fs.create_dir(target.rsplit("/", 1)[0])
+            if (parent := target.rsplit("/", 1)[0]) != made:
+                fs.create_dir(parent)
+                made = parent
             with fs.open_output_stream(target) as out:
                 content = row["content"] or b""
                 out.write(content)
@@ -121,9 +126,31 @@ def write_assets(rows: DataFrame, path: str, render: Callable[[Any], bytes | Non
 
 
 def read_assets(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name and content of committed files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return found.filter(~F.contains("path", F.lit("/_temporary/"))).select(F.regexp_extract("path", r"/part-\d+-[0-9a-f]+/(.*)$", 1).alias("name"), "content")
+    """name and content of committed files whose last name fits the pattern. The driver lists the folders that tasks have committed; what is in a folder its own task lists and reads, so that no list, split or plan holds a row for each file."""
+    fs, root = _opened(path)
+    folders = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.Directory and x.base_name.startswith("part-"))
+    of = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in folders], max(1, len(folders))), "folder string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _opened(path)
+        as_batch = lambda names, contents: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["name", "content"])
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                names, contents, size = [], [], 0
+                for x in fs.get_file_info(pafs.FileSelector(f"{root}/{folder}", recursive=True)):
+                    if x.type != pafs.FileType.File or not fnmatchcase(x.base_name, pattern):
+                        continue
+                    with fs.open_input_stream(x.path) as f:
+                        contents.append(f.read())
+                    names.append(x.path[len(f"{root}/{folder}/") :])
+                    size += len(contents[-1])
+                    if len(names) == 4096 or size >= 8 << 20:
+                        yield as_batch(names, contents)
+                        names, contents, size = [], [], 0
+                if names:
+                    yield as_batch(names, contents)
+
+    return of.mapInArrow(run, SCHEMA)
 
 
 def svg(row: Any) -> bytes:

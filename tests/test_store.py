@@ -90,6 +90,17 @@ def test_assets_of_rows(spark, tmp_path):
     assert len(assets.read_assets(spark, at).collect()) == 40
 
 
+def test_reading_assets_plans_folders_not_files(spark, tmp_path):
+    at = str(tmp_path / "files")
+    rows = spark.createDataFrame([(f"d{i % 3}/{i}.{'svg' if i % 4 else 'txt'}", i, i + 1) for i in range(400)], "file string, a int, b int").repartition(5)
+    assets.write_assets(rows, at, assets.svg, "file", ["a", "b"])
+    (tmp_path / "files" / "_temporary" / "job" / "part-00000-9").mkdir(parents=True)
+    (tmp_path / "files" / "_temporary" / "job" / "part-00000-9" / "x.svg").write_text("not committed")
+    got = assets.read_assets(spark, at, "*.svg")
+    assert got.inputFiles() == [] and got.rdd.getNumPartitions() == 5
+    assert sorted(r["name"] for r in got.collect()) == sorted(f"d{i % 3}/{i}.svg" for i in range(400) if i % 4)
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     at = str(tmp_path / "files")
     rows = spark.createDataFrame([(f"{i}.txt", i) for i in range(40)], "file string, a int").repartition(4)

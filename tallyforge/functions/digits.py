@@ -73,7 +73,7 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def trailing_zeros(n: Column, of_zero: int = 0) -> Column:
-    return F.when(n == 0, of_zero).otherwise(F.length(F.regexp_extract(text(n), "0+$", 0)))
+    return F.when(n == 0, of_zero).otherwise(F.length(text(n)) - F.length(F.rtrim(text(n), F.lit("0"))))
 
 
 def power10(k: Column) -> Column:

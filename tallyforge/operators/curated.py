@@ -38,7 +38,9 @@ def costed(df: DataFrame, margin: float) -> DataFrame:
     inside = lambda n: n.between(*VALUES) & D.length(n).between(*DIGITS)
     df = df.withColumns({"ot_cost": D.ot_cost(a, b), "dd_cost": D.dd_cost(a, b), "rc_cost": D.rc_cost(a, b), "digit_total": D.digit_total(a, b), "nonzero_total": D.nonzero_total(a, b)})
     df = df.withColumn("complexity_c", F.col("digit_total") * F.col("nonzero_total")).withColumn("in_range", inside(a) & inside(b) & F.col("complexity_c").between(*COMPLEXITY))
-    return df.withColumn("best", D.rank_costs(F.col("ot_cost"), F.col("dd_cost"), F.col("rc_cost"), margin)).withColumns({"target": F.col("best.target"), "margin": F.col("best.margin")}).drop("best")
+    # exploded, one a row: a filter on the target would else be pushed into the costs, and all be worked out twice
+    best = F.explode(F.array(D.rank_costs(F.col("ot_cost"), F.col("dd_cost"), F.col("rc_cost"), margin))).alias("best")
+    return df.select("*", best).withColumns({"target": F.col("best.target"), "margin": F.col("best.margin")}).drop("best")
 
 
 def items(df: DataFrame, margin: float = ITEM_MARGIN, family: str | None = None) -> DataFrame:

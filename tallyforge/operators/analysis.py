@@ -130,8 +130,11 @@ def template_variability(losses: DataFrame) -> DataFrame:
 
 def template_contrast(rows: DataFrame) -> DataFrame:
     """rows: label, template, loss, wrong. Of each template the means of its finite pairs and their difference."""
-    pairs = rows.filter(C.finite(F.col("loss")).isNotNull() & C.finite(F.col("wrong")).isNotNull())
-    return pairs.groupBy("label", "template").agg(F.count("*").alias("n"), F.avg("loss").alias("right_mean"), F.avg("wrong").alias("wrong_mean"), F.avg(F.col("wrong") - F.col("loss")).alias("delta_mean"))
+    # no filter: it would be pushed below the losses, which are then worked out for it and once more for the means
+    both = C.finite(F.col("loss")).isNotNull() & C.finite(F.col("wrong")).isNotNull()
+    mean = lambda x: F.avg(F.when(both, x))
+    out = rows.groupBy("label", "template").agg(F.count_if(both).alias("n"), mean(F.col("loss")).alias("right_mean"), mean(F.col("wrong")).alias("wrong_mean"), mean(F.col("wrong") - F.col("loss")).alias("delta_mean"))
+    return out.filter("n > 0")
 
 
 def contrastive(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,21 +41,23 @@ STRATEGIES = (
 )
 
 
-def matches(t: Column, label: str) -> Column:
-    low = F.lower(t)
+def matches(t: Column, label: str, low: Column | None = None) -> Column:
+    """How often a label's patterns match; low: the text in lower case, if there is such."""
+    low = F.lower(t) if low is None else low
     return reduce(lambda x, y: x + y, (F.when(F.contains(low, F.lit(need)), F.regexp_count(t, F.lit("(?i)" + p))).otherwise(0) for p, need in zip(PATTERNS[label], NEEDS[label], strict=True)))
 
 
 def classify(t: Column) -> Column:
     """(label, confidence, ot, dd, rc): the label of most pattern matches and its share; ties in the order OT, DD, RC."""
     t = F.coalesce(t, F.lit(""))
+    counts = D.let(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda x: F.struct(*(matches(x["t"], k, x["low"]).alias(k) for k in PATTERNS)))
 
     def told(n: Column) -> Column:
         total, best = n["OT"] + n["DD"] + n["RC"], F.greatest(n["OT"], n["DD"], n["RC"])
         label = F.when(total == 0, "UNKNOWN").when(n["OT"] == best, "OT").when(n["DD"] == best, "DD").otherwise("RC")
         return F.struct(label.alias("label"), F.when(total == 0, 0.0).otherwise(best / F.when(total != 0, total)).alias("confidence"), *(n[k].alias(k.lower()) for k in PATTERNS))
 
-    return D.let(F.struct(*(matches(t, k).alias(k) for k in PATTERNS)), told)
+    return D.let(counts, told)
 
 
 def normalize(t: Column) -> Column:
@@ -94,6 +97,18 @@ def _last(t: Column, low: Column, pattern: str, hints: tuple[str, ...]) -> Colum
     return F.when(reduce(lambda x, y: x | y, (F.contains(low, F.lit(h)) for h in hints)), F.get(F.reverse(found), F.lit(0)))
 
 
+def _foreign(s: Column, a: Column, b: Column) -> Column:
+    """Whether a text names neither factor."""
+    bare = F.replace(s, F.lit(","), F.lit(""))
+    return a.isNotNull() & b.isNotNull() & ~(F.contains(bare, a.cast("string")) | F.contains(bare, b.cast("string")))
+
+
+def contaminated(t: Column, a: Column, b: Column) -> Column:
+    """Whether a text that isn't empty names neither factor: what `extract_answer` says of it, without reading an answer."""
+    raw = F.trim(F.coalesce(t, F.lit("")))
+    return D.let(raw, lambda x: _foreign(strip_emphasis(x), a, b) & (x != ""))
+
+
 def extract_answer(t: Column, a: Column, b: Column, exact: bool = False) -> Column:
     """(answer, confidence, strategy, truncated, contaminated) of a text that should give a times b."""
     raw = F.trim(F.coalesce(t, F.lit("")))
@@ -135,8 +150,23 @@ def token_count(t: Column, side: str = "expected") -> Column:
     return F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).try_cast("bigint")
 
 
+def say(text: str, *args: Column) -> Column:
+    """What `format_string` makes of %d, %+d and %s, as a concatenation, which doesn't read the text anew for each row."""
+    parts, left = [], list(args)
+    for piece in re.split(r"(%\+?d|%s)", text):
+        if piece in ("%d", "%s", "%+d"):
+            x = left.pop(0)
+            parts += [F.when(x >= 0, "+").otherwise("")] if piece == "%+d" else []
+            parts.append(F.coalesce(x.cast("string"), F.lit("null")))
+        elif piece:
+            parts.append(F.lit(piece))
+    if left:
+        raise ValueError(f"more values than places: {text}")
+    return F.concat(*parts)
+
+
 def prompt(a: Column, b: Column) -> Column:
-    return F.format_string("What is %d × %d?", a, b)
+    return say("What is %d × %d?", a, b)
 
 
 def strip_prompt(p: Column, trace: Column) -> Column:
@@ -150,70 +180,81 @@ def _lines(*parts: Column) -> Column:
 
 def trace_rc(a: Column, b: Column, ba: Column | None = None, bb: Column | None = None) -> Column:
     """Rounding to bases and adjusting; a difference of squares where the factors lie evenly around one base. ba, bb: columns with the bases, if there are such."""
-    ba = D.nearest_base(a, D.TRACE_BASES) if ba is None else ba
-    bb = D.nearest_base(b, D.TRACE_BASES) if bb is None else bb
+    bases = {"ba": D.nearest_base(a, D.TRACE_BASES) if ba is None else ba, "bb": D.nearest_base(b, D.TRACE_BASES) if bb is None else bb}
+    return D.let(F.struct(a.alias("a"), b.alias("b"), *(x.alias(n) for n, x in bases.items())), lambda r: _rounded(r["a"], r["b"], r["ba"], r["bb"]))
+
+
+def _rounded(a: Column, b: Column, ba: Column, bb: Column) -> Column:
     da, db, p = a - ba, b - bb, a * b
     k, sa, sb = F.abs(da), F.when(da > 0, "+").otherwise("-"), F.when(db > 0, "+").otherwise("-")
     squares = _lines(
         prompt(a, b), F.lit("Let me use the difference of squares identity."),
-        F.format_string("%d = %d %s %d and %d = %d %s %d.", a, ba, sa, k, b, ba, sb, k),
-        F.format_string("So %d × %d = (%d %s %d)(%d %s %d) = %d² - %d².", a, b, ba, sa, k, ba, sb, k, ba, k),
-        F.format_string("%d² = %d.", ba, ba * ba), F.format_string("%d² = %d.", k, k * k),
-        F.format_string("%d - %d = %d.", ba * ba, k * k, p), F.format_string("Answer: %d", p),
+        say("%d = %d %s %d and %d = %d %s %d.", a, ba, sa, k, b, ba, sb, k),
+        say("So %d × %d = (%d %s %d)(%d %s %d) = %d² - %d².", a, b, ba, sa, k, ba, sb, k, ba, k),
+        say("%d² = %d.", ba, ba * ba), say("%d² = %d.", k, k * k),
+        say("%d - %d = %d.", ba * ba, k * k, p), say("Answer: %d", p),
     )
     general = _lines(
         prompt(a, b), F.lit("Let me round to convenient bases and adjust."),
-        F.format_string("%d is close to %d (difference: %+d).", a, ba, da), F.format_string("%d is close to %d (difference: %+d).", b, bb, db),
-        F.format_string("Start with %d × %d = %d.", ba, bb, ba * bb),
-        F.format_string("Adjustment for %d: %d × %+d = %+d.", a, ba, db, ba * db), F.format_string("Adjustment for %d: %+d × %d = %+d.", b, da, bb, da * bb),
-        F.format_string("Cross term: %+d × %+d = %+d.", da, db, da * db),
-        F.format_string("Total: %d + (%+d) + (%+d) + (%+d) = %d.", ba * bb, ba * db, da * bb, da * db, p), F.format_string("Answer: %d", p),
+        say("%d is close to %d (difference: %+d).", a, ba, da), say("%d is close to %d (difference: %+d).", b, bb, db),
+        say("Start with %d × %d = %d.", ba, bb, ba * bb),
+        say("Adjustment for %d: %d × %+d = %+d.", a, ba, db, ba * db), say("Adjustment for %d: %+d × %d = %+d.", b, da, bb, da * bb),
+        say("Cross term: %+d × %+d = %+d.", da, db, da * db),
+        say("Total: %d + (%+d) + (%+d) + (%+d) = %d.", ba * bb, ba * db, da * bb, da * db, p), say("Answer: %d", p),
     )
     return F.when((ba == bb) & (da == -db), squares).otherwise(general)
 
 
 def trace_dd(a: Column, b: Column) -> Column:
     """Splitting the larger factor into tens and ones."""
-    split_a = a >= b
-    n = F.when(split_a, a).otherwise(b)
+    n, other = F.when(a >= b, a).otherwise(b), F.when(a >= b, b).otherwise(a)
+    return D.let(F.struct(a.alias("a"), b.alias("b"), n.alias("n"), other.alias("other")), lambda r: _decomposed(r["a"], r["b"], r["n"], r["other"]))
+
+
+def _decomposed(a: Column, b: Column, n: Column, other: Column) -> Column:
     tens, ones = n - n % 10, n % 10
-    left = lambda x: F.when(split_a, F.format_string("%d × %d", x, b)).otherwise(F.format_string("%d × %d", a, x))
-    other = F.when(split_a, b).otherwise(a)
+    left = lambda x: F.when(a >= b, say("%d × %d", x, b)).otherwise(say("%d × %d", a, x))
     return _lines(
-        prompt(a, b), F.format_string("Let me decompose %d into %d + %d.", n, tens, ones),
-        F.format_string("First compute %s:", left(tens)), F.format_string("%s = %d.", left(tens), tens * other),
-        F.format_string("Then compute %s:", left(ones)), F.format_string("%s = %d.", left(ones), ones * other),
-        F.lit("Now sum the partial products:"), F.format_string("%d + %d = %d.", tens * other, ones * other, a * b), F.format_string("Answer: %d", a * b),
+        prompt(a, b), say("Let me decompose %d into %d + %d.", n, tens, ones),
+        say("First compute %s:", left(tens)), say("%s = %d.", left(tens), tens * other),
+        say("Then compute %s:", left(ones)), say("%s = %d.", left(ones), ones * other),
+        F.lit("Now sum the partial products:"), say("%d + %d = %d.", tens * other, ones * other, a * b), say("Answer: %d", a * b),
     )
 
 
 def trace_ot(a: Column, b: Column) -> Column:
     """Column multiplication; digit by digit below 100."""
     digit = lambda n, k: F.floor(n / k).cast("bigint") % 10
+    places = {"a1": digit(a, 1), "a10": digit(a, 10), "b1": digit(b, 1), "b10": digit(b, 10), "b100": digit(b, 100)}
+    return D.let(F.struct(a.alias("a"), b.alias("b"), *(x.alias(n) for n, x in places.items())), _columns)
+
+
+def _columns(r: Column) -> Column:
+    a, b = r["a"], r["b"]
     p = a * b
 
     def step(i: int, word: str, d: Column) -> list[Column]:
-        o, t = digit(a, 1) * d, digit(a, 10) * d
+        o, t = r["a1"] * d, r["a10"] * d
         return [
-            F.format_string(f"Step {i}: Multiply %d by {word} digit %d:", a, d),
-            F.format_string("  %d × %d = %d, write %d, carry %d.", digit(a, 1), d, o, o % 10, F.floor(o / 10).cast("bigint")),
-            F.format_string("  %d × %d = %d, plus carry = %d.", digit(a, 10), d, t, t + F.floor(o / 10).cast("bigint")),
+            say(f"Step {i}: Multiply %d by {word} digit %d:", a, d),
+            say("  %d × %d = %d, write %d, carry %d.", r["a1"], d, o, o % 10, F.floor(o / 10).cast("bigint")),
+            say("  %d × %d = %d, plus carry = %d.", r["a10"], d, t, t + F.floor(o / 10).cast("bigint")),
         ]
 
-    p1, p2 = a * digit(b, 1), a * digit(b, 10)
+    p1, p2 = a * r["b1"], a * r["b10"]
     head = [prompt(a, b), F.lit("Let me use column multiplication step by step.")]
-    small = _lines(*head, *step(1, "ones", digit(b, 1)), F.format_string("  First partial product: %d.", p1), *step(2, "tens", digit(b, 10)),
-        F.format_string("  Second partial product: %d (shifted by 10 = %d).", p2, p2 * 10), F.lit("Step 3: Add partial products:"), F.format_string("  %d + %d = %d.", p1, p2 * 10, p), F.format_string("Answer: %d", p))
-    q2, q3 = F.when(b >= 10, p2 * 10).otherwise(0), F.when(b >= 100, a * digit(b, 100) * 100).otherwise(0)
-    large = _lines(*head, F.format_string("Step 1: %d × %d = %d", a, digit(b, 1), p1), F.when(b >= 10, F.format_string("Step 2: %d × %d0 = %d", a, digit(b, 10), q2)),
-        F.when(b >= 100, F.format_string("Step 3: %d × %d00 = %d", a, digit(b, 100), q3)), F.format_string("Sum: %d + %d + %d = %d.", p1, q2, q3, p), F.format_string("Answer: %d", p))
+    small = _lines(*head, *step(1, "ones", r["b1"]), say("  First partial product: %d.", p1), *step(2, "tens", r["b10"]),
+        say("  Second partial product: %d (shifted by 10 = %d).", p2, p2 * 10), F.lit("Step 3: Add partial products:"), say("  %d + %d = %d.", p1, p2 * 10, p), say("Answer: %d", p))
+    q2, q3 = F.when(b >= 10, p2 * 10).otherwise(0), F.when(b >= 100, a * r["b100"] * 100).otherwise(0)
+    large = _lines(*head, say("Step 1: %d × %d = %d", a, r["b1"], p1), F.when(b >= 10, say("Step 2: %d × %d0 = %d", a, r["b10"], q2)),
+        F.when(b >= 100, say("Step 3: %d × %d00 = %d", a, r["b100"], q3)), say("Sum: %d + %d + %d = %d.", p1, q2, q3, p), say("Answer: %d", p))
     return F.when((a < 100) & (b < 100), small).otherwise(large)
 
 
 def trace_style(a: Column, b: Column) -> Column:
     """Tidy wording without any method."""
-    return _lines(prompt(a, b), F.lit("Let me organize the work clearly."), F.format_string("Step 1: Keep the problem in standard form: %d × %d.", a, b), F.lit("Step 2: Compute the exact product carefully."),
-        F.format_string("Step 3: The exact product is %d.", a * b), F.format_string("Answer: %d", a * b))
+    return _lines(prompt(a, b), F.lit("Let me organize the work clearly."), say("Step 1: Keep the problem in standard form: %d × %d.", a, b), F.lit("Step 2: Compute the exact product carefully."),
+        say("Step 3: The exact product is %d.", a * b), say("Answer: %d", a * b))
 
 
 TRACES = {"RC": trace_rc, "DD": trace_dd, "OT": trace_ot, "STYLE": trace_style}

@@ -40,12 +40,12 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", vector: str = "
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             there = texts.notna() & (texts.fillna("").str.strip() != "")
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out = [None] * len(texts)
             if there.any():
                 made = embedder.embed_texts(texts[there].tolist())
-                for i, v in zip(texts.index[there], made, strict=True):
-                    out.at[i] = [float(x) for x in v]
-            yield out
+                for i, v in zip(there.to_numpy().nonzero()[0].tolist(), made, strict=True):
+                    out[i] = [float(x) for x in v]
+            yield pd.Series(out, index=texts.index, dtype=object)
 
     return df.withColumn(vector, vectors(F.col(text)))
 
@@ -78,7 +78,8 @@ def trace_signals(rows: DataFrame, embedder: Embedder | None = None, centroids:
     """key with both signals of a trace: trace_label and trace_confidence of its wording (null if it tells nothing), and embedding_label, _confidence,
     _margin of its vector, with `resolved` and `status`: trace_missing for null and blank traces, contaminated_trace for those that quote other
     factors, else ok. Only traces that are ok are embedded. Without an embedder the second signal and its status are null."""
-    found = text_class(F.col(trace))
+    rows = rows.select(key, trace, contaminated, text_class(F.col(trace)).alias("found_"))  # read four times, worked out once
+    found = F.col("found_")
     known = found["label"] != "UNKNOWN"
     missing = F.coalesce(F.trim(trace) == "", F.lit(True))
     status = F.when(missing, "trace_missing").when(F.col(contaminated), "contaminated_trace").otherwise("ok")

@@ -175,7 +175,7 @@ def trace_signals(spark, sf):
     kind = V.draw("y", F.col("id"), 5)
     rows = V.traces(spark, sf).withColumn("said", F.when(kind == 0, "").when(kind == 1, "nothing").otherwise(F.col("trace")))
     # read twice, and a filter on what is worked out of a trace would be pushed into its expressions
-    rows = written(rows.select("id", "split", "trace_label", "said", F.coalesce(T.extract_answer(F.col("said"), F.col("a"), F.col("b"))["contaminated"], F.lit(False)).alias("contaminated")), "said")
+    rows = written(rows.select("id", "split", "trace_label", "said", F.coalesce(T.contaminated(F.col("said"), F.col("a"), F.col("b")), F.lit(False)).alias("contaminated")), "said")
     fair = rows.filter("split = 'train' and trim(said) <> '' and not contaminated")
     centroids = P.fit(P.embed(fair, P.Letters(), "said").select(F.col("trace_label").alias("label"), "embedding"))
     out = P.trace_signals(rows, P.Letters(), centroids, trace="said")

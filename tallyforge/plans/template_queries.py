@@ -95,8 +95,8 @@ def single_pairs(spark, sf):
 def trace_status(spark, sf):
     """Whether a trace can be classified by its wording."""
     kind = V.draw("y", F.col("id"), 5)
-    rows = V.traces(spark, sf).withColumn("said", F.when(kind == 0, "").when(kind == 1, "nothing").otherwise(F.col("trace"))).withColumn("e", T.extract_answer(F.col("said"), F.col("a"), F.col("b")))
-    status = F.when(F.trim("said") == "", "trace_missing").when(F.col("e.contaminated"), "contaminated_trace").otherwise("ok")
+    rows = V.traces(spark, sf).withColumn("said", F.when(kind == 0, "").when(kind == 1, "nothing").otherwise(F.col("trace"))).withColumn("contaminated", T.contaminated(F.col("said"), F.col("a"), F.col("b")))
+    status = F.when(F.trim("said") == "", "trace_missing").when(F.col("contaminated"), "contaminated_trace").otherwise("ok")
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 

@@ -297,9 +297,12 @@ def _shape(a: Column, b: Column, miss: Column, kind: str) -> Column:
 def nearby_wrong(n: Column) -> Column:
     """A near number with as many zeros at its end: one step less if that keeps the length, else one more."""
     v = F.abs(n)
-    step = power10(F.when(v % 10 == 0, trailing_zeros(v, 1)).otherwise(0))
-    less = v - step
-    return F.when((less >= 0) & (length(less) == length(v)), less).otherwise(v + step)
+    step = F.when(v == 0, 10)
+    for k in range(1, 19):
+        step = step.when(v % 10**k != 0, F.lit(10 ** (k - 1)).cast("bigint"))
+    step = step.otherwise(F.lit(10**18).cast("bigint"))
+    # one less has the same length but where it's all nines, which is v's power of ten itself
+    return let(F.struct(v.alias("v"), step.alias("step")), lambda s: F.when((s["v"] >= s["step"]) & (length(s["v"] - s["step"]) == length(s["v"])), s["v"] - s["step"]).otherwise(s["v"] + s["step"]))
 
 
 def plausible(value: Column, a: Column, b: Column) -> Column:

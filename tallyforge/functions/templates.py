@@ -120,36 +120,46 @@ def step_pairs(a: Column, b: Column, profile: str = "standard", mode: str = "mul
     """Array of (label, nth, right, wrong): pairs of statements of a step that differ in numbers only. Two pairs a method; harder:
     two more, with wrong numbers that look likelier. single: of each method the one that the problem's hash picks."""
     from tallyforge.functions import digits as D
+    from tallyforge.functions.text import say
 
     whole = lambda x: F.floor(x).cast("bigint")
-    x, y = a % 10, b % 10
-    ones = x * y
-    slipped = F.when(ones >= 10, ones - 10).otherwise(ones + 10)
-    column = lambda text, z: F.format_string(text, x, y, z, z % 10, whole(z / 10))
-    pairs = {"OT": [(STEP_TEXTS["OT"][i], ones, z, column) for i, z in ((0, D.nearby_wrong(ones)), (1, D.nearby_wrong(ones)), (0, slipped), (2, slipped))]}
-    sides = ((a, b), (b, a))
-
-    def split(n: Column, other: Column):
-        tens = n - n % 10
-        first = (tens, other) if n is a else (other, tens)
-        return tens * other, lambda text, z: F.format_string(text, n, tens, n % 10, *first, z)
-
-    def rounded(n: Column, other: Column):
-        base = D.nearest_base(n, D.TEMPLATE_BASES)
-        off = F.abs(n - base)
-        return off * other, lambda text, z: F.format_string(text, n, base, off, other, z)
-
-    shifted = lambda z, n: F.when(z % 10 == 0, whole(z / 10)).otherwise(z * 10)
-    more = lambda z, n: z + n
-    for label, made, slip in (("DD", split, shifted), ("RC", rounded, more)):
-        of = [(*made(n, other), other) for n, other in sides]
-        pairs[label] = [(STEP_TEXTS[label], z, D.nearby_wrong(z), say) for z, say, _ in of] + [(STEP_TEXTS[label], z, slip(z, other), say) for z, say, other in of]
-    out = []
-    for label, own in pairs.items():
-        own = own if profile == "harder" else own[:2]
-        rows = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(i).alias("nth"), say(text, z).alias("right"), say(text, w).alias("wrong")) for i, (text, z, w, say) in enumerate(own)))
-        out.append(rows if mode == "multi" else F.array(F.get(rows, template_index(seed, a, b, F.lit(f"contrastive:{label}"), len(own)))))
-    return F.concat(*out)
+    base = lambda n: D.nearest_base(n, D.TEMPLATE_BASES)
+    # each step is bound, so that a number that many statements hold is worked out once a problem
+    numbers = F.struct(a.alias("a"), b.alias("b"), (a % 10).alias("x"), (b % 10).alias("y"), base(a).alias("base_a"), base(b).alias("base_b"))
+
+    def products(r: Column) -> Column:
+        off_a, off_b = F.abs(r["a"] - r["base_a"]), F.abs(r["b"] - r["base_b"])
+        tens_a, tens_b = r["a"] - r["x"], r["b"] - r["y"]
+        made = {"off_a": off_a, "off_b": off_b, "tens_a": tens_a, "tens_b": tens_b, "ones": r["x"] * r["y"], "dd_a": tens_a * r["b"], "dd_b": r["a"] * tens_b, "rc_a": off_a * r["b"], "rc_b": off_b * r["a"]}
+        return F.struct(r.alias("r"), *(v.alias(k) for k, v in made.items()))
+
+    def nearby(p: Column) -> Column:
+        return F.struct(p.alias("p"), *(D.nearby_wrong(p[k]).alias(k) for k in ("ones", "dd_a", "dd_b", "rc_a", "rc_b")))
+
+    def pick(rows: list[Column]):
+        return lambda i: F.coalesce(*(F.when(i == k, x) for k, x in enumerate(rows)))
+
+    def statements(w: Column) -> Column:
+        p, r = w["p"], w["p"]["r"]
+        n, m = r["a"], r["b"]
+        say_of = {
+            "ones": lambda text, z: say(text, r["x"], r["y"], z, z % 10, whole(z / 10)),
+            "dd_a": lambda text, z: say(text, n, p["tens_a"], r["x"], p["tens_a"], m, z), "dd_b": lambda text, z: say(text, m, p["tens_b"], r["y"], n, p["tens_b"], z),
+            "rc_a": lambda text, z: say(text, n, r["base_a"], p["off_a"], m, z), "rc_b": lambda text, z: say(text, m, r["base_b"], p["off_b"], n, z),
+        }
+        slips = {k: F.when(p[k] % 10 == 0, whole(p[k] / 10)).otherwise(p[k] * 10) for k in ("dd_a", "dd_b")} | {"rc_a": p["rc_a"] + m, "rc_b": p["rc_b"] + n, "ones": F.when(p["ones"] >= 10, p["ones"] - 10).otherwise(p["ones"] + 10)}
+        ot = STEP_TEXTS["OT"]
+        pairs = {"OT": [(ot[0], "ones", w["ones"]), (ot[1], "ones", w["ones"]), (ot[0], "ones", slips["ones"]), (ot[2], "ones", slips["ones"])]}
+        for label, keys in (("DD", ("dd_a", "dd_b")), ("RC", ("rc_a", "rc_b"))):
+            pairs[label] = [(STEP_TEXTS[label], k, w[k]) for k in keys] + [(STEP_TEXTS[label], k, slips[k]) for k in keys]
+        out = []
+        for label, own in pairs.items():
+            own = own if profile == "harder" else own[:2]
+            rows = [F.struct(F.lit(label).alias("label"), F.lit(i).alias("nth"), say_of[k](text, p[k]).alias("right"), say_of[k](text, wrong).alias("wrong")) for i, (text, k, wrong) in enumerate(own)]
+            out += rows if mode == "multi" else [D.let(template_index(seed, n, m, F.lit(f"contrastive:{label}"), len(own)), pick(rows))]
+        return F.array(*out)
+
+    return D.let(D.let(D.let(numbers, products), nearby), statements)
 
 
 def tables(t: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import text
+from tallyforge.functions import digits, templates, text
 from tallyforge.operators import prototypes
 
 
@@ -29,3 +29,13 @@ def test_contaminated_is_what_answers_say(spark):
     rows = spark.createDataFrame([(t,) for t in said], "t string")
     got = rows.select(text.contaminated(F.col("t"), F.lit(47), F.lit(53)).alias("c"), text.extract_answer(F.col("t"), F.lit(47), F.lit(53))["contaminated"].alias("e")).collect()
     assert [r["c"] for r in got] == [r["e"] for r in got] == [False, True, False, False, False, False, False]
+
+
+def test_steps_hold_each_number_once(spark):
+    pairs = spark.range(1).selectExpr("id as a", "id as b").select(templates.step_pairs(F.col("a"), F.col("b"), profile="harder"))
+    assert len(plan(pairs)) < 100_000  # 350,000 when every statement worked out its own numbers
+
+
+@pytest.mark.parametrize("n,want", [(0, 10), (1, 0), (9, 8), (10, 20), (100, 200), (110, 100), (1000, 2000), (9990, 9980), (-30, 20), (10**17, 2 * 10**17), (123 * 10**15, 122 * 10**15)])
+def test_nearby_wrong(spark, n, want):
+    assert spark.range(1).select(digits.nearby_wrong(F.lit(n).cast("bigint"))).first()[0] == want

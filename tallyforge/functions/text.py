@@ -110,33 +110,40 @@ def contaminated(t: Column, a: Column, b: Column) -> Column:
 
 
 def extract_answer(t: Column, a: Column, b: Column, exact: bool = False) -> Column:
-    """(answer, confidence, strategy, truncated, contaminated) of a text that should give a times b."""
-    raw = F.trim(F.coalesce(t, F.lit("")))
-    truncated, s = cut_off(raw), strip_emphasis(raw)
-    bare = F.regexp_replace(s, ",", "")
-    contaminated = a.isNotNull() & b.isNotNull() & ~(F.contains(bare, a.cast("string")) | F.contains(bare, b.cast("string")))
-    row = lambda v, c, n: F.struct(v.cast(D.BIG).alias("answer"), F.lit(c).cast("double").alias("confidence") if not isinstance(c, Column) else c.alias("confidence"), F.lit(n).alias("strategy"))
-    # one candidate a pattern, in order; the first that is plausible
-    low = F.lower(s)
-    tried = F.array(*(row(number(_last(s, low, p, h), exact), c, n) for (p, n, c), h in zip(STRATEGIES, HINTS, strict=True)))
-    good = F.filter(tried, lambda x: x["answer"].isNotNull() & D.plausible(x["answer"], a, b))
-    numbers = F.regexp_extract_all(s, F.lit(f"({NUMBER})"), F.lit(1))
-    parsed = F.filter(F.transform(F.reverse(numbers), lambda x: number(x, exact)), lambda x: x.isNotNull())
-    big = F.filter(parsed, lambda x: (x >= 10) & D.plausible(x, a, b))
-    sure = F.when(truncated, 0.20).otherwise(0.50)
-    last = F.when(F.size(numbers) > 0, number(F.element_at(numbers, -1), exact))
-    few = F.filter(F.slice(parsed, 1, 3), lambda x: x >= 10)
-    dirty = F.coalesce(F.get(few, F.lit(0)), last)
+    """(answer, confidence, strategy, truncated, contaminated) of a text that should give a times b. Each step is bound, so that it's worked out once a row and only where it's asked for."""
+    row = lambda v, c, n: F.struct(v.cast(D.BIG).alias("answer"), (c if isinstance(c, Column) else F.lit(c).cast("double")).alias("confidence"), F.lit(n).alias("strategy"))
     none = row(F.lit(None), 0.0, "none")
-    best = (
-        F.when(raw == "", none)
-        .when(contaminated, row(dirty, F.when(dirty.isNotNull(), 0.10).otherwise(0.0), "contaminated"))
-        .when(F.size(good) > 0, F.get(good, F.lit(0)))
-        .when(F.size(big) > 0, row(F.get(big, F.lit(0)), sure, "fallback"))
-        .when(last.isNotNull(), row(last, sure * 0.8, "fallback"))
-        .otherwise(none)
-    )
-    return F.struct(best["answer"].alias("answer"), best["confidence"].alias("confidence"), best["strategy"].alias("strategy"), truncated.alias("truncated"), (contaminated & (raw != "")).alias("contaminated"))
+
+    def fallback(x: Column, numbers: Column) -> Column:
+        """Of all numbers: for a contaminated text one of the last three, else the last plausible one."""
+        parsed = F.filter(F.transform(F.reverse(numbers), lambda v: number(v, exact)), lambda v: v.isNotNull())
+        last = F.when(F.size(numbers) > 0, number(F.element_at(numbers, -1), exact))
+        sure = F.when(x["truncated"], 0.20).otherwise(0.50)
+
+        def told(y: Column) -> Column:
+            dirty = F.coalesce(F.get(F.filter(F.slice(y["parsed"], 1, 3), lambda v: v >= 10), F.lit(0)), y["last"])
+            big = F.get(F.filter(y["parsed"], lambda v: (v >= 10) & D.plausible(v, a, b)), F.lit(0))
+            found = D.let(big, lambda v: F.when(v.isNotNull(), row(v, sure, "fallback")).when(y["last"].isNotNull(), row(y["last"], sure * 0.8, "fallback")).otherwise(none))
+            return F.when(x["contaminated"], D.let(dirty, lambda v: row(v, F.when(v.isNotNull(), 0.10).otherwise(0.0), "contaminated"))).otherwise(found)
+
+        return D.let(F.struct(parsed.alias("parsed"), last.alias("last")), told)
+
+    def fits(c: float, n: str):
+        return lambda v: F.when(v.isNotNull() & D.plausible(v, a, b), row(v, c, n))
+
+    def best(x: Column) -> Column:
+        # a candidate a pattern, in order, up to the first that is plausible
+        tried = (D.let(number(_last(x["s"], x["low"], p, h), exact), fits(c, n)) for (p, n, c), h in zip(STRATEGIES, HINTS, strict=True))
+        rest = D.let(F.regexp_extract_all(x["s"], F.lit(f"({NUMBER})"), F.lit(1)), lambda numbers: fallback(x, numbers))
+        return F.when(x["raw"] == "", none).when(x["contaminated"], rest).otherwise(F.coalesce(*tried, rest))
+
+    def told(x: Column) -> Column:
+        found = lambda y: F.struct(y["answer"].alias("answer"), y["confidence"].alias("confidence"), y["strategy"].alias("strategy"), x["truncated"].alias("truncated"), (x["contaminated"] & (x["raw"] != "")).alias("contaminated"))
+        return D.let(best(x), found)
+
+    read = lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), F.lower(x["s"]).alias("low"), cut_off(x["raw"]).alias("truncated"), _foreign(x["s"], a, b).alias("contaminated"))
+    plain = lambda raw: F.struct(raw.alias("raw"), strip_emphasis(raw).alias("s"))
+    return D.let(D.let(D.let(F.trim(F.coalesce(t, F.lit(""))), plain), read), told)
 
 
 def confident(confidence: Column, truncated: Column, least: float = 0.7) -> Column:

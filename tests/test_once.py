@@ -39,3 +39,8 @@ def test_steps_hold_each_number_once(spark):
 @pytest.mark.parametrize("n,want", [(0, 10), (1, 0), (9, 8), (10, 20), (100, 200), (110, 100), (1000, 2000), (9990, 9980), (-30, 20), (10**17, 2 * 10**17), (123 * 10**15, 122 * 10**15)])
 def test_nearby_wrong(spark, n, want):
     assert spark.range(1).select(digits.nearby_wrong(F.lit(n).cast("bigint"))).first()[0] == want
+
+
+def test_answers_are_read_once(spark):
+    df = spark.createDataFrame([("so 12 it is", 3, 4)], "t string, a bigint, b bigint").select(text.extract_answer(F.col("t"), F.col("a"), F.col("b"), exact=True).alias("e"))
+    assert plan(df).count("mathbf") <= 4  # of one strategy: its pattern and hint

@@ -106,9 +106,11 @@ def length_balanced(df: DataFrame, total: int, mix: dict[int, float], length: st
 
 def training_texts(rows: DataFrame, labels: list[str], most: int = 256, text: str = "reasoning_trace", by: str = "heuristic", order: str = "ord") -> DataFrame:
     """by and wording of the first `most` training rows of each label whose normalised text isn't empty, in the rows' order. A label without any is an error."""
-    kept = rows.filter(F.trim("split") == "train").select(by, order, normalize(F.col(text)).alias("wording")).filter("wording <> ''")
-    out = capped(kept, by, [order], most).select(by, "wording")
-    missing = sorted(set(labels) - {r[0] for r in kept.filter(F.col(by).isin(labels)).select(by).distinct().collect()})
+    # empty wordings fall out of the array: a filter on them would be pushed down, and the wording worked out twice
+    wording = F.explode(F.filter(F.array(normalize(F.col(text))), lambda x: x != ""))
+    kept = rows.filter(F.trim("split") == "train").select(by, order, wording.alias("wording"))
+    out = written(capped(kept, by, [order], most).select(by, "wording"), "texts")  # `most` rows a label, read twice
+    missing = sorted(set(labels) - {r[0] for r in out.filter(F.col(by).isin(labels)).select(by).distinct().collect()})
     if missing:
         raise ValueError(f"no training texts of {', '.join(missing)}")
     return out

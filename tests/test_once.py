@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import digits, templates, text
-from tallyforge.operators import prototypes
+from tallyforge.operators import prototypes, selection
 
 
 def plan(df):
@@ -44,3 +44,16 @@ def test_nearby_wrong(spark, n, want):
 def test_answers_are_read_once(spark):
     df = spark.createDataFrame([("so 12 it is", 3, 4)], "t string, a bigint, b bigint").select(text.extract_answer(F.col("t"), F.col("a"), F.col("b"), exact=True).alias("e"))
     assert plan(df).count("mathbf") <= 4  # of one strategy: its pattern and hint
+
+
+def test_training_texts_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(i):
+        seen.add(1)
+        return f"Step {i}" if i % 2 else ""
+
+    rows = spark.range(20).select(F.lit("DD").alias("heuristic"), F.col("id").alias("ord"), F.lit("train").alias("split"), said("id").alias("reasoning_trace"))
+    assert [r["wording"] for r in selection.training_texts(rows, ["DD"], most=3).collect()] == ["Step <NUM>"] * 3
+    assert seen.value == 20

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, one_file: bool = False, remap: dict[str, str] | None = None) -> None:
-    """CSV with a header and a fixed order of columns; remap renames values of split. Nothing is written of an empty table."""
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, one_file: bool = False, remap: dict[str, str] | None = None, most: int = 250_000) -> None:
+    """CSV with a header and a fixed order of columns; remap renames values of split. Nothing is written of an empty table. most: rows a file, unless it's one_file; a file whose values
+    hold line ends is read by one task as a whole, so files don't grow with the table."""
     if df.isEmpty():
         return
     if remap and "split" in df.columns:
         df = df.replace(remap, subset=["split"])
     out = df.select(*(columns or df.columns))
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", 0 if one_file else most).csv(path)
 
 
 def write_details(df: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import digits, templates, text
 from tallyforge.operators import prototypes, selection
+from tallyforge.sources import readers, sinks
 
 
 def plan(df):
@@ -57,3 +58,13 @@ def test_training_texts_are_worked_out_once(spark):
     rows = spark.range(20).select(F.lit("DD").alias("heuristic"), F.col("id").alias("ord"), F.lit("train").alias("split"), said("id").alias("reasoning_trace"))
     assert [r["wording"] for r in selection.training_texts(rows, ["DD"], most=3).collect()] == ["Step <NUM>"] * 3
     assert seen.value == 20
+
+
+def test_csv_files_do_not_grow_with_the_table(spark, tmp_path):
+    df = spark.range(95, numPartitions=1).select(F.col("id").cast("string").alias("id"), F.lit("two\nlines").alias("note"))
+    sinks.write_csv(df, str(tmp_path / "many"), most=10)
+    assert len(list((tmp_path / "many").glob("*.csv"))) == 10
+    back = readers.read_csv(spark, str(tmp_path / "many"), "id string, note string").collect()
+    assert sorted(int(r["id"]) for r in back) == list(range(95)) and {r["note"] for r in back} == {"two\nlines"}
+    sinks.write_csv(df, str(tmp_path / "one"), one_file=True, most=10)
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1

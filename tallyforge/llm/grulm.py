@@ -34,11 +34,18 @@ HEAD = 1 << 16
 CLASSES, WIDTH, HIDDEN, SHARED = 32, 32, 24, 64
 OWN = CLASSES * WIDTH
 WINDOW, LANES, TRUNCATE = 32, 64, 16
+#: Texts that scoring steps through side by side, whose gates fit a core's cache; tokens of a window at least, where texts last; and tokens whose texts are scored together.
+SIDE, FULL, POOL = 512, 1 << 13, 1 << 21
+#: Classes of a step that are multiplied each alone, being the largest; the others are padded to one size.
+ALONE = 4
+#: Rows of a group that are added for all groups at once.
+EACH = 10
 #: Parameters that one step of Adam takes at once.
 PIECE = 1 << 15
 #: Learning rates of the rounds of training, which share out all training texts; and tokens that a task holds at once.
 RATES, CHUNK = (0.02, 0.01, 0.005), 1 << 20
 LOG10 = np.log(10.0)
+ONE = np.float32(1)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +98,7 @@ def vocab(counts: DataFrame) -> Vocab:
     top = sorted(head.collect(), key=lambda r: (-r["c"], r["h"]))
     h, c = np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], np.int64)
     own = c[:OWN]
-    return Vocab(Members(h), c, int(all_["total"]), int(all_["types"]), int(all_["total"] - own.sum()), int(all_["types"] - len(own)))
+    return Vocab(Ranks(h), c, int(all_["total"]), int(all_["types"]), int(all_["total"] - own.sum()), int(all_["types"] - len(own)))
 
 
 class Gru:
@@ -126,19 +133,19 @@ class Gru:
         """Inputs: own words by rank, others by a few bits of their hash."""
         return np.where((rank >= 0) & (rank < OWN), rank, OWN + (h % U64(SHARED)).astype(np.int64))
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One token of every lane; a lane is a column, so that a gate's values lie together. x: 3 * HIDDEN rows of inputs, which are overwritten."""
-        a = self.p["u"].T @ h
+    def step(self, x: np.ndarray, h: np.ndarray, a: np.ndarray | None = None, out: np.ndarray | None = None):
+        """One token of every lane; a lane is a column, so that a gate's values lie together. x: 3 * HIDDEN rows of inputs, which the gates overwrite. a, out: room for their likes among the results."""
+        a = np.matmul(self.p["u"].T, h, out=a)
         zr = x[: 2 * HIDDEN]
         zr += a[: 2 * HIDDEN]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
-        zr += 1
+        zr += ONE
         np.reciprocal(zr, out=zr)
         z, r, a, n = zr[:HIDDEN], zr[HIDDEN:], a[2 * HIDDEN :], x[2 * HIDDEN :]
         n += r * a
         np.tanh(n, out=n)
-        out = h - n
+        out = np.subtract(h, n, out=out)
         out *= z
         out += n
         return out, z, r, n, a
@@ -146,72 +153,121 @@ class Gru:
     def log_probs(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Natural logs of P(class) * P(word | class) of own words, of P(class) of others."""
         kind = np.where((rank >= 0) & (rank < OWN), rank // WIDTH, CLASSES).astype(np.uint8)
-        s = h @ self.p["wc"] + self.p["bc"]
-        out = s[np.arange(len(s)), kind]
-        out -= np.log(np.exp(s, out=s).sum(1))
+        out = np.empty(len(h), np.float32)
+        for i in range(0, len(h), FULL // 4):  # as many as stay in the cache
+            k = kind[i : i + FULL // 4]
+            s = h[i : i + FULL // 4] @ self.p["wc"]
+            s += self.p["bc"]
+            out[i : i + len(k)] = s[np.arange(len(k)), k]
+            out[i : i + len(k)] -= np.log(sums(np.exp(s, out=s)))
         order = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
         order = order[: edge[CLASSES]]
-        own, w = h[order], np.empty((len(order), WIDTH), np.float32)
+        own, word = h[order], rank[order] % WIDTH
+        lp = np.empty(len(order), np.float32)
         for c, (i, j) in enumerate(zip(edge, edge[1:])):
             if i < j:
-                np.matmul(own[i:j], self.p["ww"][c], out=w[i:j])
-                w[i:j] += self.p["bw"][c]
-        out[order] += w[np.arange(len(order)), rank[order] % WIDTH]
-        out[order] -= np.log(np.exp(w, out=w).sum(1))
+                w = own[i:j] @ self.p["ww"][c]
+                w += self.p["bw"][c]
+                lp[i:j] = w[np.arange(j - i), word[i:j]]
+                lp[i:j] -= np.log(sums(np.exp(w, out=w)))
+        out[order] += lp
         return out
 
     def score(self, h: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each text, but for the counts' part of words that aren't the model's own."""
+        return self.score_symbols(self.symbols(h, rank), rank, first)
+
+    def score_symbols(self, symbol: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same of texts whose inputs are known. The longest texts go side by side, so that few steps have few lanes."""
         length = np.diff(first)
-        lane = np.argsort(-length, kind="stable")
-        begin, longest = first[lane], length[lane]
-        symbol = self.symbols(h, rank)
+        order = np.argsort(-length, kind="stable")
         out = np.zeros(len(length))
-        state = np.zeros((HIDDEN, len(length)), np.float32)
         start = self.symbols(np.array([END]), np.array([self.end]))[0]
-        for t0 in range(0, int(longest[0]) if len(length) else 0, WINDOW):
-            n = int(np.searchsorted(-longest, -t0, "left"))
-            steps, lanes, places = [], [], []
-            for t in range(t0, min(t0 + WINDOW, int(longest[0]))):
-                n = int(np.searchsorted(-longest[:n], -t, "left"))
-                at = begin[:n] + t
-                state = self.step(np.ascontiguousarray(self.p["x"][symbol[at - 1] if t else np.full(n, start)].T), state[:, :n])[0]
-                steps.append(state.T)
-                lanes.append(n)
-                places.append(at)
-            lp = self.log_probs(np.concatenate(steps), rank[np.concatenate(places)])
-            out += np.bincount(np.concatenate([lane[:n] for n in lanes]), lp, len(out))
+        for i in range(0, len(order), SIDE):
+            lane = order[i : i + SIDE]
+            begin, short, longest = first[lane], -length[lane], int(length[lane[0]])
+            state, n, t = np.zeros((HIDDEN, len(lane)), np.float32), len(lane), 0
+            while t < longest:
+                steps, lanes, places, size, t0 = [], [], [], 0, t
+                while t < longest and (t < t0 + WINDOW or size < FULL):
+                    n = int(np.searchsorted(short[:n], -t, "left"))
+                    at = begin[:n] + t
+                    x = self.p["x"].take(symbol[at - 1] if t else np.full(n, start), 0)
+                    state = self.step(np.ascontiguousarray(x.T), state[:, :n])[0]
+                    steps.append(state.T)
+                    lanes.append(lane[:n])
+                    places.append(at)
+                    size += n
+                    t += 1
+                lp = self.log_probs(np.concatenate(steps), rank[np.concatenate(places)])
+                out += np.bincount(np.concatenate(lanes), lp, len(out))
         return out
 
     end = -1  # the rank of the end
 
 
+def sums(e: np.ndarray) -> np.ndarray:
+    """Of each row."""
+    return e @ np.ones(e.shape[1], np.float32)
+
+
+class Ranks(Members):
+    """Members that are looked up by the few that share a hash's first bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.sorted = hashes[self.order]
+        self.bits = max(10, int(len(hashes)).bit_length() + 1)
+        self.first = np.searchsorted(self.sorted >> U64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=U64)).astype(np.int32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        b = (h >> U64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[b], self.first[1:][b]
+        open_ = np.flatnonzero(at < end)
+        at, end, h = at[open_], end[open_], h[open_]
+        while len(open_):
+            hit = self.sorted[at] == h
+            out[open_[hit]] = self.order[at[hit]]
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            open_, at, end, h = open_[more], at[more] + 1, end[more], h[more]
+        return out
+
+
 class Adam:
-    """Moments of all parameters, which lie in one array: the model's own become views of it."""
+    """Moments (but for constant factors) of all parameters, which lie in one array: the model's own become views of it."""
 
     def __init__(self, model: Gru) -> None:
         self.all = model.flat().astype(np.float32)
         self.g, self.m, self.s, self.a = (np.zeros_like(self.all) for _ in range(4))
         self.i, self.grad, at = 0, {}, 0
-        for k in Gru.NAMES:
-            shape, n = model.p[k].shape, model.p[k].size
-            model.p[k], self.grad[k] = self.all[at : at + n].reshape(shape), self.g[at : at + n].reshape(shape)
-            at += n
+        # weights and biases lie together, the biases as the weights of one more input, which is 1
+        held, n = {}, HIDDEN + 1
+        for k, shape in (("x", model.p["x"].shape), ("u", model.p["u"].shape), ("classes", (n, CLASSES + 1)), ("words", (CLASSES, n, WIDTH))):
+            size = int(np.prod(shape))
+            held[k] = [x[at : at + size].reshape(shape) for x in (self.all, self.g)]
+            at += size
+        (self.classes, self.classes_grad), (self.words, self.words_grad) = held["classes"], held["words"]
+        for out, of in ((model.p, 0), (self.grad, 1)):
+            x, u, c, w = (held[k][of] for k in held)
+            views = {"x": x, "u": u, "wc": c[:-1], "bc": c[-1], "ww": w[:, :-1], "bw": w[:, -1]}
+            for k in Gru.NAMES if of == 0 else ():
+                views[k][:] = model.p[k]
+            out.update(views)
 
     def step(self, rate: float) -> None:
         """In pieces that stay in a core's cache. Gradients are kept."""
         self.i += 1
         c = np.sqrt(1 - 0.99**self.i)
-        tiny, rate = np.float32(1e-6 * c), np.float32(rate * c / (1 - 0.9**self.i))
+        # m is 10 and s 100 times the moment: the root of s is 10 times its own
+        tiny, rate = np.float32(1e-5 * c), np.float32(rate * c / (1 - 0.9**self.i))
         for k in range(0, len(self.all), PIECE):
             g, m, s, a, p = (x[k : k + PIECE] for x in (self.g, self.m, self.s, self.a, self.all))
             m *= np.float32(0.9)
-            m += np.multiply(g, np.float32(0.1), out=a)
+            m += g
             s *= np.float32(0.99)
-            np.multiply(g, g, out=a)
-            a *= np.float32(0.01)
-            s += a
+            s += np.multiply(g, g, out=a)
             np.sqrt(s, out=a)
             a += tiny
             np.divide(m, a, out=a)
@@ -222,10 +278,29 @@ class Adam:
 def softmax(e: np.ndarray) -> np.ndarray:
     """In place."""
     np.exp(e, out=e)
-    e *= 1 / e.sum(1, keepdims=True)
+    e *= (ONE / sums(e))[:, None]
     return e
 
 
+def sums_of(rows: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and the sums of their rows; order lists rows by group, group says which. The first rows of each group are added for all groups at once, only what large ones have beyond EACH goes group by group."""
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(at, append=len(order))
+    by_size = np.argsort(-size, kind="stable")
+    at, size = at[by_size], size[by_size]
+    out = rows.take(order[at], 0)
+    larger = np.searchsorted(-size, -np.arange(EACH + 1), "left").tolist()  # groups of more than 0, 1, ... rows
+    for k in range(1, EACH):
+        if n := larger[k]:
+            out[:n] += rows.take(order[at[:n] + k], 0)
+    if n := larger[EACH]:
+        more = size[:n] - EACH
+        start = np.cumsum(more) - more
+        rest = np.arange(more.sum()) + np.repeat(at[:n] + EACH - start, more)
+        out[:n] += np.add.reduceat(rows.take(order[rest], 0), start)
+    return group[at], out
+
+
 def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam | None = None) -> None:
     """One pass of truncated backpropagation over a stream of texts, cut into LANES; Adam. Every token is a goal once."""
     if not len(h):
@@ -243,43 +318,71 @@ def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam |
         steps = min(TRUNCATE, n - t0)
         size = steps * lanes
         flat = inputs[:, t0 : t0 + steps].T.ravel()
-        xs = p["x"][flat].reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1).copy()
-        hs, before, z, r, c, a = np.empty((6, steps, HIDDEN, lanes), np.float32)
+        xs = p["x"].take(flat, 0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1).copy()
+        states, a = np.empty((steps + 1, HIDDEN, lanes), np.float32), np.empty_like(xs)
+        states[0] = state
         for t in range(steps):
-            before[t] = state
-            state, z[t], r[t], c[t], a[t] = model.step(xs[t], state)
-            hs[t] = state
-        hs = hs.transpose(0, 2, 1).reshape(size, HIDDEN)
+            model.step(xs[t], states[t], a[t], states[t + 1])
+        state, before, a = states[steps], states[:steps], a[:, 2 * HIDDEN :]
+        z, r, c = xs[:, :HIDDEN], xs[:, HIDDEN : 2 * HIDDEN], xs[:, 2 * HIDDEN :]
+        # by token: the states before, the same later by a step, a last input of 1, and a last row of 0 that fills up
+        all_ = np.zeros((size + lanes + 1, HIDDEN + 1), np.float32)
+        all_[:-1, HIDDEN] = 1
+        all_[:-1].reshape(steps + 1, lanes, HIDDEN + 1)[:, :, :HIDDEN] = states.transpose(0, 2, 1)
+        hs = all_[lanes:]
         goal = goals[:, t0 : t0 + steps].T.ravel()
         kind = np.where((goal >= 0) & (goal < OWN), goal // WIDTH, CLASSES).astype(np.uint8)
         ok = live[:, t0 : t0 + steps].T.ravel()
+        whole = bool(ok.all())
         share = np.float32(1 / max(int(ok.sum()), 1))
-        e = softmax(hs @ p["wc"] + p["bc"])
-        e[np.arange(size), kind] -= 1
-        e *= share
-        if not ok.all():
+        e = hs[:size] @ adam.classes
+        np.exp(e, out=e)
+        e *= (share / sums(e))[:, None]
+        e[np.arange(size), kind] -= share
+        if not whole:
             e[~ok] = 0
-        g["wc"][:], g["bc"][:], dh = hs.T @ e, e.sum(0), e @ p["wc"].T
-        # words of all classes, by class: scores and gradients a class, what lies between for all at once
-        order = np.argsort(np.where(ok, kind, CLASSES).astype(np.uint8), kind="stable")
-        edge = np.searchsorted(kind[order[: int(ok.sum())]], np.arange(CLASSES + 1)).tolist()
-        order = order[: edge[CLASSES]] if ok.all() else order[ok[order]][: edge[CLASSES]]
-        own = hs[order]
-        e, d = np.empty((len(order), WIDTH), np.float32), np.empty((len(order), HIDDEN), np.float32)
-        g["ww"][:], g["bw"][:] = 0, 0
-        used = [(k, edge[k], edge[k + 1]) for k in range(CLASSES) if edge[k] < edge[k + 1]]
-        for k, i, j in used:
-            np.matmul(own[i:j], p["ww"][k], out=e[i:j])
-            e[i:j] += p["bw"][k]
-        softmax(e)
-        e[np.arange(len(order)), goal[order] % WIDTH] -= 1
-        e *= share
-        for k, i, j in used:
-            np.matmul(own[i:j].T, e[i:j], out=g["ww"][k])
-            np.matmul(e[i:j], p["ww"][k].T, out=d[i:j])
-        if used:
-            g["bw"][[k for k, *_ in used]] = np.add.reduceat(e, [i for _, i, _ in used])
-        dh[order] += d
+        np.matmul(hs[:size].T, e, out=adam.classes_grad)
+        dh = np.zeros((size + 1, HIDDEN), np.float32)
+        np.matmul(e, p["wc"].T, out=dh[:size])
+        # words of all classes, by class: the largest classes each alone, the others together, filled up to one size
+        order = np.argsort(kind if whole else np.where(ok, kind, CLASSES).astype(np.uint8), kind="stable")
+        many = np.bincount(kind if whole else kind[ok], minlength=CLASSES + 1)[:CLASSES]
+        start = np.cumsum(many) - many
+        order = order[: many.sum()]
+        word = goal[order] % WIDTH
+        by_size = np.argsort(-many, kind="stable")
+        for k in by_size[:ALONE].tolist():
+            i, j = start[k], start[k] + many[k]
+            own = hs.take(order[i:j], 0)
+            e = own @ adam.words[k]
+            np.exp(e, out=e)
+            e *= (share / sums(e))[:, None]
+            e[np.arange(j - i), word[i:j]] -= share
+            np.matmul(own.T, e, out=adam.words_grad[k])
+            dh[order[i:j]] += e @ p["ww"][k].T
+        few = np.sort(by_size[ALONE:])
+        most = int(many[few].max())
+        if most:
+            slot = np.zeros(CLASSES, np.int64)
+            slot[few] = np.arange(len(few)) * most - start[few]
+            mine = np.ones(CLASSES, bool)
+            mine[by_size[:ALONE]] = False
+            kinds = kind[order]
+            picked = np.flatnonzero(mine[kinds])
+            at = slot[kinds[picked]] + picked
+            token = np.full(len(few) * most, size)
+            token[at] = order[picked]
+            own, words_ = hs.take(token, 0).reshape(len(few), most, HIDDEN + 1), adam.words.take(few, 0)
+            e = (own @ words_).reshape(-1, WIDTH)
+            np.exp(e, out=e)
+            e *= (np.where(token < size, share, np.float32(0)) / sums(e))[:, None]
+            e[at, word[picked]] -= share
+            e = e.reshape(len(few), most, WIDTH)
+            adam.words_grad[few] = own.transpose(0, 2, 1) @ e
+            dh[token] += (e @ words_[:, :HIDDEN].transpose(0, 2, 1)).reshape(-1, HIDDEN)  # rows that fill up are 0
+        else:
+            adam.words_grad[few] = 0
+        dh = dh[:size]
         dh = dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1).copy()
         # the gates' gradients are those of the state times these
         inner = (1 - z) * (1 - c * c)
@@ -297,14 +400,12 @@ def train(model: Gru, h: np.ndarray, rank: np.ndarray, rate: float, adam: Adam |
             back += d * z[t]
         by_lane = lambda x: x.transpose(0, 2, 1).reshape(size, -1)
         rows = by_lane(da.reshape(steps, 3 * HIDDEN, lanes))
-        g["u"][:] = by_lane(before).T @ rows
+        g["u"][:] = all_[:size, :HIDDEN].T @ rows
         rows[:, 2 * HIDDEN :] = by_lane(dh * inner)  # of the inputs, from here on
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        flat = flat[order]
-        at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         g["x"][touched] = 0
-        touched = flat[at]
-        g["x"][touched] = np.add.reduceat(rows[order], at)
+        touched, summed = sums_of(rows, order, flat[order])
+        g["x"][touched] = summed
         adam.step(rate)
 
 
@@ -376,34 +477,55 @@ def score(docs: DataFrame, train_rows: Column, keep: list[str]) -> DataFrame:
     names = [f"k{i}" for i in range(len(keep))]
     picked = docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), "text")
 
-    def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+    columns = ["rid", "h", "tf", *names, "n_tokens", "head_known", "head_logs", "model"]
+
+    def run(batches):
         v, model = sent.value
-        h, first = tokens(data, offsets)
-        n_docs = rows.num_rows
-        doc = np.repeat(np.arange(n_docs), np.diff(first))
-        rank = v.ranks(h)
-        known = rank >= 0
         logs = np.log10(v.counts + 1.0) if len(v.counts) else np.zeros(1)
-        lc = np.where(known, logs[np.maximum(rank, 0)], 0)
-        rest = rank >= OWN
-        model_part = model.score(h, rank, first) / LOG10 + np.bincount(doc[rest], lc[rest], n_docs) - np.bincount(doc[rest | ~known], minlength=n_docs) * np.log10(v.rest_total + v.rest_types + 1.0)
-        # words beyond the head: one row for each of a text
-        pair_doc, pair_h = doc[~known], h[~known]
-        order = np.lexsort((pair_h, pair_doc))
-        pair_doc, pair_h = pair_doc[order], pair_h[order]
-        at = np.flatnonzero(np.concatenate([[True], (pair_doc[1:] != pair_doc[:-1]) | (pair_h[1:] != pair_h[:-1])])) if len(order) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(at, len(order)))
-        rid = rows.column(0).to_numpy()
-        m = len(at)
-        own = mix(rid.astype(np.int64).view(U64) + U64(77))  # a row for the text itself lies anywhere, and adds no word
-        wide = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
-        cols = [pa.array(np.concatenate([rid, rid[pair_doc[at]]])), pa.array(np.concatenate([own, pair_h[at]]).view(np.int64)), pa.array(np.concatenate([np.zeros(n_docs, np.int64), tf]).astype(np.int32))]
-        cols += [pa.concat_arrays([rows.column(1 + i), pa.nulls(m, rows.column(1 + i).type)]) for i in range(len(names))]
-        cols += [wide(np.diff(first), pa.int64()), wide(np.bincount(doc[known], minlength=n_docs), pa.int64()), wide(np.bincount(doc, lc, n_docs), pa.float64()), wide(model_part, pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, ["rid", "h", "tf", *names, "n_tokens", "head_known", "head_logs", "model"])
+        each_rest = np.log10(v.rest_total + v.rest_types + 1.0)
+        held: list[tuple[list, np.ndarray, np.ndarray, np.ndarray]] = []  # columns, inputs, ranks and lengths of texts
+
+        def pooled():
+            """Texts of many steps are scored together: alone, the few long ones of a step would go through most of its time side by side with none."""
+            cols, symbol, rank, length = zip(*held, strict=True)
+            held.clear()
+            got = model.score_symbols(np.concatenate(symbol), np.concatenate(rank), np.concatenate([[0], np.cumsum(np.concatenate(length))])) / LOG10
+            at = np.cumsum([0, *map(len, length)])
+            for c, i, j in zip(cols, at[:-1], at[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([*c[:-1], pa.array(got[i:j] + c[-1])], columns)
+
+        def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
+            h, first = tokens(data, offsets)
+            n_docs, length = rows.num_rows, np.diff(first)
+            doc = np.repeat(np.arange(n_docs), length)
+            rank = v.ranks(h)
+            known = rank >= 0
+            lc = logs[np.maximum(rank, 0)]
+            lc[~known] = 0
+            rest = rank >= OWN
+            by_counts = np.bincount(doc[rest], lc[rest], n_docs) - np.bincount(doc[rest | ~known], minlength=n_docs) * each_rest
+            rid = rows.column(0).to_numpy()
+            own = mix(rid.astype(np.int64).view(U64) + U64(77))  # a row for the text itself lies anywhere, and adds no word
+            cols = [pa.array(rid), pa.array(own.view(np.int64)), pa.array(np.zeros(n_docs, np.int32)), *(rows.column(1 + i) for i in range(len(names)))]
+            cols += [pa.array(length), pa.array(np.bincount(doc[known], minlength=n_docs)), pa.array(np.bincount(doc, lc, n_docs))]
+            held.append(([*cols, by_counts], model.symbols(h, rank).astype(np.uint16), rank.astype(np.int32), length))
+            # words beyond the head: one row for each of a text
+            pair_doc, pair_h = doc[~known], h[~known]
+            order = np.lexsort((pair_h, pair_doc))
+            pair_doc, pair_h = pair_doc[order], pair_h[order]
+            at = np.flatnonzero(np.concatenate([[True], (pair_doc[1:] != pair_doc[:-1]) | (pair_h[1:] != pair_h[:-1])])) if len(order) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(at, len(order)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[pair_doc[at]]), pa.array(pair_h[at].view(np.int64)), pa.array(tf.astype(np.int32)), *(pa.nulls(len(at), rows.column(1 + i).type) for i in range(len(names))), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], columns)
+            if sum(len(x[1]) for x in held) >= POOL:
+                yield from pooled()
+
+        yield from by_step(of)(batches)
+        if held:
+            yield from pooled()
 
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True)]
-    rows = picked.mapInArrow(by_step(of, most=3 << 20), ", ".join(["rid bigint", "h bigint", "tf int", *kinds, "n_tokens bigint", "head_known bigint", "head_logs double", "model double"]))
+    rows = picked.mapInArrow(run, ", ".join(["rid bigint", "h bigint", "tf int", *kinds, "n_tokens bigint", "head_known bigint", "head_logs double", "model double"]))
     met = rows.join(counts, "h", "left").withColumn("tail", F.when(F.col("tf") > 0, F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)).withColumn("tail_known", F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))
     one = met.groupBy("rid").agg(*(F.max(n).alias(n) for n in names), F.max("n_tokens").alias("n_tokens"), F.max("head_known").alias("head_known"), F.max("head_logs").alias("head_logs"), F.max("model").alias("model"), F.sum("tail").alias("tail"), F.sum("tail_known").alias("tail_known"))
     each = float(np.log10(v.total + v.types + 1.0))

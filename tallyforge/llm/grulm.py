@@ -275,13 +275,6 @@ class Adam:
             p -= a
 
 
-def softmax(e: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.exp(e, out=e)
-    e *= (ONE / sums(e))[:, None]
-    return e
-
-
 def sums_of(rows: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups and the sums of their rows; order lists rows by group, group says which. The first rows of each group are added for all groups at once, only what large ones have beyond EACH goes group by group."""
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
